@@ -408,6 +408,7 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [x.split()[0] for x in DIGEST.split(", ")]
     back = read_media(store_media(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,6 +419,6 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                 doc_id, n, [len(x) for x in payloads], [hashlib.sha256(x).hexdigest() for x in payloads], [zlib.crc32(x[-64:]) for x in payloads],
                 [len(x) for x in files], [hashlib.sha256(x).hexdigest() for x in files], feature,
             ]
-            yield pa.RecordBatch.from_pydict(dict(zip((f.name for f in T.StructType.fromDDL(DIGEST)), columns, strict=True)))
+            yield pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)))
 
     return back.select("doc_id", "media", "n_bytes", "payload", "feature").mapInArrow(digest, DIGEST)
