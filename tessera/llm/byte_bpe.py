@@ -15,17 +15,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read
 
 #: Pre-tokens a Python worker remembers; beyond this it starts anew.
-CACHE_TOKENS = 300_000
-#: Characters of text encoded together.
-BLOCK_CHARS = 2_000_000
+CACHE_TOKENS = 100_000
+#: Bytes of text encoded together.
+BLOCK_BYTES = 1_000_000
 
 
 def byte_characters() -> list[str]:
@@ -61,6 +61,13 @@ def _field(number: int, value: int | float | bytes) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
+def inverse_pieces(vocabulary: str) -> list[bytes]:
+    """Bytes of each id, from the pieces of the model that is made of the vocabulary."""
+    import sentencepiece
+
+    return piece_bytes(sentencepiece.SentencePieceProcessor(model_proto=serialise_model(read_ranks(vocabulary))))
+
+
 def serialise_model(tokens: list[bytes]) -> bytes:
     """A sentencepiece BPE model whose ids are the ranks; the unknown piece it must have comes last."""
     chars = byte_characters()
@@ -80,11 +87,8 @@ class Codec:
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pattern = regex.compile(pattern)
-        back = {c: b for b, c in enumerate(byte_characters())}
         self.to_chars = dict(enumerate(byte_characters()))
-        unknown = self.model.unk_id()
-        self.tokens = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.model)) if i != unknown]
-        self.ids = {t: i for i, t in enumerate(self.tokens)}
+        self.ids = {t: i for i, t in enumerate(piece_bytes(self.model))}
         self.known: dict[str, bytes] = {}  # ids of matches
         self.words: dict[str, bytes] = {}  # ids of a space and the word
 
@@ -129,8 +133,15 @@ class Codec:
             self.known[x] = np.array(ids, dtype="<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, matches)) for matches in split]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+def decode(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def piece_bytes(model) -> list[bytes]:
+    """The bytes of each piece of a serialised vocabulary but the unknown one: the inverse of the byte characters."""
+    back = {c: b for b, c in enumerate(byte_characters())}
+    return [bytes(back[c] for c in model.id_to_piece(i)) for i in range(len(model)) if i != model.unk_id()]
 
 
 @lru_cache(maxsize=2)
@@ -138,16 +149,16 @@ def _codec(model: bytes, pattern: str) -> Codec:
     return Codec(model, pattern)
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
-    block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t)
-        if size > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _blocks(sizes: np.ndarray) -> Iterator[int]:
+    """Numbers of rows that follow each other and hold about BLOCK_BYTES."""
+    n = total = 0
+    for size in sizes.tolist():
+        n, total = n + 1, total + size
+        if total > BLOCK_BYTES:
+            yield n
+            n = total = 0
+    if n:
+        yield n
 
 
 def encode_documents(docs: DataFrame, *, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -163,45 +174,51 @@ def encode_documents(docs: DataFrame, *, vocabulary: str, pattern: str, text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, pattern)
         for batch in batches:
-            at = 0
-            texts = [t or "" for t in batch.column(kept.index(text)).to_pylist()]
-            for block in _blocks(texts):
-                encoded = codec.encode(block)
+            column, at = batch.column(kept.index(text)), 0
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            for n in _blocks(sizes):
+                encoded = codec.encode([t or "" for t in column.slice(at, n).to_pylist()])
                 ends = np.cumsum([0, *(len(x) // 4 for x in encoded)]).astype(np.int32)
                 values = np.frombuffer(b"".join(encoded), dtype=np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(block)).columns, column], names=[*kept, ids])
-                at += len(block)
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, made], names=[*kept, ids])
+                at += n
 
     return docs.select(*kept).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, *, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """All columns and `decoded` binary, the bytes of the ids. Null ids decode to no bytes. Replaces a column of that name."""
-    model = serialise_model(read_ranks(vocabulary))
+    tokens = inverse_pieces(vocabulary)
     kept = [c for c in encoded.columns if c != decoded]
     schema = T.StructType([*encoded.select(*kept).schema.fields, T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model, "")
         for batch in batches:
             lists = batch.column(kept.index(ids))
-            out = [b"" if x.values is None else codec.decode(x.values.to_numpy()) for x in lists]
+            out = [b"" if x.values is None else decode(tokens, x.values.to_numpy()) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*kept, decoded])
 
     return encoded.select(*kept).mapInArrow(run, schema)
 
 
-def digest_ids(encoded: DataFrame, *, ids: str = "ids") -> DataFrame:
-    """Replaces ids by n_tokens and ids_sha256, of the ids as little-endian unsigned 32-bit integers."""
-    kept = [c for c in encoded.columns if c not in (ids, "n_tokens", "ids_sha256")]
-    schema = T.StructType([*encoded.select(*kept).schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
+def decoded_digests(encoded: DataFrame, *, vocabulary: str, ids: str = "ids") -> DataFrame:
+    """All columns but ids, and n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the decoded bytes)."""
+    tokens = inverse_pieces(vocabulary)
+    made = ("n_tokens", "ids_sha256", "decoded_sha256")
+    kept = [c for c in encoded.columns if c not in (ids, *made)]
+    schema = T.StructType([*encoded.select(*kept).schema.fields, T.StructField(made[0], T.LongType()), T.StructField(made[1], T.StringType()), T.StructField(made[2], T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [x.values.to_numpy().astype("<u4") if x.values is not None else np.zeros(0, "<u4") for x in batch.column(len(kept))]
-            n, sha = pa.array([len(x) for x in values], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], n, sha], names=[*kept, "n_tokens", "ids_sha256"])
+            n, own, back = [], [], []
+            for x in batch.column(len(kept)):
+                values = x.values.to_numpy() if x.values is not None else np.zeros(0, "<u4")
+                n.append(len(values))
+                own.append(hashlib.sha256(values.astype("<u4")).hexdigest())
+                back.append(hashlib.sha256(decode(tokens, values)).hexdigest())
+            columns = [pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, *made])
 
     return encoded.select(*kept, ids).mapInArrow(run, schema)
 
@@ -211,6 +228,4 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary=vocabulary, pattern=public_tokenizers.PATTERN)
-    decoded = decode_documents(encoded.select("doc_id", "ids"), vocabulary=vocabulary)
-    digested = digest_ids(decoded.select("doc_id", F.sha2("decoded", 256).alias("decoded_sha256"), "ids"))
-    return digested.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return decoded_digests(encoded.select("doc_id", "ids"), vocabulary=vocabulary).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
