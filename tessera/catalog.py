@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import corpus, retrieval
+
+AREAS = (corpus, retrieval)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for area in AREAS for name, f in area.plans.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for area in AREAS for name, sql in area.plans.sql.items()}
