@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,12 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read
 
 #: Pre-tokens a Python worker remembers; beyond this it starts anew.
-CACHE_TOKENS = 100_000
+CACHE_TOKENS = 60_000
 #: Bytes of text encoded together.
 BLOCK_BYTES = 1_000_000
 
@@ -88,7 +90,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pattern = regex.compile(pattern)
         self.to_chars = dict(enumerate(byte_characters()))
-        self.ids = {t: i for i, t in enumerate(piece_bytes(self.model))}
+        self.tokens = {t: struct.pack("<I", i) for i, t in enumerate(piece_bytes(self.model))}
         self.known: dict[str, bytes] = {}  # ids of matches
         self.words: dict[str, bytes] = {}  # ids of a space and the word
 
@@ -113,26 +115,33 @@ class Codec:
             else:
                 whole.append(t)
         first_ids, whole_ids = iter(self._matches(firsts)), iter(self._matches(whole))
-        unknown_words = list(unknown)
-        self.words.update(zip(unknown_words, self._matches([" " + w for w in unknown_words]), strict=True))
+        letters = [w for w in unknown if w.isalpha()]  # a space and letters are one match
+        others = [w for w in unknown if not w.isalpha()]
+        self.words.update(zip(letters, self._encoded([" " + w for w in letters]), strict=True))
+        self.words.update(zip(others, self._matches([" " + w for w in others]), strict=True))
         for words in split:
             out.append(next(whole_ids) if words is None else b"".join([next(first_ids), *map(self.words.__getitem__, words[1:])]))
         return out
 
     def _matches(self, texts: list[str]) -> list[bytes]:
         split = [self.pattern.findall(t) for t in texts]
-        new = {x for matches in split for x in matches if x not in self.known}
-        hard = []
-        for x in new:
-            if (token := self.ids.get(x.encode())) is not None:  # a match that is a token is that token
-                self.known[x] = struct.pack("<I", token)
-            else:
-                hard.append(x)
-        pieces = [x.encode().decode("latin-1").translate(self.to_chars) for x in hard]
-        for x, ids in zip(hard, self.model.encode(pieces, num_threads=1), strict=True):
-            self.known[x] = np.array(ids, dtype="<u4").tobytes()
+        new = [*{x for matches in split for x in matches if x not in self.known}]
+        self.known.update(zip(new, self._encoded(new), strict=True))
         return [b"".join(map(self.known.__getitem__, matches)) for matches in split]
 
+    def _encoded(self, matches: list[str]) -> list[bytes]:
+        """Ids of matches: a match that is a token is that token, the others go through the model as byte characters."""
+        out = [self.tokens.get(x.encode()) for x in matches]
+        hard = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(hard, self.model.encode([self._pieces(matches[k]) for k in hard], num_threads=1), strict=True):
+            out[k] = array("I", ids).tobytes()
+        return out
+
+    def _pieces(self, match: str) -> str:
+        if match.isascii() and match.isprintable():  # of these bytes only the space has another character
+            return match.replace(" ", self.to_chars[0x20])
+        return match.encode().decode("latin-1").translate(self.to_chars)
+
 
 def decode(tokens: list[bytes], ids: np.ndarray) -> bytes:
     return b"".join(map(tokens.__getitem__, ids.tolist()))
@@ -161,30 +170,30 @@ def _blocks(sizes: np.ndarray) -> Iterator[int]:
         yield n
 
 
-def encode_documents(docs: DataFrame, *, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns and a column `ids` array<int> of token ids of the whole text, without special tokens.
+def encode_documents(docs: DataFrame, *, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", drop_text: bool = False) -> DataFrame:
+    """All columns (without the text, if so asked) and a column `ids` array<int> of token ids of the whole text, without special tokens.
 
     A null text counts as empty; an empty text has no ids; rows are independent, so ties, repeated rows and ids in other columns
     don't matter; an empty table stays empty. An input column of the name of `ids` is replaced.
     """
     model = serialise_model(read_ranks(vocabulary))
-    kept = [c for c in docs.columns if c != ids]
+    kept = [c for c in docs.columns if c != ids and not (drop_text and c == text)]
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, pattern)
         for batch in batches:
-            column, at = batch.column(kept.index(text)), 0
+            column, at = batch.column(len(kept)), 0
             sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
             for n in _blocks(sizes):
                 encoded = codec.encode([t or "" for t in column.slice(at, n).to_pylist()])
                 ends = np.cumsum([0, *(len(x) // 4 for x in encoded)]).astype(np.int32)
                 values = np.frombuffer(b"".join(encoded), dtype=np.int32)
                 made = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns, made], names=[*kept, ids])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns[: len(kept)], made], names=[*kept, ids])
                 at += n
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, *, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -227,5 +236,5 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary=vocabulary, pattern=public_tokenizers.PATTERN)
+    encoded = encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary=vocabulary, pattern=public_tokenizers.PATTERN, drop_text=True)
     return decoded_digests(encoded.select("doc_id", "ids"), vocabulary=vocabulary).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
