@@ -49,7 +49,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode_documents(docs.select("doc_id", "text"), vocabulary=vocabulary, pattern=public_tokenizers.PATTERN)
+    encoded = encode_documents(docs.select("doc_id", "text"), vocabulary=vocabulary, pattern=public_tokenizers.PATTERN, drop_text=True)
     return decoded_digests(encoded.select("doc_id", F.col("ids").alias("token_ids"), "ids"), vocabulary=vocabulary)
 
 
