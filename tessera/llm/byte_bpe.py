@@ -12,7 +12,6 @@ import hashlib
 import struct
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -153,11 +152,6 @@ def piece_bytes(model) -> list[bytes]:
     return [bytes(back[c] for c in model.id_to_piece(i)) for i in range(len(model)) if i != model.unk_id()]
 
 
-@lru_cache(maxsize=2)
-def _codec(model: bytes, pattern: str) -> Codec:
-    return Codec(model, pattern)
-
-
 def _blocks(sizes: np.ndarray) -> Iterator[int]:
     """Numbers of rows that follow each other and hold about BLOCK_BYTES."""
     n = total = 0
@@ -170,18 +164,23 @@ def _blocks(sizes: np.ndarray) -> Iterator[int]:
         yield n
 
 
-def encode_documents(docs: DataFrame, *, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", drop_text: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, *, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", drop_text: bool = False, digests: bool = False) -> DataFrame:
     """All columns (without the text, if so asked) and a column `ids` array<int> of token ids of the whole text, without special tokens.
 
-    A null text counts as empty; an empty text has no ids; rows are independent, so ties, repeated rows and ids in other columns
-    don't matter; an empty table stays empty. An input column of the name of `ids` is replaced.
+    digests: also n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the bytes that the
+    ids decode to), in the same pass. A null text counts as empty; an empty text has no ids; rows are independent, so ties, repeated
+    rows and ids in other columns don't matter; an empty table stays empty. Input columns of the new names are replaced.
     """
     model = serialise_model(read_ranks(vocabulary))
-    kept = [c for c in docs.columns if c != ids and not (drop_text and c == text)]
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    made = {ids: T.ArrayType(T.IntegerType(), False)}
+    if digests:
+        made |= {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    kept = [c for c in docs.columns if c not in made and not (drop_text and c == text)]
+    schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(c, kind) for c, kind in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model, pattern)
+        codec = Codec(model, pattern)
+        back = piece_bytes(codec.model) if digests else []
         for batch in batches:
             column, at = batch.column(len(kept)), 0
             sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -189,8 +188,11 @@ def encode_documents(docs: DataFrame, *, vocabulary: str, pattern: str, text: st
                 encoded = codec.encode([t or "" for t in column.slice(at, n).to_pylist()])
                 ends = np.cumsum([0, *(len(x) // 4 for x in encoded)]).astype(np.int32)
                 values = np.frombuffer(b"".join(encoded), dtype=np.int32)
-                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns[: len(kept)], made], names=[*kept, ids])
+                columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+                if digests:
+                    decoded = (hashlib.sha256(decode(back, np.frombuffer(x, "<u4"))).hexdigest() for x in encoded)
+                    columns += [pa.array(np.diff(ends).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()), pa.array([*decoded], pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns[: len(kept)], *columns], names=[*kept, *made])
                 at += n
 
     return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
@@ -211,30 +213,10 @@ def decode_documents(encoded: DataFrame, *, vocabulary: str, ids: str = "ids", d
     return encoded.select(*kept).mapInArrow(run, schema)
 
 
-def decoded_digests(encoded: DataFrame, *, vocabulary: str, ids: str = "ids") -> DataFrame:
-    """All columns but ids, and n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the decoded bytes)."""
-    tokens = inverse_pieces(vocabulary)
-    made = ("n_tokens", "ids_sha256", "decoded_sha256")
-    kept = [c for c in encoded.columns if c not in (ids, *made)]
-    schema = T.StructType([*encoded.select(*kept).schema.fields, T.StructField(made[0], T.LongType()), T.StructField(made[1], T.StringType()), T.StructField(made[2], T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, own, back = [], [], []
-            for x in batch.column(len(kept)):
-                values = x.values.to_numpy() if x.values is not None else np.zeros(0, "<u4")
-                n.append(len(values))
-                own.append(hashlib.sha256(values.astype("<u4")).hexdigest())
-                back.append(hashlib.sha256(decode(tokens, values)).hexdigest())
-            columns = [pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, *made])
-
-    return encoded.select(*kept, ids).mapInArrow(run, schema)
-
-
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary=vocabulary, pattern=public_tokenizers.PATTERN, drop_text=True)
-    return decoded_digests(encoded.select("doc_id", "ids"), vocabulary=vocabulary).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_documents(docs, vocabulary=vocabulary, pattern=public_tokenizers.PATTERN, drop_text=True, digests=True)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

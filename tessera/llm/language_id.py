@@ -108,8 +108,8 @@ def fit_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lang"
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIMS, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total += gram_counts(t) > 0
+            for t in batch.column(0):
+                total += gram_counts(t.as_py()) > 0
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS)), pa.array(total)], names=["bucket", "n"])
 
     seen = rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -156,9 +156,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, *, text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(kept.index(text)).to_pylist()
-            langs, scores, rejected = model.predict(texts, slack) if model else ([UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores.astype(float)), pa.array(rejected)], names=[*kept, "lang_pred", "score", "rejected"])
+            for a in range(0, batch.num_rows, BLOCK_TEXTS):
+                part = batch.slice(a, BLOCK_TEXTS)
+                n, texts = part.num_rows, part.column(kept.index(text)).to_pylist()
+                langs, scores, rejected = model.predict(texts, slack) if model else ([UNKNOWN] * n, np.zeros(n), np.ones(n, bool))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores.astype(float)), pa.array(rejected)], names=[*kept, "lang_pred", "score", "rejected"])
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -93,7 +93,8 @@ def fingerprint_documents(docs: DataFrame, *, text: str, words: int, lanes: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, pending, size = [], [], 0
-            for raw in batch.column(len(kept)).cast(pa.binary()).to_pylist():
+            for text_bytes in batch.column(len(kept)).cast(pa.binary()):
+                raw = text_bytes.as_py()
                 h = np.frombuffer(shingle_hashes(raw or b"", words), ">u8").astype(np.uint64)
                 pending.append(np.unique(h) if distinct else h)
                 size += len(raw or b"")

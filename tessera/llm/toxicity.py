@@ -39,6 +39,8 @@ PHRASES = (
     "halt die klappe", "geh zur hölle", "ferme la", "va te faire", "cállate", "vete al infierno",
 )
 TERMS = (*LEXICON, *PHRASES)
+#: Texts scored together.
+BLOCK_TEXTS = 256
 #: Patterns, voters too, of the hits of all terms that tell something.
 PATTERNS = ("two hits", "four hits", "two different terms", "a hit in a hundred words", "a hit in twenty words", "shouting", "exclamations", "no hit")
 WORD = re.compile(r"[^\W\d_]+")
@@ -255,9 +257,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, *, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(kept.index(text)).to_pylist()
-            scores = model.scores(texts) if model and texts else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*kept, "toxicity"])
+            for a in range(0, batch.num_rows, BLOCK_TEXTS):
+                part = batch.slice(a, BLOCK_TEXTS)
+                scores = model.scores(part.column(kept.index(text)).to_pylist()) if model else np.zeros(part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*kept, "toxicity"])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
