@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.byte_bpe import decoded_digests, encode_documents
+from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.common import checkpoint_folder
 from tessera.llm.language_id import fit_languages, identify_languages
 from tessera.llm.line_dedup import dedup_lines
@@ -49,8 +49,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode_documents(docs.select("doc_id", "text"), vocabulary=vocabulary, pattern=public_tokenizers.PATTERN, drop_text=True)
-    return decoded_digests(encoded.select("doc_id", F.col("ids").alias("token_ids"), "ids"), vocabulary=vocabulary)
+    encoded = encode_documents(docs.select("doc_id", "text"), vocabulary=vocabulary, pattern=public_tokenizers.PATTERN, drop_text=True, digests=True)
+    return encoded.withColumnRenamed("ids", "token_ids")
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("simhash_near_dedup", near_stage), ("source_mix", mix_stage), ("byte_bpe", token_stage)]
