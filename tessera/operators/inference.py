@@ -67,7 +67,7 @@ def _balanced(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced_json(text: pd.Series) -> pd.Series:
     return text.map(_balanced)
 

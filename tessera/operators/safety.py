@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.rules import AGENT_INJECTION, LOG_MASKS, PII, SECRET_SHAPES, SERVICE_INJECTION, UNTRUSTED_NOTE, UNTRUSTED_WARNING
 
@@ -77,7 +78,7 @@ def _is_card(number: str) -> bool:
     return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
 
 
-@F.pandas_udf("struct<text string, cards int>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("cards", T.IntegerType())]))
 def _mask_cards(text: pd.Series) -> pd.DataFrame:
     """Card-like numbers that pass the Luhn check, masked: each match is judged on its own, so this can't be one expression."""
     pattern = re.compile(dict(PII)["credit_card"])
