@@ -60,7 +60,7 @@ def stream_quota(spark, d):
 @add()
 def stream_history(spark, d):
     entries = timed(spark, d).select(F.col("user_id").cast("string").alias("conv_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("entry"))
-    return finished(jobs.stream_history(as_stream(entries)), "update").groupBy("conv_id").agg(F.max("size").alias("size"))
+    return finished(jobs.stream_history(as_stream(entries), expire=False), "update").groupBy("conv_id").agg(F.max("size").alias("size"))
 
 
 @add("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, user_id % 5 AS tenant, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS amount FROM events GROUP BY ALL")

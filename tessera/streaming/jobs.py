@@ -76,21 +76,25 @@ class PeriodQuota(StatefulProcessor):
 
 
 class NewestEntries(StatefulProcessor):
-    """The newest entries of a conversation; all go when it was not written to for so long."""
+    """The newest entries of a conversation; all go when it was not written to for so long, by the entries' times, and where state expires by the clock too."""
 
-    def __init__(self, keep: int, hours: float):
-        self.keep, self.milliseconds = keep, int(hours * 3_600_000)
+    def __init__(self, keep: int, hours: float, expire: bool):
+        self.keep, self.seconds, self.expire = keep, hours * 3600, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entries = handle.getListState("entries", "ts timestamp, seq long, entry string", ttlDurationMs=self.milliseconds)
+        self.entries = handle.getListState("entries", "ts timestamp, seq long, entry string", ttlDurationMs=int(self.seconds * 1000) if self.expire else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = [*self.entries.get()] if self.entries.exists() else []
-        held += [(r.ts, int(r.seq), r.entry) for r in _ordered(rows).itertuples()]
-        last = max(x[0] for x in held)
-        live = [x for x in sorted(held, key=lambda x: x[:2]) if (last - x[0]).total_seconds() * 1000 <= self.milliseconds or x[0] == last]
-        self.entries.put(live[-self.keep :])
-        yield pd.DataFrame({"conv_id": [key[0]], "size": [len(live[-self.keep :])], "entries": [[x[2] for x in live[-self.keep :]]]})
+        held += [(r.ts.to_pydatetime(), int(r.seq), r.entry) for r in _ordered(rows).itertuples()]
+        live: list[tuple] = []
+        for x in sorted(held, key=lambda x: x[:2]):
+            if live and (x[0] - live[-1][0]).total_seconds() > self.seconds:
+                live = []
+            live.append(x)
+        live = live[-self.keep :]
+        self.entries.put(live)
+        yield pd.DataFrame({"conv_id": [key[0]], "size": [len(live)], "entries": [[x[2] for x in live]]})
 
     def close(self) -> None:
         pass
@@ -106,9 +110,10 @@ def stream_quota(calls: DataFrame, limit: float, seconds: float) -> DataFrame:
     return calls.groupBy("tenant").transformWithStateInPandas(PeriodQuota(limit, seconds), QUOTA, "append", "none")
 
 
-def stream_history(entries: DataFrame, keep: int = 40, hours: float = 24) -> DataFrame:
-    """entries (conv_id string, ts, seq, entry): each conversation's newest entries after every micro-batch that writes to it."""
-    return entries.groupBy("conv_id").transformWithStateInPandas(NewestEntries(keep, hours), HISTORY, "update", "processingTime")
+def stream_history(entries: DataFrame, keep: int = 40, hours: float = 24, expire: bool = True) -> DataFrame:
+    """entries (conv_id string, ts, seq, entry): each conversation's newest entries after every micro-batch that writes to it. expire: drop the state of silent conversations
+    by the clock; a job that replays old entries goes without."""
+    return entries.groupBy("conv_id").transformWithStateInPandas(NewestEntries(keep, hours, expire), HISTORY, "update", "processingTime" if expire else "none")
 
 
 def stream_metrics(requests: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
