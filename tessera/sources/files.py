@@ -28,11 +28,11 @@ def load_golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_golden(golden: DataFrame, path: str) -> None:
-    """Each partition as a file with an array of objects, empty ones left out."""
+    """Each partition as a file with an array of objects (a file is one JSON value), empty ones left out."""
     rows = golden.select(F.to_json(F.struct(*(c.split()[0] for c in GOLDEN.split(", ")))).alias("row")).withColumn("part", F.spark_partition_id())
     # a file is an array, so its rows come together; sets that people write are small
     arrays = rows.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ",\n"), F.lit("]")).alias("value"))
-    arrays.select("value").write.mode("overwrite").text(path)
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def log_lines(logs: DataFrame) -> DataFrame:
