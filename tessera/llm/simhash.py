@@ -231,13 +231,14 @@ def link_groups(fps: np.ndarray, groups: np.ndarray, side: np.ndarray, radius: i
 
 
 def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(group, side, node, fingerprint) arrays that hold whole groups, of sorted rows of columns (key, side, node, fp)."""
+    """(group, side, node, fingerprint) arrays that hold whole groups, of sorted rows of columns (2 * group + side, node, fp)."""
     carried: list[tuple] = []
     for batch in batches:
-        keys = np.asarray(batch.column(0).to_pylist(), object)
-        part = (keys, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(keys), -1))
-        if not len(keys):
+        if not batch.num_rows:
             continue
+        packed = batch.column(0).to_numpy()
+        keys = packed >> 1
+        part = (keys, packed & 1, batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(keys), -1))
         carried.append(part)
         if carried[0][0][0] == keys[-1]:
             continue  # still one group
@@ -259,10 +260,10 @@ def link_buckets(nodes: DataFrame, keys: list[Column], radius: int) -> DataFrame
         own = F.pmod(F.xxhash64("__fp"), F.coalesce("__tiles", F.lit(1))).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.coalesce("__tiles", F.lit(1)) - 1))
         met = tiled.withColumn("__own", own).withColumn("__other", other)
-        pair = F.concat_ws(",", "__key", F.least("__own", "__other").cast("string"), F.greatest("__own", "__other").cast("string"))
-        grouped = met.select(pair.alias("__key"), (F.col("__own") > F.col("__other")).cast("int").alias("__side"), "__node", "__fp")
+        pair = F.shiftleft(F.xxhash64("__key", F.least("__own", "__other"), F.greatest("__own", "__other")), 1)
+        grouped = met.select((pair + (F.col("__own") > F.col("__other")).cast("int")).alias("__key"), "__node", "__fp")
     else:
-        grouped = keyed.select("__key", F.lit(0).alias("__side"), "__node", "__fp")
+        grouped = keyed.select(F.shiftleft("__key", 1).alias("__key"), "__node", "__fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, side, node, fp in _group_runs(batches):
@@ -280,7 +281,8 @@ def link_buckets(nodes: DataFrame, keys: list[Column], radius: int) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
                 at = end
 
-    return grouped.repartition("__key").sortWithinPartitions("__key").mapInArrow(run, "a long, b long").distinct()
+    # The last bit of the key is a row's side in a meeting of two tiles; tiles that share a hash are compared too, which adds no false link.
+    return grouped.repartition(F.shiftright("__key", 1)).sortWithinPartitions("__key").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -309,12 +311,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
 
 
+def _bucket(shown: Column, part: int, at: int, digits: int) -> Column:
+    """Key of a bucket: the part's number before the value of its hex digits."""
+    return F.conv(F.substring(shown, at, digits), 16, 10).cast("long") + F.lit(part * 16**digits)
+
+
 def exact_keys(n: int, radius: int) -> list[Column]:
     """Bucket keys of 64-bit fingerprints, by up to 16 // (radius + 1) hex digits of each of radius + 1 parts; more digits for more fingerprints."""
     span = 16 // (radius + 1)
     digits = min(span, max(1, math.ceil(math.log(max(n, 1) / 4096, 16))))
     shown = F.hex("__fp")
-    return [F.concat(F.lit(f"{p}:"), F.substring(shown, p * span + 1, digits)) for p in range(radius + 1)]
+    return [_bucket(shown, p, p * span + 1, digits) for p in range(radius + 1)]
 
 
 def band_keys(lanes: int, flips: float, digits: int) -> list[Column]:
@@ -324,7 +331,7 @@ def band_keys(lanes: int, flips: float, digits: int) -> list[Column]:
     if bands * digits > 16 * lanes:
         raise ValueError("the fingerprint has too few bits for these bands")
     shown = F.hex("__fp")
-    return [F.concat(F.lit(f"{p}:"), F.substring(shown, p * digits + 1, digits)) for p in range(bands)]
+    return [_bucket(shown, p, p * digits + 1, digits) for p in range(bands)]
 
 
 def classes(slim: DataFrame, doc_id: str, keys, radius: int) -> DataFrame:
@@ -350,7 +357,7 @@ def simhash_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return found.select("doc_id", F.lower(F.hex("__fp")).alias("fingerprint"), F.when(F.col("__label") < NO_ID, F.col("__label")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 16, digits: int = 3, slack: float = 1.5) -> DataFrame:
+def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 12, digits: int = 3, slack: float = 1.5) -> DataFrame:
     """docs with one document of each near-duplicate class, all columns as they are.
 
     Linked are texts whose sets of `words`-word shingles have an estimated Jaccard similarity of `similarity` or more: the
