@@ -8,8 +8,10 @@ exchanged once, by units of a shard that fit in memory, and numbered.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, read, utf8_size
 
 CELL_BITS = 10
-MIN_KEY = -(1 << 63)
+MIN_KEY, NO_KEY = -(1 << 63), 1 << 63
 
 
 @dataclass(frozen=True)
@@ -37,73 +39,64 @@ def _keys(doc_id: str, text: str) -> tuple[Column, Column]:
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(F.col(doc_id).cast("string"), F.lit(1))
 
 
+def _cell(level: int, depth: int) -> list[Column]:
+    """The cell of a key at a depth in bits: of the text's hash (level 0), or of the id's among rows of one text hash (level 1)."""
+    h, g = F.col("__h"), F.col("__g")
+    if level == 0:
+        return [F.shiftright(h, 64 - depth) if depth else F.lit(0).cast("long"), F.lit(0).cast("long")]
+    return [h, F.shiftright(g, 64 - depth) if depth else F.lit(0).cast("long")]
+
+
+def _first_key(level: int, depth: int, cell: tuple[int, int]) -> tuple[int, int]:
+    """The first key of a cell; past the last key of a level it is that of the next."""
+    h, g = cell
+    if level == 0:
+        return h << (64 - depth), MIN_KEY
+    g <<= 64 - depth
+    return (h, g) if g < NO_KEY else (h + 1, MIN_KEY)
+
+
 def find_splitters(slim: DataFrame, shards: int, tolerance: float, probe_bits: int = 12) -> list[Splitter]:
-    """Splitters over the columns __h, __g, __size. A round probes 2**probe_bits boundaries in each interval
-    that holds a splitter, at most (shards - 1) * 2**probe_bits counts reach the driver. Keys that are equal in both
-    hashes cannot be cut."""
+    """Splitters over the columns __h, __g, __size. A round probes 2**probe_bits boundaries in each cell that holds a
+    splitter; at most (shards - 1) * 2**probe_bits counts reach the driver. Keys that are equal in both hashes can't be cut."""
     total = slim.agg(F.sum("__size")).first()[0] or 0
     allowed = total / shards * tolerance
-    open_targets = {total * i // shards: (None, 0) for i in range(1, shards)}  # target: (interval, bytes below it)
     found: dict[int, Splitter] = {}
-    levels = [("__h", d) for d in (*range(probe_bits, 64, probe_bits), 64)] + [("__g", d) for d in (*range(probe_bits, 64, probe_bits), 64)]
-    before: list[Column] = []
-    for column, depth in levels:
-        if not open_targets:
-            break
-        if column == "__g" and len(before) < 2:
-            before = [F.col("__h"), F.lit(0).cast("long")]
-        cell = F.shiftright(F.col(column), 64 - depth) if depth < 64 else F.col(column)
-        keys = [cell, F.lit(0).cast("long")] if column == "__h" else [F.col("__h"), cell]
-        probed = slim
-        intervals = {x[0] for x in open_targets.values()}
-        if None not in intervals:
-            if column == "__h":
-                probed = slim.filter(before[0].isin([a for a, _ in intervals]))
-            elif depth == levels[0][1]:
-                probed = slim.filter(F.col("__h").isin([a for a, _ in intervals]))
-            else:
-                wanted = " or ".join(f"(__h = {a}L and shiftright(__g, {64 - last_depth}) = {b}L)" if a != MIN_KEY else f"(__h = {a + 1}L - 1L and shiftright(__g, {64 - last_depth}) = {b}L)" for a, b in intervals)
-                probed = slim.filter(wanted)
-        counts = sorted((tuple(r[:2]), r[2]) for r in probed.groupBy(keys[0].alias("a"), keys[1].alias("b")).agg(F.sum("__size")).collect())
-        width = depth - (last_depth if column == "__h" and before else 0) if column == "__h" else 0
-        still = {}
-        for target, (interval, below) in open_targets.items():
-            if interval is None:
-                inside = counts
-            elif column == "__h":
-                inside = [x for x in counts if x[0][0] >> width == interval[0]]
-            elif depth == levels[0][1]:
-                inside = [x for x in counts if x[0][0] == interval[0]]
-            else:
-                inside = [x for x in counts if x[0][0] == interval[0] and x[0][1] >> (depth - last_depth) == interval[1]]
-            for (a, b), size in inside:
-                if below + size > target:
-                    lower, upper = target - below, below + size - target
-                    last = column == "__g" and depth == 64
-                    if min(lower, upper) <= allowed or last:
-                        at = below if lower <= upper else below + size
-                        step = 0 if lower <= upper else 1
-                        if column == "__h":
-                            h, g = (a + step) << (64 - depth), MIN_KEY
-                        else:
-                            h, g = a, (b + step) << (64 - depth)
-                            if g >= 1 << 63:
-                                h, g = a + 1, MIN_KEY
-                        found[target] = Splitter(h, g, at)
+    wanted = {total * i // shards: ((0, 0), 0) for i in range(1, shards)}  # target: its cell so far, the bytes below that
+    depths = [0, *range(probe_bits, 64, probe_bits), 64]
+    for level in (0, 1):
+        for parent_depth, depth in zip(depths, depths[1:], strict=False):
+            if not wanted:
+                break
+            (ph, pg), (h, g) = _cell(level, parent_depth), _cell(level, depth)
+            inside = reduce(or_, ((F.col("ph") == a) & (F.col("pg") == b) for a, b in {cell for cell, _ in wanted.values()}))
+            probed = slim.select(ph.alias("ph"), pg.alias("pg"), h.alias("h"), g.alias("g"), "__size").filter(inside)
+            cells = defaultdict(list)
+            for r in probed.groupBy("ph", "pg", "h", "g").agg(F.sum("__size").alias("bytes")).collect():
+                cells[r["ph"], r["pg"]].append(((r["h"], r["g"]), r["bytes"]))
+            left = {}
+            for target, (parent, below) in wanted.items():
+                for (a, b), size in sorted(cells[parent]):
+                    if below + size <= target:
+                        below += size
+                        continue
+                    short, over = target - below, below + size - target
+                    if min(short, over) > allowed and (level, depth) != (1, 64):
+                        left[target] = ((a, b), below)
+                    elif short <= over:
+                        found[target] = Splitter(*_first_key(level, depth, (a, b)), below)
                     else:
-                        still[target] = ((a, b), below)
+                        after = (a, b + 1) if level else (a + 1, b)
+                        found[target] = Splitter(*_first_key(level, depth, after), below + size)
                     break
-                below += size
-            else:
-                found[target] = Splitter(1 << 63, MIN_KEY, below)
-        open_targets = still
-        before = [F.shiftright(F.col("__h"), 64 - depth) if depth < 64 else F.col("__h")] if column == "__h" else [F.col("__h"), F.lit(0)]
-        last_depth = depth
+                else:  # an empty table
+                    found[target] = Splitter(NO_KEY, MIN_KEY, below)
+            wanted = left
     return [found[t] for t in sorted(found)]
 
 
 def _at_or_above(s: Splitter) -> Column:
-    if s.text_hash >= 1 << 63:
+    if s.text_hash >= NO_KEY:
         return F.lit(0)
     h, g = F.lit(s.text_hash).cast("long"), F.lit(s.id_hash).cast("long")
     return ((F.col("__h") > h) | ((F.col("__h") == h) & (F.col("__g") >= g))).cast("int")
