@@ -12,15 +12,21 @@ from tessera.plans.base import Plans, chunks, chunks_sql, documents, query_vecto
 plans = Plans()
 add = plans.add
 
-BM25_SQL = f"""{chunks_sql()},
-words AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM chunks),
+BM25_OF_SQL = """
+words AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM {source}),
 postings AS (SELECT chunk_id, len(w) AS dl, t AS term, count(*) AS tf FROM (SELECT chunk_id, w, unnest(w) AS t FROM words) GROUP BY chunk_id, len(w), t),
 terms AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM benchmark) GROUP BY ALL),
 bm25_scored AS (SELECT query_id, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
   FROM asked JOIN postings USING (term) JOIN terms USING (term) CROSS JOIN stats GROUP BY ALL),
-bm25_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25_scored WHERE score > 0)"""
+bm25_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25_scored WHERE score > 0)""".strip()
+BM25_SQL = f"{chunks_sql()},\n{BM25_OF_SQL.format(source='chunks')}"
+KIDS_SQL = chunks_sql(300, 0).replace("SELECT doc_id, source, text, unnest", "SELECT chunk_id AS doc_id, source, text, unnest").replace("FROM documents", "FROM chunks").replace("chunks AS (", "kids AS (")
+for _step in ("windows", "pieces", "stripped", "numbered"):
+    KIDS_SQL = KIDS_SQL.replace(_step, f"kid_{_step}")
+PARENT_SQL = f"""{chunks_sql(1200, 0)}, {KIDS_SQL}, {BM25_OF_SQL.format(source="kids")},
+owned AS (SELECT r.query_id, k.doc_id AS chunk_id, r.score, r.rank AS before FROM bm25_ranked r JOIN kids k USING (chunk_id) WHERE r.rank <= 9 QUALIFY row_number() OVER (PARTITION BY r.query_id, k.doc_id ORDER BY r.rank) = 1)"""
 EMBED = """{name}_ones AS (SELECT id, unnest(w) AS t, 1.0 AS n FROM ({source}) UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])), 0.5 FROM ({source}) WHERE len(w) > 1),
 {name}_weights AS (SELECT id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 256 AS bucket, 1 + ln(CAST(sum(n) AS DOUBLE)) AS weight FROM {name}_ones GROUP BY id, bucket),
 {name}_vectors AS (SELECT id, bucket, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS weight FROM {name}_weights)"""
@@ -211,7 +217,7 @@ def hyde(spark, d):
 
 
 
-@add()
+@add(f"WITH {PARENT_SQL} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank, score FROM owned QUALIFY rank <= 3")
 def parent_child(spark, d):
     parents = chunk_fixed(documents(spark, d), 1200, 0)
     kids = chunk_fixed(parents.select(F.col("chunk_id").alias("doc_id"), "source", "text"), 300, 0)
