@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -371,14 +372,31 @@ def store_media(docs: DataFrame, *, text: str = "text", media: str = "media") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(len(kept)).cast(pa.binary()).to_pylist()]
-            for a, b in _in_blocks([*map(len, texts)], CHUNK_ROWS * ROW):
-                column = pa.array(encode_payloads(texts[a:b]), pa.binary())
+            texts = batch.column(len(kept)).cast(pa.binary())
+            for a, b in _in_blocks(_sizes(texts), CHUNK_ROWS * ROW):
+                column = pa.array(encode_payloads([t or b"" for t in texts.slice(a, b - a).to_pylist()]), pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(kept)], column], names=[*kept, media])
 
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
+def _sizes(column: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
+def _read(column: pa.Array) -> Iterator[tuple]:
+    """(first row, end, files, lengths, payloads, features) of some rows of stored media at a time."""
+    for a, b in _in_blocks(_sizes(column), CHUNK_ROWS * ROW):
+        files = [x or b"" for x in column.slice(a, b - a).to_pylist()]
+        n, payload, feature = [], [], []
+        for images in decode_thumbnails(files):
+            said = images[0][0].comment if images else b""
+            n.append(int(said[8:]) if said.startswith(b"n_bytes=") else None)
+            payload.append(b"".join(t.tobytes() for _, t in images) if images else None)
+            feature.append(",".join(f"{f.width}x{f.height}:{difference_hash(t)}" for f, t in images) if images else None)
+        yield a, b, files, n, payload, feature
+
+
 FEATURES = "n_bytes long, payload binary, feature string"
 
 
@@ -390,14 +408,7 @@ def read_media(stored: DataFrame, *, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [x or b"" for x in batch.column(kept.index(media)).to_pylist()]
-            for a, b in _in_blocks([*map(len, files)], CHUNK_ROWS * ROW):
-                n, payload, feature = [], [], []
-                for images in decode_thumbnails(files[a:b]):
-                    said = images[0][0].comment if images else b""
-                    n.append(int(said[8:]) if said.startswith(b"n_bytes=") else None)
-                    payload.append(b"".join(t.tobytes() for _, t in images) if images else None)
-                    feature.append(",".join(f"{f.width}x{f.height}:{difference_hash(t)}" for f, t in images) if images else None)
+            for a, b, _, n, payload, feature in _read(batch.column(kept.index(media))):
                 columns = [pa.array(n, pa.int64()), pa.array(payload, pa.binary()), pa.array(feature, pa.string())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *columns], names=[*kept, "n_bytes", "payload", "feature"])
 
@@ -408,17 +419,16 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store_media(read(spark, sf_dir, "documents").select("doc_id", "text"))
     names = [x.split()[0] for x in DIGEST.split(", ")]
-    back = read_media(store_media(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_id, media, n, payload, feature = batch.columns
-            payloads, files = payload.to_pylist(), media.to_pylist()
-            columns = [
-                doc_id, n, [len(x) for x in payloads], [hashlib.sha256(x).hexdigest() for x in payloads], [zlib.crc32(x[-64:]) for x in payloads],
-                [len(x) for x in files], [hashlib.sha256(x).hexdigest() for x in files], feature,
-            ]
-            yield pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)))
-
-    return back.select("doc_id", "media", "n_bytes", "payload", "feature").mapInArrow(digest, DIGEST)
+            for a, b, files, n, payloads, feature in _read(batch.column(1)):
+                columns = [
+                    batch.column(0).slice(a, b - a), n, [len(x) for x in payloads], [hashlib.sha256(x).hexdigest() for x in payloads], [zlib.crc32(x[-64:]) for x in payloads],
+                    [len(x) for x in files], [hashlib.sha256(x).hexdigest() for x in files], feature,
+                ]
+                yield pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)))
+
+    return stored.select("doc_id", "media").mapInArrow(digest, DIGEST)
