@@ -1,24 +1,25 @@
-"""SimHash near-dedup with bit-sliced comparison.
+"""SimHash components with bit-sliced comparison, and exact near-dedup by Jaccard similarity.
 
 Texts become fingerprints of 64-bit lanes; bit planes of a bucket's fingerprints are stored vertically, 64 fingerprints to a
 word, and the distances of a query to all of them are counted at once by carry-save counters that start so high that a carry
 out of the top means "beyond the radius". A word whose 64 distances are all beyond is abandoned.
 
-Buckets are keyed by digits of the fingerprint. For a small radius they are exact: of radius + 1 disjoint parts, two
-fingerprints within the radius share one. For a wide fingerprint and a similarity, enough bands are taken that the
-expected share of pairs at that similarity found is RECALL. Buckets of over TILE fingerprints are compared tile by tile,
-so that no task holds more than two tiles of one.
+Buckets are keyed by digits of the fingerprint and are exact: of radius + 1 disjoint parts, two fingerprints within the radius
+share one. Buckets of over TILE fingerprints are compared tile by tile, so that no task holds more than two tiles of one.
+
+near_dedup doesn't estimate: at a similarity such as 0.8 fingerprints neither find all pairs nor only them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +27,12 @@ from .common import checkpoint, read
 
 SEED = 42
 TILE = 8192
-RECALL = 0.995
 #: Hot buckets up to this many are broadcast; more are joined by key.
 BROADCAST_BUCKETS = 100_000
+#: Sets to compare up to this many are broadcast to the texts; more are joined.
+BROADCAST_SETS = 1_000_000
+#: Shingles that this many texts of a sample of SAMPLE have come last in prefixes, up to MOST_COMMON of them.
+COMMON, SAMPLE, MOST_COMMON = 8, 20_000, 500_000
 #: Texts hashed together, in bytes, and (query, word) pairs compared together.
 BLOCK_BYTES, BLOCK_PAIRS, BLOCK_ROWS = 1_000_000, 1 << 16, 4096
 #: Ids at and above this stand for fingerprints whose rows all have null ids.
@@ -324,16 +328,6 @@ def exact_keys(n: int, radius: int) -> list[Column]:
     return [_bucket(shown, p, p * span + 1, digits) for p in range(radius + 1)]
 
 
-def band_keys(lanes: int, flips: float, digits: int) -> list[Column]:
-    """Keys of `digits` hex digits each, as many bands as find a pair whose bits differ with probability `flips` with RECALL."""
-    found = (1 - flips) ** (4 * digits)
-    bands = math.ceil(math.log(1 - RECALL) / math.log(1 - found))
-    if bands * digits > 16 * lanes:
-        raise ValueError("the fingerprint has too few bits for these bands")
-    shown = F.hex("__fp")
-    return [_bucket(shown, p, p * digits + 1, digits) for p in range(bands)]
-
-
 def classes(slim: DataFrame, doc_id: str, keys, radius: int) -> DataFrame:
     """slim (with columns __fp and doc_id, checkpointed) and __label, the least id of the class, or a number from NO_ID on if it has none.
     keys: from the number of distinct fingerprints to bucket keys."""
@@ -357,21 +351,142 @@ def simhash_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return found.select("doc_id", F.lower(F.hex("__fp")).alias("fingerprint"), F.when(F.col("__label") < NO_ID, F.col("__label")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 12, digits: int = 3, slack: float = 1.5) -> DataFrame:
+def _set_of(text: bytes | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(np.frombuffer(shingle_hashes(text or b"", words), ">u8").astype(np.uint64))
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) that at least COMMON texts of a sample have, up to MOST_COMMON, and how many. docs: __th, __text."""
+    n = docs.count()
+    few = docs if n <= SAMPLE else docs.filter(F.pmod(F.xxhash64("__th"), F.lit(1 << 20)) < F.lit((SAMPLE << 20) // n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(_set_of(text.as_py(), words).view(np.int64))], names=["h"])
+
+    counts = checkpoint(few.select("__text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") >= COMMON))
+    least, total = COMMON, 0
+    for r in counts.groupBy("c").agg(F.count("*").alias("shingles")).orderBy(F.desc("c")).collect():
+        total += r["shingles"]
+        if total > MOST_COMMON:
+            least = r["c"] + 1
+            break
+    found = counts.filter(F.col("c") >= least).toArrow()
+    h, c = found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def set_prefixes(docs: DataFrame, words: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """__id, __th, __set (hash of the shingle set), __n (its size) and __prefix: its first n - ceil(n * num / den) + 1 hashes,
+    the common ones last. Of two sets of Jaccard similarity num / den or more the prefixes share a hash, whatever the order."""
+    schema = T.StructType([*docs.select("__id", "__th").schema.fields, *(T.StructField(c, T.LongType()) for c in ("__set", "__n")), T.StructField("__prefix", T.ArrayType(T.LongType()))])
+    heavy, times = common
+
+    def prefix(h: np.ndarray) -> np.ndarray:
+        keep = len(h) - -(-len(h) * num // den) + 1 if len(h) else 0
+        if not len(heavy):
+            return h[:keep]
+        at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+        known = heavy[at] == h
+        rare = h[~known]
+        if len(rare) < keep:
+            rest = h[known]
+            rare = np.concatenate([rare, rest[np.lexsort((rest, times[at[known]]))]])
+        return rare[:keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, sets, sizes, firsts, held = 0, [], [], [], 0
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
+                h = _set_of(text.as_py(), words)
+                sets.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                sizes.append(len(h))
+                firsts.append(prefix(h))
+                held += len(firsts[-1])
+                if held > BLOCK_BYTES or i == batch.num_rows - 1:
+                    ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+                    listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
+                    part = batch.slice(start, len(sets))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), listed], names=schema.names)
+                    start, sets, sizes, firsts, held = i + 1, [], [], [], 0
+
+    return docs.select("__id", "__th", "__text").mapInArrow(run, schema)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, slim: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is num / den or more, by their texts. docs: __th, __text."""
+    asked = pairs.select(F.col("a").alias("__set")).union(pairs.select("b")).distinct()
+    texts_of = checkpoint(slim.join(asked, "__set", "left_semi").groupBy("__set").agg(F.min("__th").alias("__th")))
+    few = texts_of.count() <= BROADCAST_SETS
+    texts = docs.select("__th", "__text").join(F.broadcast(texts_of) if few else texts_of, "__th").select("__set", "__text").dropDuplicates(["__set"])
+    met = pairs.join(texts.select(F.col("__set").alias("a"), F.col("__text").alias("ta")), "a").join(texts.select(F.col("__set").alias("b"), F.col("__text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for ta, tb in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
+                x, y = _set_of(ta.as_py(), words), _set_of(tb.as_py(), words)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both * den >= num * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return checkpoint(met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+
+def similar_sets(slim: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b), a < b, whose components are those of all pairs of sets of Jaccard similarity num / den or more.
+
+    Sets that share a hash of their prefixes are candidates. First neighbours by size at a hash are compared, which joins
+    nearly all of a large group of near copies by links as many as its members; then all candidates of different components are.
+    """
+    sets = slim.groupBy("__set").agg(F.first("__n").alias("__n"), F.first("__prefix").alias("__prefix"))
+    keyed = sets.select("__set", "__n", F.posexplode("__prefix").alias("__pos", "__key"))
+    at_key = Window.partitionBy("__key").orderBy("__n", "__set")
+    before = {f"__p{c}": F.lag(f"__{c}").over(at_key) for c in ("set", "n", "pos")}
+    shared = checkpoint(keyed.select("*", *(x.alias(c) for c, x in before.items()), F.lead("__set").over(at_key).alias("__next")).filter("__pset is not null or __next is not null"))
+
+    def may_reach(n: Column, pos: Column, m: Column, at: Column, earlier: Column | None = None) -> Column:
+        """Not if sets of n and m hashes that share the ones at pos and at (and `earlier` before those) can't be similar enough."""
+        most = (F.least(pos, at) if earlier is None else earlier) + 1 + F.least(n - pos, m - at) - 1
+        return most * (num + den) >= (n + m) * num
+
+    c = F.col
+    near = shared.filter(c("__pset").isNotNull() & may_reach(c("__n"), c("__pos"), c("__pn"), c("__ppos")))
+    first = checkpoint(near.select(F.least("__set", "__pset").alias("a"), F.greatest("__set", "__pset").alias("b")).distinct())
+    links = confirmed(first, docs, slim, words, num, den)
+
+    labels = components(links)
+    rows = shared.join(labels, c("__set") == c("node"), "left").select("__key", "__set", "__n", "__pos", F.coalesce("label", "__set").alias("__label"))
+    per_label = rows.groupBy("__key", "__label").count().groupBy("__key").agg(F.max_by("__label", "count").alias("__main"), F.count("*").alias("__labels"))
+    mixed = checkpoint(rows.join(per_label.filter("__labels > 1").drop("__labels"), "__key"))
+    x, y = mixed.filter("__label <> __main").alias("x"), mixed.alias("y")  # of two labels at a hash one isn't the main one
+    once = (c("y.__label") == c("y.__main")) | (c("x.__set") < c("y.__set"))
+    possible = may_reach(c("x.__n"), c("x.__pos"), c("y.__n"), c("y.__pos"))
+    met = x.join(y, (c("x.__key") == c("y.__key")) & (c("x.__label") != c("y.__label")) & once & possible)
+    swap = c("x.__set") > c("y.__set")
+    sides = [F.when(swap, c(f"{v}.__{k}")).otherwise(c(f"{u}.__{k}")).alias(f"{k}_{u}") for u, v in ("xy", "yx") for k in ("set", "n", "pos")]
+    grouped = met.select(*sides).groupBy(c("set_x").alias("a"), c("set_y").alias("b"), "n_x", "n_y").agg(F.max("pos_x").alias("pos_x"), F.max("pos_y").alias("pos_y"), F.count("*").alias("same"))
+    rest = grouped.filter(may_reach(c("n_x"), c("pos_x"), c("n_y"), c("pos_y"), c("same") - 1)).select("a", "b").join(first, ["a", "b"], "left_anti")
+    return links.union(confirmed(checkpoint(rest), docs, slim, words, num, den))
+
+
+def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each near-duplicate class, all columns as they are.
 
-    Linked are texts whose sets of `words`-word shingles have an estimated Jaccard similarity of `similarity` or more: the
-    share of differing bits of wide SimHash fingerprints is the angle of the sets over pi, and the radius is its expectation
-    at that similarity plus `slack` standard deviations. The class keeps the row of its least id (nulls last), and one of
-    repeated rows. Texts without words are one class. An empty table stays empty.
+    Linked are texts whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more, no others: candidates
+    are found by the prefixes of the sets, which misses none, and each link is confirmed by the sets themselves. Classes
+    are what links connect. The class keeps the row of its least id (nulls last), and one of repeated rows. Texts
+    without words are one class. An empty table stays empty.
     """
-    flips = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * lanes
-    radius = round(bits * flips + slack * math.sqrt(bits * flips * (1 - flips)))
+    num, den = Fraction(str(similarity)).as_integer_ratio()
     own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     named = docs.select(F.col(doc_id).alias("__id"), own.alias("__th"), F.col(text).alias("__text"))
-    slim = checkpoint(fingerprint_documents(named, text="__text", words=words, lanes=lanes, distinct=True))
-    found = classes(slim, "__id", lambda _: band_keys(lanes, flips, digits), radius)
+    slim = checkpoint(set_prefixes(named, words, num, den, common_shingles(named, words)))
+    labels = components(similar_sets(slim, named, words, num, den))
+    found = slim.join(labels, slim["__set"] == labels["node"], "left").select("__id", "__th", F.coalesce("label", "__set").alias("__label"))
     best = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__th")).alias("best")
     keepers = found.groupBy("__label").agg(best).select(F.col("best.__id").alias("__id"), F.col("best.__th").alias("__th"))
     kept = docs.withColumn("__own", own).join(keepers, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")))

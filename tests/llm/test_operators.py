@@ -180,6 +180,56 @@ def test_near_dedup_finds_near_copies_and_keeps_the_rest(spark):
     assert kept == [*range(40)]
 
 
+def kept_by_brute_force(rows):
+    """Least ids of the components of all pairs at 0.8 or more."""
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = {k: a if v == b else v for k, v in label.items()}
+    return sorted(set(label.values()))
+
+
+def kept_by_near_dedup(spark, rows):
+    return sorted(r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_near_dedup_links_at_the_threshold_on_both_sides(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice([*"abcdefgh"], 6)) for _ in range(5000)]
+    rows, gone = [], set()
+    for i in range(40):
+        w = [str(x) for x in rng.choice(words, 200)]
+        changed = 17 if i < 20 else 18  # words in a row: 175 and 174 of 196 shingles stay, a similarity of 0.806 and 0.798
+        rows += [(i, " ".join(w)), (100 + i, " ".join(w[:90] + [f"new{j}" for j in range(changed)] + w[90 + changed :]))]
+        s = [str(x) for x in rng.choice(words, 9)]
+        short = s if i < 20 else s[:8]  # 4 of 5 shingles stay, and 3 of 4
+        rows += [(200 + i, " ".join(short[:-1])), (300 + i, " ".join(short))]
+        gone |= {100 + i, 300 + i} if i < 20 else set()
+    assert kept_by_near_dedup(spark, rows) == kept_by_brute_force(rows) == sorted({i for i, _ in rows} - gone)
+
+
+@pytest.mark.parametrize("common", [2, 10**6])
+def test_near_dedup_equals_brute_force_on_chains(spark, monkeypatch, common):
+    monkeypatch.setattr(simhash, "COMMON", common, raising=False)
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice([*"abcdefgh"], 5)) for _ in range(400)]
+    rows = []
+    for base in range(12):  # each text is cut from an earlier one of its family, by up to a third
+        family = [[str(x) for x in rng.choice(words, rng.integers(10, 80))]]
+        while len(family) < 14:
+            w = list(family[rng.integers(len(family))])
+            at, n = rng.integers(len(w)), rng.integers(1, 4)
+            w[at : at + n] = [str(x) for x in rng.choice(words, rng.integers(0, 4))]
+            family.append(w or ["one"])
+        rows += [(1000 * base + i, " ".join(w) + " and so say all of us") for i, w in enumerate(family)]
+    want = kept_by_brute_force(rows)
+    assert 12 < len(want) < len(rows)
+    assert kept_by_near_dedup(spark, rows) == want
+
+
 # 4
 
 
