@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import embedding, evaluation, rag, search
 from tessera.operators.chunking import chunk_fixed
-from tessera.plans.base import Plans, chunks, chunks_sql, documents, query_vectors, questions, read, vectors
+from tessera.plans.base import Plans, chunks, chunks_sql, documents, every_query_vector, query_vectors, questions, read, vectors
 
 plans = Plans()
 add = plans.add
@@ -119,14 +119,14 @@ def ivf_build(spark, d):
 
 @add()
 def ivf_search(spark, d):
-    return search.ivf_search(query_vectors(spark, d), ivf(spark, d), 10, 3)
+    return search.ivf_search(every_query_vector(spark, d), ivf(spark, d), 10, 3)
 
 
 @add()
 def ann_recall(spark, d):
     """Recall and scanned share for 1, 3, 8 and all 16 probes."""
-    exact, index = search.vector_topk(query_vectors(spark, d).drop("tenant"), vectors(spark, d), 10), ivf(spark, d)
-    found = [search.ann_recall(search.ivf_search(query_vectors(spark, d), index, 10, p), exact).select(F.lit(p).alias("n_probe"), "recall", F.lit(min(1.0, p / max(1, len(index.centroids)))).alias("scanned")) for p in (1, 3, 8, 16)]
+    exact, index = search.vector_topk(every_query_vector(spark, d).drop("tenant"), vectors(spark, d), 10), ivf(spark, d)
+    found = [search.ann_recall(search.ivf_search(every_query_vector(spark, d), index, 10, p), exact).select(F.lit(p).alias("n_probe"), "recall", F.lit(min(1.0, p / max(1, len(index.centroids)))).alias("scanned")) for p in (1, 3, 8, 16)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -184,8 +184,8 @@ def retrieve(spark, d):
 
 @add()
 def mmr(spark, d):
-    wide = search.vector_topk(query_vectors(spark, d).drop("tenant"), vectors(spark, d), 20)
-    return search.mmr(wide, query_vectors(spark, d), vectors(spark, d), 5)
+    wide = search.vector_topk(every_query_vector(spark, d).drop("tenant"), vectors(spark, d), 20)
+    return search.mmr(wide, every_query_vector(spark, d), vectors(spark, d), 5)
 
 
 def shared_words(questions: list[str], passages: list[str]) -> list[str]:
@@ -206,7 +206,7 @@ def halves(texts: list[str]) -> list[str]:
 @add()
 def multi_query(spark, d):
     index = search.bm25_index(chunks(spark, d))
-    return search.multi_query(questions(spark, d).filter("query_id < 10"), halves, lambda q: search.bm25_topk(q, index, 5))
+    return search.multi_query(questions(spark, d), halves, lambda q: search.bm25_topk(q, index, 5))
 
 
 @add()

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.operators import evaluation, rag, search
+from tests.helpers import SF
 
 LINES = ["Annual leave is 25 days", "Error SKU-4471 means out of stock", "Refunds take five days", "Passwords expire yearly", "Error PAY-1180 means declined", "Leave requests need approval"]
 
@@ -126,3 +128,11 @@ def test_ingest_replaces_changed_documents(spark):
     kept, _, stats = rag.ingest(changed, state0, cut, cut(docs))
     assert sorted(r["chunk_id"] for r in kept.collect()) == ["newer", "same"]
     assert stats.first().asDict() == {"documents": 1, "chunks": 1, "skipped": 1}
+
+
+@pytest.mark.parametrize("name", ["ivf_search", "mmr", "multi_query"])
+def test_searches_ask_their_whole_query_set(spark, name):
+    asked = {r["query_id"] for r in catalog.QUERIES[name](spark, SF).select("query_id").distinct().collect()}
+    table, key, step = ("benchmark", "item_id", 1) if name == "multi_query" else ("embeddings", "vec_id", 50)
+    ids = {r[key] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
+    assert asked == {i for i in ids if i % step == 0}
