@@ -1,13 +1,14 @@
-"""SimHash components with bit-sliced comparison, and exact near-dedup by Jaccard similarity.
+"""SimHash components with bit-sliced comparison, and near-dedup whose links are confirmed by Jaccard similarity.
 
 Texts become fingerprints of 64-bit lanes; bit planes of a bucket's fingerprints are stored vertically, 64 fingerprints to a
 word, and the distances of a query to all of them are counted at once by carry-save counters that start so high that a carry
 out of the top means "beyond the radius". A word whose 64 distances are all beyond is abandoned.
 
-Buckets are keyed by digits of the fingerprint and are exact: of radius + 1 disjoint parts, two fingerprints within the radius
-share one. Buckets of over TILE fingerprints are compared tile by tile, so that no task holds more than two tiles of one.
+simhash_components is exact: of radius + m disjoint parts of two fingerprints within the radius, m are equal, so each choice of m
+parts keys a bucket. Buckets of over TILE fingerprints are compared tile by tile, so that no task holds more than two tiles of one.
 
-near_dedup doesn't estimate: at a similarity such as 0.8 fingerprints neither find all pairs nor only them.
+near_dedup finds its first links by wider fingerprints. At a similarity such as 0.8 fingerprints neither find all pairs nor only
+them, so each link is confirmed by the shingle sets, and pairs still apart are found by the sets' prefixes, which miss none.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,16 @@ SEED = 42
 TILE = 8192
 #: Hot buckets up to this many are broadcast; more are joined by key.
 BROADCAST_BUCKETS = 100_000
-#: Sets to compare up to this many are broadcast to the texts; more are joined.
-BROADCAST_SETS = 1_000_000
+#: Names of sets up to this many are broadcast to the texts; more are joined. So are sets of up to so many hashes in all to the pairs.
+BROADCAST_SETS, BROADCAST_HASHES = 500_000, 4_000_000
 #: Shingles that this many texts of a sample of SAMPLE have come last in prefixes, up to MOST_COMMON of them.
 COMMON, SAMPLE, MOST_COMMON = 8, 20_000, 500_000
 #: Texts hashed together, in bytes, and (query, word) pairs compared together.
 BLOCK_BYTES, BLOCK_PAIRS, BLOCK_ROWS = 1_000_000, 1 << 16, 4096
-#: Ids at and above this stand for fingerprints whose rows all have null ids.
-NO_ID = 1 << 62
+#: Near-dedup's fingerprints: lanes of 64 bits, bits of a band that keys a bucket, and the radius as a share of the bits beyond that expected at the similarity.
+LANES, BAND_BITS, RADIUS_SLACK = 4, 24, 0.02
+#: Fingerprints from which m = 2 and m = 3 parts key a bucket of the exact search.
+MANY, VERY_MANY = 1 << 22, 1 << 29
 
 _SPREAD = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
 
@@ -89,24 +94,23 @@ def fingerprints(hashes: list[np.ndarray], lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprint_documents(docs: DataFrame, *, text: str, words: int, lanes: int, distinct: bool) -> DataFrame:
-    """The other columns of docs and __fp binary. distinct: repeated shingles count once."""
+def fingerprint_documents(docs: DataFrame, *, text: str, words: int) -> DataFrame:
+    """The other columns of docs and __fp, the 64-bit fingerprint as a signed long. Repeated shingles count each time."""
     kept = [c for c in docs.columns if c != text]
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("__fp", T.BinaryType())])
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("__fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, pending, size = [], [], 0
             for text_bytes in batch.column(len(kept)).cast(pa.binary()):
-                raw = text_bytes.as_py()
-                h = np.frombuffer(shingle_hashes(raw or b"", words), ">u8").astype(np.uint64)
-                pending.append(np.unique(h) if distinct else h)
-                size += len(raw or b"")
+                raw = text_bytes.as_py() or b""
+                pending.append(np.frombuffer(shingle_hashes(raw, words), ">u8").astype(np.uint64))
+                size += len(raw)
                 if size > BLOCK_BYTES:
-                    made.append(fingerprints(pending, lanes))
+                    made.append(fingerprints(pending))
                     pending, size = [], 0
-            made.append(fingerprints(pending, lanes))
-            column = pa.array([x.tobytes() for block in made for x in block], pa.binary())
+            made.append(fingerprints(pending))
+            column = pa.array(np.concatenate(made).view(">i8").ravel().astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], column], names=[*kept, "__fp"])
 
     return docs.select(*kept, text).mapInArrow(run, schema)
@@ -173,21 +177,36 @@ def compare(planes: np.ndarray, queries: np.ndarray, qi: np.ndarray, wi: np.ndar
     return qi[hit], wi[hit], links[hit]
 
 
-def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least labels of components after linking i and j."""
+def hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least labels of components after linking i and j, and the numbers of the links that joined two of them: a spanning forest."""
+    used, at = [], np.arange(len(i))
     while True:
         a, b = label[i], label[j]
         apart = a != b
         if not apart.any():
-            return label
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            return label, np.concatenate([np.zeros(0, np.int64), *used])
+        i, j, at = i[apart], j[apart], at[apart]
+        high, low = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+        order = np.lexsort((low, high))
+        best = order[np.flatnonzero(np.diff(high[order], prepend=-1))]
+        label[high[best]] = low[best]
+        used.append(at[best])
         while (label[label] != label).any():
             label = label[label]
 
 
+def merge_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least labels of components after linking i and j."""
+    return hook(label, i, j)[0]
+
+
 def link_groups(fps: np.ndarray, groups: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
-    """Row numbers of each row's least linked row, in its group: fingerprints [row, bytes], groups ascending.
+    """Row numbers of each row's least linked row, in its group."""
+    return spanning_links(fps, groups, side, radius)[0]
+
+
+def spanning_links(fps: np.ndarray, groups: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's least row of what links connect in its group, and links (i, j) that span it: fingerprints [row, bytes], groups ascending.
     In a group that has rows of side 1, only rows of different sides are compared: the others meet in a group of their own."""
     n = len(fps)
     first = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1))
@@ -207,7 +226,7 @@ def link_groups(fps: np.ndarray, groups: np.ndarray, side: np.ndarray, radius: i
     present[lane], second[lane] = 1, side
     absent, second = (np.packbits(x, bitorder="little").view(np.uint64) for x in (1 - present, second))
     split = np.maximum.reduceat(side, first) > 0
-    label = np.arange(n)
+    label, ones_of, others_of = np.arange(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     start, one, ones = 0, np.uint64(1), np.uint64((1 << 64) - 1)
     work = np.cumsum((word_base + words)[group_of] - lane // 64)
     while start < n:
@@ -229,21 +248,24 @@ def link_groups(fps: np.ndarray, groups: np.ndarray, side: np.ndarray, radius: i
         q, w, links = compare(planes, masks, qi, wi, beyond, radius)
         if len(q):
             k, j = np.nonzero(np.unpackbits(links.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            label = merge_labels(label, rows[q[k]], row_of[64 * w[k] + j])
+            a, b = rows[q[k]], row_of[64 * w[k] + j]
+            label, used = hook(label, a, b)
+            ones_of.append(a[used])
+            others_of.append(b[used])
         start = end
-    return label
+    return label, np.concatenate(ones_of), np.concatenate(others_of)
 
 
 def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(group, side, node, fingerprint) arrays that hold whole groups, of sorted rows of columns (2 * group + side, node, fp)."""
+    """(group, side, node, fingerprint) arrays that hold whole groups, of sorted rows of columns (2 * group + side, node[, fp]); without fp the node is it."""
     carried: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        packed = batch.column(0).to_numpy()
+        packed, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         keys = packed >> 1
-        part = (keys, packed & 1, batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(keys), -1))
-        carried.append(part)
+        fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8) if batch.num_columns > 2 else node.astype(">i8").view(np.uint8)
+        carried.append((keys, packed & 1, node, fps.reshape(len(keys), -1)))
         if carried[0][0][0] == keys[-1]:
             continue  # still one group
         whole = [np.concatenate(x) for x in zip(*carried, strict=True)]
@@ -254,36 +276,44 @@ def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield tuple(np.concatenate(x) for x in zip(*carried, strict=True))
 
 
-def link_buckets(nodes: DataFrame, keys: list[Column], radius: int) -> DataFrame:
-    """Edges (a, b), a < b, that span the links within each bucket. nodes: __node long, __fp binary, distinct fingerprints."""
-    keyed = nodes.select("__node", "__fp", F.explode(F.array(*keys)).alias("__key"))
+def _whole_groups(group: np.ndarray, most: int) -> Iterator[slice]:
+    """Rows of whole groups, about `most` at a time, or of one larger group."""
+    ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+    at = 0
+    while at < len(group):
+        k = max(int(np.searchsorted(ends, at + most, "right")) - 1, int(np.searchsorted(ends, at, "right")))
+        yield slice(at, int(ends[k]))
+        at = int(ends[k])
+
+
+def link_buckets(nodes: DataFrame, keys: list[Column], radius: int, direct: bool = False) -> DataFrame:
+    """Edges (a, b), a < b, that span the links within each bucket. nodes: __node long and __fp binary, or __node alone, itself the
+    fingerprint; distinct nodes. direct: the edges are links themselves, else of what links connect."""
+    held = [c for c in ("__node", "__fp") if c in nodes.columns]
+    keyed = nodes.select(*held, F.explode(F.array(*keys)).alias("__key"))
     hot = keyed.groupBy("__key").count().filter(F.col("count") > TILE).select("__key", F.ceil(F.col("count") / TILE).cast("int").alias("__tiles"))
     n_hot = hot.limit(BROADCAST_BUCKETS + 1).count()
     if n_hot:
         tiled = keyed.join(F.broadcast(hot) if n_hot <= BROADCAST_BUCKETS else hot, "__key", "left")
-        own = F.pmod(F.xxhash64("__fp"), F.coalesce("__tiles", F.lit(1))).cast("int")
+        own = F.pmod(F.xxhash64("__node"), F.coalesce("__tiles", F.lit(1))).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.coalesce("__tiles", F.lit(1)) - 1))
         met = tiled.withColumn("__own", own).withColumn("__other", other)
         pair = F.shiftleft(F.xxhash64("__key", F.least("__own", "__other"), F.greatest("__own", "__other")), 1)
-        grouped = met.select((pair + (F.col("__own") > F.col("__other")).cast("int")).alias("__key"), "__node", "__fp")
+        grouped = met.select((pair + (F.col("__own") > F.col("__other")).cast("int")).alias("__key"), *held)
     else:
-        grouped = keyed.select(F.shiftleft("__key", 1).alias("__key"), "__node", "__fp")
+        grouped = keyed.select(F.shiftleft("__key", 1).alias("__key"), *held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, side, node, fp in _group_runs(batches):
             group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-            starts = np.flatnonzero(np.diff(group, prepend=-1))
-            at = 0
-            while at < len(group):  # some groups at a time, to bound the bit planes
-                stop = np.searchsorted(starts, at + BLOCK_ROWS, "right") - 1
-                end = len(group) if stop + 1 >= len(starts) and len(group) - at <= BLOCK_ROWS else int(starts[stop]) if starts[stop] > at else int(np.append(starts, len(group))[np.searchsorted(starts, at, "right")])
-                part = slice(at, end)
-                label = link_groups(fp[part], group[part], side[part].astype(np.uint8), radius)
-                linked = np.flatnonzero(label != np.arange(len(label)))
-                a, b = node[part][linked], node[part][label[linked]]
-                if len(a):
+            for part in _whole_groups(group, BLOCK_ROWS):  # some groups at a time, to bound the bit planes
+                label, i, j = spanning_links(fp[part], group[part], side[part].astype(np.uint8), radius)
+                if not direct:
+                    i = np.flatnonzero(label != np.arange(len(label)))
+                    j = label[i]
+                if len(i):
+                    a, b = node[part][i], node[part][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-                at = end
 
     # The last bit of the key is a row's side in a meeting of two tiles; tiles that share a hash are compared too, which adds no false link.
     return grouped.repartition(F.shiftright("__key", 1)).sortWithinPartitions("__key").mapInArrow(run, "a long, b long").distinct()
@@ -315,40 +345,36 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
 
 
-def _bucket(shown: Column, part: int, at: int, digits: int) -> Column:
-    """Key of a bucket: the part's number before the value of its hex digits."""
-    return F.conv(F.substring(shown, at, digits), 16, 10).cast("long") + F.lit(part * 16**digits)
-
-
 def exact_keys(n: int, radius: int) -> list[Column]:
-    """Bucket keys of 64-bit fingerprints, by up to 16 // (radius + 1) hex digits of each of radius + 1 parts; more digits for more fingerprints."""
-    span = 16 // (radius + 1)
-    digits = min(span, max(1, math.ceil(math.log(max(n, 1) / 4096, 16))))
-    shown = F.hex("__fp")
-    return [_bucket(shown, p, p * span + 1, digits) for p in range(radius + 1)]
-
-
-def classes(slim: DataFrame, doc_id: str, keys, radius: int) -> DataFrame:
-    """slim (with columns __fp and doc_id, checkpointed) and __label, the least id of the class, or a number from NO_ID on if it has none.
-    keys: from the number of distinct fingerprints to bucket keys."""
-    stand_in = F.shiftrightunsigned(F.xxhash64("__fp"), 2) + F.lit(NO_ID)
-    nodes = checkpoint(slim.groupBy("__fp").agg(F.min(doc_id).cast("long").alias("__least")).select("__fp", F.coalesce("__least", stand_in).alias("__node")))
-    labels = components(link_buckets(nodes, keys(nodes.count()), radius))
-    labelled = nodes.join(labels, nodes["__node"] == labels["node"], "left").select("__fp", F.coalesce("label", "__node").alias("__label"))
-    return slim.join(labelled, "__fp")
+    """Bucket keys of 64-bit fingerprints __node: the bits of each choice of m of radius + m parts, as m parts of two fingerprints within
+    the radius are equal. m grows with their number n, for buckets of longer keys; so do the bits used of each part."""
+    m = 1 + (n > MANY) + (n > VERY_MANY)
+    borders = [64 * i // (radius + m) for i in range(radius + m + 1)]
+    enough = max(4, math.ceil(math.log2(max(n, 1) / 4096) / m) if n > 4096 else 0)
+    keys = []
+    for k, chosen in enumerate(combinations(range(radius + m), m)):
+        widths = [min(enough, borders[p + 1] - borders[p]) for p in chosen]
+        parts = [F.shiftrightunsigned("__node", 64 - borders[p] - w).bitwiseAND(F.lit((1 << w) - 1)) for p, w in zip(chosen, widths, strict=True)]
+        shifts = [sum(widths[i + 1 :]) for i in range(m)]
+        keys.append(reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(x, s) for x, s in zip(parts, shifts, strict=True)], F.lit(k << 44).cast("long")))
+    return keys
 
 
 def simhash_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least id reachable by links of `radius` or fewer differing bits.
 
     Null and empty texts have no shingles, so the fingerprint zero. A row of null id is in the class of its
-    fingerprint; component_id is null if no row of the class has an id. Repeated rows are repeated in the result, other
-    columns are ignored; an empty table gives an empty result. All links count: buckets are exact.
+    fingerprint; component_id is null if no row of the class has an id, whatever the ids are otherwise. Repeated rows are repeated in
+    the result, other columns are ignored; an empty table gives an empty result. All links count: buckets are exact.
     """
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    slim = checkpoint(fingerprint_documents(named, text="__text", words=words, lanes=1, distinct=False))
-    found = classes(slim, "doc_id", lambda n: exact_keys(n, radius), radius)
-    return found.select("doc_id", F.lower(F.hex("__fp")).alias("fingerprint"), F.when(F.col("__label") < NO_ID, F.col("__label")).alias("component_id"))
+    slim = checkpoint(fingerprint_documents(named, text="__text", words=words))
+    nodes = checkpoint(slim.groupBy(F.col("__fp").alias("__node")).agg(F.min("doc_id").alias("__least")))
+    labels = components(link_buckets(nodes.select("__node"), exact_keys(nodes.count(), radius), radius))
+    labelled = nodes.join(labels, nodes["__node"] == labels["node"], "left").select("__node", "__least", F.coalesce("label", "__node").alias("__label"))
+    least = labelled.groupBy("__label").agg(F.min("__least").alias("component_id"))
+    found = slim.join(labelled.select("__node", "__label").join(least, "__label"), F.col("__fp") == F.col("__node"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _set_of(text: bytes | None, words: int) -> np.ndarray:
@@ -380,9 +406,11 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def set_prefixes(docs: DataFrame, words: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """__id, __th, __set (hash of the shingle set), __n (its size) and __prefix: its first n - ceil(n * num / den) + 1 hashes,
-    the common ones last. Of two sets of Jaccard similarity num / den or more the prefixes share a hash, whatever the order."""
-    schema = T.StructType([*docs.select("__id", "__th").schema.fields, *(T.StructField(c, T.LongType()) for c in ("__set", "__n")), T.StructField("__prefix", T.ArrayType(T.LongType()))])
+    """__id, __th, __set (hash of the shingle set), __n (its size), __fp (its wide fingerprint) and __prefix: its first
+    n - ceil(n * num / den) + 1 hashes, the common ones last. Of two sets of Jaccard similarity num / den or more the prefixes share a
+    hash, whatever the order."""
+    added = [*(T.StructField(c, T.LongType()) for c in ("__set", "__n")), T.StructField("__fp", T.BinaryType()), T.StructField("__prefix", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*docs.select("__id", "__th").schema.fields, *added])
     heavy, times = common
 
     def prefix(h: np.ndarray) -> np.ndarray:
@@ -399,50 +427,98 @@ def set_prefixes(docs: DataFrame, words: int, num: int, den: int, common: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, sets, sizes, firsts, held = 0, [], [], [], 0
+            start, sets, held = 0, [], 0
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
-                h = _set_of(text.as_py(), words)
-                sets.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                sizes.append(len(h))
-                firsts.append(prefix(h))
-                held += len(firsts[-1])
-                if held > BLOCK_BYTES or i == batch.num_rows - 1:
+                sets.append(_set_of(text.as_py(), words))
+                held += len(sets[-1])
+                if held > BLOCK_BYTES // 8 or i == batch.num_rows - 1:
+                    part, firsts = batch.slice(start, len(sets)), [prefix(h) for h in sets]
+                    names = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
                     ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                     listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
-                    part = batch.slice(start, len(sets))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), listed], names=schema.names)
-                    start, sets, sizes, firsts, held = i + 1, [], [], [], 0
+                    wide = pa.array([x.tobytes() for x in fingerprints(sets, LANES)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array([*map(len, sets)], pa.int64()), wide, listed], names=schema.names)
+                    start, sets, held = i + 1, [], 0
 
     return docs.select("__id", "__th", "__text").mapInArrow(run, schema)
 
 
+def _share(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether the Jaccard similarity of two ascending sets is num / den or more."""
+    if min(len(x), len(y)) * den < num * max(len(x), len(y)):
+        return False
+    few, many = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(many, few)
+    at[at == len(many)] = 0
+    both = np.count_nonzero(many[at] == few) if len(many) else 0
+    return both * den >= num * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, slim: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is num / den or more, by their texts. docs: __th, __text."""
+    """The pairs (a, b) of sets whose Jaccard similarity is num / den or more. docs: __th, __text; pairs: checkpointed.
+
+    The sets that pairs ask for are made again from their texts, one text a set. Sets of BROADCAST_HASHES hashes or fewer in all are broadcast
+    to the pairs; more are joined to them, first by a, then by b.
+    """
     asked = pairs.select(F.col("a").alias("__set")).union(pairs.select("b")).distinct()
-    texts_of = checkpoint(slim.join(asked, "__set", "left_semi").groupBy("__set").agg(F.min("__th").alias("__th")))
-    few = texts_of.count() <= BROADCAST_SETS
-    texts = docs.select("__th", "__text").join(F.broadcast(texts_of) if few else texts_of, "__th").select("__set", "__text").dropDuplicates(["__set"])
-    met = pairs.join(texts.select(F.col("__set").alias("a"), F.col("__text").alias("ta")), "a").join(texts.select(F.col("__set").alias("b"), F.col("__text").alias("tb")), "b")
+    texts_of = checkpoint(slim.join(asked, "__set", "left_semi").groupBy("__set").agg(F.min("__th").alias("__th"), F.min("__n").alias("__n")))
+    n_sets, n_hashes = texts_of.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    named = F.broadcast(texts_of) if n_sets <= BROADCAST_SETS else texts_of
+    texts = docs.select("__th", "__text").join(named.select("__set", "__th"), "__th").select("__set", "__text").dropDuplicates(["__set"])
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, sets, held = 0, [], 0
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+                sets.append(_set_of(text.as_py(), words).view(np.int64))
+                held += len(sets[-1])
+                if held > BLOCK_BYTES // 8 or i == batch.num_rows - 1:
+                    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                    listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), listed], names=["__set", "__h"])
+                    start, sets, held = i + 1, [], 0
+
+    sets = checkpoint(texts.mapInArrow(to_sets, "__set long, __h array<long>"))
+    if n_hashes <= BROADCAST_HASHES:
+        held = sets.toArrow()
+        every = {k: h.values.to_numpy().view(np.uint64) for k, h in zip(held.column("__set").to_pylist(), held.column("__h"), strict=True)}
+        known = slim.sparkSession.sparkContext.broadcast(every)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = known.value
+            for batch in batches:
+                good = [_share(of[a], of[b], num, den) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield batch.filter(pa.array(good, pa.bool_()))
+
+        return checkpoint(pairs.repartition("a", "b").select("a", "b").mapInArrow(look, "a long, b long"))
+    met = pairs.join(sets.select(F.col("__set").alias("a"), F.col("__h").alias("ha")), "a").join(sets.select(F.col("__set").alias("b"), F.col("__h").alias("hb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for ta, tb in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
-                x, y = _set_of(ta.as_py(), words), _set_of(tb.as_py(), words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both * den >= num * (len(x) + len(y) - both))
+            sides = zip(batch.column(2), batch.column(3), strict=True)
+            good = [_share(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), num, den) for x, y in sides]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return checkpoint(met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return checkpoint(met.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"))
+
+
+def band_keys() -> list[Column]:
+    """Bucket keys of wide fingerprints: whole bands of BAND_BITS bits."""
+    size = BAND_BITS // 8
+    return [F.conv(F.hex(F.substring("__fp", 1 + k * size, size)), 16, 10).cast("long") + F.lit(k << BAND_BITS) for k in range(8 * LANES // size)]
 
 
 def similar_sets(slim: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links (a, b), a < b, whose components are those of all pairs of sets of Jaccard similarity num / den or more.
 
-    Sets that share a hash of their prefixes are candidates. First neighbours by size at a hash are compared, which joins
-    nearly all of a large group of near copies by links as many as its members; then all candidates of different components are.
+    First the links that span those of wide fingerprints in the buckets of their bands, and neighbours by size at a hash of the prefixes, are
+    confirmed, which joins nearly all of a large group of near copies by links as many as its members. Then all pairs of different components that
+    share a hash of their prefixes are, so that none is missed.
     """
-    sets = slim.groupBy("__set").agg(F.first("__n").alias("__n"), F.first("__prefix").alias("__prefix"))
+    sets = checkpoint(slim.groupBy("__set").agg(F.first("__n").alias("__n"), F.first("__fp").alias("__fp"), F.first("__prefix").alias("__prefix")))
+    alike = num / den
+    radius = int(64 * LANES * (math.acos(2 * alike / (1 + alike)) / math.pi + RADIUS_SLACK))
+    spanning = link_buckets(sets.select(F.col("__set").alias("__node"), "__fp"), band_keys(), radius, direct=True)
     keyed = sets.select("__set", "__n", F.posexplode("__prefix").alias("__pos", "__key"))
     at_key = Window.partitionBy("__key").orderBy("__n", "__set")
     before = {f"__p{c}": F.lag(f"__{c}").over(at_key) for c in ("set", "n", "pos")}
@@ -455,7 +531,8 @@ def similar_sets(slim: DataFrame, docs: DataFrame, words: int, num: int, den: in
 
     c = F.col
     near = shared.filter(c("__pset").isNotNull() & may_reach(c("__n"), c("__pos"), c("__pn"), c("__ppos")))
-    first = checkpoint(near.select(F.least("__set", "__pset").alias("a"), F.greatest("__set", "__pset").alias("b")).distinct())
+    neighbours = near.select(F.least("__set", "__pset").alias("a"), F.greatest("__set", "__pset").alias("b"))
+    first = checkpoint(spanning.union(neighbours).distinct())
     links = confirmed(first, docs, slim, words, num, den)
 
     labels = components(links)
@@ -477,8 +554,8 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     """docs with one document of each near-duplicate class, all columns as they are.
 
     Linked are texts whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more, no others: candidates
-    are found by the prefixes of the sets, which misses none, and each link is confirmed by the sets themselves. Classes
-    are what links connect. The class keeps the row of its least id (nulls last), and one of repeated rows. Texts
+    are found by bit-sliced SimHash and, where it misses them, by the prefixes of the sets, and each link is confirmed by the sets
+    themselves. Classes are what links connect. The class keeps the row of its least id (nulls last), and one of repeated rows. Texts
     without words are one class. An empty table stays empty.
     """
     num, den = Fraction(str(similarity)).as_integer_ratio()
