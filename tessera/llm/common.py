@@ -21,7 +21,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
     elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
@@ -37,6 +37,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns that begin with `__`, as the operators' own do, renamed for the time being; and the names that give them back."""
+    renamed = {c: f"input {c}" for c in docs.columns if c.startswith("__")}
+    return docs.withColumnsRenamed(renamed), {new: old for old, new in renamed.items()}
+
+
+def others(docs: DataFrame, *made: str) -> list[str]:
+    """The columns of docs but those that get replaced; Spark doesn't tell names by case."""
+    gone = {c.lower() for c in made}
+    return [c for c in docs.columns if c.lower() not in gone]
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the UTF-8 form; null has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
