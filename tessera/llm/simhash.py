@@ -26,16 +26,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, read
+from .common import checkpoint, read, set_aside
 
 SEED = 42
 TILE = 8192
 #: Hot buckets up to this many are broadcast; more are joined by key.
 BROADCAST_BUCKETS = 100_000
-#: Names of sets up to this many are broadcast to the texts; more are joined. So are sets of up to so many hashes in all to the pairs.
-BROADCAST_SETS, BROADCAST_HASHES = 500_000, 4_000_000
+#: Rows of numbers up to this many are broadcast to the texts; more are joined. So are sets of up to so many hashes in all to the pairs.
+BROADCAST_ROWS, BROADCAST_HASHES = 500_000, 4_000_000
+#: Hashes of sets that a task remembers while it compares texts.
+REMEMBERED = 2_000_000
 #: Shingles that this many texts of a sample of SAMPLE have come last in prefixes, up to MOST_COMMON of them.
-COMMON, SAMPLE, MOST_COMMON = 8, 20_000, 500_000
+COMMON, SAMPLE, MOST_COMMON = 4, 8000, 500_000
 #: Texts hashed together, in bytes, and (query, word) pairs compared together.
 BLOCK_BYTES, BLOCK_PAIRS, BLOCK_ROWS = 1_000_000, 1 << 16, 4096
 #: Near-dedup's fingerprints: lanes of 64 bits, bits of a band that keys a bucket, and the radius as a share of the bits beyond that expected at the similarity.
@@ -454,35 +456,23 @@ def _share(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return both * den >= num * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, slim: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is num / den or more. docs: __th, __text; pairs: checkpointed.
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast where it has up to BROADCAST_ROWS rows. df: checkpointed, a few numbers a row."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    The sets that pairs ask for are made again from their texts, one text a set. Sets of BROADCAST_HASHES hashes or fewer in all are broadcast
-    to the pairs; more are joined to them, first by a, then by b.
-    """
-    asked = pairs.select(F.col("a").alias("__set")).union(pairs.select("b")).distinct()
-    texts_of = checkpoint(slim.join(asked, "__set", "left_semi").groupBy("__set").agg(F.min("__th").alias("__th"), F.min("__n").alias("__n")))
-    n_sets, n_hashes = texts_of.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
-    named = F.broadcast(texts_of) if n_sets <= BROADCAST_SETS else texts_of
-    texts = docs.select("__th", "__text").join(named.select("__set", "__th"), "__th").select("__set", "__text").dropDuplicates(["__set"])
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            start, sets, held = 0, [], 0
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
-                sets.append(_set_of(text.as_py(), words).view(np.int64))
-                held += len(sets[-1])
-                if held > BLOCK_BYTES // 8 or i == batch.num_rows - 1:
-                    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                    listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), listed], names=["__set", "__h"])
-                    start, sets, held = i + 1, [], 0
+def confirmed(pairs: DataFrame, docs: DataFrame, slim: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of rows of slim whose shingle sets have a Jaccard similarity of num / den or more. docs: __th, __text; pairs: checkpointed.
 
-    sets = checkpoint(texts.mapInArrow(to_sets, "__set long, __h array<long>"))
+    The sets are made again from the texts, of which those that pairs ask for are taken. Sets of BROADCAST_HASHES hashes or fewer in all
+    are broadcast to the pairs; beyond that the texts are joined to them, first by a, then by b.
+    """
+    asked = pairs.select(F.col("a").alias("__row")).union(pairs.select("b")).distinct()
+    texts_of = checkpoint(slim.join(asked, "__row", "left_semi").select("__row", "__th", "__n"))
+    n_hashes = texts_of.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    texts = docs.select("__th", "__text").join(_small(texts_of).select("__row", "__th"), "__th").select("__row", "__text").dropDuplicates(["__row"])
     if n_hashes <= BROADCAST_HASHES:
-        held = sets.toArrow()
-        every = {k: h.values.to_numpy().view(np.uint64) for k, h in zip(held.column("__set").to_pylist(), held.column("__h"), strict=True)}
-        known = slim.sparkSession.sparkContext.broadcast(every)
+        known = slim.sparkSession.sparkContext.broadcast(_sets(texts, words))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = known.value
@@ -491,15 +481,36 @@ def confirmed(pairs: DataFrame, docs: DataFrame, slim: DataFrame, words: int, nu
                 yield batch.filter(pa.array(good, pa.bool_()))
 
         return checkpoint(pairs.repartition("a", "b").select("a", "b").mapInArrow(look, "a long, b long"))
-    met = pairs.join(sets.select(F.col("__set").alias("a"), F.col("__h").alias("ha")), "a").join(sets.select(F.col("__set").alias("b"), F.col("__h").alias("hb")), "b")
+    met = pairs.join(texts.select(F.col("__row").alias("a"), F.col("__text").alias("ta")), "a").join(texts.select(F.col("__row").alias("b"), F.col("__text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            sides = zip(batch.column(2), batch.column(3), strict=True)
-            good = [_share(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), num, den) for x, y in sides]
+            good, names = [], [batch.column(k).to_pylist() for k in (0, 1)]
+            for i, ends in enumerate(zip(*names, strict=True)):
+                for k, name in enumerate(ends):
+                    if name not in made:
+                        made[name] = _set_of(batch.column(2 + k)[i].cast(pa.binary()).as_py(), words)
+                        held += len(made[name])
+                good.append(_share(made[ends[0]], made[ends[1]], num, den))
+                if held > REMEMBERED:
+                    made, held = {}, 0
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return checkpoint(met.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"))
+    return checkpoint(met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+
+def _sets(texts: DataFrame, words: int) -> dict[int, np.ndarray]:
+    """The shingle sets of texts (__row, __text) by row: for a few texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_set_of(t.as_py(), words).tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["__row", "__h"])
+
+    held = texts.mapInArrow(run, "__row long, __h binary").toArrow()
+    return {k: np.frombuffer(h.as_buffer(), np.uint64) for k, h in zip(held.column("__row").to_pylist(), held.column("__h"), strict=True)}
 
 
 def band_keys() -> list[Column]:
@@ -508,21 +519,22 @@ def band_keys() -> list[Column]:
     return [F.conv(F.hex(F.substring("__fp", 1 + k * size, size)), 16, 10).cast("long") + F.lit(k << BAND_BITS) for k in range(8 * LANES // size)]
 
 
-def similar_sets(slim: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b), a < b, whose components are those of all pairs of sets of Jaccard similarity num / den or more.
+def similar_sets(slim: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b), a < b, whose components are those of all pairs of sets of Jaccard similarity num / den or more. nodes: __row of a row of
+    slim for each set.
 
     First the links that span those of wide fingerprints in the buckets of their bands, and neighbours by size at a hash of the prefixes, are
     confirmed, which joins nearly all of a large group of near copies by links as many as its members. Then all pairs of different components that
     share a hash of their prefixes are, so that none is missed.
     """
-    sets = checkpoint(slim.groupBy("__set").agg(F.first("__n").alias("__n"), F.first("__fp").alias("__fp"), F.first("__prefix").alias("__prefix")))
+    sets = slim.join(_small(nodes), "__row", "left_semi")
     alike = num / den
     radius = int(64 * LANES * (math.acos(2 * alike / (1 + alike)) / math.pi + RADIUS_SLACK))
-    spanning = link_buckets(sets.select(F.col("__set").alias("__node"), "__fp"), band_keys(), radius, direct=True)
-    keyed = sets.select("__set", "__n", F.posexplode("__prefix").alias("__pos", "__key"))
-    at_key = Window.partitionBy("__key").orderBy("__n", "__set")
-    before = {f"__p{c}": F.lag(f"__{c}").over(at_key) for c in ("set", "n", "pos")}
-    shared = checkpoint(keyed.select("*", *(x.alias(c) for c, x in before.items()), F.lead("__set").over(at_key).alias("__next")).filter("__pset is not null or __next is not null"))
+    spanning = link_buckets(sets.select(F.col("__row").alias("__node"), "__fp"), band_keys(), radius, direct=True)
+    keyed = sets.select("__row", "__n", F.posexplode("__prefix").alias("__pos", "__key"))
+    at_key = Window.partitionBy("__key").orderBy("__n", "__row")
+    before = {f"__p{c}": F.lag(f"__{c}").over(at_key) for c in ("row", "n", "pos")}
+    shared = checkpoint(keyed.select("*", *(x.alias(c) for c, x in before.items()), F.lead("__row").over(at_key).alias("__next")).filter("__prow is not null or __next is not null").drop("__next"))
 
     def may_reach(n: Column, pos: Column, m: Column, at: Column, earlier: Column | None = None) -> Column:
         """Not if sets of n and m hashes that share the ones at pos and at (and `earlier` before those) can't be similar enough."""
@@ -530,22 +542,22 @@ def similar_sets(slim: DataFrame, docs: DataFrame, words: int, num: int, den: in
         return most * (num + den) >= (n + m) * num
 
     c = F.col
-    near = shared.filter(c("__pset").isNotNull() & may_reach(c("__n"), c("__pos"), c("__pn"), c("__ppos")))
-    neighbours = near.select(F.least("__set", "__pset").alias("a"), F.greatest("__set", "__pset").alias("b"))
+    near = shared.filter(c("__prow").isNotNull() & may_reach(c("__n"), c("__pos"), c("__pn"), c("__ppos")))
+    neighbours = near.select(F.least("__row", "__prow").alias("a"), F.greatest("__row", "__prow").alias("b"))
     first = checkpoint(spanning.union(neighbours).distinct())
     links = confirmed(first, docs, slim, words, num, den)
 
     labels = components(links)
-    rows = shared.join(labels, c("__set") == c("node"), "left").select("__key", "__set", "__n", "__pos", F.coalesce("label", "__set").alias("__label"))
+    rows = shared.join(labels, c("__row") == c("node"), "left").select("__key", "__row", "__n", "__pos", F.coalesce("label", "__row").alias("__label"))
     per_label = rows.groupBy("__key", "__label").count().groupBy("__key").agg(F.max_by("__label", "count").alias("__main"), F.count("*").alias("__labels"))
     mixed = checkpoint(rows.join(per_label.filter("__labels > 1").drop("__labels"), "__key"))
     x, y = mixed.filter("__label <> __main").alias("x"), mixed.alias("y")  # of two labels at a hash one isn't the main one
-    once = (c("y.__label") == c("y.__main")) | (c("x.__set") < c("y.__set"))
+    once = (c("y.__label") == c("y.__main")) | (c("x.__row") < c("y.__row"))
     possible = may_reach(c("x.__n"), c("x.__pos"), c("y.__n"), c("y.__pos"))
     met = x.join(y, (c("x.__key") == c("y.__key")) & (c("x.__label") != c("y.__label")) & once & possible)
-    swap = c("x.__set") > c("y.__set")
-    sides = [F.when(swap, c(f"{v}.__{k}")).otherwise(c(f"{u}.__{k}")).alias(f"{k}_{u}") for u, v in ("xy", "yx") for k in ("set", "n", "pos")]
-    grouped = met.select(*sides).groupBy(c("set_x").alias("a"), c("set_y").alias("b"), "n_x", "n_y").agg(F.max("pos_x").alias("pos_x"), F.max("pos_y").alias("pos_y"), F.count("*").alias("same"))
+    swap = c("x.__row") > c("y.__row")
+    sides = [F.when(swap, c(f"{v}.__{k}")).otherwise(c(f"{u}.__{k}")).alias(f"{k}_{u}") for u, v in ("xy", "yx") for k in ("row", "n", "pos")]
+    grouped = met.select(*sides).groupBy(c("row_x").alias("a"), c("row_y").alias("b"), "n_x", "n_y").agg(F.max("pos_x").alias("pos_x"), F.max("pos_y").alias("pos_y"), F.count("*").alias("same"))
     rest = grouped.filter(may_reach(c("n_x"), c("pos_x"), c("n_y"), c("pos_y"), c("same") - 1)).select("a", "b").join(first, ["a", "b"], "left_anti")
     return links.union(confirmed(checkpoint(rest), docs, slim, words, num, den))
 
@@ -556,18 +568,29 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     Linked are texts whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more, no others: candidates
     are found by bit-sliced SimHash and, where it misses them, by the prefixes of the sets, and each link is confirmed by the sets
     themselves. Classes are what links connect. The class keeps the row of its least id (nulls last), and one of repeated rows. Texts
-    without words are one class. An empty table stays empty.
+    without words, null or empty, are one class; long texts count whole. An empty table stays empty.
     """
+    docs, back = set_aside(docs)
     num, den = Fraction(str(similarity)).as_integer_ratio()
     own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     named = docs.select(F.col(doc_id).alias("__id"), own.alias("__th"), F.col(text).alias("__text"))
-    slim = checkpoint(set_prefixes(named, words, num, den, common_shingles(named, words)))
-    labels = components(similar_sets(slim, named, words, num, den))
-    found = slim.join(labels, slim["__set"] == labels["node"], "left").select("__id", "__th", F.coalesce("label", "__set").alias("__label"))
+    slim = checkpoint(set_prefixes(named, words, num, den, common_shingles(named, words)).withColumn("__row", F.monotonically_increasing_id()))
+    of_set = checkpoint(slim.groupBy("__set").agg(F.min("__row").alias("__node")))
+    labels = components(similar_sets(slim, of_set.select(F.col("__node").alias("__row")), named, words, num, den))
+    of_set = of_set.join(labels, F.col("__node") == F.col("node"), "left").select("__set", F.coalesce("label", "__node").alias("__label"))
+    rows = slim.select("__id", "__th", "__set").join(of_set, "__set")
     best = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__th")).alias("best")
-    keepers = found.groupBy("__label").agg(best).select(F.col("best.__id").alias("__id"), F.col("best.__th").alias("__th"))
-    kept = docs.withColumn("__own", own).join(keepers, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")))
-    return kept.dropDuplicates(["__id", "__th"]).drop("__own", "__id", "__th")
+    keepers = rows.groupBy("__label").agg(best).select(*(F.col(f"best.{c}").alias(c) for c in ("__id", "__th")))
+    key = lambda i: F.xxhash64(i.isNull(), i.cast("string"))
+    counted = rows.groupBy("__th", key(F.col("__id")).alias("__key")).count()
+    decided = checkpoint(counted.join(keepers.select("__th", key(F.col("__id")).alias("__key"), F.lit(True).alias("__kept")), ["__th", "__key"], "left"))
+    keyed = docs.withColumns({"__th": own, "__key": key(F.col(doc_id))})
+    gone = _small(decided.filter("__kept is null").select("__th", "__key"))
+    again = _small(decided.filter("__kept and count > 1").select("__th", "__key"))
+    left = keyed.join(gone, ["__th", "__key"], "left_anti")
+    once = left.join(again, ["__th", "__key"], "left_semi").dropDuplicates(["__th", "__key"])
+    every = left.join(again, ["__th", "__key"], "left_anti").unionByName(once)
+    return every.select(*docs.columns).withColumnsRenamed(back)
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
