@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, read
 
-#: Vectors of one block of candidates and of one block of queries.
-CANDIDATES, QUERIES = 8192, 16_384
+#: Vectors of one block of candidates, at least and at most, and of one block of queries. Larger blocks are fewer copies of both sides.
+CANDIDATES, MOST_CANDIDATES, QUERIES = 8192, 65_536, 65_536
 #: Longest vectors that give every query its first score to beat; they reach the driver.
 SEEDS = 1024
 #: Local threshold from which coordinates prune, and coordinates looked at.
@@ -114,22 +114,37 @@ class Bucket:
         return out
 
 
+def one_per_id(vectors: DataFrame) -> DataFrame:
+    """vec_id and v, the least of the vectors of an id. Vectors move only if an id is repeated."""
+    repeated = checkpoint(vectors.groupBy("vec_id").count().filter("count > 1").select("vec_id"))
+    if not repeated.limit(1).count():
+        return vectors.select("vec_id", "v")
+    once = vectors.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.join(repeated, "vec_id", "left_anti").select("vec_id", "v").unionByName(once)
+
+
 def top_k_products(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k largest inner products of each query, ties to the smaller vec_id.
 
-    Both tables have vec_id long and v array<double> of whole numbers below 2**31; a row is no candidate of its own id. Ids are
-    distinct. Vectors of different lengths meet in the coordinates both have. Queries with fewer than k candidates get them all; no
-    rows, no result. Queries are matched with all candidates, block by block: each of ceil(n / CANDIDATES) blocks of one norm bucket meets each
-    block of queries that may still find a score in it.
+    Both tables have vec_id long and v array<double> of whole numbers below 2**53; a row is no candidate of its own id. An id counts
+    once on either side: of repeated rows one, of different vectors of an id the least, compared number by number. Vectors of different
+    lengths meet in the coordinates both have. Queries with fewer than k candidates get them all; no rows, no result. Fails with
+    ValueError where the longest vectors could give a score beyond 64 bits. Queries are matched with all candidates, block by
+    block: each block of one norm bucket meets each block of queries that may still find a score in it.
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sized = checkpoint(vectors.select("vec_id", "v", norm.alias("norm")))
+    sized = checkpoint(one_per_id(vectors).select("vec_id", "v", norm.alias("norm")))
     # Buckets: lengths within a quarter of a power of two, dealt to blocks by the id.
     bucket = F.when(F.col("norm") > 0, F.floor(4 * F.log2("norm"))).otherwise(-1).cast("int")
     counts = sized.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
     if not counts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    counts = sorted((r["bucket"], max(1, math.ceil(r["n"] / CANDIDATES)), r["longest"]) for r in counts)  # at most one row per bucket: a few thousand
+    asked = checkpoint(one_per_id(queries).select("vec_id", "v", norm.alias("norm")))
+    if max(r["longest"] for r in counts) * (asked.agg(F.max("norm")).first()[0] or 0.0) >= float(1 << 63):
+        raise ValueError("scores of these vectors don't fit into 64 bits")
+    block = sum(r["n"] for r in counts) // (4 * vectors.sparkSession.sparkContext.defaultParallelism)
+    block = min(MOST_CANDIDATES, max(CANDIDATES, block))  # fewer copies of the queries, while all cores have work
+    counts = sorted((r["bucket"], max(1, math.ceil(r["n"] / block)), r["longest"]) for r in counts)  # at most one row per bucket: a few thousand
     seeds = [(r["vec_id"], r["v"]) for r in sized.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).collect()]
     seed_ids, seed_vectors = np.array([i for i, _ in seeds]), _matrix(pd.Series([v for _, v in seeds]))
 
@@ -144,7 +159,7 @@ def top_k_products(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> Dat
                     out[a : a + 1024] = np.partition(scores, -k, axis=1)[:, -k]
             yield part.assign(floor=out)
 
-    asked = checkpoint(queries.select("vec_id", "v", norm.alias("norm")).mapInPandas(floors, "vec_id long, v array<double>, norm double, floor double"))
+    asked = checkpoint(asked.mapInPandas(floors, "vec_id long, v array<double>, norm double, floor double"))
     query_blocks = max(1, math.ceil(asked.count() / QUERIES))
     blocks = F.array(*(F.struct(F.lit(b).alias("bucket"), F.lit(n).alias("blocks"), F.lit(float(longest)).alias("longest")) for b, n, longest in counts))
     open_to = F.filter(blocks, lambda b: F.col("floor") <= F.col("norm") * b["longest"] * (1 + 1e-9))
