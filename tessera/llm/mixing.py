@@ -6,26 +6,36 @@ distribution function at a hash of the id, so that a rerun, or a lost executor,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, unit_interval
+from .common import read, set_aside, unit_interval
 
-#: Sources up to this many are broadcast; more are joined by their key.
-BROADCAST_SOURCES = 10_000
+#: Distribution functions of up to this many numbers in all (and one more a source) are broadcast; larger ones are joined by source.
+BROADCAST_NUMBERS = 1 << 20
 
 
-def poisson_distribution(rate: Column) -> Column:
-    """Running distribution function at 0, 1, ... up to far in the tail, with logarithms so that no rate underflows."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    start = F.struct(F.lit(0.0).alias("log_factorial"), F.exp(-rate).alias("below"), F.array(F.exp(-rate)).alias("cdf"))
+def poisson_distributions(rates: DataFrame) -> DataFrame:
+    """__source, __low and __cdf, the distribution function at __low, __low + 1, ..., of rates (__source, __rate).
+
+    Only a window of 12 deviations about the mean is made: what lies outside weighs less than 1e-15. Within it the weights follow each
+    other by the ratio rate / k, from 1 on, and are divided by their sum, so that no rate underflows. Rates of zero or less give no row.
+    """
+    k, own = F.col("__k"), Window.partitionBy("__source").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("__source")
+    steps = rates.filter("__rate > 0").select("__source", "__rate", low("__rate").alias("__low"), F.explode(F.sequence(low("__rate"), high("__rate"))).alias("__k"))
+    ratio = F.when(k > F.col("__low"), F.log(F.col("__rate") / k)).otherwise(0.0)
+    weighed = steps.withColumn("__w", F.exp(F.sum(ratio).over(own)))
+    summed = weighed.select("__source", "__low", (F.sum("__w").over(own) / F.sum("__w").over(whole)).alias("__p"))
+    return summed.groupBy("__source").agg(F.min("__low").alias("__low"), F.sort_array(F.collect_list("__p")).alias("__cdf"))
+
+
+def low(rate: str):
+    return F.greatest(F.lit(0), F.floor(F.col(rate) - 12 * F.sqrt(rate) - 24)).cast("long")
 
-    def step(acc: Column, k: Column) -> Column:
-        log_factorial = acc["log_factorial"] + F.log(k.cast("double"))
-        below = acc["below"] + F.exp(k * F.log(rate) - rate - log_factorial)
-        return F.struct(log_factorial.alias("log_factorial"), below.alias("below"), F.concat(acc["cdf"], F.array(below)).alias("cdf"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]).otherwise(F.array(F.lit(1.0)))
+def high(rate: str):
+    return F.ceil(F.col(rate) + 12 * F.sqrt(rate) + 24).cast("long")
 
 
 def mix_sources(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", weights: dict[str, float] | None = None, rows: int | None = None, seed: int = 7) -> DataFrame:
@@ -34,10 +44,10 @@ def mix_sources(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_i
     `weights` are relative; sources not named get none, and by default all sources weigh the same. The expected number
     of rows is `rows`, by default the input's. Adds copy (from 0) and mix_key, the order of the shuffle: within a
     partition rows are sorted by it, and partitions are dealt by it. Null is a source of its own (named by a weight
-    under None). A repeated id repeats alike; a null id counts as the text 'null'. Empty tables stay empty. Input columns named
-    copy or mix_key are replaced.
+    under None). A repeated id repeats alike, also in repeated rows; a null id counts as the text 'null'. Texts of any length, null and
+    empty ones too, are carried as they are. Empty tables stay empty. Input columns named copy or mix_key are replaced, all others stay.
     """
-    docs = docs.drop("copy", "mix_key")
+    docs, back = set_aside(docs.drop("copy", "mix_key"))
     counts = docs.groupBy(F.col(source).alias("__source")).agg(F.count("*").alias("__rows"))
     if weights is None:
         weighted = counts.withColumn("__weight", F.lit(1.0))
@@ -47,18 +57,19 @@ def mix_sources(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_i
         look = F.try_element_at(F.create_map(*pairs), F.col("__source")) if pairs else F.lit(None)
         weighted = counts.withColumn("__weight", F.when(F.col("__source").isNull(), named).otherwise(F.coalesce(look, F.lit(0.0))))
     # one row of totals, so a broadcast of fixed size
-    totals = weighted.agg(F.sum("__weight").alias("__weights"), F.sum("__rows").alias("__all"), F.count("*").alias("__sources"))
+    totals = weighted.agg(F.sum("__weight").alias("__weights"), F.sum("__rows").alias("__all"))
     wanted = F.col("__all").cast("double") if rows is None else F.lit(float(rows))
     rate = F.coalesce(F.try_divide(F.col("__weight") * wanted, F.col("__weights") * F.col("__rows")), F.lit(0.0))
-    cdf = weighted.crossJoin(F.broadcast(totals)).select("__source", poisson_distribution(rate).alias("__cdf"))
-    few = counts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(cdf) if few else cdf, docs[source].eqNullSafe(F.col("__source")))
+    rates = weighted.crossJoin(F.broadcast(totals)).select("__source", rate.alias("__rate"))
+    numbers = rates.filter("__rate > 0").agg(F.coalesce(F.sum(high("__rate") - low("__rate") + 2), F.lit(0))).first()[0]
+    cdf = poisson_distributions(rates)
+    joined = docs.join(F.broadcast(cdf) if numbers <= BROADCAST_NUMBERS else cdf, docs[source].eqNullSafe(F.col("__source")))
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     u = unit_interval(F.lit(f"{seed}"), key)
-    n = F.size(F.filter("__cdf", lambda c: c <= u))
-    copies = joined.withColumn("__n", n).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n", "__cdf", "__source")
+    n = (F.col("__low") + F.size(F.filter("__cdf", lambda c: c <= u))).cast("int")
+    copies = joined.withColumn("__n", n).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n", "__cdf", "__low", "__source")
     mixed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}"), key, F.col("copy").cast("string")).cast("binary")))
-    return mixed.repartition("mix_key").sortWithinPartitions("mix_key")
+    return mixed.repartition("mix_key").sortWithinPartitions("mix_key").withColumnsRenamed(back)
 
 
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
