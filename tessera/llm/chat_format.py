@@ -43,12 +43,13 @@ def format_conversations(turns: DataFrame, *, conv_id: str = "conv_id", turn: st
     """One row per conversation: conv_id, formatted, n_blocks and loss_spans.
 
     loss_spans has one entry per turn of `loss_role`, in order: start and length of its escaped text in code points of
-    `formatted`, and byte_start and byte_length in its UTF-8 form. Turns are ordered by (turn, role, text), nulls first;
+    `formatted`, and byte_start and byte_length in its UTF-8 form. Turns are ordered by (turn, role, text), texts as they are and not as escaped, nulls first;
     null roles and texts count as empty, a null conv_id is a conversation of its own, repeated rows are repeated turns,
     other columns are ignored. No rows, no conversations. A conversation has to fit into one row.
     """
-    said = turns.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), escape(F.coalesce(F.col(text), F.lit(""))).alias("text")).alias("said"))
-    sorted_turns = said.groupBy("conv_id").agg(F.array_sort(F.collect_list("said")).alias("turns"))
+    said = turns.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("said"))
+    escaped = lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text"))
+    sorted_turns = said.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("said")), escaped).alias("turns"))
     n = F.size("turns")
     opens = lambda i: (i == 0) | (F.get(F.col("turns"), i - 1)["role"] != F.get(F.col("turns"), i)["role"])
     starts = sorted_turns.withColumn("starts", F.filter(F.sequence(F.lit(0), n - 1), opens))
