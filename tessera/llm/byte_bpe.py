@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import others, read
 
-#: Pre-tokens a Python worker remembers; beyond this it starts anew.
-CACHE_TOKENS = 60_000
+#: Pre-tokens, and characters of them, that a Python worker remembers; beyond either it starts anew.
+CACHE_TOKENS, CACHE_CHARS = 60_000, 4_000_000
+#: Fixed value: the public pattern that splits texts before the merges. With it a space begins a match wherever no white space adjoins it.
+SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text encoded together.
 BLOCK_BYTES = 1_000_000
 
@@ -87,24 +89,26 @@ class Codec:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.spaced = regex.compile(pattern), pattern == SPACED_PATTERN
         self.to_chars = dict(enumerate(byte_characters()))
         self.tokens = {t: struct.pack("<I", i) for i, t in enumerate(piece_bytes(self.model))}
         self.known: dict[str, bytes] = {}  # ids of matches
         self.words: dict[str, bytes] = {}  # ids of a space and the word
+        self.chars = 0  # of the keys of both
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
-        A space between two characters that aren't white space always begins a match, so a text is cut there and the ids
-        of the words between are remembered; a text with other white space around a space is matched as a whole.
+        By SPACED_PATTERN a space between two characters that aren't white space always begins a match, so a text is cut there and the
+        ids of the words between are remembered; a text with other white space around a space is matched as a whole, as all are by
+        other patterns.
         """
-        if len(self.known) > CACHE_TOKENS or len(self.words) > CACHE_TOKENS:
-            self.known, self.words = {}, {}
+        if len(self.known) > CACHE_TOKENS or len(self.words) > CACHE_TOKENS or self.chars > CACHE_CHARS:
+            self.known, self.words, self.chars = {}, {}, 0
         out: list[bytes | None] = []
         split, whole, firsts, unknown = [], [], [], set()
         for t in texts:
-            words = t.split(" ")
+            words = t.split(" ") if self.spaced else []
             new = {w for w in words[1:] if w not in self.words}
             cut = len(words) > 1 and words[0] == words[0].rstrip() != "" and all(w and w == w.strip() for w in new)
             split.append(words if cut else None)
@@ -118,6 +122,7 @@ class Codec:
         others = [w for w in unknown if not w.isalpha()]
         self.words.update(zip(letters, self._encoded([" " + w for w in letters]), strict=True))
         self.words.update(zip(others, self._matches([" " + w for w in others]), strict=True))
+        self.chars += sum(map(len, unknown))
         for words in split:
             out.append(next(whole_ids) if words is None else b"".join([next(first_ids), *map(self.words.__getitem__, words[1:])]))
         return out
@@ -126,6 +131,7 @@ class Codec:
         split = [self.pattern.findall(t) for t in texts]
         new = [*{x for matches in split for x in matches if x not in self.known}]
         self.known.update(zip(new, self._encoded(new), strict=True))
+        self.chars += sum(map(len, new))
         return [b"".join(map(self.known.__getitem__, matches)) for matches in split]
 
     def _encoded(self, matches: list[str]) -> list[bytes]:
@@ -169,13 +175,14 @@ def encode_documents(docs: DataFrame, *, vocabulary: str, pattern: str, text: st
 
     digests: also n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the bytes that the
     ids decode to), in the same pass. A null text counts as empty; an empty text has no ids; rows are independent, so ties, repeated
-    rows and ids in other columns don't matter; an empty table stays empty. Input columns of the new names are replaced.
+    rows and ids in other columns don't matter; a text of any length is encoded whole; an empty table stays empty. Input columns of the
+    new names are replaced. Any pattern that matches all of a text will do; SPACED_PATTERN is the fastest.
     """
     model = serialise_model(read_ranks(vocabulary))
     made = {ids: T.ArrayType(T.IntegerType(), False)}
     if digests:
         made |= {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
-    kept = [c for c in docs.columns if c not in made and not (drop_text and c == text)]
+    kept = others(docs, *made, *([text] if drop_text else []))
     schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(c, kind) for c, kind in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +202,13 @@ def encode_documents(docs: DataFrame, *, vocabulary: str, pattern: str, text: st
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns[: len(kept)], *columns], names=[*kept, *made])
                 at += n
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, *, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """All columns and `decoded` binary, the bytes of the ids. Null ids decode to no bytes. Replaces a column of that name."""
     tokens = inverse_pieces(vocabulary)
-    kept = [c for c in encoded.columns if c != decoded]
+    kept = others(encoded, decoded)
     schema = T.StructType([*encoded.select(*kept).schema.fields, T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
