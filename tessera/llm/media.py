@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import read
+from .common import others, read
 
 ROW = 64
 #: Rows of one image; a JPEG is at most 65,535 pixels high. Longer payloads are several images, one after another.
@@ -273,27 +273,40 @@ def _decode_lanes(window: np.ndarray, start: np.ndarray, mcus: np.ndarray, layou
 
 
 def decode_thumbnails(files: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]]:
-    """Frames and DC-only luminance thumbnails, a sample per block, of the images of each file."""
+    """Frames and DC-only luminance thumbnails, a sample per block, of the images of each file. Some images are decoded at a time, so
+    that what decoding needs besides the files is bounded, however many images a file has."""
     buffer = b"".join(files) + bytes(16)
     data = np.frombuffer(buffer, np.uint8)
     marks = np.flatnonzero(data[:-1] == 0xFF)
     after = data[marks + 1]
     restarts = marks[(after >= 0xD0) & (after < 0xD8)]
-    others = marks[(after > 0) & (after < 0xFF) & ((after < 0xD0) | (after > 0xD7))]
-    keep = np.ones(len(data), bool)
-    keep[marks[after == 0] + 1] = False  # stuffed zeros
-    keep[marks[after == 0xFF]] = False  # fill bytes
+    stops = marks[(after > 0) & (after < 0xFF) & ((after < 0xD0) | (after > 0xD7))]
     frames, of_file, at, end = [], [], 0, 0
     for k, x in enumerate(files):
         end += len(x)
         while at < end:
-            frame = parse_markers(buffer, at, lambda i: int(others[np.searchsorted(others, i)]))
+            frame = parse_markers(buffer, at, lambda i: int(stops[np.searchsorted(stops, i)]))
             frames.append(frame)
             of_file.append(k)
             at = frame.end + 2
             if buffer[frame.end + 1] != 0xD9:
                 raise ValueError("more than one scan")
-    clean = np.concatenate([data[keep], np.zeros(16, np.uint8)]).astype(np.uint64)
+    out: list[list[tuple[Frame, np.ndarray]]] = [[] for _ in files]
+    for a, b in _in_blocks([f.end - f.start for f in frames], CHUNK_ROWS * ROW):
+        some = frames[a:b]
+        for f, k, thumb in zip(some, of_file[a:b], _decode_frames(data, some, restarts), strict=True):
+            out[k].append((f, thumb))
+    return out
+
+
+def _decode_frames(data: np.ndarray, frames: list[Frame], restarts: np.ndarray) -> list[np.ndarray]:
+    """Thumbnails of images that follow each other in data."""
+    base, end = frames[0].start, frames[-1].end
+    part = data[base : end + 1]
+    keep, full = np.ones(len(part), bool), np.flatnonzero(part[:-1] == 0xFF)
+    keep[full[part[full + 1] == 0] + 1] = False  # stuffed zeros
+    keep[full[part[full + 1] == 0xFF]] = False  # fill bytes
+    clean = np.concatenate([part[keep], np.zeros(16, np.uint8)]).astype(np.uint64)
     place = np.cumsum(keep) - 1
     pair = clean[:-1] << np.uint64(8) | clean[1:]
     quad = pair[:-2] << np.uint64(16) | pair[2:]
@@ -302,7 +315,6 @@ def decode_thumbnails(files: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]
     for i, f in enumerate(frames):
         layout = f.layout()
         kinds.setdefault((layout, *((f.huffman[dc], f.huffman[16 | ac]) for _, dc, ac in layout)), []).append(i)
-    out: list[list[tuple[Frame, np.ndarray]]] = [[] for _ in files]
     thumbs: dict[int, np.ndarray] = {}
     for (layout, *tables), members in kinds.items():
         starts, counts, lanes_of = [], [], []
@@ -314,7 +326,7 @@ def decode_thumbnails(files: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]
             lanes = -(-across * down // each)
             if len(inside) < lanes - 1:
                 raise ValueError("restart intervals are missing")
-            starts.append(np.concatenate([[f.start], inside[: lanes - 1] + 2]))
+            starts.append(np.concatenate([[f.start], inside[: lanes - 1] + 2]) - base)
             counts.append(np.minimum(each, across * down - each * np.arange(lanes)))
             lanes_of.append(lanes)
         diffs = _decode_lanes(window, place[np.concatenate(starts)], np.concatenate(counts), layout, tables)
@@ -322,9 +334,7 @@ def decode_thumbnails(files: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]
         for i, lanes in zip(members, lanes_of, strict=True):
             thumbs[i] = _thumbnail(frames[i], layout, diffs[lane : lane + lanes])
             lane += lanes
-    for i, f in enumerate(frames):
-        out[of_file[i]].append((f, thumbs[i]))
-    return out
+    return [thumbs[i] for i in range(len(frames))]
 
 
 def _thumbnail(f: Frame, layout, diffs: np.ndarray) -> np.ndarray:
@@ -364,10 +374,11 @@ def _in_blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 def store_media(docs: DataFrame, *, text: str = "text", media: str = "media") -> DataFrame:
     """All columns but the text, and `media` binary: the text's UTF-8 payload as baseline JPEG, with its length in a comment.
 
-    Null counts as empty, whose payload is 64 zeros. Rows are independent; an empty table stays empty; a column named as `media`
-    is replaced.
+    Null counts as empty, whose payload is 64 zeros. Rows are independent, so equal texts, repeated rows among them, give equal media; a long
+    text is stored whole, as several images, with a few copies of it in memory; an empty table stays empty; a column named as
+    `media` is replaced.
     """
-    kept = [c for c in docs.columns if c not in (text, media)]
+    kept = others(docs, text, media)
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(media, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +414,7 @@ FEATURES = "n_bytes long, payload binary, feature string"
 def read_media(stored: DataFrame, *, media: str = "media") -> DataFrame:
     """All columns, and what the stored bytes give: n_bytes (from the comment), payload (samples of the DC-only thumbnails) and
     feature: width x height and thumbnail hash of each image. Null media give nulls; a file that isn't baseline JPEG fails."""
-    kept = [c for c in stored.columns if c not in ("n_bytes", "payload", "feature")]
+    kept = others(stored, "n_bytes", "payload", "feature")
     schema = T.StructType([*stored.select(*kept).schema.fields, *T.StructType.fromDDL(FEATURES).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
