@@ -2,7 +2,7 @@
 
 A text is a TF-IDF vector of its hashed letter n-grams (one to three bytes of lower-cased UTF-8, other characters as a blank),
 normalised. Each language has several centroids, clustered by cosine; a text gets the language of the nearest one, and is
-rejected where it is farther from it than fitted texts are.
+rejected where it is farther from it than nearly all fitted texts of the language are when cut to its length.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, read
+from .common import checkpoint, held_out, others, read
 
 DIMS = 1 << 12
 #: Bytes of a text counted together.
@@ -24,8 +24,13 @@ BLOCK_BYTES = 1 << 20
 #: Texts turned to vectors together.
 BLOCK_TEXTS = 256
 UNKNOWN = "und"
-#: A text of fewer n-grams than this lies farther from its centroid, in proportion to the root of their number.
-FULL_GRAMS = 2000
+#: Fitted texts are cut to these lengths, in characters, to learn how far short texts lie; bands of lengths are by the power of two of their n-grams.
+CUTS = (12, 25, 50, 100, 200, 400, 800, 1600, 3200)
+BANDS = 15
+#: Share, and number, of fitted texts of a band that may lie beyond its limit, as stray ones; and texts that a band needs for a limit of its own.
+BEYOND, STRAY, BAND_TEXTS = 0.01, 2, 20
+#: A cluster of a smaller share of its language's texts is dropped: it would stand for stray texts.
+LEAST_CLUSTER = 0.05
 
 _BLANK = 0x20
 _LETTERS = np.full(256, _BLANK, np.uint32)
@@ -61,7 +66,7 @@ class LanguageModel:
     idf: np.ndarray
     centroids: np.ndarray  # [centroid, dimension], of unit length
     languages: list[str]  # of each centroid
-    nearest: np.ndarray  # cosine of each centroid's farthest fitted text of FULL_GRAMS or more
+    limits: np.ndarray  # [centroid, band]: the cosine that few fitted texts of its language stay below
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
@@ -77,31 +82,77 @@ class LanguageModel:
             best = cosines.argmax(1)
             score = np.clip(cosines[np.arange(len(block)), best], 0, 1)
             known = np.array([has_letter(t) for t in block])
-            reach = self.nearest[best] * slack * np.sqrt(np.minimum(1, counts.sum(1) / FULL_GRAMS))
+            reach = slack * self.limits[best, band(counts)]
             langs += [self.languages[c] if k else UNKNOWN for c, k in zip(best, known, strict=True)]
             scores[a : a + len(block)] = np.where(known, score, 0)
             rejected[a : a + len(block)] = ~known | (score < reach)
         return langs, scores, rejected
 
 
-def _clustered(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means: centroids, and the cluster of each row. Starts with rows far from each other."""
+def band(counts: np.ndarray) -> np.ndarray:
+    """Band of each text's number of n-grams."""
+    return np.clip(np.log2(np.maximum(counts.sum(1), 1)).astype(int), 0, BANDS - 1)
+
+
+def _clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    """Centroids of a spherical k-means. Starts with rows far from each other; clusters too small to stand for more than stray rows are dropped."""
     chosen = [0]
     for _ in range(min(k, len(x)) - 1):
         chosen.append(int((x @ x[chosen].T).max(1).argmin()))
     centroids = x[chosen]
-    for _ in range(rounds):
+    for turn in range(2 * rounds):
         own = (x @ centroids.T).argmax(1)
+        if turn == rounds:
+            sizes = np.bincount(own, minlength=len(centroids))
+            centroids = centroids[sizes >= min(LEAST_CLUSTER * len(x), sizes.max())]
+            if sizes.max() > 2 * LEAST_CLUSTER * len(x) * k and len(centroids) < min(k, len(x)):  # halves of the largest stand in for the dropped ones
+                centroids = _split(x, centroids, min(k, len(x)))
+            own = (x @ centroids.T).argmax(1)
         sums = np.stack([x[own == c].sum(0) if (own == c).any() else centroids[c] for c in range(len(centroids))])
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centroids, (x @ centroids.T).argmax(1)
+    return centroids
 
 
-def fit_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = 2000, centroids: int = 4) -> LanguageModel | None:
+def _split(x: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
+    """k centroids: the largest cluster is halved along its first principal direction until there are as many."""
+    while len(centroids) < k:
+        own = (x @ centroids.T).argmax(1)
+        largest = int(np.bincount(own, minlength=len(centroids)).argmax())
+        rows = x[own == largest] - centroids[largest]
+        direction = np.random.default_rng(0).normal(size=x.shape[1]).astype(x.dtype)
+        for _ in range(8):
+            direction = rows.T @ (rows @ direction)
+            direction /= max(float(np.linalg.norm(direction)), 1e-12)
+        spread = direction * max(float(np.std(rows @ direction)), 1e-6)
+        halves = np.stack([centroids[largest] + spread, centroids[largest] - spread])
+        halves /= np.maximum(np.linalg.norm(halves, axis=1, keepdims=True), 1e-12)
+        centroids = np.concatenate([np.delete(centroids, largest, 0), halves])
+    return centroids
+
+
+def _limits(bands: np.ndarray, cosines: np.ndarray, instead: np.ndarray | None = None) -> np.ndarray:
+    """The low quantile of the cosines of each band; a band of few texts has the limit `instead` or, without one, that of the nearest shorter band,
+    the shortest ones none."""
+    out, last = np.zeros(BANDS), 0.0
+    for b in range(BANDS):
+        own = cosines[bands == b]
+        if len(own) >= BAND_TEXTS:
+            last = float(np.quantile(own, max(BEYOND, STRAY / len(own))))
+            out[b] = last
+        else:
+            out[b] = last if instead is None else instead[b]
+    return out
+
+
+def fit_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = 2000, centroids: int = 4, least_share: float = 0.0005) -> LanguageModel | None:
     """Fits on rows with a language: document frequencies over all of them; centroids on a sample of about fit_rows rows in
-    all, as many of each language as it has up to its equal share, by a hash of the id. None if there is no such row."""
+    all, as many of each language as it has up to its equal share, by a hash of id and text; repeated rows count once in the sample.
+    Languages of a share of rows below least_share aren't learned: so a model has 1 / least_share languages at most, whatever labels
+    there are. Null and empty texts teach nothing; long ones are counted whole. None if there is no row with a language."""
     rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(doc_id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counted = rows.groupBy("lang").count()
+    total = rows.count()
+    sizes = {r["lang"]: r["count"] for r in counted.filter(F.col("count") >= least_share * total).collect()}
     if not sizes:
         return None
 
@@ -116,10 +167,10 @@ def fit_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lang"
     df = np.zeros(DIMS)
     for r in seen:
         df[r["bucket"]] = r["n"]
-    idf = (np.log((1 + sum(sizes.values())) / (1 + df)) + 1).astype(np.float32)
+    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
 
     share = max(1, fit_rows // len(sizes))
-    place = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(share / v)))), F.col("lang")), F.lit(0.0))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,29 +180,48 @@ def fit_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lang"
                 made = pa.array([gram_counts(t).tobytes() for t in part.column(2).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], names=["id", "lang", "counts"])
 
-    sample = rows.filter(place < rate).limit(2 * fit_rows + 100).mapInArrow(features, "id string, lang string, counts binary")
-    fitted = sorted(((r["lang"], r["id"] or "", r["counts"]) for r in sample.collect()), key=lambda r: r[:2])
-    model = LanguageModel(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
+    drawn = checkpoint(rows.filter(place < rate).dropDuplicates(["id", "lang", "text"]).repartition("id", "text"))
+    sample = drawn.mapInArrow(features, "id string, lang string, counts binary")
+    fitted = sorted((r["lang"], r["id"] or "", bytes(r["counts"])) for r in sample.collect())
+    none = np.zeros((0, DIMS), np.float32)
+    model = LanguageModel(idf, none, [], np.zeros((0, BANDS)))
+    means: dict[str, np.ndarray] = {}
     for language in sorted({r[0] for r in fitted}):
         counts = np.stack([np.frombuffer(r[2], np.float32) for r in fitted if r[0] == language])
-        x = model.vectors(counts)
-        means, own = _clustered(x, centroids)
-        long = counts.sum(1) >= FULL_GRAMS
-        cosines = (x @ means.T)[np.arange(len(x)), own]
-        near = [cosines[long & (own == c)].min() if (long & (own == c)).any() else 0.0 for c in range(len(means))]
-        model = LanguageModel(idf, np.concatenate([model.centroids, means]), model.languages + [language] * len(means), np.concatenate([model.nearest, near]))
+        if counts.any():
+            means[language] = _clustered(model.vectors(counts[counts.any(axis=1)]), centroids)
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if language in means and text:
+                    counts = np.stack([gram_counts(t) for t in (text, *(text[:n] for n in CUTS if n < len(text)))])
+                    near = (model.vectors(counts) @ means[language].T).max(1)
+                    out += [(language, int(b), float(c)) for b, c in zip(band(counts), near, strict=True)]
+            langs, bands, cosines = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(bands, pa.int32()), pa.array(cosines, pa.float64())], names=["lang", "band", "cosine"])
+
+    far: dict[str, list[tuple[int, float]]] = {}
+    for r in drawn.select("lang", "text").mapInArrow(distances, "lang string, band int, cosine double").collect():
+        far.setdefault(r["lang"], []).append((r["band"], r["cosine"]))
+    arrays = {language: tuple(np.array(x) for x in zip(*pairs, strict=True)) for language, pairs in far.items()}
+    general = _limits(*(np.concatenate(x) for x in zip(*arrays.values(), strict=True))) if arrays else None
+    for language, own in means.items():
+        limits = np.tile(_limits(*arrays[language], general), (len(own), 1))
+        model = LanguageModel(idf, np.concatenate([model.centroids, own]), model.languages + [language] * len(own), np.concatenate([model.limits, limits]))
     return model if model.languages else None
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", slack: float = 0.5) -> DataFrame:
+def identify_languages(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", slack: float = 0.6) -> DataFrame:
     """All rows and columns, and lang_pred, score (0 to 1) and rejected.
 
-    A text that is null or has no letter is `und`, of score 0, and rejected; others get the language of the nearest
-    centroid, and are rejected if its cosine is below `slack` times that of the centroid's farthest fitted text (less for
-    short texts). Without a model all are `und`. Rows are independent; an empty table stays empty. Input columns of
-    those names are replaced.
+    A text that is null or has no letter is `und`, of score 0, and rejected; others get the language of the nearest centroid (of equally
+    near ones the first, in order of languages), and are rejected if its cosine is below the centroid's limit for texts of that length.
+    A text of any length is read whole. Without a model all are `und`. Rows are independent, so repeated ones get the same; an empty table
+    stays empty. Input columns of those names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    kept = others(docs, "lang_pred", "score", "rejected")
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
