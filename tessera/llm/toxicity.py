@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, held_out, read
+from .common import checkpoint, held_out, others, read
 
 #: Insults and abuse of English, German, French and Spanish.
 LEXICON = (
@@ -207,14 +207,26 @@ def learn_stems(labelled: DataFrame) -> tuple[tuple[str, int], ...]:
     return tuple(chosen)
 
 
+def draw_sample(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, fit_rows: int, seed: int) -> DataFrame:
+    """(id, text, toxic) of about fit_rows rows, by hashes: up to three quarters of them labelled (all labelled ids if there are fewer), the others
+    of all rows without a label in that part. Rows equal in id and text count once, the largest label of an id counts."""
+    known = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic")).filter("id is not null and toxic is not null")
+    place = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    labelled = 3 * fit_rows // 4
+    chosen = checkpoint(known.filter(place(F.col("id").cast("string")) < labelled / max(known.count(), 1)))  # about 3/4 fit_rows ids, so small enough to broadcast
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    with_label = checkpoint(rows.join(F.broadcast(chosen), "id").dropDuplicates(["id", "text"]))
+    n, total = with_label.count(), rows.count()
+    rest = rows.filter(place(F.col("id").cast("string"), "text") < (fit_rows - min(n, labelled)) / max(total, 1))
+    rest = rest.join(F.broadcast(chosen), "id", "left_anti").dropDuplicates(["id", "text"]).join(F.broadcast(chosen).select("id", "toxic"), "id", "left")
+    return checkpoint(with_label.select("id", "text", "toxic").unionByName(rest.select("id", "text", "toxic")).repartition("id", "text"))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", fit_rows: int = 20_000, seed: int = 5) -> ToxicityModel | None:
-    """Fits on a sample of about fit_rows rows of docs, by a hash of the id; labels (doc_id, toxic) cover some: they give stems, hold the
-    label model in place and calibrate the scores; the largest label of an id counts. None if the sample is empty."""
-    total = docs.count()
-    place = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    some = docs.filter(place < fit_rows / max(total, 1)).select(F.col(doc_id).alias("id"), F.col(text).alias("text")).limit(2 * fit_rows)
-    known = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    sample = checkpoint(some.join(known, "id", "left"))
+    """Fits on a sample of about fit_rows rows of docs, three quarters of them labelled if there are as many; labels (doc_id, toxic) give stems,
+    hold the label model in place and calibrate the scores. Null and empty texts are texts without a hit; long texts count whole;
+    ties between voters go to the first. None if the sample is empty."""
+    sample = draw_sample(docs, labels, text=text, doc_id=doc_id, fit_rows=fit_rows, seed=seed)
     stems = learn_stems(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +261,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, *, text: str = "text") -> DataFrame:
     """All rows and columns, and toxicity, a double from 0 to 1.
 
-    Null and empty texts are scored as texts without a hit; without a model all score 0. Rows are independent; an empty table
-    stays empty; an input column named toxicity is replaced.
+    Null and empty texts are scored as texts without a hit, long ones whole; without a model all score 0. Rows are independent, so
+    repeated ones score alike; an empty table stays empty; an input column named toxicity is replaced.
     """
-    kept = [c for c in docs.columns if c != "toxicity"]
+    kept = others(docs, "toxicity")
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("toxicity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
