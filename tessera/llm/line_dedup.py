@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read
+from .common import checkpoint, read, set_aside
 
 WINDOW = 3
 
@@ -19,9 +19,10 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Every removed line has an equal line earlier in the order that stays. Documents of fewer than three lines, null and
     empty texts stay as they are (null: no lines). Rows equal in id and text are one document and treated alike; ids may
-    be null. A text whose lines all go becomes empty. Input columns named n_lines or removed_lines are replaced.
+    be null. A text whose lines all go becomes empty. A text of any length is one row, and its windows are rows. Input columns named n_lines or
+    removed_lines are replaced, all others stay.
     """
-    docs = docs.drop("n_lines", "removed_lines")
+    docs, back = set_aside(docs.drop("n_lines", "removed_lines"))
     lines = F.split(F.col(text), "\n", -1)
     text_hash = F.xxhash64(F.col(text))
     hashed = docs.select(F.col(doc_id).alias("__id"), text_hash.alias("__th"), F.transform(lines, lambda x: F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("__h"))
@@ -44,7 +45,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     removed = F.coalesce(F.size("__covered"), F.lit(0))
     removed = F.when(F.col("__covered").isNull(), 0).otherwise(removed)
     out = joined.withColumns({"n_lines": n_lines, "removed_lines": removed})
-    return out.withColumn(text, F.when(F.col("__covered").isNotNull(), shorter).otherwise(F.col(text))).drop("__own", "__id", "__th", "__covered")
+    return out.withColumn(text, F.when(F.col("__covered").isNotNull(), shorter).otherwise(F.col(text))).drop("__own", "__id", "__th", "__covered").withColumnsRenamed(back)
 
 
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
