@@ -34,6 +34,8 @@ TILE = 8192
 BROADCAST_BUCKETS = 100_000
 #: Rows of numbers up to this many are broadcast to the texts; more are joined. So are sets of up to so many hashes in all to the pairs.
 BROADCAST_ROWS, BROADCAST_HASHES = 500_000, 4_000_000
+#: Labels at a hash up to which all sets of different labels meet there.
+FEW_LABELS = 8
 #: Hashes of sets that a task remembers while it compares texts.
 REMEMBERED = 2_000_000
 #: Shingles that this many texts of a sample of SAMPLE have come last in prefixes, up to MOST_COMMON of them.
@@ -519,46 +521,73 @@ def band_keys() -> list[Column]:
     return [F.conv(F.hex(F.substring("__fp", 1 + k * size, size)), 16, 10).cast("long") + F.lit(k << BAND_BITS) for k in range(8 * LANES // size)]
 
 
+def _similar_enough(shared: Column, n: Column, m: Column, num: int, den: int) -> Column:
+    """Whether sets of n and m hashes that share at most so many can have a similarity of num / den."""
+    return shared * (num + den) >= (n + m) * num
+
+
+def candidate_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a < b, of sets of different labels that share a hash of their prefixes and may be similar enough. shared: __row, __n, __pos and __key of
+    the prefixes' hashes that several sets have.
+
+    At a hash of up to FEW_LABELS labels the sets meet each other, and what a pair shares is counted over such hashes. At a hash of more labels
+    two sets meet only if it is the first that their prefixes share, so that a pair comes once however many frequent hashes it shares.
+    """
+    c = F.col
+    rows = shared.join(labels, c("__row") == c("node"), "left").select("__key", "__row", "__n", "__pos", F.coalesce("label", "__row").alias("__label"))
+    per_label = rows.groupBy("__key", "__label").count().groupBy("__key").agg(F.max_by("__label", "count").alias("__main"), F.count("*").alias("__labels"))
+    mixed = checkpoint(rows.join(per_label.filter("__labels > 1"), "__key"))
+    apart = (c("x.__key") == c("y.__key")) & (c("x.__label") != c("y.__label"))
+    once = (c("y.__label") == c("y.__main")) | (c("x.__row") < c("y.__row"))  # of two labels at a hash one isn't the main one
+
+    def ends(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return df.filter("__label <> __main").alias("x"), df.alias("y")
+
+    def at_most(before: Column, pos_x: Column, pos_y: Column) -> Column:
+        """Hashes that a pair shares, if they share those at the positions and so many before them."""
+        return before + F.least(c("x.__n") - pos_x, c("y.__n") - pos_y)
+
+    few, many = mixed.filter(c("__labels") <= FEW_LABELS), mixed.filter(c("__labels") > FEW_LABELS)
+    frequent = many.groupBy("__row").agg(F.count("*").alias("__frequent"))
+    x, y = ends(few.join(_small(checkpoint(frequent)), "__row", "left").fillna(0, ["__frequent"]))
+    possible = _similar_enough(at_most(F.least("x.__pos", "y.__pos"), c("x.__pos"), c("y.__pos")), c("x.__n"), c("y.__n"), num, den)
+    met = x.join(y, apart & once & possible)
+    swap = c("x.__row") > c("y.__row")
+    sides = [F.when(swap, c(f"{v}.__{k}")).otherwise(c(f"{u}.__{k}")).alias(f"{k}_{u}") for u, v in ("xy", "yx") for k in ("row", "n", "pos", "frequent")]
+    grouped = met.select(*sides).groupBy(c("row_x").alias("a"), c("row_y").alias("b"), "n_x", "n_y", "frequent_x", "frequent_y").agg(F.max("pos_x").alias("pos_x"), F.max("pos_y").alias("pos_y"), F.count("*").alias("same"))
+    most = c("same") - 1 + F.least("frequent_x", "frequent_y") + F.least(c("n_x") - c("pos_x"), c("n_y") - c("pos_y"))
+    counted = grouped.filter(_similar_enough(most, c("n_x"), c("n_y"), num, den)).select("a", "b")
+
+    wide = many.join(sets.select("__row", "__prefix"), "__row")
+    x, y = ends(wide)
+    first = ~F.arrays_overlap(F.slice("x.__prefix", 1, c("x.__pos")), F.slice("y.__prefix", 1, c("y.__pos")))
+    both = F.array_intersect("x.__prefix", "y.__prefix")  # in the order of both
+    last = F.try_element_at(both, F.lit(-1))
+    counted_too = at_most(F.size(both) - 1, F.array_position("x.__prefix", last) - 1, F.array_position("y.__prefix", last) - 1)
+    possible = _similar_enough(at_most(F.lit(0), c("x.__pos"), c("y.__pos")), c("x.__n"), c("y.__n"), num, den)
+    enough = F.when(possible, F.when(first, _similar_enough(counted_too, c("x.__n"), c("y.__n"), num, den)))  # the cheap test first
+    frequent_pairs = x.join(y, apart & once & F.coalesce(enough, F.lit(False))).select(F.least("x.__row", "y.__row").alias("a"), F.greatest("x.__row", "y.__row").alias("b"))
+    return counted.union(frequent_pairs).distinct()
+
+
 def similar_sets(slim: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links (a, b), a < b, whose components are those of all pairs of sets of Jaccard similarity num / den or more. nodes: __row of a row of
     slim for each set.
 
-    First the links that span those of wide fingerprints in the buckets of their bands, and neighbours by size at a hash of the prefixes, are
-    confirmed, which joins nearly all of a large group of near copies by links as many as its members. Then all pairs of different components that
-    share a hash of their prefixes are, so that none is missed.
+    First the links that span those of wide fingerprints in the buckets of their bands are confirmed, which joins nearly all of a large
+    group of near copies by links as many as its members. Then all pairs of different components that share a hash of their prefixes are, so
+    that none is missed.
     """
     sets = slim.join(_small(nodes), "__row", "left_semi")
     alike = num / den
     radius = int(64 * LANES * (math.acos(2 * alike / (1 + alike)) / math.pi + RADIUS_SLACK))
-    spanning = link_buckets(sets.select(F.col("__row").alias("__node"), "__fp"), band_keys(), radius, direct=True)
-    keyed = sets.select("__row", "__n", F.posexplode("__prefix").alias("__pos", "__key"))
-    at_key = Window.partitionBy("__key").orderBy("__n", "__row")
-    before = {f"__p{c}": F.lag(f"__{c}").over(at_key) for c in ("row", "n", "pos")}
-    shared = checkpoint(keyed.select("*", *(x.alias(c) for c, x in before.items()), F.lead("__row").over(at_key).alias("__next")).filter("__prow is not null or __next is not null").drop("__next"))
-
-    def may_reach(n: Column, pos: Column, m: Column, at: Column, earlier: Column | None = None) -> Column:
-        """Not if sets of n and m hashes that share the ones at pos and at (and `earlier` before those) can't be similar enough."""
-        most = (F.least(pos, at) if earlier is None else earlier) + 1 + F.least(n - pos, m - at) - 1
-        return most * (num + den) >= (n + m) * num
-
-    c = F.col
-    near = shared.filter(c("__prow").isNotNull() & may_reach(c("__n"), c("__pos"), c("__pn"), c("__ppos")))
-    neighbours = near.select(F.least("__row", "__prow").alias("a"), F.greatest("__row", "__prow").alias("b"))
-    first = checkpoint(spanning.union(neighbours).distinct())
+    first = checkpoint(link_buckets(sets.select(F.col("__row").alias("__node"), "__fp"), band_keys(), radius, direct=True))
     links = confirmed(first, docs, slim, words, num, den)
 
-    labels = components(links)
-    rows = shared.join(labels, c("__row") == c("node"), "left").select("__key", "__row", "__n", "__pos", F.coalesce("label", "__row").alias("__label"))
-    per_label = rows.groupBy("__key", "__label").count().groupBy("__key").agg(F.max_by("__label", "count").alias("__main"), F.count("*").alias("__labels"))
-    mixed = checkpoint(rows.join(per_label.filter("__labels > 1").drop("__labels"), "__key"))
-    x, y = mixed.filter("__label <> __main").alias("x"), mixed.alias("y")  # of two labels at a hash one isn't the main one
-    once = (c("y.__label") == c("y.__main")) | (c("x.__row") < c("y.__row"))
-    possible = may_reach(c("x.__n"), c("x.__pos"), c("y.__n"), c("y.__pos"))
-    met = x.join(y, (c("x.__key") == c("y.__key")) & (c("x.__label") != c("y.__label")) & once & possible)
-    swap = c("x.__row") > c("y.__row")
-    sides = [F.when(swap, c(f"{v}.__{k}")).otherwise(c(f"{u}.__{k}")).alias(f"{k}_{u}") for u, v in ("xy", "yx") for k in ("row", "n", "pos")]
-    grouped = met.select(*sides).groupBy(c("row_x").alias("a"), c("row_y").alias("b"), "n_x", "n_y").agg(F.max("pos_x").alias("pos_x"), F.max("pos_y").alias("pos_y"), F.count("*").alias("same"))
-    rest = grouped.filter(may_reach(c("n_x"), c("pos_x"), c("n_y"), c("pos_y"), c("same") - 1)).select("a", "b").join(first, ["a", "b"], "left_anti")
+    keyed = sets.select("__row", "__n", F.posexplode("__prefix").alias("__pos", "__key"))
+    at_key = Window.partitionBy("__key").orderBy("__row")
+    shared = checkpoint(keyed.withColumns({"before": F.lag("__row").over(at_key), "after": F.lead("__row").over(at_key)}).filter("before is not null or after is not null").drop("before", "after"))
+    rest = candidate_pairs(shared, components(links), sets, num, den).join(first, ["a", "b"], "left_anti")
     return links.union(confirmed(checkpoint(rest), docs, slim, words, num, den))
 
 
