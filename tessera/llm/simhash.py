@@ -34,8 +34,8 @@ TILE = 8192
 BROADCAST_BUCKETS = 100_000
 #: Rows of numbers up to this many are broadcast to the texts; more are joined. So are sets of up to so many hashes in all to the pairs.
 BROADCAST_ROWS, BROADCAST_HASHES = 500_000, 4_000_000
-#: Labels at a hash up to which all sets of different labels meet there.
-FEW_LABELS = 8
+#: Labels at a hash up to which all sets of different labels meet there; beyond it sets meet at the first hash they share.
+FEW_LABELS = 64
 #: Hashes of sets that a task remembers while it compares texts.
 REMEMBERED = 2_000_000
 #: Shingles that this many texts of a sample of SAMPLE have come last in prefixes, up to MOST_COMMON of them.
@@ -526,12 +526,12 @@ def _similar_enough(shared: Column, n: Column, m: Column, num: int, den: int) ->
     return shared * (num + den) >= (n + m) * num
 
 
-def candidate_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def candidate_pairs(shared: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b), a < b, of sets of different labels that share a hash of their prefixes and may be similar enough. shared: __row, __n, __pos and __key of
     the prefixes' hashes that several sets have.
 
     At a hash of up to FEW_LABELS labels the sets meet each other, and what a pair shares is counted over such hashes. At a hash of more labels
-    two sets meet only if it is the first that their prefixes share, so that a pair comes once however many frequent hashes it shares.
+    two sets meet only if it is the first that they share, so that a pair comes once however many frequent hashes it shares.
     """
     c = F.col
     rows = shared.join(labels, c("__row") == c("node"), "left").select("__key", "__row", "__n", "__pos", F.coalesce("label", "__row").alias("__label"))
@@ -547,9 +547,9 @@ def candidate_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, num:
         """Hashes that a pair shares, if they share those at the positions and so many before them."""
         return before + F.least(c("x.__n") - pos_x, c("y.__n") - pos_y)
 
-    few, many = mixed.filter(c("__labels") <= FEW_LABELS), mixed.filter(c("__labels") > FEW_LABELS)
-    frequent = many.groupBy("__row").agg(F.count("*").alias("__frequent"))
-    x, y = ends(few.join(_small(checkpoint(frequent)), "__row", "left").fillna(0, ["__frequent"]))
+    frequent = c("__labels") > FEW_LABELS
+    times = _small(checkpoint(mixed.filter(frequent).groupBy("__row").agg(F.count("*").alias("__frequent"))))
+    x, y = ends(mixed.filter(~frequent).join(times, "__row", "left").fillna(0, ["__frequent"]))
     possible = _similar_enough(at_most(F.least("x.__pos", "y.__pos"), c("x.__pos"), c("y.__pos")), c("x.__n"), c("y.__n"), num, den)
     met = x.join(y, apart & once & possible)
     swap = c("x.__row") > c("y.__row")
@@ -558,12 +558,16 @@ def candidate_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, num:
     most = c("same") - 1 + F.least("frequent_x", "frequent_y") + F.least(c("n_x") - c("pos_x"), c("n_y") - c("pos_y"))
     counted = grouped.filter(_similar_enough(most, c("n_x"), c("n_y"), num, den)).select("a", "b")
 
-    wide = many.join(sets.select("__row", "__prefix"), "__row")
-    x, y = ends(wide)
-    first = ~F.arrays_overlap(F.slice("x.__prefix", 1, c("x.__pos")), F.slice("y.__prefix", 1, c("y.__pos")))
-    both = F.array_intersect("x.__prefix", "y.__prefix")  # in the order of both
-    last = F.try_element_at(both, F.lit(-1))
-    counted_too = at_most(F.size(both) - 1, F.array_position("x.__prefix", last) - 1, F.array_position("y.__prefix", last) - 1)
+    # Each set that has frequent hashes with all that it may share with sets of other labels, in order.
+    held = F.array_sort(F.collect_list(F.struct("__pos", "__key", "__main", "__labels")))
+    whole = mixed.join(times, "__row", "left_semi").groupBy("__row", "__n", "__label").agg(held.alias("held"))
+    keys, places = F.transform("held", lambda h: h["__key"]), F.transform("held", lambda h: h["__pos"])
+    listed = whole.select("*", keys.alias("__keys"), places.alias("__places"), F.posexplode("held").alias("__i", "h")).filter(c("h.__labels") > FEW_LABELS)
+    x, y = ends(listed.select("__row", "__n", "__label", "__keys", "__places", "__i", "h.__key", "h.__pos", "h.__main"))
+    first = ~F.arrays_overlap(F.slice("x.__keys", 1, c("x.__i")), F.slice("y.__keys", 1, c("y.__i")))
+    both = F.array_intersect("x.__keys", "y.__keys")  # in the order of both
+    place = lambda side: F.try_element_at(c(f"{side}.__places"), F.array_position(f"{side}.__keys", F.try_element_at(both, F.lit(-1))).cast("int"))
+    counted_too = at_most(F.size(both) - 1, place("x"), place("y"))
     possible = _similar_enough(at_most(F.lit(0), c("x.__pos"), c("y.__pos")), c("x.__n"), c("y.__n"), num, den)
     enough = F.when(possible, F.when(first, _similar_enough(counted_too, c("x.__n"), c("y.__n"), num, den)))  # the cheap test first
     frequent_pairs = x.join(y, apart & once & F.coalesce(enough, F.lit(False))).select(F.least("x.__row", "y.__row").alias("a"), F.greatest("x.__row", "y.__row").alias("b"))
@@ -587,7 +591,7 @@ def similar_sets(slim: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
     keyed = sets.select("__row", "__n", F.posexplode("__prefix").alias("__pos", "__key"))
     at_key = Window.partitionBy("__key").orderBy("__row")
     shared = checkpoint(keyed.withColumns({"before": F.lag("__row").over(at_key), "after": F.lead("__row").over(at_key)}).filter("before is not null or after is not null").drop("before", "after"))
-    rest = candidate_pairs(shared, components(links), sets, num, den).join(first, ["a", "b"], "left_anti")
+    rest = candidate_pairs(shared, components(links), num, den).join(first, ["a", "b"], "left_anti")
     return links.union(confirmed(checkpoint(rest), docs, slim, words, num, den))
 
 

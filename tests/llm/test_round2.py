@@ -322,3 +322,25 @@ def test_columns_named_as_the_operators_own_stay(spark):
     ):
         r = out.first()
         assert all(r[c] == f"my {c}" for c in kept)
+
+
+def test_near_dedup_where_a_hash_has_many_labels(spark, monkeypatch):
+    """Texts that all share some shingles, and pairs of them that are alike, by both ways of meeting."""
+    from tests.llm.test_operators import kept_by_brute_force
+
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice([*"abcdefgh"], 5)) for _ in range(2000)]
+    base, rows = [str(x) for x in rng.choice(words, 60)], []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.integers(1, 4)):  # each run changes five shingles and more
+            at = int(rng.integers(0, 55))
+            w[at : at + 2] = [str(x) for x in rng.choice(words, rng.integers(0, 4))]
+        rows.append((i, " ".join(w)))
+    want = kept_by_brute_force(rows)
+    assert 3 < len(want) < 58
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most, lanes in ((64, 4), (1, 4), (1, 1)):
+        monkeypatch.setattr(simhash, "FEW_LABELS", most)
+        monkeypatch.setattr(simhash, "RADIUS_SLACK", 0.02 if lanes == 4 else -0.15)  # without links by fingerprints
+        assert sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect()) == want
