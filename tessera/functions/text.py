@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value made once, however often f names it: the optimiser may put a column's expression wherever it is named, also in lambdas."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def runs(ordered: Column, of: Callable[[Column], Column], shown: Callable[[Column, Column, Column], Column]) -> Column:
+    """shown(value, start, end) of each run of equal values of(x) of a sorted array."""
+
+    def starts(s: Column) -> Column:
+        at = lambda i: of(F.get(s, i))
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+        return F.when(F.size(s) > 0, first).otherwise(F.array().cast("array<int>"))
+
+    def listed(s: Column, at: Column) -> Column:
+        ends = F.slice(F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(s))), 1, F.size(at))
+        return F.zip_with(at, ends, lambda a, b: shown(F.get(s, a), a, b))
+
+    return let(ordered, lambda s: let(starts(s), lambda at: listed(s, at)))
+
+
 def long_words(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: F.length(t) > 3)
 
@@ -60,3 +82,17 @@ def cosine(a: Column, b: Column) -> Column:
 def stepped_percentile_rank(n: Column, q: float) -> Column:
     """The 1-based rank min(n, floor(q n) + 1) of a quantile."""
     return F.least(n, F.floor(n * q) + 1)
+
+
+def running(values: Column, block: int = 512) -> Column:
+    """Sums of an array<long> before each of its elements, in blocks, so that the cost stays near linear."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+
+    def before(x: Column) -> Column:
+        start = F.struct(zero.alias("sum"), none.alias("out"))
+        return F.aggregate(x, start, lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")))["out"]
+
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(block)), lambda i: F.slice(values, i, block))
+    total = lambda x: F.aggregate(x, zero, lambda acc, v: acc + v)
+    placed = lambda parts, bases: F.zip_with(parts, bases, lambda p, base: F.transform(before(p), lambda v: v + base))
+    return let(blocks, lambda parts: F.flatten(let(before(F.transform(parts, total)), lambda bases: placed(parts, bases))))

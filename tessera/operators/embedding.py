@@ -1,33 +1,54 @@
-"""Hash embeddings in long form (id, bucket, weight), dense vectors, incremental and batched embedding."""
+"""Hash embeddings as entries and in long form (id, bucket, weight), dense vectors, incremental and batched embedding."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.rules import IDENTIFIER, IDENTIFIER_WEIGHT, IDENTIFIER_WORD, SYNONYMS
-from tessera.functions.text import bucket, text_hash, tokens
+from tessera.functions.text import bucket, let, runs, text_hash, tokens
 
 
-def _unit_rows(weights: DataFrame, key: str) -> DataFrame:
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    return weights.select(key, "bucket", (F.col("weight") / length).alias("weight"))
+def _unit_entries(counted: Column, logarithmic: bool) -> Column:
+    """(bucket, weight) of (bucket, n), of unit length."""
+    weigh = (lambda n: 1 + F.log(n)) if logarithmic else (lambda n: n)
+    weighed = F.transform(counted, lambda x: F.struct(x["bucket"].alias("bucket"), weigh(x["n"]).alias("weight")))
+    length = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"]))
+    scaled = lambda w, n: F.transform(w, lambda x: F.struct(x["bucket"].alias("bucket"), (x["weight"] / n).alias("weight")))
+    return let(weighed, lambda w: let(length(w), lambda n: scaled(w, n)))
+
+
+def _tokens(text: Column) -> Column:
+    return F.coalesce(tokens(text), F.array().cast("array<string>"))
+
+
+def long_form(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, bucket, weight) of entries."""
+    return vectors.select(key, F.explode("entries").alias("e")).select(key, "e.bucket", "e.weight")
+
+
+def hash_vectors(texts: DataFrame, key: str, dims: int = 256, bigrams: bool = True, logarithmic: bool = True) -> DataFrame:
+    """(key, entries array<struct<bucket, weight>>) of texts (key, text), of unit length: a bucket counts 1 for each of its tokens and 0.5 for each bigram,
+    and weighs 1 + ln(count), or the count. A text without tokens, or null, has no entries: the zero vector."""
+    # A row has all of its tokens, so they are sorted and counted in the row: nothing is shuffled. A bucket is listed once for each half that counts.
+
+    def halves(words: Column) -> Column:
+        ones = F.transform(words, lambda t: F.array_repeat(bucket(t, dims), 2))
+        if not bigrams:
+            return F.flatten(ones)
+        pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda t, i: bucket(F.concat(F.get(words, i), F.lit("_"), t), dims))
+        return F.concat(F.flatten(ones), pairs)
+
+    counted = runs(F.sort_array(let(_tokens(F.col("text")), halves)), lambda x: x, lambda b, start, end: F.struct(b.alias("bucket"), ((end - start) / F.lit(2.0)).alias("n")))
+    return texts.select(key, _unit_entries(counted, logarithmic).alias("entries"))
 
 
 def hash_embed(texts: DataFrame, key: str, dims: int = 256, bigrams: bool = True, logarithmic: bool = True) -> DataFrame:
-    """(key, bucket, weight) of texts (key, text), of unit length: a bucket counts 1 for each of its tokens and 0.5 for each bigram, and weighs
-    1 + ln(count), or the count. A text without tokens has no rows: the zero vector."""
-    words = texts.select(key, tokens(F.col("text")).alias("words"))
-    ones = F.transform("words", lambda t: F.struct(bucket(t, dims).alias("bucket"), F.lit(1.0).alias("n")))
-    if bigrams:
-        pairs = F.transform("words", lambda t, i: F.struct(bucket(F.concat(F.get(F.col("words"), i - 1), F.lit("_"), t), dims).alias("bucket"), F.lit(0.5).alias("n")))
-        ones = F.concat(ones, F.when(F.size("words") > 1, F.slice(pairs, 2, F.greatest(F.size("words") - 1, F.lit(0)))).otherwise(F.slice(pairs, 1, 0)))
-    counted = words.select(key, F.explode(ones).alias("x")).groupBy(key, F.col("x.bucket").alias("bucket")).agg(F.sum("x.n").alias("n"))
-    weight = 1 + F.log("n") if logarithmic else F.col("n")
-    return _unit_rows(counted.select(key, "bucket", weight.alias("weight")), key)
+    """hash_vectors in long form, (key, bucket, weight): a text without tokens has no rows."""
+    return long_form(hash_vectors(texts, key, dims, bigrams, logarithmic), key)
 
 
 def canonical(token: Column) -> Column:
@@ -38,10 +59,11 @@ def canonical(token: Column) -> Column:
 
 def stub_embed(texts: DataFrame, key: str, dims: int = 256) -> DataFrame:
     """hash_embed with synonyms in one bucket and identifiers in another one, of little weight; linear counts."""
-    words = texts.select(key, F.explode(tokens(F.col("text"))).alias("token"))
-    weight = F.when(F.col("token").rlike(IDENTIFIER), F.lit(IDENTIFIER_WEIGHT)).otherwise(F.lit(1.0))
-    counted = words.select(key, bucket(canonical(F.col("token")), dims).alias("bucket"), weight.alias("w")).groupBy(key, "bucket").agg(F.sum("w").alias("weight"))
-    return _unit_rows(counted, key)
+    weight = lambda t: F.when(t.rlike(IDENTIFIER), F.lit(IDENTIFIER_WEIGHT)).otherwise(F.lit(1.0))
+    parts = F.sort_array(F.transform(_tokens(F.col("text")), lambda t: F.struct(bucket(canonical(t), dims).alias("bucket"), weight(t).alias("n"))))
+    total = lambda s, start, end: F.aggregate(F.slice(s, start + 1, end - start), F.lit(0.0), lambda acc, x: acc + x["n"])
+    counted = let(parts, lambda s: runs(s, lambda x: x["bucket"], lambda x, start, end: F.struct(x["bucket"].alias("bucket"), total(s, start, end).alias("n"))))
+    return long_form(texts.select(key, _unit_entries(counted, False).alias("entries")), key)
 
 
 def memory_embed(texts: DataFrame, key: str) -> DataFrame:
@@ -49,11 +71,11 @@ def memory_embed(texts: DataFrame, key: str) -> DataFrame:
     return hash_embed(texts, key, dims=128, bigrams=False, logarithmic=False)
 
 
-def dense(weights: DataFrame, key: str, dims: int) -> DataFrame:
-    """(key, vector array<double>) of a long form."""
-    held = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("at"))
-    zero = F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))
-    return held.select(key, F.transform(zero, lambda b: F.coalesce(F.try_element_at(F.col("at"), b), F.lit(0.0))).alias("vector"))
+def dense(vectors: DataFrame, key: str, dims: int) -> DataFrame:
+    """(key, vector array<double>) of entries; the zero vector where there are none."""
+    places = F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))
+    spread = lambda at: F.transform(places, lambda b: F.coalesce(F.try_element_at(at, b), F.lit(0.0)))
+    return vectors.select(key, let(F.map_from_entries("entries"), spread).alias("vector"))
 
 
 def embed_batched(texts: DataFrame, key: str, model: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:

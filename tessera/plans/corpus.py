@@ -49,10 +49,7 @@ def chunk_markdown(spark, d):
 @add()
 def chunk_semantic(spark, d):
     def embed(sentences):
-        long = embedding.hash_embed(sentences, "sentence_id", dims=64)
-        full = embedding.dense(long, "sentence_id", 64)
-        zero = F.array_repeat(F.lit(0.0), 64)
-        return sentences.select("sentence_id").join(full, "sentence_id", "left").select("sentence_id", F.coalesce("vector", zero).alias("vector"))
+        return embedding.dense(embedding.hash_vectors(sentences, "sentence_id", dims=64), "sentence_id", 64)
 
     return chunking.chunk_semantic(documents(spark, d), embed, 1200)
 
@@ -146,7 +143,7 @@ def embed_incremental(spark, d):
     docs = documents(spark, d)
 
     def embed(t):
-        return embedding.dense(embedding.hash_embed(t, "cache_key"), "cache_key", 256)
+        return embedding.dense(embedding.hash_vectors(t, "cache_key"), "cache_key", 256)
 
     old = docs.filter("doc_id % 3 = 0").select(embedding.cache_key("hash-256", F.col("text")).alias("cache_key"), "text").dropDuplicates(["cache_key"])
     return embedding.embed_incremental(docs, embed(old), "hash-256", embed)[1]
@@ -162,12 +159,13 @@ def embed_batched(spark, d):
     return embedding.embed_batched(documents(spark, d), "doc_id", letter_model)
 
 
-@add()
+@add("SELECT substr(sha256(text), 1, 16) AS doc_id, sha256(text) AS content_hash, count(*) AS files, length(text) AS chars FROM documents WHERE text IS NOT NULL GROUP BY text")
 def load_corpus(spark, d):
-    """A text file per source, written from the documents, read back as a corpus."""
+    """A text file per document, written from the table, read back as a corpus. Files are named by the writer, so documents are told by their hashes."""
     path = fresh_path(spark, "corpus")
-    documents(spark, d).repartition("source").sortWithinPartitions("source", "doc_id").select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
-    return files.load_corpus(spark, path, "*.txt").select("doc_id", "source", F.length("text").alias("chars"))
+    documents(spark, d).filter("text is not null").select(F.col("text").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(path)
+    read_back = files.load_corpus(spark, path, "*.txt").withColumn("text", F.rtrim(F.col("text"), F.lit("\x00")))
+    return read_back.groupBy(X.text_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("files"), F.max(F.length("text")).cast("long").alias("chars")).select(F.substring("content_hash", 1, 16).alias("doc_id"), "content_hash", "files", "chars")
 
 
 @add("SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE source = 'src3'")

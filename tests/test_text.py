@@ -115,3 +115,45 @@ def test_request_rules(spark):
     good, bad = validation.request_validation(spark.createDataFrame(rows, validation.REQUEST))
     assert [r["request_id"] for r in good.collect()] == [1]
     assert {r["request_id"]: r["violations"] for r in bad.collect()} == {2: ["messages", "model", "temperature", "max_tokens", "conversation_id"], 3: ["role", "content"], 4: ["last_message"]}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_chunkers_and_embeddings_shuffle_nothing(spark):
+    d = docs(spark, "One. Two! Three", "more text here")
+    assert exchanges(chunking.chunk_fixed(d, 5, 2)) == exchanges(chunking.split_sentences(d)) == exchanges(chunking.chunk_recursive(d, 5, 2)) == 0
+    assert exchanges(embedding.hash_embed(d.select("doc_id", "text"), "doc_id")) == exchanges(embedding.stub_embed(d.select("doc_id", "text"), "doc_id")) == 0
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(7, 0), (7, 3), (7, 6), (5, 4), (1, 0), (40, 39)])
+def test_fixed_windows_equal_brute_force(spark, size, overlap):
+    texts = ["äb🎉d efg\nhijkl mnop" * 3, "abc", "", " x ", "y" * size, "z" * (size + 1)]
+    step, want = size - overlap, []
+    for i, t in enumerate(texts):
+        pieces = [(s, t[s : s + size]) for s in range(0, len(t), step)]
+        if len(pieces) > 1 and len(t) <= pieces[-2][0] + size:
+            pieces.pop()
+        want += [(i, n, s, s + len(r), r.strip()) for n, (s, r) in enumerate([p for p in pieces if p[1].strip()])]
+    rows = chunking.chunk_fixed(docs(spark, *texts), size, overlap).collect()
+    assert sorted((r["doc_id"], r["ordinal"], r["start"], r["end"], r["text"]) for r in rows) == sorted(want)
+
+
+def test_null_and_long_texts(spark):
+    d = docs(spark, None, "word " * 40_000)
+    assert chunking.chunk_fixed(d, 1000, 100).filter("doc_id = 0").count() == 0
+    rows = chunking.chunk_fixed(d, 1000, 100).collect()
+    assert len(rows) == 223 or sum(r["end"] - r["start"] for r in rows) > 200_000
+    assert chunking.split_sentences(docs(spark, None, "Hi. " * 3000)).agg(F.max("start")).first()[0] == 4 * 2999
+    assert embedding.hash_vectors(d.select("doc_id", "text"), "doc_id").filter("size(entries) = 0").count() == 1
+
+
+def test_heading_paths_skip_levels():
+    assert chunking.heading_paths([1, 3, 2, 4, 1, 2], [*"abcdef"]) == ["a", "a > b", "a > c", "a > c > d", "e", "e > f"]
+
+
+def test_batched_embedding_calls_the_model_in_batches(spark):
+    sizes = spark.createDataFrame([(i, "t" * i) for i in range(10)], "id long, text string").coalesce(1)
+    rows = embedding.embed_batched(sizes, "id", lambda texts: [[len(t), len(texts)] for t in texts], 4).orderBy("id").collect()
+    assert [r["vector"][0] for r in rows] == [*map(float, range(10))] and [r["vector"][1] for r in rows] == [4.0] * 8 + [2.0] * 2
