@@ -6,9 +6,11 @@ it contains a marker, whatever the case.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +130,43 @@ def compare_configs(results: dict[str, DataFrame], metrics: list[str]) -> DataFr
         every = part if every is None else every.unionByName(part)
     long = every.unpivot("config", metrics, "metric", "value")
     return long.groupBy("metric").pivot("config", [*results]).agg(F.round(F.avg("value"), 6))
+
+
+#: Markers looked for at once.
+MARKERS = 100_000
+
+
+def markers_found(texts: DataFrame, markers: DataFrame) -> DataFrame:
+    """The query_ids of markers (query_id, marker) that occur in some text (text), in any case. A task looks for all markers in one pass of each of
+    its texts; more than MARKERS of them are looked for in turns."""
+    kind = markers.schema["query_id"].dataType.simpleString()
+    low = texts.select(F.lower("text").alias("low")).filter("low is not null")
+    turns = max(1, math.ceil(markers.count() / MARKERS))
+    out = None
+    for turn in range(turns):
+        some = markers if turns == 1 else markers.filter(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
+        held: dict[str, list] = {}
+        for r in some.select("query_id", F.lower("marker").alias("marker")).toLocalIterator():
+            held.setdefault(r["marker"], []).append(r["query_id"])
+        wanted = texts.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            left, search = dict(wanted.value), ahocorasick.Automaton()
+            for marker in left:
+                search.add_word(marker, marker)
+            search.make_automaton()
+            seen: set[str] = {m for m in left if not m}
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    seen.update(m for _, m in search.iter(text)) if len(search) else None
+            ids = [q for m in seen for q in left[m]]
+            yield pa.RecordBatch.from_pydict({"query_id": ids}, schema=pa.schema([pa.field("query_id", ARROW.get(kind, pa.string()))]))
+
+        found = low.mapInArrow(run, f"query_id {kind}")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

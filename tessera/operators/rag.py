@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rules import NO_ANSWER
 from tessera.functions.text import CHARS_PER_TOKEN, dot, strip, text_hash, unit
+from tessera.operators.search import hybrid_topk
 
 
 def ingest(docs: DataFrame, known: DataFrame, chunk: Callable[[DataFrame], DataFrame], old_chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -25,6 +26,14 @@ def ingest(docs: DataFrame, known: DataFrame, chunk: Callable[[DataFrame], DataF
     return kept, state, stats.select("documents", "chunks", "skipped")
 
 
+def retrieve(questions: DataFrame, dense: Callable[[DataFrame, int], DataFrame], bm25: Callable[[DataFrame, int], DataFrame] | None = None, rerank: Callable[[DataFrame, int], DataFrame] | None = None, k: int = 3, fetch: int = 20) -> DataFrame:
+    """k hits of each question by vectors alone, or fused with BM25 where it is given, each `fetch` deep. With a reranker `fetch` hits are taken, of which
+    it keeps k. dense, bm25: from questions (query_id, text) and a number to hits; rerank: from hits and a number to hits."""
+    wide = k if rerank is None else fetch
+    found = dense(questions, wide) if bm25 is None else hybrid_topk(dense(questions, fetch), bm25(questions, fetch), wide)
+    return found if rerank is None else rerank(found, k)
+
+
 def relevance_gate(questions: DataFrame, hits: DataFrame, query_vectors: DataFrame, vectors: DataFrame, least: float = 0.05) -> DataFrame:
     """(query_id, relevance, refused): the best cosine of a question to its retrieved chunks, not below 0; refused without chunks or below `least`."""
     asked = query_vectors.select("query_id", unit(F.col("vector")).alias("q"))

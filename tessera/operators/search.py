@@ -5,22 +5,28 @@ Hits are rows (query_id, chunk_id, rank, score); ties go to the smaller chunk_id
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.text import dot, strip, tokens, unit
+from tessera.functions.rules import BULLETS, NUMBER
+from tessera.functions.text import let, runs, strip, tokens, unit
 
 K1, B = 1.5, 0.75
 RRF_CONSTANT = 60
 #: A query table of up to this many rows is broadcast to the vectors; a larger one is dealt to them block by block.
 BROADCAST_QUERIES = 5_000
-#: Candidate blocks that a larger query table is sent to.
-BLOCKS = 64
+#: Vectors of a block that meets a block of queries, and cells of a score matrix made at once.
+BLOCK_VECTORS, CELLS = 32_768, 1 << 21
+#: Terms asked for, up to which they are broadcast to the postings.
+BROADCAST_TERMS = 200_000
 
 
 def top_k(scored: DataFrame, k: int, *ties: Column) -> DataFrame:
@@ -38,12 +44,29 @@ class Bm25Index:
     stats: DataFrame
 
 
-def bm25_index(chunks: DataFrame) -> Bm25Index:
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("words"))
-    counted = words.select("chunk_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    terms = counted.groupBy("term").agg(F.count("*").alias("df"))  # a term has one posting per chunk
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    return Bm25Index(counted.select("chunk_id", "term", "tf", "dl"), terms, stats)
+def bm25_index(chunks: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> Bm25Index:
+    """A chunk's terms are counted in its row, so only the terms' document frequencies are shuffled. keep: writes the counted chunks
+    somewhere and returns them, so that they aren't made again for each part of the index."""
+    terms_of = lambda s: runs(s, lambda t: t, lambda t, start, end: F.struct(t.alias("term"), (end - start).cast("long").alias("tf")))
+    shape = lambda s: F.struct(F.size(s).cast("long").alias("dl"), terms_of(s).alias("terms"))
+    words = F.sort_array(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
+    counted = chunks.select("chunk_id", let(words, shape).alias("counted")).select("chunk_id", "counted.dl", "counted.terms")
+    counted = counted if keep is None else keep(counted)
+    postings = counted.select("chunk_id", "dl", F.explode("terms").alias("p")).select("chunk_id", "p.term", "p.tf", "dl")
+    terms = postings.groupBy("term").agg(F.count("*").alias("df"))  # a term has one posting per chunk
+    return Bm25Index(postings, terms, counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def write_bm25_index(index: Bm25Index, path: str) -> None:
+    """The index as files: postings sorted by term within ranges of terms, so that a search reads the row groups of its terms."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    written = index.postings.sparkSession.read.parquet(f"{path}/postings")
+    written.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    index.stats.write.parquet(f"{path}/stats")
+
+
+def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
+    return Bm25Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")))
 
 
 def bm25_idf(index: Bm25Index, asked: DataFrame | None = None) -> DataFrame:
@@ -54,42 +77,137 @@ def bm25_idf(index: Bm25Index, asked: DataFrame | None = None) -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = 5, among: DataFrame | None = None) -> DataFrame:
-    """The k best chunks of each query (query_id, text) of a score above 0; a repeated query term counts again; `among` (chunk_id) restricts first."""
+    """The k best chunks of each query (query_id, text) of a score above 0; a repeated query term counts again; `among` (chunk_id) restricts first.
+
+    The terms asked for, with their weights, are broadcast to the postings up to BROADCAST_TERMS of them, so that frequent terms are no hot keys."""
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else (lambda df: df)
     postings = index.postings if among is None else index.postings.join(among, "chunk_id", "left_semi")
-    wanted = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    scaled = wanted.join(bm25_idf(index, asked), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    weighed = small(asked.select("term").distinct()).join(bm25_idf(index, asked), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     length = 1 - B + B * F.coalesce(F.try_divide(F.col("dl"), F.col("avgdl")), F.lit(1.0))
     weight = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * length)
-    scored = scaled.select("chunk_id", "term", weight.alias("w")).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("score"))
+    scaled = postings.join(small(weighed.select("term", "idf", "avgdl")), "term").select("chunk_id", "term", weight.alias("w"))
+    scored = scaled.join(small(asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("times")), 6).alias("score"))
     return top_k(scored.filter("score > 0"), k).select("query_id", "chunk_id", "rank", "score")
 
 
-def sparse_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float | None = None) -> DataFrame:
-    """Top k by dot product of long forms (query_id, bucket, weight) and (chunk_id, bucket, weight): an equi-join on the bucket, so only pairs that share one."""
-    met = vectors.join(queries.withColumnRenamed("weight", "q"), "bucket")
-    scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 6).alias("score"))
-    return top_k(scored if least is None else scored.filter(F.col("score") > least), k).select("query_id", "chunk_id", "rank", "score")
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of lists of numbers, or of lists of (bucket, weight); nulls and what is missing are 0."""
+    sizes = np.nan_to_num(np.array(column.value_lengths().to_numpy(zero_copy_only=False), float)).astype(int)
+    rows, out, flat = np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(sizes), dims)), column.flatten()
+    if pa.types.is_struct(flat.type):
+        out[rows, flat.field(0).to_numpy(zero_copy_only=False).astype(int)] = flat.field(1).to_numpy(zero_copy_only=False)
+    else:
+        places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        inside = places < dims
+        out[rows[inside], places[inside]] = np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(float))[inside]
+    return out
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+class Best:
+    """The k best of what each query has met so far. Queries: [query, dimension]; on: a value that a vector must share."""
+
+    def __init__(self, queries: np.ndarray, on: np.ndarray | None, k: int, positive: bool, least: float | None):
+        self.queries, self.k, self.positive, self.least = queries, k, positive, least
+        everyone = np.arange(len(queries))
+        self.groups = {None: everyone} if on is None else {x: everyone[on == x] for x in set(on.tolist())}
+        self.scores: list[list[float]] = [[] for _ in everyone]
+        self.ids: list[list] = [[] for _ in everyone]
+
+    def add(self, ids: list, vectors: np.ndarray, on: np.ndarray | None) -> None:
+        step = max(1, CELLS // max(1, len(self.queries)))
+        for x in [None] if on is None else set(on.tolist()):
+            asking = self.groups.get(x)
+            rows = np.arange(len(ids)) if on is None else np.flatnonzero(on == x)
+            for a in range(0, len(rows) if asking is not None else 0, step):
+                some = rows[a : a + step]
+                raw = vectors[some] @ self.queries[asking].T
+                self._keep(ids, some, asking, raw, np.round(raw, 6) + 0.0)
+
+    def _keep(self, ids: list, rows: np.ndarray, asking: np.ndarray, raw: np.ndarray, scores: np.ndarray) -> None:
+        scores = np.where(raw > 0, scores, -np.inf) if self.positive else scores
+        scores = scores if self.least is None else np.where(scores > self.least, scores, -np.inf)
+        floor = np.partition(scores, -self.k, axis=0)[-self.k] if len(rows) > self.k else np.full(len(asking), -np.inf)
+        for j, q in enumerate(asking.tolist()):
+            near = np.flatnonzero((scores[:, j] >= max(floor[j], self.scores[q][-1] if len(self.scores[q]) == self.k else -np.inf)) & (scores[:, j] > -np.inf))
+            if len(near):
+                both = sorted(zip((-scores[near, j]).tolist() + [-s for s in self.scores[q]], [ids[i] for i in rows[near].tolist()] + self.ids[q], strict=True))[: self.k]
+                self.scores[q], self.ids[q] = [-s for s, _ in both], [i for _, i in both]
+
+    def columns(self) -> tuple[list[int], list, list[float]]:
+        return [q for q, s in enumerate(self.scores) for _ in s], [i for x in self.ids for i in x], [s for x in self.scores for s in x]
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, dims: int, on: str | None = None, cosine: bool = True, positive: bool = False, least: float | None = None) -> DataFrame:
+    """Top k by inner product of queries (query_id, q) over vectors (chunk_id, v), both lists of numbers or of (bucket, weight), by matrix products on
+    Arrow batches: cosine scales both to unit length first. A query is sent the vectors that share its `on`; positive: only products above 0 count.
+
+    Up to BROADCAST_QUERIES queries are broadcast and each task keeps its k best of each; more are dealt to blocks, and each block of vectors
+    meets each block of queries in a task of its own.
+    """
+    keys = [on] if on else []
+    scale = _unit_rows if cosine else (lambda m: m)
+    kinds = {c: (vectors if c == "chunk_id" else queries).schema[c].dataType for c in ("query_id", "chunk_id", *keys)}
+    schema = T.StructType([*(T.StructField(c, kinds[c]) for c in ("query_id", "chunk_id", *keys)), T.StructField("score", T.DoubleType())])
+    asked, there = queries.select("query_id", "q", *keys), vectors.select("chunk_id", "v", *keys)
+
+    def values(table, c: str) -> np.ndarray | None:
+        return np.array(table.column(c).to_pylist(), object) if keys else None
+
+    def found(best: Best, asking: pa.Table, ids_of: pa.DataType) -> pa.RecordBatch:
+        at, ids, scores = best.columns()
+        own = [asking.column(c).combine_chunks().take(pa.array(at, pa.int64())) for c in ("query_id", *keys)]
+        return pa.RecordBatch.from_arrays([own[0], pa.array(ids, ids_of), *own[1:], pa.array(scores, pa.float64())], names=schema.names)
+
+    n = asked.limit(BROADCAST_QUERIES + 1).count()
+    if n <= BROADCAST_QUERIES:
+        held = asked.toArrow()
+        table = queries.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asking, best, ids_of = table.value, None, None
+            for batch in batches:
+                if best is None:
+                    best, ids_of = Best(scale(_matrix(asking.column("q").combine_chunks(), dims)), values(asking, on), k, positive, least), batch.column(0).type
+                best.add(batch.column(0).to_pylist(), scale(_matrix(batch.column(1), dims)), values(batch, on))
+            if best is not None:
+                yield found(best, asking, ids_of)
+
+        scored = there.mapInArrow(run, schema) if n else there.sparkSession.createDataFrame([], schema)
+    else:
+        q_blocks, v_blocks = math.ceil(asked.count() / BROADCAST_QUERIES), max(1, math.ceil(there.count() / BLOCK_VECTORS))
+        deal = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks))
+        copies = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+        left = there.withColumn("vb", deal("chunk_id", v_blocks)).withColumn("qb", copies(q_blocks))
+        right = asked.withColumn("qb", deal("query_id", q_blocks)).withColumn("vb", copies(v_blocks))
+
+        def meet(near: pa.Table, asking: pa.Table) -> pa.Table:
+            best = Best(scale(_matrix(asking.column("q").combine_chunks(), dims)) if asking.num_rows else np.zeros((0, dims)), values(asking, on), k, positive, least)
+            if near.num_rows and asking.num_rows:
+                best.add(near.column("chunk_id").to_pylist(), scale(_matrix(near.column("v").combine_chunks(), dims)), values(near, on))
+            return pa.Table.from_batches([found(best, asking, near.column("chunk_id").type)])
+
+        scored = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(meet, schema)
+    return top_k(scored, k).select("query_id", "chunk_id", *keys, "rank", "score")
+
+
+def sparse_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float | None = None, dims: int = 256) -> DataFrame:
+    """Top k by dot product of queries (query_id, entries) and vectors (chunk_id, entries) of `dims` buckets, of pairs that share a bucket."""
+    return nearest(queries.withColumnRenamed("entries", "q"), vectors.withColumnRenamed("entries", "v"), k, dims=dims, cosine=False, positive=True, least=least)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Column | None = None, on: str | None = None) -> DataFrame:
     """Exact top k by cosine of queries (query_id, vector) over vectors (chunk_id, vector). `where` filters vectors before they are ranked; `on`,
-    a column of both such as a tenant, joins on it, so that no other value's rows can appear.
-
-    A small query table is broadcast; a larger one meets the vectors block by block, by an equi-join on the block.
-    """
+    a column of both such as a tenant, has to be shared, so that no other value's rows can appear."""
     wanted = vectors if where is None else vectors.filter(where)
-    keys = [on] if on else []
-    near = wanted.select("chunk_id", *keys, unit(F.col("vector")).alias("v"))
-    asked = queries.select("query_id", *keys, unit(F.col("vector")).alias("q"))
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    if few:
-        met = near.join(F.broadcast(asked), keys) if keys else near.crossJoin(F.broadcast(asked))
-    else:
-        block = F.pmod(F.xxhash64("chunk_id"), F.lit(BLOCKS)).alias("block")
-        met = near.select("*", block).join(asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)).cast("array<bigint>"))), [*keys, "block"])
-    scored = met.select("query_id", "chunk_id", *keys, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return top_k(scored, k).select("query_id", "chunk_id", *keys, "rank", "score")
+    dims = queries.agg(F.coalesce(F.max(F.size("vector")), F.lit(0))).first()[0]
+    return nearest(queries.withColumnRenamed("vector", "q"), wanted.withColumnRenamed("vector", "v"), k, dims=max(1, dims), on=on)
 
 
 def rrf_fuse(rankings: list[DataFrame], constant: int = RRF_CONSTANT) -> DataFrame:
@@ -131,7 +249,7 @@ def mmr(hits: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 5, bal
 
 def first_number(reply: Column) -> Column:
     """The first number in a text, or null."""
-    return F.nullif(F.regexp_extract(reply, r"(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(reply, NUMBER, 1), F.lit("")).try_cast("double")
 
 
 def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, judge: Callable[[list[str], list[str]], list[str]], k: int = 5) -> DataFrame:
@@ -147,13 +265,13 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, judge: Callab
 
 
 def multi_query(queries: DataFrame, rewrite: Callable[[list[str]], list[str]], retrieve: Callable[[DataFrame], DataFrame], n: int = 3) -> DataFrame:
-    """Fused hits of each query and up to n variants: lines of the rewriter's reply, bullets stripped, blank ones dropped. retrieve: from (query_id, text) to hits."""
+    """Fused hits of each query and up to n variants: lines of the rewriter's reply, bullets and blanks at their ends stripped, blank ones dropped. retrieve: from (query_id, text) to hits."""
 
     @F.pandas_udf("string")
     def reply(text: pd.Series) -> pd.Series:
         return pd.Series(rewrite(text.tolist()))
 
-    line = F.transform(F.split(reply("text"), "\n"), lambda x: strip(F.regexp_replace(x, r"^[\s\-*•\d.)]+", "")))
+    line = F.transform(F.split(reply("text"), "\n"), lambda x: strip(F.regexp_replace(x, BULLETS, "")))
     variants = F.slice(F.filter(line, lambda x: x != ""), 1, n)
     every = queries.select("query_id", F.posexplode(F.concat(F.array("text"), variants)).alias("variant", "text"))
     found = retrieve(every.select(F.struct("query_id", "variant").alias("query_id"), "text"))
@@ -183,19 +301,54 @@ def parent_child(child_hits: DataFrame, children: DataFrame, parents: DataFrame,
 
 
 def term_count_search(queries: DataFrame, pages: DataFrame, limit: int = 3) -> DataFrame:
-    """Pages (title, body) by the occurrences of the query's terms (with their repetitions) as substrings; ties by title, then body, falling."""
-    terms = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    few = terms.limit(20 * BROADCAST_QUERIES).count() < 20 * BROADCAST_QUERIES
-    hay = pages.select("title", "body", F.lower(F.concat_ws(" ", "title", "body")).alias("hay"))
-    occurs = (F.length("hay") - F.length(F.replace("hay", "term", F.lit("")))) / F.length("term")
-    met = hay.join(F.broadcast(terms) if few else terms, F.contains("hay", "term"))
-    scored = met.groupBy("query_id", "title", "body").agg(F.sum(occurs * F.col("times")).cast("long").alias("score"))
-    return top_k(scored, limit, F.desc("title"), F.desc("body")).select("query_id", "title", "body", "rank", "score")
+    """Pages (page_id, title, body) by the occurrences of the query's terms (with their repetitions) as substrings; ties by title, then body, falling.
+
+    Up to BROADCAST_TERMS terms are broadcast; a task looks for all of them in each of its pages at once and keeps the `limit` best pages of each
+    query. More terms than that are dealt to blocks, each of which all pages meet. Texts leave the pages only once they are found.
+    """
+    asked = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    hay = pages.select("page_id", "title", "body", F.lower(F.concat_ws(" ", "title", "body")).alias("hay"))
+    n_terms = asked.count()
+    blocks = max(1, math.ceil(n_terms / BROADCAST_TERMS))
+    kinds = {"query_id": queries.schema["query_id"].dataType, "page_id": pages.schema["page_id"].dataType, "title": pages.schema["title"].dataType, "body": pages.schema["body"].dataType}
+    schema = T.StructType([*(T.StructField(c, t) for c, t in kinds.items()), T.StructField("score", T.LongType())])
+    out = None
+    for block in range(blocks):
+        some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        held: dict[str, list[tuple]] = {}
+        for query_id, term, times in some.select("query_id", "term", "times").toLocalIterator():
+            held.setdefault(term, []).append((query_id, times))
+        found = hay.mapInPandas(_count_terms(pages.sparkSession.sparkContext.broadcast(held), limit, list(schema.names)), schema) if held else hay.sparkSession.createDataFrame([], schema)
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, limit, F.desc("title"), F.desc("body"), F.col("page_id")).select("query_id", "page_id", "title", "body", "rank", "score")
+
+
+def _count_terms(asked, limit: int, names: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = asked.value
+        best: dict = {}
+        for part in batches:
+            for page_id, title, body, hay in part[["page_id", "title", "body", "hay"]].itertuples(index=False):
+                scores: dict = {}
+                for term, wanted in terms.items():
+                    if n := hay.count(term):
+                        for query_id, times in wanted:
+                            scores[query_id] = scores.get(query_id, 0) + n * times
+                for query_id, score in scores.items():
+                    kept = best.setdefault(query_id, [])
+                    kept.append((score, title or "", body or "", page_id, title, body))
+                    if len(kept) > 8 * limit:
+                        kept.sort(key=lambda x: x[:3], reverse=True)
+                        del kept[limit:]
+        rows = [(q, page_id, title, body, score) for q, kept in best.items() for score, _, _, page_id, title, body in sorted(kept, key=lambda x: x[:3], reverse=True)[:limit]]
+        yield pd.DataFrame(rows, columns=names)
+
+    return run
 
 
 @dataclass
 class IvfIndex:
-    """centroids [list, dimension] (a bounded matrix) and vectors (chunk_id, vector, list_id)."""
+    """centroids [list, dimension] (a bounded matrix) and vectors (chunk_id, vector of unit length, list_id), read from files by list."""
 
     centroids: np.ndarray
     vectors: DataFrame
@@ -205,46 +358,87 @@ def _nearest_lists(centroids: np.ndarray, n: int):
     """A column function: the n lists nearest to a unit vector, by falling cosine; batches of vectors meet the bounded matrix of centroids."""
 
     @F.pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
+    def lists(v: pd.Series) -> pd.Series:
         cosines = np.round(np.stack(v.to_numpy()).astype(float) @ centroids.T, 9) if len(v) else np.zeros((0, len(centroids)))
         return pd.Series([*np.argsort(-cosines, axis=1, kind="stable")[:, :n].astype("int32")])
 
-    return nearest
+    return lists
+
 
+def ivf_build(vectors: DataFrame, path: str, n_lists: int = 16, rounds: int = 10, fit_rows: int = 100_000) -> IvfIndex:
+    """A clustered index under `path`: a folder of files for each list, that is each centroid's vectors.
 
-def ivf_build(vectors: DataFrame, n_lists: int = 16, rounds: int = 10) -> IvfIndex:
-    """Spherical k-means: at most `rounds` rounds, an empty list keeps its centroid, stops when centroids stay. Only centroids reach the driver."""
-    unit_vectors = vectors.select("chunk_id", unit(F.col("vector")).alias("vector")).persist()
+    Spherical k-means on a sample of about fit_rows vectors (all, if there are fewer), by a hash of the id: at most `rounds` rounds, an empty list
+    keeps its centroid, stops when centroids stay. Only centroids reach the driver. Every vector is then put into the list of its nearest one.
+    """
+    spark, total = vectors.sparkSession, vectors.count()
+    place = F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    sample = vectors.filter(place < fit_rows / max(total, 1)).select("chunk_id", unit(F.col("vector")).alias("vector")).persist()
     try:
-        seeds = unit_vectors.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n_lists).collect()
+        seeds = sample.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n_lists).collect()
         centroids = np.array([r["vector"] for r in seeds])
         for _ in range(rounds if len(seeds) else 0):
-            near = _nearest_lists(centroids, 1)
-            means = unit_vectors.select(F.get(near(F.col("vector")), 0).alias("list_id"), F.posexplode("vector").alias("d", "x")).groupBy("list_id", "d").agg(F.avg("x").alias("x")).collect()
-            moved = centroids.copy()
-            for r in means:
-                moved[r["list_id"], r["d"]] = r["x"]
-            moved /= np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-12)
+            moved = _mean_of_lists(sample, centroids)
             still, centroids = np.allclose(moved, centroids, atol=1e-9), moved
             if still:
                 break
     finally:
-        unit_vectors.unpersist()
-    listed = vectors.select("chunk_id", unit(F.col("vector")).alias("vector"))
-    if not len(centroids):
-        return IvfIndex(centroids, listed.withColumn("list_id", F.lit(0)))
-    return IvfIndex(centroids, listed.withColumn("list_id", F.get(_nearest_lists(centroids, 1)(F.col("vector")), 0)))
+        sample.unpersist()
+    first = F.get(_nearest_lists(centroids, 1)(F.col("vector")), 0) if len(centroids) else F.lit(0)
+    listed = vectors.withColumn("vector", unit(F.col("vector"))).withColumn("list_id", first)
+    listed.repartition("list_id", F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, total // (n_lists * BLOCK_VECTORS))))).write.partitionBy("list_id").parquet(f"{path}/vectors")
+    listing = spark.createDataFrame([(i, [*map(float, c)]) for i, c in enumerate(centroids)], "list_id int, centroid array<double>")
+    listing.write.parquet(f"{path}/centroids")
+    return ivf_open(spark, path)
+
+
+def ivf_open(spark: SparkSession, path: str) -> IvfIndex:
+    rows = sorted(spark.read.parquet(f"{path}/centroids").collect(), key=lambda r: r["list_id"])
+    return IvfIndex(np.array([r["centroid"] for r in rows]), spark.read.parquet(f"{path}/vectors"))
+
+
+def _mean_of_lists(sample: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """The unit means of the vectors nearest to each centroid; sums are made in the tasks, a row per list and task."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros_like(centroids), np.zeros(len(centroids), np.int64)
+        for batch in batches:
+            m = _matrix(batch.column(0), centroids.shape[1])
+            own = np.round(m @ centroids.T, 9).argmax(1)
+            np.add.at(total, own, m)
+            n += np.bincount(own, minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array([*total], pa.list_(pa.float64())), pa.array(n)], names=["list_id", "total", "n"])
+
+    moved = np.zeros_like(centroids)
+    for r in sample.select("vector").mapInArrow(sums, "list_id int, total array<double>, n long").collect():  # lists x tasks rows
+        moved[r["list_id"]] += np.array(r["total"])
+    length = np.linalg.norm(moved, axis=1, keepdims=True)
+    return np.where(length > 1e-12, moved / np.maximum(length, 1e-12), centroids)
+
+
+def ivf_probes(queries: DataFrame, index: IvfIndex, n_probe: int) -> DataFrame:
+    """(query_id, list_id, q): the n_probe lists nearest to each query."""
+    asked = queries.select("query_id", unit(F.col("vector")).alias("q"))
+    return asked.withColumn("list_id", F.explode(_nearest_lists(index.centroids, n_probe)(F.col("q"))))
 
 
 def ivf_search(queries: DataFrame, index: IvfIndex, k: int = 10, n_probe: int = 3, where: Column | None = None) -> DataFrame:
-    """Top k within the n_probe lists nearest to each query: an equi-join on the list."""
+    """Top k within the n_probe lists nearest to each query. Only lists that some query probes are read, and a query meets only the vectors of its own."""
     if not len(index.centroids):
         return queries.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast("double").alias("score")).filter("false")
-    asked = queries.select("query_id", unit(F.col("vector")).alias("q"))
-    probes = asked.withColumn("list_id", F.explode(_nearest_lists(index.centroids, n_probe)(F.col("q"))))
-    vectors = index.vectors if where is None else index.vectors.filter(where)
-    scored = vectors.join(probes, "list_id").select("query_id", "chunk_id", F.round(dot(F.col("vector"), F.col("q")), 6).alias("score"))
-    return top_k(scored, k).select("query_id", "chunk_id", "rank", "score")
+    probes = ivf_probes(queries, index, n_probe)
+    wanted = [r["list_id"] for r in probes.select("list_id").distinct().collect()]  # at most all lists
+    vectors = index.vectors.filter(F.col("list_id").isin(wanted))
+    vectors = vectors if where is None else vectors.filter(where)
+    found = nearest(probes, vectors.withColumnRenamed("vector", "v"), k, dims=index.centroids.shape[1], on="list_id", cosine=False)
+    return top_k(found.select("query_id", "chunk_id", "score"), k).select("query_id", "chunk_id", "rank", "score")
+
+
+def ivf_scanned(queries: DataFrame, index: IvfIndex, n_probe: int) -> DataFrame:
+    """One row: the share of all vectors that a query meets, on average."""
+    sizes = index.vectors.groupBy("list_id").agg(F.count("*").alias("n"))
+    met = ivf_probes(queries, index, n_probe).join(F.broadcast(sizes), "list_id", "left").groupBy("query_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    return met.agg(F.avg("n").alias("n")).crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("of")))).select(F.round(F.try_divide("n", "of"), 6).alias("scanned"))
 
 
 def ann_recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
@@ -288,6 +482,7 @@ def checked_vectors(chunks: DataFrame, vectors: DataFrame, dims: int) -> DataFra
 
 
 def vector_append(chunks: DataFrame, vectors: DataFrame, dims: int, path: str, by: str = "tenant") -> None:
+    """Adds chunks with their vectors to the store under `path`, a folder of files for each `by`; nothing is written if the check fails."""
     checked_vectors(chunks, vectors, dims).write.mode("append").partitionBy(by).parquet(path)
 
 
@@ -297,6 +492,12 @@ def delete_where(store: DataFrame, predicate: Column) -> tuple[DataFrame, DataFr
     return store.filter(~gone), store.agg(F.count_if(gone).alias("removed"))
 
 
+def rewrite_without(spark: SparkSession, path: str, predicate: Column, to: str, by: str = "tenant") -> int:
+    """Writes the store under `path` to `to`, without the rows of the predicate, and returns how many those are. Readers move to the new path."""
+    kept, removed = delete_where(spark.read.parquet(path), predicate)
+    kept.write.partitionBy(by).parquet(to)
+    return removed.first()["removed"]
+
+
 def vector_lookup(store: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("chunk_id").join(store.select("chunk_id", "vector"), "chunk_id")
-

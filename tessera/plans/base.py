@@ -55,11 +55,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "tenant", "vector")
-
-
-def every_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query set of the searches without a SQL twin, which grows with the table: every id divisible by 50."""
+    """The query set of the vector searches, which grows with the table: every id divisible by 50."""
     return vectors(spark, sf_dir).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "tenant", "vector")
 
 

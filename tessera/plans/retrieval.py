@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import embedding, evaluation, rag, search
 from tessera.operators.chunking import chunk_fixed
-from tessera.plans.base import Plans, chunks, chunks_sql, documents, every_query_vector, query_vectors, questions, read, vectors
+from tessera.plans.base import Plans, chunks_sql, documents, query_vectors, questions, read, vectors
+from tessera.sources.scratch import fresh_path, stored
 
 plans = Plans()
 add = plans.add
@@ -50,66 +54,104 @@ metrics AS (SELECT query_id, CASE WHEN m = 0 OR good > 0 THEN 1.0::DOUBLE ELSE 0
   CASE WHEN m = 0 OR good > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall_at_k, round(coalesce(1.0 / first, 0), 6) AS mrr, CASE WHEN m = 0 OR k = 0 THEN 0.0 ELSE round(dcg, 6) END AS ndcg_at_k FROM judged)"""
 
 
-def bm25_hits(spark, d, k=5):
-    return search.bm25_topk(questions(spark, d), search.bm25_index(chunks(spark, d)), k)
+class Corpus:
+    """The documents in chunks, and what searches need of them, each written once, where a query first asks for it."""
+
+    def __init__(self, spark: SparkSession, d: str, size: int = 1200, overlap: int = 150) -> None:
+        self.spark, self.d, self.size, self.overlap = spark, d, size, overlap
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return stored(chunk_fixed(documents(self.spark, self.d), self.size, self.overlap), "chunks")
+
+    @cached_property
+    def index(self) -> search.Bm25Index:
+        return search.bm25_index(self.chunks, lambda df: stored(df, "terms"))
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return stored(embedding.hash_vectors(self.chunks, "chunk_id"), "vectors")
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        return questions(self.spark, self.d)
+
+    def bm25(self, k: int = 5, asked: DataFrame | None = None) -> DataFrame:
+        return search.bm25_topk(self.questions if asked is None else asked, self.index, k)
+
+    def dense(self, k: int = 20, asked: DataFrame | None = None) -> DataFrame:
+        return search.sparse_topk(embedding.hash_vectors(self.questions if asked is None else asked, "query_id"), self.vectors, k)
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return stored(self.bm25(), "hits")
 
+    def shown_hits(self) -> DataFrame:
+        return self.hits.join(self.chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "text")
 
-def dense_hits(spark, d, k=20):
-    asked = embedding.hash_embed(questions(spark, d), "query_id")
-    return search.sparse_topk(asked, embedding.hash_embed(chunks(spark, d), "chunk_id"), k)
+    def contexts(self) -> DataFrame:
+        return rag.format_context(self.hits, self.chunks)
 
+    def grounded(self) -> DataFrame:
+        return rag.grounded_answer(self.questions, self.hits, self.chunks)
 
-def golden(spark, d):
-    """Questions with markers; which items occur is found by an exact search for each marker, of a small golden set."""
-    items = questions(spark, d).withColumn("marker", F.substring("text", 1, 40))
-    low = documents(spark, d).select(F.lower("text").alias("low"))
-    present = low.join(F.broadcast(items), F.contains("low", F.lower("marker"))).select("query_id").distinct().withColumn("present", F.lit(True))
-    known = items.join(present, "query_id", "left")
-    markers = F.when(F.col("present"), F.array("marker")).otherwise(F.array().cast("array<string>"))
-    return known.select("query_id", F.col("text").alias("question"), F.col("text").alias("expected_answer"), markers.alias("markers"), F.col("present").isNull().alias("should_refuse"))
+    def cited_answers(self) -> DataFrame:
+        """Grounded answers; every seventh cites a source that isn't there."""
+        return self.grounded().withColumn("answer", F.when(F.col("query_id") % 7 == 0, F.concat("answer", F.lit(" [9]"))).otherwise(F.col("answer")))
 
+    @cached_property
+    def golden(self) -> DataFrame:
+        """Questions with markers, of those items that some document has."""
+        items = self.questions.withColumn("marker", F.substring("text", 1, 40))
+        present = evaluation.markers_found(documents(self.spark, self.d), items).withColumn("present", F.lit(True))
+        known = stored(items.join(present, "query_id", "left"), "golden")
+        markers = F.when(F.col("present"), F.array("marker")).otherwise(F.array().cast("array<string>"))
+        return known.select("query_id", F.col("text").alias("question"), F.col("text").alias("expected_answer"), markers.alias("markers"), F.col("present").isNull().alias("should_refuse"))
 
-def shown_hits(spark, d):
-    return bm25_hits(spark, d).join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "text")
+    def gate(self) -> DataFrame:
+        return self.golden.select("query_id", F.col("should_refuse").alias("refused"))
+
+    def metrics(self) -> DataFrame:
+        return evaluation.retrieval_metrics(self.golden, self.shown_hits())
 
 
 @add(f"WITH {BM25_SQL} SELECT term, df FROM terms")
 def bm25_index(spark, d):
-    return search.bm25_index(chunks(spark, d)).terms
+    return Corpus(spark, d).index.terms
 
 
 @add(f"WITH {BM25_SQL}, t AS (SELECT DISTINCT term FROM asked) SELECT term, coalesce(df, 0) AS df, round(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)), 6) AS idf FROM t LEFT JOIN terms USING (term) CROSS JOIN stats")
 def bm25_idf(spark, d):
     asked = questions(spark, d).select(F.explode(X.tokens(F.col("text"))).alias("term"))
-    return search.bm25_idf(search.bm25_index(chunks(spark, d)), asked).withColumn("idf", F.round("idf", 6))
+    return search.bm25_idf(Corpus(spark, d).index, asked).withColumn("idf", F.round("idf", 6))
 
 
 @add(f"WITH {HITS_SQL} SELECT query_id, chunk_id, rank, score FROM hits")
 def bm25_topk(spark, d):
-    return bm25_hits(spark, d)
+    return Corpus(spark, d).bm25()
 
 
 @add(f"WITH {BM25_SQL}, {DENSE_SQL} SELECT query_id, chunk_id, rank, score FROM dense_ranked WHERE rank <= 5")
 def sparse_topk(spark, d):
-    return dense_hits(spark, d, 5)
+    return Corpus(spark, d).dense(5)
 
 
 VECTORS_SQL = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM e)"""
 
 
-@add(f"WITH {VECTORS_SQL}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_inner_product(q.v, c.v), 6) AS score FROM u q JOIN u c ON q.vec_id < 20 AND c.label <> 3) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM s QUALIFY rank <= 10")
+@add(f"WITH {VECTORS_SQL}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_inner_product(q.v, c.v), 6) AS score FROM u q JOIN u c ON q.vec_id % 50 = 0 AND c.label <> 3) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM s QUALIFY rank <= 10")
 def vector_topk(spark, d):
     return search.vector_topk(query_vectors(spark, d).drop("tenant"), vectors(spark, d), 10, F.col("tenant") != 3)
 
 
-@add(f"WITH {VECTORS_SQL}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.label AS tenant, round(list_inner_product(q.v, c.v), 6) AS score FROM u q JOIN u c ON q.vec_id < 20 AND c.label = q.label) SELECT query_id, chunk_id, tenant, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM s QUALIFY rank <= 10")
+@add(f"WITH {VECTORS_SQL}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, q.label AS tenant, round(list_inner_product(q.v, c.v), 6) AS score FROM u q JOIN u c ON q.vec_id % 50 = 0 AND c.label = q.label) SELECT query_id, chunk_id, tenant, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM s QUALIFY rank <= 10")
 def vector_topk_tenant(spark, d):
     return search.vector_topk(query_vectors(spark, d), vectors(spark, d), 10, on="tenant")
 
 
 def ivf(spark, d):
-    return search.ivf_build(vectors(spark, d).drop("tenant"))
+    return search.ivf_build(vectors(spark, d).drop("tenant"), fresh_path(spark, "lists"))
 
 
 @add()
@@ -117,19 +159,31 @@ def ivf_build(spark, d):
     return ivf(spark, d).vectors.groupBy("list_id").agg(F.count("*").alias("vectors"))
 
 
+def _recalls(spark, d, index, probes):
+    asked = query_vectors(spark, d).drop("tenant")
+    exact = stored(search.vector_topk(asked, vectors(spark, d).drop("tenant"), 10), "exact")
+    for p in probes:
+        found = stored(search.ivf_search(asked, index, 10, p), "found")
+        yield p, found, search.ann_recall(found, exact)
+
+
 @add()
 def ivf_search(spark, d):
-    return search.ivf_search(every_query_vector(spark, d), ivf(spark, d), 10, 3)
+    """As many probes as give a recall of 0.9 or more on the query set; all lists give the exact result."""
+    index = ivf(spark, d)
+    for p, found, recall in _recalls(spark, d, index, (2, 4, 8, 12, len(index.centroids))):
+        if p >= len(index.centroids) or recall.first()["recall"] >= 0.9:
+            return found
 
 
 @add()
 def ann_recall(spark, d):
-    """Recall and scanned share for 1, 3, 8 and all 16 probes."""
-    exact, index = search.vector_topk(every_query_vector(spark, d).drop("tenant"), vectors(spark, d), 10), ivf(spark, d)
-    found = [search.ann_recall(search.ivf_search(every_query_vector(spark, d), index, 10, p), exact).select(F.lit(p).alias("n_probe"), "recall", F.lit(min(1.0, p / max(1, len(index.centroids)))).alias("scanned")) for p in (1, 3, 8, 16)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    """Recall, and the share of the lists and of the vectors that a query meets, for 1, 3, 8 and all 16 probes."""
+    index, out = ivf(spark, d), None
+    for p, _, recall in _recalls(spark, d, index, (1, 3, 8, 16)):
+        met = search.ivf_scanned(query_vectors(spark, d), index, p)
+        row = recall.crossJoin(met).select(F.lit(p).alias("n_probe"), "recall", F.lit(min(1.0, p / max(1, len(index.centroids)))).alias("scanned_lists"), F.col("scanned").alias("scanned_vectors"))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
@@ -144,48 +198,78 @@ def vector_lookup(spark, d):
     return search.vector_lookup(vectors(spark, d), ids).select("chunk_id", F.round(F.get("vector", 0).cast("double"), 6).alias("first"))
 
 
-@add("SELECT count(*) AS removed FROM embeddings WHERE label = 4")
+def vector_store(spark, d) -> str:
+    """Chunks of one character each with the vectors of the table, appended in two goes."""
+    known, path = vectors(spark, d), fresh_path(spark, "store")
+    texts = known.select("chunk_id", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")).alias("text"), "tenant")
+    for part in (0, 1):
+        some = lambda df: df.filter(F.col("chunk_id") % 2 == part)  # noqa: B023, E731
+        search.vector_append(some(texts), some(known), 64, path)
+    return path
+
+
+@add("SELECT vec_id AS chunk_id, CAST(label AS INTEGER) AS tenant, 'chunk ' || vec_id AS text FROM embeddings WHERE label <> 4")
 def delete_where(spark, d):
-    return search.delete_where(vectors(spark, d), F.col("tenant") == 4)[1]
+    """A tenant's vectors deleted from a store, that is, the store written anew without them."""
+    to = fresh_path(spark, "store")
+    search.rewrite_without(spark, vector_store(spark, d), F.col("tenant") == 4, to)
+    return spark.read.parquet(to).select("chunk_id", "tenant", "text")
 
 
-@add()
+@add("SELECT CAST(label AS INTEGER) AS tenant, count(*) AS vectors, min(vec_id) AS first_id, CAST(sum(len(embedding)) AS BIGINT) AS numbers FROM embeddings GROUP BY label")
 def vector_append(spark, d):
-    known = vectors(spark, d)
-    return search.checked_vectors(known.select("chunk_id", F.lit("text").alias("text"), "tenant"), known, 64).groupBy("tenant").agg(F.count("*").alias("vectors"))
+    kept = spark.read.parquet(vector_store(spark, d))
+    return kept.groupBy("tenant").agg(F.count("*").alias("vectors"), F.min("chunk_id").alias("first_id"), F.sum(F.size("vector")).alias("numbers"))
 
 
 @add(
-    """WITH q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 10) GROUP BY ALL),
-h AS (SELECT url AS title, md5(html) AS body, lower(url || ' ' || html) AS hay FROM pages),
-s AS (SELECT query_id, title, body, CAST(sum(times * (length(hay) - length(replace(hay, term, ''))) / length(term)) AS BIGINT) AS score FROM q JOIN h ON contains(hay, term) GROUP BY ALL)
-SELECT query_id, title, body, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title DESC, body DESC) AS rank, score FROM s QUALIFY rank <= 3"""
+    """WITH q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
+h AS (SELECT page_id, url AS title, html AS body, lower(url || ' ' || html) AS hay FROM pages),
+s AS (SELECT query_id, page_id, title, body, CAST(sum(times * (length(hay) - length(replace(hay, term, ''))) / length(term)) AS BIGINT) AS score FROM q JOIN h ON contains(hay, term) GROUP BY ALL)
+SELECT query_id, page_id, title, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title DESC, body DESC, page_id) AS rank, score FROM s QUALIFY rank <= 3"""
 )
 def term_count_search(spark, d):
-    pages = read(spark, d, "pages").select(F.col("url").alias("title"), F.col("html").alias("body"))
-    found = search.term_count_search(questions(spark, d).filter("query_id < 10"), pages, 3)
-    return found.withColumn("body", F.md5("body"))
+    pages = read(spark, d, "pages").select("page_id", F.col("url").alias("title"), F.col("html").alias("body"))
+    return search.term_count_search(questions(spark, d), pages, 3).drop("body")
 
 
 @add(f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, rank, score FROM fused_ranked")
 def rrf_fuse(spark, d):
-    return search.rrf_fuse([dense_hits(spark, d), bm25_hits(spark, d, 20)])
+    c = Corpus(spark, d)
+    return search.rrf_fuse([c.dense(), c.bm25(20)])
 
 
 @add(f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, rank, score FROM fused_ranked WHERE rank <= 5")
 def hybrid_topk(spark, d):
-    return search.hybrid_topk(dense_hits(spark, d), bm25_hits(spark, d, 20), 5)
+    c = Corpus(spark, d)
+    return search.hybrid_topk(c.dense(), c.bm25(20), 5)
 
 
-@add(f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, rank, score FROM fused_ranked WHERE rank <= 3")
+@add(
+    f"""WITH {HYBRID_SQL}, fetched AS (SELECT 'hybrid' AS mode, query_id, chunk_id, rank FROM fused_ranked WHERE rank <= 20),
+judged AS (SELECT query_id, chunk_id, rank AS before, len(list_intersect(list_distinct(string_split_regex(lower(b.text), '\\s+')), list_distinct(string_split_regex(lower(substring(c.text, 1, 1500)), '\\s+')))) AS score
+  FROM fetched JOIN benchmark b ON item_id = query_id JOIN chunks c USING (chunk_id)),
+reranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM judged)
+SELECT 'hybrid' AS mode, query_id, chunk_id, rank FROM fused_ranked WHERE rank <= 3 UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM dense_ranked WHERE rank <= 3
+UNION ALL SELECT 'reranked', query_id, chunk_id, rank FROM reranked WHERE rank <= 3"""
+)
 def retrieve(spark, d):
-    return search.hybrid_topk(dense_hits(spark, d), bm25_hits(spark, d, 20), 3)
+    """By vectors, fused, and fused with a reranker that is given twenty hits to choose from."""
+    c = Corpus(spark, d)
+    dense, bm25 = (lambda q, k: c.dense(k, q)), (lambda q, k: c.bm25(k, q))
+    rerank = lambda hits, k: search.rerank(hits, c.questions, c.chunks, shared_words, k)
+    ways = {"vector": (None, None), "hybrid": (bm25, None), "reranked": (bm25, rerank)}
+    out = None
+    for mode, (other, last) in ways.items():
+        hits = rag.retrieve(c.questions, dense, other, last, 3, 20).select(F.lit(mode).alias("mode"), "query_id", "chunk_id", "rank")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 @add()
 def mmr(spark, d):
-    wide = search.vector_topk(every_query_vector(spark, d).drop("tenant"), vectors(spark, d), 20)
-    return search.mmr(wide, every_query_vector(spark, d), vectors(spark, d), 5)
+    wide = search.vector_topk(query_vectors(spark, d).drop("tenant"), vectors(spark, d).drop("tenant"), 20)
+    return search.mmr(wide, query_vectors(spark, d), vectors(spark, d), 5)
 
 
 def shared_words(questions: list[str], passages: list[str]) -> list[str]:
@@ -195,33 +279,32 @@ def shared_words(questions: list[str], passages: list[str]) -> list[str]:
 
 @add()
 def rerank(spark, d):
-    return search.rerank(bm25_hits(spark, d, 20), questions(spark, d), chunks(spark, d), shared_words, 5)
+    c = Corpus(spark, d)
+    return search.rerank(c.bm25(20), c.questions, c.chunks, shared_words, 5)
 
 
 def halves(texts: list[str]) -> list[str]:
     """A rewriter for tests: the first and second half of the words, as a list."""
-    return ["\n".join(("- " + " ".join(t.split()[: len(t.split()) // 2]), "", "2. " + " ".join(t.split()[len(t.split()) // 2 :]))) for t in texts]
+    return ["\n".join(("- " + " ".join(t.split()[: len(t.split()) // 2]), "", "• " + " ".join(t.split()[len(t.split()) // 2 :]))) for t in texts]
 
 
 @add()
 def multi_query(spark, d):
-    index = search.bm25_index(chunks(spark, d))
-    return search.multi_query(questions(spark, d), halves, lambda q: search.bm25_topk(q, index, 5))
+    c = Corpus(spark, d)
+    return search.multi_query(c.questions, halves, lambda q: c.bm25(5, q))
 
 
 @add()
 def hyde(spark, d):
-    index = embedding.hash_embed(chunks(spark, d), "chunk_id")
-    return search.hyde(questions(spark, d), lambda texts: [t.split(".")[0] for t in texts], lambda q: search.sparse_topk(embedding.hash_embed(q, "query_id"), index, 5))
-
-
+    c = Corpus(spark, d)
+    return search.hyde(c.questions, lambda texts: [t.split(".")[0] for t in texts], lambda q: c.dense(5, q))
 
 
 @add(f"WITH {PARENT_SQL} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank, score FROM owned QUALIFY rank <= 3")
 def parent_child(spark, d):
-    parents = chunk_fixed(documents(spark, d), 1200, 0)
-    kids = chunk_fixed(parents.select(F.col("chunk_id").alias("doc_id"), "source", "text"), 300, 0)
-    found = search.bm25_topk(questions(spark, d), search.bm25_index(kids), 9)
+    parents = Corpus(spark, d, 1200, 0).chunks
+    kids = stored(chunk_fixed(parents.select(F.col("chunk_id").alias("doc_id"), "source", "text"), 300, 0), "kids")
+    found = search.bm25_topk(questions(spark, d), search.bm25_index(kids, lambda df: stored(df, "terms")), 9)
     return search.parent_child(found, kids.select("chunk_id", F.col("doc_id").alias("parent_id")), parents, 3)
 
 
@@ -231,7 +314,8 @@ grid AS (SELECT retriever, item_id AS query_id FROM benchmark CROSS JOIN (VALUES
 SELECT retriever, count(*) AS queries, count(rank) AS found, count(*) FILTER (rank = 1) AS first, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM grid LEFT JOIN first USING (retriever, query_id) GROUP BY retriever""")
 def rank_compare(spark, d):
     markers = questions(spark, d).select("query_id", F.substring("text", 1, 40).alias("marker"))
-    return search.rank_compare({"bm25": bm25_hits(spark, d), "vector": dense_hits(spark, d, 5)}, chunks(spark, d), markers)
+    c = Corpus(spark, d)
+    return search.rank_compare({"bm25": c.bm25(), "vector": c.dense(5)}, c.chunks, markers)
 
 
 def one_per_source(spark, d):
@@ -249,19 +333,28 @@ def ingest(spark, d):
 
 @add(f"WITH {BM25_SQL}, {DENSE_SQL}, r AS (SELECT query_id, greatest(max(score), 0) AS relevance FROM dense_ranked WHERE rank <= 5 GROUP BY query_id) SELECT item_id AS query_id, coalesce(relevance, 0) AS relevance, coalesce(relevance, 0) < 0.3 AS refused FROM benchmark LEFT JOIN r ON query_id = item_id")
 def relevance_gate(spark, d):
-    asked = embedding.dense(embedding.hash_embed(questions(spark, d), "query_id"), "query_id", 256)
-    stored = embedding.dense(embedding.hash_embed(chunks(spark, d), "chunk_id"), "chunk_id", 256)
-    return rag.relevance_gate(questions(spark, d), dense_hits(spark, d, 5), asked, stored, 0.3)
+    c = Corpus(spark, d)
+    hits = stored(c.dense(5), "hits")
+    asked = embedding.dense(embedding.hash_vectors(c.questions, "query_id"), "query_id", 256)
+    near = embedding.dense(c.vectors.join(hits.select("chunk_id"), "chunk_id", "left_semi"), "chunk_id", 256)
+    return rag.relevance_gate(c.questions, hits, asked, near, 0.3)
 
 
-@add()
+@add(
+    f"""WITH RECURSIVE {HITS_SQL}, h AS (SELECT query_id, chunk_id, rank, score, CAST(greatest(1, length(text) // 4) AS BIGINT) AS cost FROM hits JOIN chunks USING (chunk_id)),
+walk AS (SELECT query_id, chunk_id, rank, score, cost, cost <= 700 AS fits, CASE WHEN cost <= 700 THEN cost ELSE 0 END AS used, false AS ended FROM h WHERE rank = 1
+  UNION ALL SELECT h.query_id, h.chunk_id, h.rank, h.score, h.cost, NOT w.ended AND w.used + h.cost <= 700, CASE WHEN NOT w.ended AND w.used + h.cost <= 700 THEN w.used + h.cost ELSE w.used END,
+    w.ended OR (w.used + h.cost > 700 AND 700 - w.used < 50) FROM walk w JOIN h ON h.query_id = w.query_id AND h.rank = w.rank + 1)
+SELECT query_id, chunk_id, rank, score, cost AS tokens FROM walk WHERE fits"""
+)
 def fit_to_budget(spark, d):
-    return rag.fit_to_budget(bm25_hits(spark, d), chunks(spark, d), 700)
+    c = Corpus(spark, d)
+    return rag.fit_to_budget(c.hits, c.chunks, 700)
 
 
 @add(f"WITH {HITS_SQL} SELECT query_id, string_agg('[' || rank || '] (' || source || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits JOIN chunks USING (chunk_id) GROUP BY query_id")
 def format_context(spark, d):
-    return rag.format_context(bm25_hits(spark, d), chunks(spark, d))
+    return Corpus(spark, d).contexts()
 
 
 SYSTEM_PROMPT = "Answer from the sources, and cite them."
@@ -269,22 +362,14 @@ SYSTEM_PROMPT = "Answer from the sources, and cite them."
 
 @add(f"WITH {HITS_SQL}, n AS (SELECT query_id, sum(length(text)) AS n FROM hits JOIN chunks USING (chunk_id) GROUP BY query_id) SELECT item_id AS query_id, CAST((coalesce(n, 0) + length(text) + {len(SYSTEM_PROMPT)}) // 4 AS BIGINT) AS tokens FROM benchmark LEFT JOIN n ON query_id = item_id")
 def prompt_tokens(spark, d):
-    return rag.prompt_tokens(questions(spark, d), bm25_hits(spark, d), chunks(spark, d), SYSTEM_PROMPT)
-
-
-def gate(spark, d):
-    return golden(spark, d).select("query_id", F.col("should_refuse").alias("refused"))
+    c = Corpus(spark, d)
+    return rag.prompt_tokens(c.questions, c.hits, c.chunks, SYSTEM_PROMPT)
 
 
 @add()
 def answer(spark, d):
-    return rag.answer(questions(spark, d), gate(spark, d), format_context(spark, d), lambda prompts: [p.split("\n")[2][:80] + " [1]" for p in prompts])
-
-
-def cited_answers(spark, d):
-    """Grounded answers; every seventh cites a source that isn't there."""
-    said = rag.grounded_answer(questions(spark, d), bm25_hits(spark, d), chunks(spark, d))
-    return said.withColumn("answer", F.when(F.col("query_id") % 7 == 0, F.concat("answer", F.lit(" [9]"))).otherwise(F.col("answer")))
+    c = Corpus(spark, d)
+    return rag.answer(c.questions, c.gate(), c.contexts(), lambda prompts: [p.split("\n")[2][:80] + " [1]" for p in prompts])
 
 
 _ASKED = r"list_distinct(list_filter(string_split_regex(replace(lower(regexp_replace(split_part(b.text, chr(10), 1), '^\s+|\s+$', '', 'g')), '?', ''), '\s+'), lambda w: length(w) > 3))"
@@ -299,7 +384,7 @@ grounded AS (SELECT item_id AS query_id, coalesce(regexp_replace(sentence, '^\s+
 
 @add(f"WITH {GROUNDED_SQL} SELECT query_id, answer FROM grounded")
 def grounded_answer(spark, d):
-    return rag.grounded_answer(questions(spark, d), bm25_hits(spark, d), chunks(spark, d))
+    return Corpus(spark, d).grounded()
 
 
 @add(
@@ -308,26 +393,27 @@ c AS (SELECT query_id, list_sort(list_distinct(list_transform(regexp_extract_all
 SELECT query_id, array_to_string(cited, ',') AS cited, array_to_string(list_filter(cited, lambda x: x > 5), ',') AS dangling, len(list_filter(cited, lambda x: x > 5)) = 0 AS valid, len(cited) > 0 AS has_citations FROM c"""
 )
 def citation_check(spark, d):
-    checked = rag.citation_check(cited_answers(spark, d).withColumn("n_sources", F.lit(5)))
+    checked = rag.citation_check(Corpus(spark, d).cited_answers().withColumn("n_sources", F.lit(5)))
     shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return checked.select("query_id", shown("cited"), shown("dangling"), "valid", "has_citations")
 
 
 @add(f"WITH {HITS_SQL}, f AS (SELECT query_id, source, min(rank) AS rank FROM hits JOIN chunks USING (chunk_id) GROUP BY ALL) SELECT query_id, string_agg(source, ',' ORDER BY rank) AS sources FROM f GROUP BY query_id")
 def ordered_sources(spark, d):
-    return rag.ordered_sources(bm25_hits(spark, d), chunks(spark, d)).select("query_id", F.array_join("sources", ",").alias("sources"))
+    c = Corpus(spark, d)
+    return rag.ordered_sources(c.hits, c.chunks).select("query_id", F.array_join("sources", ",").alias("sources"))
 
 
 @add(f"WITH {chunks_sql()} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, count(DISTINCT chunk_id) FILTER (len(regexp_extract_all(lower(text), '[a-z0-9'']+')) > 0) AS vectors, 'hash' AS embedder, 256::BIGINT AS dims, 0.0::DOUBLE AS cache_hit_rate FROM chunks")
 def corpus_stats(spark, d):
-    c = chunks(spark, d)
-    return rag.corpus_stats(documents(spark, d), c, embedding.hash_embed(c, "chunk_id"), "hash", 256)
+    c = Corpus(spark, d)
+    return rag.corpus_stats(documents(spark, d), c.chunks, c.vectors.filter("size(entries) > 0"), "hash", 256)
 
 
 def metric(name: str):
     @add(f"WITH {JUDGED_SQL} SELECT query_id, {name} FROM metrics")
     def run(spark, d):
-        return evaluation.retrieval_metrics(golden(spark, d), shown_hits(spark, d)).select("query_id", name)
+        return Corpus(spark, d).metrics().select("query_id", name)
 
     plans.queries[name], plans.sql[name] = run, plans.sql.pop("run")
     del plans.queries["run"]
@@ -337,13 +423,17 @@ for _name in evaluation.RETRIEVAL:
     metric(_name)
 
 
-def contexts(spark, d):
-    return rag.format_context(bm25_hits(spark, d), chunks(spark, d))
-
-
-@add()
+@add(
+    rf"""WITH {{GROUNDED_SQL}}, a AS (SELECT query_id, CASE WHEN query_id % 7 = 0 THEN answer || ' [9]' ELSE answer END AS answer FROM grounded),
+ctx AS (SELECT query_id, list_distinct(regexp_extract_all(lower(string_agg('[' || rank || '] (' || source || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)), '[a-z0-9'']+')) AS known FROM hits JOIN chunks USING (chunk_id) GROUP BY query_id),
+claim AS (SELECT query_id, unnest(list_filter(string_split_regex(regexp_replace(answer, '([.!?])\s+', '' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '')) AS said FROM a),
+claim_words AS (SELECT query_id, list_filter(regexp_extract_all(lower(said), '[a-z0-9'']+'), lambda w: length(w) > 3) AS w FROM claim),
+backed AS (SELECT query_id, avg(CAST(len(w) = 0 OR len(list_filter(w, lambda x: list_contains(known, x))) / len(w) >= 0.5 AS INT)) AS share FROM claim_words JOIN ctx USING (query_id) GROUP BY query_id)
+SELECT a.query_id, round(CASE WHEN known IS NULL THEN CASE WHEN trim(answer, ' ') = '' THEN 1.0 ELSE 0.0 END ELSE coalesce(share, 1.0) END, 6) AS faithfulness FROM a LEFT JOIN ctx USING (query_id) LEFT JOIN backed USING (query_id)""".replace("{GROUNDED_SQL}", GROUNDED_SQL)
+)
 def faithfulness(spark, d):
-    return evaluation.faithfulness(cited_answers(spark, d), contexts(spark, d))
+    c = Corpus(spark, d)
+    return evaluation.faithfulness(c.cited_answers(), c.contexts())
 
 
 WORDS = "regexp_extract_all(lower({}), '[a-z0-9'']+')"
@@ -352,7 +442,7 @@ _LONG = f"list_distinct(list_filter({WORDS.format('b.text')}, lambda w: length(w
 
 @add(f"WITH {GROUNDED_SQL} SELECT query_id, CASE WHEN len({_LONG}) = 0 THEN 1.0 ELSE round(len(list_intersect({_LONG}, {WORDS.format('answer')})) / len({_LONG}), 6) END AS answer_relevance FROM grounded JOIN benchmark b ON item_id = query_id")
 def answer_relevance(spark, d):
-    said = questions(spark, d).join(grounded_answer(spark, d), "query_id")
+    said = questions(spark, d).join(Corpus(spark, d).grounded(), "query_id")
     return said.select("query_id", F.round(evaluation.answer_relevance(F.col("text"), F.col("answer")), 6).alias("answer_relevance"))
 
 
@@ -361,7 +451,7 @@ _A, _B = (f"list_distinct({WORDS.format(x)})" for x in ("answer", "b.text"))
 
 @add(f"WITH {GROUNDED_SQL} SELECT query_id, coalesce(round(2.0 * len(list_intersect({_A}, {_B})) / nullif(len({_A}) + len({_B}), 0), 6), 0) AS answer_correctness FROM grounded JOIN benchmark b ON item_id = query_id")
 def answer_correctness(spark, d):
-    said = questions(spark, d).join(grounded_answer(spark, d), "query_id")
+    said = questions(spark, d).join(Corpus(spark, d).grounded(), "query_id")
     return said.select("query_id", F.round(evaluation.answer_correctness(F.col("text"), F.col("answer")), 6).alias("answer_correctness"))
 
 
@@ -370,38 +460,52 @@ def judge_faithfulness(spark, d):
     def judge(held, said):
         return [f"{10 * sum(w in c for w in a.split()) // max(1, len(a.split()))}" for c, a in zip(held, said, strict=True)]
 
-    return evaluation.judge_faithfulness(cited_answers(spark, d), contexts(spark, d), judge)
-
-
-def evaluated(spark, d):
-    said = cited_answers(spark, d).join(gate(spark, d), "query_id")
-    return evaluation.evaluate(golden(spark, d), shown_hits(spark, d), said, contexts(spark, d))
+    c = Corpus(spark, d)
+    return evaluation.judge_faithfulness(c.cited_answers(), c.contexts(), judge)
 
 
 @add()
 def evaluate(spark, d):
-    return evaluated(spark, d)
+    c = Corpus(spark, d)
+    said = c.cited_answers().join(c.gate(), "query_id")
+    return evaluation.evaluate(c.golden, c.shown_hits(), said, c.contexts())
 
 
 MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in evaluation.RETRIEVAL)
 
 
-@add(f"WITH {JUDGED_SQL} SELECT 'bm25' AS config, count(*) AS n, {MEANS} FROM metrics")
+@add(
+    f"""WITH {JUDGED_SQL}, said AS (SELECT g.query_id, length(question) AS latency, (coalesce((SELECT max(score) FROM hits h WHERE h.query_id = g.query_id), 0) < 20) = should_refuse AS right FROM golden g),
+r AS (SELECT *, row_number() OVER (ORDER BY latency) AS nth, count(*) OVER () AS of FROM metrics JOIN said USING (query_id))
+SELECT 'bm25' AS config, count(*) AS n, {MEANS}, round(avg(CAST("right" AS INT)), 6) AS refusal_accuracy, max(latency) FILTER (nth = least(of, of // 2 + 1)) AS p50_latency FROM r"""
+)
 def scorecard(spark, d):
-    found = evaluation.retrieval_metrics(golden(spark, d), shown_hits(spark, d)).withColumn("config", F.lit("bm25"))
-    return evaluation.scorecard(found, [*evaluation.RETRIEVAL])
+    """Questions without a hit of score 20 are refused; the length of a question stands for its latency."""
+    c = Corpus(spark, d)
+    best = c.hits.groupBy("query_id").agg(F.max("score").alias("best"))
+    said = c.golden.join(best, "query_id", "left").select("query_id", F.length("question").cast("long").alias("latency"), ((F.coalesce("best", F.lit(0.0)) < 20) == F.col("should_refuse")).alias("refusal_correct"))
+    return evaluation.scorecard(c.metrics().join(said, "query_id").withColumn("config", F.lit("bm25")), [*evaluation.RETRIEVAL], latency="latency")
 
 
 @add(f"WITH {JUDGED_SQL} SELECT query_id, mrr FROM metrics WHERE mrr < 0.6")
 def failures(spark, d):
-    return evaluation.failures(evaluation.retrieval_metrics(golden(spark, d), shown_hits(spark, d)), "mrr", 0.6).select("query_id", "mrr")
+    return evaluation.failures(Corpus(spark, d).metrics(), "mrr", 0.6).select("query_id", "mrr")
 
 
-_BOTH = " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 4) AS bm25, round(avg({m}) FILTER (query_id % 2 = 0), 4) AS even_items FROM metrics" for m in evaluation.RETRIEVAL)
+#: Sizes and overlaps of fixed windows that are compared.
+SWEEP = {"fixed_1200": (1200, 150), "fixed_300": (300, 30), "whole_6000": (6000, 0)}
+_CARDS = [f"SELECT * FROM (WITH {JUDGED_SQL.replace(chunks_sql(), chunks_sql(*sizes))} SELECT '{name}' AS config, {MEANS} FROM metrics)" for name, sizes in SWEEP.items()]
+_LONG_CARDS = " UNION ALL ".join(f"SELECT '{m}' AS metric, config, {m} AS value FROM cards" for m in evaluation.RETRIEVAL)
+_WIDE = ", ".join(f"max(value) FILTER (config = '{name}') AS {name}" for name in SWEEP)
 
 
-@add(f"WITH {JUDGED_SQL} {_BOTH}")
+@add(f"WITH cards AS ({' UNION ALL '.join(_CARDS)}), l AS ({_LONG_CARDS}) SELECT metric, {_WIDE} FROM l GROUP BY metric")
 def compare_configs(spark, d):
-    found = evaluation.retrieval_metrics(golden(spark, d), shown_hits(spark, d))
-    card = evaluation.compare_configs({"bm25": found, "even_items": found.filter("query_id % 2 = 0")}, [*evaluation.RETRIEVAL])
-    return card.select("metric", F.round("bm25", 4).alias("bm25"), F.round("even_items", 4).alias("even_items"))
+    """The same questions over windows of three sizes."""
+    first = Corpus(spark, d, *SWEEP["fixed_1200"])
+    found = {"fixed_1200": first.metrics()}
+    for name, sizes in SWEEP.items():
+        if name not in found:
+            found[name] = evaluation.retrieval_metrics(first.golden, Corpus(spark, d, *sizes).shown_hits())
+    card = evaluation.compare_configs({name: found[name] for name in SWEEP}, [*evaluation.RETRIEVAL])
+    return card.select("metric", *SWEEP)
