@@ -114,14 +114,26 @@ def split_system(messages: DataFrame) -> DataFrame:
     return marked.withColumn("system", F.max(F.when(F.col("leads"), F.col("text"))).over(conv)).filter(~F.col("leads")).drop("leads")
 
 
+def append_entries(entries: DataFrame, path: str) -> None:
+    """Adds entries (tenant, conv_id, ts, seq, entry json) to the store under `path`, a folder of files for each tenant."""
+    entries.select("tenant", "conv_id", "ts", "seq", "entry", F.lit(False).alias("cleared")).write.mode("append").partitionBy("tenant").parquet(path)
+
+
+def clear_conversations(which: DataFrame, path: str) -> None:
+    """Clears conversations (tenant, conv_id, ts, seq): what was said up to then is gone. A mark is appended; nothing is rewritten."""
+    which.select("tenant", "conv_id", "ts", "seq", F.lit(None).cast("string").alias("entry"), F.lit(True).alias("cleared")).write.mode("append").partitionBy("tenant").parquet(path)
+
+
 def history_store(entries: DataFrame, now: Column | None = None, keep: int = 40, hours: int = 24) -> DataFrame:
-    """The newest `keep` entries (tenant, conv_id, ts, seq, entry json) of each conversation written to within `hours` before now (by default the last write of all).
-    Entries that aren't objects with a role and content are skipped."""
+    """The newest `keep` entries (tenant, conv_id, ts, seq, entry json[, cleared]) of each conversation written to within `hours` before now (by default the last
+    write of all). Entries that aren't objects with a role and content are skipped, and so are those not after the last mark that clears a conversation."""
+    if "cleared" in entries.columns:
+        last_clear = F.max(F.when(F.col("cleared"), F.struct("ts", "seq"))).over(Window.partitionBy("tenant", "conv_id"))
+        marked = entries.withColumn("gone", last_clear)
+        entries = marked.filter(~F.col("cleared") & (F.col("gone").isNull() | (F.struct("ts", "seq") > F.col("gone")))).drop("gone", "cleared")
     parsed = entries.withColumn("e", F.from_json("entry", "role string, content string", {"mode": "PERMISSIVE"})).filter(F.col("e.role").isNotNull() & F.col("e.content").isNotNull())
     by = Window.partitionBy("tenant", "conv_id")
     clock = parsed.agg(F.max("ts").alias("now")) if now is None else parsed.limit(1).select(now.alias("now"))
     newest = parsed.withColumns({"last": F.max("ts").over(by), "nth": F.row_number().over(by.orderBy(F.desc("ts"), F.desc("seq")))}).filter(F.col("nth") <= keep)
     live = newest.crossJoin(F.broadcast(clock)).filter(F.col("last") >= F.col("now") - F.expr(f"interval {hours} hours"))
     return live.select("tenant", "conv_id", "ts", "seq", F.col("e.role").alias("role"), F.col("e.content").alias("content"))
-
-

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.rules import AGENT_INJECTION, SECRET_SHAPES, SERVICE_INJECTION, SUMMARY_PREFIX, UNTRUSTED_NOTE, UNTRUSTED_WARNING
 from tessera.operators import history, safety, validation
 from tessera.plans.base import Plans, messages, read
+from tessera.sources.scratch import fresh_path
 
 plans = Plans()
 add = plans.add
@@ -195,13 +196,21 @@ def history_recall(spark, d):
 
 @add(
     """WITH e AS (SELECT user_id % 7 AS tenant, user_id AS conv_id, ts, event_id AS seq, event_type FROM events),
-n AS (SELECT *, max(ts) OVER (PARTITION BY tenant, conv_id) AS last, row_number() OVER (PARTITION BY tenant, conv_id ORDER BY ts DESC, seq DESC) AS nth, (SELECT max(ts) FROM e WHERE event_type <> 'error') AS now
-  FROM e WHERE event_type <> 'error')
+half AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS at FROM e),
+kept AS (SELECT e.* FROM e, half WHERE event_type <> 'error' AND NOT (conv_id % 3 = 0 AND ts <= half.at)),
+n AS (SELECT *, max(ts) OVER (PARTITION BY tenant, conv_id) AS last, row_number() OVER (PARTITION BY tenant, conv_id ORDER BY ts DESC, seq DESC) AS nth, (SELECT max(ts) FROM kept) AS now FROM kept)
 SELECT tenant, conv_id, seq, 'user' AS role, event_type AS content FROM n WHERE nth <= 40 AND last >= now - INTERVAL 24 HOUR"""
 )
 def history_store(spark, d):
-    """Events as entries; errors are entries that don't parse."""
+    """Events as entries, appended in two goes, then every third conversation is cleared up to the middle of the time; errors are entries that don't parse."""
     good = F.to_json(F.struct(F.lit("user").alias("role"), F.col("event_type").alias("content")))
     entry = F.when(F.col("event_type") == "error", F.lit("{broken")).otherwise(good)
-    entries = read(spark, d, "events").select((F.col("user_id") % 7).alias("tenant"), F.col("user_id").alias("conv_id"), "ts", F.col("event_id").alias("seq"), entry.alias("entry"))
-    return history.history_store(entries).drop("ts")
+    timed = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    entries = timed.select((F.col("user_id") % 7).alias("tenant"), F.col("user_id").alias("conv_id"), "ts", F.col("event_id").alias("seq"), entry.alias("entry"))
+    path = fresh_path(spark, "history")
+    for part in (0, 1):
+        history.append_entries(entries.filter(F.col("seq") % 2 == part), path)
+    half = timed.agg(F.timestamp_micros(F.floor((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2)).alias("ts"))
+    cleared = entries.filter("conv_id % 3 = 0").select("tenant", "conv_id").distinct().crossJoin(F.broadcast(half)).withColumn("seq", F.lit(2**62))
+    history.clear_conversations(cleared, path)
+    return history.history_store(spark.read.parquet(path)).drop("ts")

@@ -137,32 +137,45 @@ def stream_reassemble(deltas: DataFrame) -> DataFrame:
 
 
 def stream_ingest(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Starts a job that chunks new and changed documents of a stream into tables under `path`, versioned by batch: a batch that runs again writes the same version.
+    """Starts a job that chunks new and changed documents of a stream (source, text, ts, ...) into tables under `path`.
 
-    The current version is the last that has all of its files; see `ingested`.
+    A batch adds a version of its own, chunks and (source, content_hash), of the sources that changed in it, and leaves older ones as they are; a
+    batch that runs again writes the same version. A source's chunks are those of its last version; see `ingested`.
     """
 
     def batch(part: DataFrame, batch_id: int) -> None:
         spark = part.sparkSession
-        before = ingested(spark, path, batch_id)
-        known = before[1] if before else spark.createDataFrame([], "source string, content_hash string")
-        newest = part.groupBy("source").agg(F.max_by(F.struct(*part.columns), "ts").alias("r")).select("r.*")
-        chunks, state, _ = ingest(newest, known, chunk, before[0] if before else None)
-        chunks.write.mode("overwrite").parquet(f"{path}/chunks/v={batch_id:09d}")
-        state.write.mode("overwrite").parquet(f"{path}/state/v={batch_id:09d}")
+        known = _state(spark, path, batch_id)
+        known = spark.createDataFrame([], "source string, content_hash string") if known is None else known.drop("v")
+        newest = part.groupBy("source").agg(F.max_by(F.struct(*part.columns), "ts").alias("r")).select("r.*").persist()
+        try:
+            chunks, state, _ = ingest(newest, known, chunk)
+            chunks.write.mode("overwrite").parquet(f"{path}/chunks/v={batch_id:09d}")
+            state.join(known, ["source", "content_hash"], "left_anti").write.mode("overwrite").parquet(f"{path}/state/v={batch_id:09d}")
+        finally:
+            newest.unpersist()
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingested(spark, path: str, before: int | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """(chunks, state) of the last whole version of `stream_ingest`, of those before a batch if named."""
+def _state(spark, path: str, before: int | None) -> DataFrame | None:
+    """(source, content_hash, v) of the last whole version of each source, of the versions before a batch if named."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{path}/state")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at):
         return None
-    whole = [int(s.getPath().getName()[2:]) for s in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    whole = [v for v in whole if before is None or v < before]
+    whole = [s.getPath().getName() for s in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    whole = [v for v in whole if before is None or int(v[2:]) < before]
     if not whole:
         return None
-    return tuple(spark.read.parquet(f"{path}/{kind}/v={max(whole):09d}") for kind in ("chunks", "state"))
+    every = spark.read.option("basePath", f"{path}/state").parquet(*(f"{path}/state/{v}" for v in whole))
+    return every.groupBy("source").agg(F.max(F.struct("v", "content_hash")).alias("x")).select("source", "x.content_hash", "x.v")
+
+
+def ingested(spark, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(chunks, state) of the sources as `stream_ingest` knows them last."""
+    state = _state(spark, path, None)
+    if state is None:
+        return None
+    return spark.read.parquet(f"{path}/chunks").join(state.select("source", "v"), ["source", "v"], "left_semi").drop("v"), state.drop("v")
