@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import stepped_percentile_rank
+from tessera.operators.folds import fold_in_order
 
 QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -38,18 +40,16 @@ def metrics_snapshot(requests: DataFrame) -> DataFrame:
 
 
 def cache_labels(requests: DataFrame, ttl_seconds: float) -> DataFrame:
-    """requests (cache_key, ts, seq, tokens) with hit and billed_tokens: a request hits if it comes before the last miss's ttl ran out; hits don't extend it and cost nothing.
-    Folds the requests of a key in order."""
-    each = requests.groupBy("cache_key").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "tokens"))).alias("asked"))
-    timed = F.transform("asked", lambda r: F.struct((F.unix_micros(r["ts"]) / 1e6).alias("at"), r.alias("r")))
-    start = F.struct(F.lit(None).cast("double").alias("missed"), F.array().cast("array<boolean>").alias("hits"))
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.coalesce(x["at"] < acc["missed"] + ttl_seconds, F.lit(False))
-        return F.struct(F.when(hit, acc["missed"]).otherwise(x["at"]).alias("missed"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
-
-    labelled = each.withColumn("hits", F.aggregate(timed, start, step)["hits"]).select("cache_key", F.explode(F.arrays_zip("asked", "hits")).alias("x"))
-    return labelled.select("cache_key", "x.asked.ts", "x.asked.seq", F.col("x.hits").alias("hit"), F.when(F.col("x.hits"), F.lit(0)).otherwise(F.col("x.asked.tokens")).cast("long").alias("billed_tokens"), F.col("x.asked.tokens").alias("tokens"))
+    """requests (cache_key, ts, seq, tokens) with hit and billed_tokens: a request hits if it comes before the last miss's ttl ran out; hits don't extend it and cost nothing."""
+
+    def step(missed, request):
+        now = request["ts"].timestamp()
+        hit = missed is not None and now < missed + ttl_seconds
+        return missed if hit else now, (hit, 0 if hit else request["tokens"])
+
+    asked = requests.select("cache_key", "ts", "seq", F.col("tokens").cast("long").alias("tokens"))
+    labelled = fold_in_order(asked, "cache_key", ["ts", "seq"], step, {"hit": T.BooleanType(), "billed_tokens": T.LongType()})
+    return labelled.select("cache_key", "ts", "seq", "hit", "billed_tokens", "tokens")
 
 
 def cache_report(labelled: DataFrame) -> DataFrame:

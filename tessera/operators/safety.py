@@ -16,8 +16,8 @@ def injection_findings(text: Column, rules=AGENT_INJECTION) -> Column:
     """array<struct<rule, category, matched, excerpt>>: the first match of each pattern, with 30 characters on either side."""
     found = []
     for i, (pattern, category) in enumerate(rules):
-        whole = f"(?is){pattern}"
-        match, at = F.regexp_extract(text, f"(?is)({pattern})", 1), F.regexp_instr(text, F.lit(whole))
+        whole = f"(?isU){pattern}"
+        match, at = F.regexp_extract(text, f"(?isU)({pattern})", 1), F.regexp_instr(text, F.lit(whole))
         start = F.greatest(at - 30, F.lit(1))
         excerpt = F.replace(F.substr(text, start, at - start + F.length(match) + 30), F.lit("\n"), F.lit(" "))
         found.append(F.when(text.rlike(whole), F.struct(F.lit(i).alias("rule"), F.lit(category).alias("category"), F.substring(match, 1, 100).alias("matched"), excerpt.alias("excerpt"))))
@@ -31,7 +31,7 @@ def injection_scan(texts: DataFrame, key: str, rules=AGENT_INJECTION) -> DataFra
 
 def categories(text: Column, rules) -> Column:
     """Sorted distinct categories of the patterns that match."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(f"(?is){p}"), F.lit(c)) for p, c in rules)))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(f"(?isU){p}"), F.lit(c)) for p, c in rules)))))
 
 
 def injection_categories(text: Column) -> Column:
@@ -100,25 +100,21 @@ def _mask_cards(text: pd.Series) -> pd.DataFrame:
 def pii_redact(texts: DataFrame, key: str) -> DataFrame:
     """(key, text, counts map<string,int>): masked in order, kinds found counted. Only texts with a card-like number reach Python."""
     kinds = dict(PII)
-    staged = texts.select(key, "text")
-    for kind in ("email", "ssn", "ip"):
-        staged = staged.withColumn(kind, F.regexp_count("text", F.lit(_java(kinds[kind])))).withColumn("text", F.regexp_replace("text", _java(kinds[kind]), f"[{kind.upper()}]"))
-    likely = F.col("text").rlike(_java(kinds["credit_card"]))
-    plain = staged.filter(~F.coalesce(likely, F.lit(False))).withColumn("credit_card", F.lit(0))
-    masked = staged.filter(likely).withColumn("m", _mask_cards("text")).withColumn("text", F.col("m.text")).withColumn("credit_card", F.col("m.cards")).drop("m")
-    both = plain.unionByName(masked)
+    staged = texts.select(key, "text", F.coalesce(F.col("text").rlike(_java(kinds["credit_card"])), F.lit(False)).alias("likely"))
+    plain, digits = staged.filter("not likely").drop("likely"), staged.filter("likely").drop("likely")  # masks before it only take digits away
+
+    def first_masks(part: DataFrame) -> DataFrame:
+        for kind in ("email", "ssn", "ip"):
+            part = part.withColumn(kind, F.regexp_count("text", F.lit(_java(kinds[kind])))).withColumn("text", F.regexp_replace("text", _java(kinds[kind]), f"[{kind.upper()}]"))
+        return part
+
+    masked = first_masks(digits).withColumn("m", _mask_cards("text")).withColumn("text", F.col("m.text")).withColumn("credit_card", F.col("m.cards")).drop("m")
+    both = first_masks(plain).withColumn("credit_card", F.lit(0)).unionByName(masked)
     both = both.withColumn("phone", F.regexp_count("text", F.lit(_java(kinds["phone"])))).withColumn("text", F.regexp_replace("text", _java(kinds["phone"]), "[PHONE]"))
     every = F.create_map(*(x for k in kinds for x in (F.lit(k), F.col(k))))
     return both.select(key, "text", F.map_filter(every, lambda _, n: n > 0).alias("counts"))
 
 
-def redact(text: Column) -> Column:
-    """PII masks without the Luhn check, for values in logs."""
-    for kind, pattern in PII:
-        text = F.regexp_replace(text, _java(pattern), f"[{kind.upper()}]")
-    return text
-
-
 def log_redact(text: Column) -> Column:
     for label, pattern in LOG_MASKS:
         text = F.regexp_replace(text, _java(pattern), f"[{label}]")

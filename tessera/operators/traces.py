@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.safety import redact
+from tessera.functions.rules import ACTION, ACTION_INPUT, FENCE, FINAL_ANSWER, THOUGHT
+from tessera.functions.text import strip
+from tessera.operators.safety import pii_redact
 
 COST_PER_1000 = 0.0006
 
@@ -22,14 +24,11 @@ def repair_json(raw: Column) -> Column:
 
 def trace_parse(turns: DataFrame) -> DataFrame:
     """turns (run_id, idx, text) with thought, action, action_input (JSON text), final_answer and parse_error; a final answer wins."""
-    got = lambda p: F.trim(F.regexp_extract("text", p, 1))
+    got = lambda p: strip(F.regexp_extract("text", p, 1))
     has = lambda p: F.col("text").rlike(p)
-    final, action = r"(?is)Final\s*Answer\s*:\s*(.+)", r"(?im)Action\s*:[ \t]*(.+?)\s*$"
-    given = r"(?is)Action\s*Input\s*:\s*(.+?)(?=\n\s*(?:Thought|Action|Observation)\s*:|\z)"
-    thought = r"(?is)Thought\s*:\s*(.+?)(?=\n\s*(?:Action|Final Answer)\s*:|\z)"
-    fence = r"(?m)^```(?:json)?|```$"
-    raw = F.regexp_replace(F.regexp_replace(got(given), fence, ""), r"^\s+|\s+$", "")
-    parsed = turns.select("run_id", "idx", got(thought).alias("thought"), F.when(has(final), got(final)).alias("final_answer"), has(action).alias("acts"), F.regexp_replace(got(action), "^[`\"']+|[`\"']+$", "").alias("act"), has(given).alias("gives"), raw.alias("raw"))
+    raw = strip(F.regexp_replace(got(ACTION_INPUT), FENCE, ""))
+    act = F.regexp_replace(got(ACTION), "^[`\"']+|[`\"']+$", "")
+    parsed = turns.select("run_id", "idx", got(THOUGHT).alias("thought"), F.when(has(FINAL_ANSWER), got(FINAL_ANSWER)).alias("final_answer"), has(ACTION).alias("acts"), act.alias("act"), has(ACTION_INPUT).alias("gives"), raw.alias("raw"))
     parsed = parsed.withColumn("fixed", F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")).otherwise(repair_json(F.col("raw"))))
     tree = F.try_parse_json("fixed")
     kind = F.schema_of_variant(tree)
@@ -47,17 +46,19 @@ def trace_parse(turns: DataFrame) -> DataFrame:
 
 
 def call_signature(tool: Column, arguments: Column) -> Column:
-    """tool({...}) with the arguments' keys in order, of a JSON object of plain values."""
-    entries = F.array_sort(F.map_entries(F.from_json(arguments, "map<string,string>")))
-    shown = F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), F.coalesce(e["value"], F.lit("null")))), ", ")
-    return F.concat(tool, F.lit("({"), shown, F.lit("})"))
+    """tool(arguments) with the arguments as JSON, the keys of every object in order and values as they are written: "1" isn't 1."""
+    return F.concat(tool, F.lit("("), F.coalesce(F.to_json(F.try_parse_json(arguments)), F.lit("{}")), F.lit(")"))
 
 
 def loop_detect(steps: DataFrame, back: int = 3, times: int = 2) -> DataFrame:
-    """steps (run_id, idx, signature) with loop: the signature occurs `times` or more among the `back` before it."""
-    before = F.collect_list("signature").over(run_order().rowsBetween(-back, -1))
-    held = steps.withColumn("before", before)
-    return held.withColumn("loop", F.size(F.filter("before", lambda s: s == F.col("signature"))) >= times).drop("before")
+    """steps (run_id, idx, signature) with loop: the signature occurs `times` or more among the `back` executed steps before it. A step without a
+    signature, one that could not be parsed, wasn't executed: it doesn't count and has no loop."""
+    executed = F.sum(F.col("signature").isNotNull().cast("int")).over(run_order().rowsBetween(Window.unboundedPreceding, -1))
+    numbered = steps.withColumn("nth_executed", F.coalesce(executed, F.lit(0)))
+    recent = Window.partitionBy("run_id").orderBy("nth_executed").rangeBetween(-back, -1)  # a failed step shares the number of the next executed one
+    held = numbered.withColumn("recent", F.collect_list("signature").over(recent))
+    loop = F.size(F.filter("recent", lambda s: s == F.col("signature"))) >= times
+    return held.withColumn("loop", F.col("signature").isNotNull() & loop).drop("recent", "nth_executed")
 
 
 def no_progress(steps: DataFrame, least: int = 3) -> DataFrame:
@@ -78,7 +79,8 @@ def run_outcome(steps: DataFrame, max_iterations: int = 10, max_cost: float = 1.
     before = run_order().rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum("tokens").over(before), F.lit(0))
     elapsed = F.coalesce(F.sum("seconds").over(before), F.lit(0.0))
-    flagged = loop_detect(no_progress(steps.withColumn("ok", F.col("ok") & F.col("parse_ok")))).withColumns({"spent": step_cost(spent), "elapsed": elapsed, "nth": F.row_number().over(run_order())})
+    executed = steps.withColumns({"ok": F.col("ok") & F.col("parse_ok"), "signature": F.when(F.col("parse_ok"), F.col("signature"))})
+    flagged = loop_detect(no_progress(executed)).withColumns({"spent": step_cost(spent), "elapsed": elapsed, "nth": F.row_number().over(run_order())})
     reason = (
         F.when(F.col("nth") > max_iterations, "max_iterations").when(F.col("elapsed") > deadline, "deadline_exceeded").when(F.col("spent") > max_cost, "budget_exceeded").when(F.col("final"), "final_answer")
         .when(~F.col("parse_ok") & F.col("stuck"), "no_progress").when(F.col("parse_ok") & F.col("loop"), "loop_detected").when(F.col("stuck"), "no_progress")
@@ -130,8 +132,14 @@ def policy_decisions(calls: DataFrame, allowed: list[str] | None = None, denied:
 
 
 def audit_log(decisions: DataFrame) -> DataFrame:
-    """decisions with the texts among their arguments (map<string,string>) masked."""
-    return decisions.withColumn("arguments", F.transform_values("arguments", lambda _, v: redact(v)))
+    """decisions (run_id, seq, ...) with the texts among their arguments (map<string,string>) masked like other personal data: card numbers
+    only if they pass the Luhn check."""
+    texts = decisions.select(F.struct("run_id", "seq").alias("call"), F.explode("arguments").alias("name", "value"))
+    masked = pii_redact(texts.filter("value is not null").select(F.struct("call", "name").alias("at"), F.col("value").alias("text")), "at")
+    named = masked.select("at.call", F.struct("at.name", "text").alias("entry")).groupBy("call").agg(F.map_from_entries(F.collect_list("entry")).alias("shown"))
+    joined = decisions.join(named, F.struct("run_id", "seq") == F.col("call"), "left")
+    shown = F.transform_values("arguments", lambda k, v: F.coalesce(F.try_element_at(F.col("shown"), k), v))
+    return joined.withColumn("arguments", shown).select(*decisions.columns)
 
 
 def audit_report(decisions: DataFrame, findings: DataFrame | None = None) -> DataFrame:

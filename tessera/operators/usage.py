@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.rules import PRICES
+from tessera.operators.folds import fold_in_order
 
 
 def price_table(spark: SparkSession, prices: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -39,41 +41,65 @@ def spend_rollup(costs: DataFrame) -> DataFrame:
     return sets.agg(level.alias("level"), name.alias("name"), F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd")).drop("model", "tenant")
 
 
-def budget_headroom(costs: DataFrame, limit: float) -> DataFrame:
-    """Per tenant: spent, what remains of the limit, and whether the next call at the mean cost would pass it."""
-    spent = costs.groupBy("tenant").agg(F.sum("cost_usd").alias("s"), F.avg("cost_usd").alias("next"))
-    return spent.select("tenant", F.round("s", 6).alias("spent_usd"), F.round(F.greatest(F.lit(0.0), F.lit(limit) - F.col("s")), 6).alias("remaining_usd"), (F.col("s") + F.col("next") > limit).alias("over"))
+def budget_preflight(calls: DataFrame, limit: float) -> DataFrame:
+    """calls (tenant, ts, seq, projected_usd, cost_usd) with spent_before, what the tenant spent up to the call before, and over: whether the projected cost would
+    pass the limit. A label only: all calls spend."""
+    before = Window.partitionBy("tenant").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    spent = calls.withColumn("spent_before", F.round(F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0)), 6))
+    return spent.withColumn("over", F.round(F.col("spent_before") + F.col("projected_usd"), 6) > limit)
+
+
+def budget_headroom(calls: DataFrame, limit: float) -> DataFrame:
+    """Per tenant, of calls as in budget_preflight: spent, what remains of the limit, and the calls that would have passed it."""
+    labelled = budget_preflight(calls, limit).groupBy("tenant").agg(F.sum("cost_usd").alias("s"), F.count_if("over").alias("over_calls"))
+    return labelled.select("tenant", F.round("s", 6).alias("spent_usd"), F.round(F.greatest(F.lit(0.0), F.lit(limit) - F.col("s")), 6).alias("remaining_usd"), "over_calls")
 
 
 def quota_admission(calls: DataFrame, limit: float, period_seconds: float) -> DataFrame:
     """calls (tenant, ts, seq, amount) with admitted and spent: a tenant's period restarts at its first use after it ran out; a call is admitted if it fits, and only
-    admitted calls spend. Folds a tenant's calls in order, so its calls have to fit into an array; the streaming form keeps state instead."""
-    each = calls.groupBy("tenant").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "amount"))).alias("calls"))
-    seconds = F.transform("calls", lambda c: F.struct((F.unix_micros(c["ts"]) / 1e6).alias("at"), c["ts"].alias("ts"), c["seq"].alias("seq"), c["amount"].cast("double").alias("amount")))
-    made = "array<struct<ts:timestamp,seq:bigint,amount:double,admitted:boolean,spent:double>>"
-    start = F.struct(F.lit(None).cast("double").alias("since"), F.lit(0.0).alias("spent"), F.array().cast(made).alias("out"))
+    admitted calls spend."""
 
-    def step(acc: Column, c: Column) -> Column:
-        fresh = acc["since"].isNull() | (c["at"] - acc["since"] >= period_seconds)
-        spent = F.when(fresh, F.lit(0.0)).otherwise(acc["spent"])
-        fits = spent + c["amount"] <= limit
-        after = F.when(fits, spent + c["amount"]).otherwise(spent)
-        row = F.struct(c["ts"].alias("ts"), c["seq"].cast("long").alias("seq"), c["amount"].alias("amount"), fits.alias("admitted"), after.alias("spent"))
-        return F.struct(F.when(fresh, c["at"]).otherwise(acc["since"]).alias("since"), after.alias("spent"), F.concat(acc["out"], F.array(row)).cast(made).alias("out"))
+    def step(state, call):
+        now, (since, spent) = call["ts"].timestamp(), state or (None, 0.0)
+        if since is None or now - since >= period_seconds:
+            since, spent = now, 0.0
+        fits = spent + call["amount"] <= limit
+        spent += call["amount"] if fits else 0.0
+        return (since, spent), (fits, round(spent, 6))
 
-    return each.select("tenant", F.explode(F.aggregate(seconds, start, step)["out"]).alias("c")).select("tenant", "c.ts", "c.seq", "c.amount", "c.admitted", F.round("c.spent", 6).alias("spent"))
+    timed = calls.select("tenant", "ts", F.col("seq").cast("long").alias("seq"), F.col("amount").cast("double").alias("amount"))
+    return fold_in_order(timed, "tenant", ["ts", "seq"], step, {"admitted": T.BooleanType(), "spent": T.DoubleType()})
 
 
 def global_cutoff(calls: DataFrame, limit: float, period: str = "day") -> DataFrame:
-    """calls (ts, seq, amount) with spent_before and admitted: within a period all calls up to the first that passes the limit.
+    """calls (ts, seq, amount) with spent_before and admitted: within a period a call is admitted if it still fits, and only admitted calls spend.
 
-    Sums of minutes are added up first (a row per minute), so that only calls of one minute are ordered together.
+    Up to a period's first refusal all calls are admitted, so sums say which: minutes first (a row per minute), then the calls of a
+    minute. After it only calls up to what was left can be admitted: they alone are folded in order.
     """
-    minute, part = F.date_trunc("minute", "ts"), F.date_trunc(period, "ts")
-    timed = calls.withColumns({"minute": minute, "period": part})
+    timed = calls.select("*", F.date_trunc("minute", "ts").alias("minute"), F.date_trunc(period, "ts").alias("period"))
     minutes = timed.groupBy("period", "minute").agg(F.sum("amount").alias("total"))
     earlier = Window.partitionBy("period").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
     offsets = minutes.select("period", "minute", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)).alias("offset"))
     inside = Window.partitionBy("period", "minute").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     summed = timed.join(offsets, ["period", "minute"]).withColumn("upto", F.round(F.col("offset") + F.sum("amount").over(inside), 6))
-    return summed.select("ts", "seq", "amount", F.round(F.col("upto") - F.col("amount"), 6).alias("spent_before"), (F.col("upto") <= limit).alias("admitted"))
+    first = summed.filter(F.col("upto") > limit).groupBy("period").agg(F.min(F.struct("ts", "seq", F.round(F.col("upto") - F.col("amount"), 6).alias("spent"))).alias("f"))
+    placed = summed.join(first, "period", "left")
+    open_still = F.col("f").isNull() | (F.struct("ts", "seq") < F.struct("f.ts", "f.seq"))
+    before = placed.filter(open_still).select("ts", "seq", "amount", F.round(F.col("upto") - F.col("amount"), 6).alias("spent_before"), F.lit(True).alias("admitted"))
+    after = placed.filter(~open_still).select("period", "ts", "seq", "amount", F.col("f.spent").alias("start"))
+
+    def step(spent, call):
+        spent = call["start"] if spent is None else spent
+        fits = round(spent + call["amount"], 6) <= limit
+        return round(spent + call["amount"], 6) if fits else spent, (spent, fits)
+
+    fit = F.round(F.col("start") + F.col("amount"), 6) <= limit
+    folded = fold_in_order(after.filter(fit), "period", ["ts", "seq"], step, {"spent_before": T.DoubleType(), "admitted": T.BooleanType()})
+    shown = ["ts", "seq", "amount", "spent_before", "admitted"]
+    # a call that never fits sees what the last admitted one before it left
+    marks = folded.filter("admitted").select("period", "ts", "seq", F.round(F.col("spent_before") + F.col("amount"), 6).alias("left"), F.lit(None).cast("double").alias("amount"), "start")
+    misfits = after.filter(~fit).select("period", "ts", "seq", F.lit(None).cast("double").alias("left"), "amount", "start").unionByName(marks)
+    last = F.last("left", ignorenulls=True).over(Window.partitionBy("period").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    refused = misfits.withColumn("spent_before", F.coalesce(last, "start")).filter("amount is not null").select("ts", "seq", "amount", "spent_before", F.lit(False).alias("admitted"))
+    return before.unionByName(folded.select(*shown)).unionByName(refused)

@@ -59,8 +59,11 @@ def error_taxonomy(status: Column, body: Column) -> Column:
 
 
 def request_fingerprint(requests: DataFrame) -> DataFrame:
-    """(fingerprint, requests) of requests of temperature 0: a hash of their canonical JSON, keys in a fixed order."""
-    shape = F.struct(*(F.col(c) for c in ("max_tokens", "messages", "model", "temperature")))
+    """(fingerprint, requests) of requests of temperature 0: a hash of their canonical JSON, keys in a fixed order. extra, JSON of what else can change a
+    reply, is part of it where there is such a column; its keys are put in order, and none is the same as an empty object."""
+    extra = F.coalesce(F.to_json(F.try_parse_json("extra")), "extra", F.lit("{}")) if "extra" in requests.columns else F.lit("{}")
+    messages = F.transform("messages", lambda m: F.array(m["role"], m["content"]))
+    shape = F.struct(extra.alias("extra"), "max_tokens", messages.alias("messages"), "model", F.coalesce("temperature", F.lit(0.0)).alias("temperature"))
     same = requests.filter(F.coalesce("temperature", F.lit(0.0)) == 0).select(F.sha2(F.to_json(shape, {"ignoreNullFields": "false"}), 256).alias("fingerprint"))
     return same.groupBy("fingerprint").agg(F.count("*").alias("requests"))
 

@@ -48,24 +48,39 @@ def spend_rollup(spark, d):
     return usage.spend_rollup(costs(spark, d).withColumn("tenant", F.col("tenant").cast("string")))
 
 
-@add(f"WITH {COST_SQL} SELECT tenant, round(sum(cost_usd), 6) AS spent_usd, round(greatest(0, 0.05 - sum(cost_usd)), 6) AS remaining_usd, sum(cost_usd) + avg(cost_usd) > 0.05 AS over FROM costs GROUP BY tenant")
+@add(
+    f"""WITH {COST_SQL}, calls AS (SELECT *, round(coalesce(input_tokens / 1e6 * input_usd + 500 / 1e6 * output_usd, 0), 8) AS projected FROM costs LEFT JOIN prices USING (model)),
+l AS (SELECT *, round(round(coalesce(sum(cost_usd) OVER (PARTITION BY tenant ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) + projected, 6) > 0.05 AS over FROM calls)
+SELECT tenant, round(sum(cost_usd), 6) AS spent_usd, round(greatest(0, 0.05 - sum(cost_usd)), 6) AS remaining_usd, count(*) FILTER (over) AS over_calls FROM l GROUP BY tenant"""
+)
 def budget_headroom(spark, d):
-    return usage.budget_headroom(costs(spark, d), 0.05)
+    """Calls are projected at 500 tokens of output."""
+    spent, prices = costs(spark, d), usage.price_table(spark)
+    projected = usage.request_projection(spent.withColumn("request_id", F.col("seq")), prices).select(F.col("request_id").alias("seq"), "projected_usd")
+    return usage.budget_headroom(spent.join(projected, "seq"), 0.05)
 
 
 def calls(spark, d):
     return events(spark, d).select(F.col("user_id").alias("tenant"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("amount"))
 
 
-@add()
+@add(
+    """WITH RECURSIVE c AS (SELECT user_id AS tenant, ts, event_id AS seq, value AS amount, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
+walk AS (SELECT tenant, nth, seq, amount, ts AS since, amount <= 100.0 AS admitted, CASE WHEN amount <= 100.0 THEN amount ELSE 0.0 END AS spent FROM c WHERE nth = 1
+  UNION ALL SELECT tenant, nth, seq, amount, CASE WHEN fresh THEN ts ELSE since END, carried + amount <= 100.0, CASE WHEN carried + amount <= 100.0 THEN carried + amount ELSE carried END
+  FROM (SELECT c.*, w.since, epoch(c.ts - w.since) >= 86400 AS fresh, CASE WHEN epoch(c.ts - w.since) >= 86400 THEN 0.0 ELSE w.spent END AS carried FROM walk w JOIN c ON c.tenant = w.tenant AND c.nth = w.nth + 1))
+SELECT tenant, seq, amount, admitted, round(spent, 6) AS spent FROM walk"""
+)
 def quota_admission(spark, d):
     return usage.quota_admission(calls(spark, d), 100.0, 86400.0).drop("ts")
 
 
 @add(
-    """WITH c AS (SELECT event_id AS seq, ts, value AS amount, date_trunc('day', ts) AS period FROM events),
-s AS (SELECT *, round(sum(amount) OVER (PARTITION BY period ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 6) AS upto FROM c)
-SELECT seq, amount, round(upto - amount, 4) AS spent_before, upto <= 2000 AS admitted FROM s"""
+    """WITH RECURSIVE c AS (SELECT event_id AS seq, value::DOUBLE AS amount, date_trunc('day', ts) AS period, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS nth FROM events),
+walk AS (SELECT period, nth, seq, amount, 0.0::DOUBLE AS spent_before, amount <= 2000 AS admitted FROM c WHERE nth = 1
+  UNION ALL SELECT period, nth, seq, amount, carried, round(carried + amount, 6) <= 2000
+  FROM (SELECT c.*, round(w.spent_before + CASE WHEN w.admitted THEN w.amount ELSE 0 END, 6) AS carried FROM walk w JOIN c ON c.period = w.period AND c.nth = w.nth + 1))
+SELECT seq, amount, round(spent_before, 4) AS spent_before, admitted FROM walk"""
 )
 def global_cutoff(spark, d):
     found = usage.global_cutoff(read(spark, d, "events").select("ts", F.col("event_id").alias("seq"), F.col("value").alias("amount")), 2000.0)
@@ -105,7 +120,12 @@ def metrics_snapshot(spark, d):
     return metrics.metrics_snapshot(priced_requests(spark, d))
 
 
-@add()
+@add(
+    f"""WITH RECURSIVE {REQUESTS_SQL}, c AS (SELECT route || ':' || (k % 20) AS cache_key, ts, seq, k AS tokens, row_number() OVER (PARTITION BY route, k % 20 ORDER BY ts, seq) AS nth FROM requests),
+walk AS (SELECT cache_key, nth, seq, tokens, ts AS missed, false AS hit FROM c WHERE nth = 1
+  UNION ALL SELECT c.cache_key, c.nth, c.seq, c.tokens, CASE WHEN epoch(c.ts - w.missed) < 3600 THEN w.missed ELSE c.ts END, epoch(c.ts - w.missed) < 3600 FROM walk w JOIN c ON c.cache_key = w.cache_key AND c.nth = w.nth + 1)
+SELECT cache_key, seq, hit, CASE WHEN hit THEN 0 ELSE tokens END AS billed_tokens, tokens FROM walk"""
+)
 def cache_labels(spark, d):
     asked = requests(spark, d).select(F.concat_ws(":", "route", (F.col("k") % 20).cast("string")).alias("cache_key"), F.col("ts").cast("timestamp").alias("ts"), "seq", F.col("k").alias("tokens"))
     return metrics.cache_labels(asked, 3600.0).drop("ts")
@@ -179,7 +199,7 @@ def steps(spark, d):
 
 
 STEPS_SQL = """steps AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, event_type AS tool, k, event_type <> 'error' AS ok, k % 13 <> 0 AS parse_ok, k = 77 AS final,
-  k AS tokens, round(value / 20, 6) AS seconds, event_type || '({"k": ' || (k % 2) || '})' AS signature, 'saw ' || props AS content FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events))"""
+  k AS tokens, round(value / 20, 6) AS seconds, event_type || '({"k":' || (k % 2) || '})' AS signature, 'saw ' || props AS content FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events))"""
 LOOP_SQL = "looped AS (SELECT *, len(list_filter(array_agg(signature) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), lambda s: s = signature)) >= 2 AS loop FROM {})"
 
 
@@ -205,9 +225,11 @@ def no_progress(spark, d):
 
 
 _OUTCOME = f"""{STEPS_SQL}, fine_steps AS (SELECT *, ok AND parse_ok AS fine FROM steps), {NO_PROGRESS_SQL.format(ok='fine', source='fine_steps')},
+executed AS (SELECT run_id, idx, coalesce(CAST(lag(signature, 1) OVER o = signature AS INT), 0) + coalesce(CAST(lag(signature, 2) OVER o = signature AS INT), 0) + coalesce(CAST(lag(signature, 3) OVER o = signature AS INT), 0) >= 2 AS loop
+  FROM steps WHERE parse_ok WINDOW o AS (PARTITION BY run_id ORDER BY idx)),
 flagged AS (SELECT *, idx + 1 AS nth, coalesce(sum(tokens) OVER b, 0) / 1000 * 0.0006 AS spent, coalesce(sum(seconds) OVER b, 0) AS elapsed, NOT fine AND errors >= 3 AS stuck,
-  coalesce(CAST(lag(signature, 1) OVER o = signature AS INT), 0) + coalesce(CAST(lag(signature, 2) OVER o = signature AS INT), 0) + coalesce(CAST(lag(signature, 3) OVER o = signature AS INT), 0) >= 2 AS loop
-  FROM errors WINDOW o AS (PARTITION BY run_id ORDER BY idx), b AS (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  coalesce(loop, false) AS loop
+  FROM errors LEFT JOIN executed USING (run_id, idx) WINDOW b AS (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 reasons AS (SELECT run_id, idx, CASE WHEN nth > 10 THEN 'max_iterations' WHEN elapsed > 60 THEN 'deadline_exceeded' WHEN spent > 1 THEN 'budget_exceeded' WHEN final THEN 'final_answer'
   WHEN NOT parse_ok AND stuck THEN 'no_progress' WHEN parse_ok AND loop THEN 'loop_detected' WHEN stuck THEN 'no_progress' END AS reason FROM flagged),
 outcomes AS (SELECT run_id, coalesce(arg_min(reason, idx) FILTER (reason IS NOT NULL), 'max_iterations') AS stop_reason, coalesce(min(idx) FILTER (reason IS NOT NULL), max(idx)) AS stop_idx FROM reasons GROUP BY run_id)"""
@@ -265,7 +287,7 @@ def policy_decisions(spark, d):
     return decisions(spark, d).select("run_id", "seq", "decision", "reason")
 
 
-@add()
+@add(f"WITH {DECISIONS_SQL} SELECT run_id, seq, decision, reason, '{{\"note\":\"mail [EMAIL]\"}}' AS arguments FROM decisions")
 def audit_log(spark, d):
     return traces.audit_log(decisions(spark, d)).select("run_id", "seq", "decision", "reason", F.to_json("arguments").alias("arguments"))
 
@@ -280,7 +302,7 @@ def chat_requests(spark, d):
     n = F.col("conv_id")
     held = messages(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     model = F.element_at(F.array(*map(F.lit, (*ALLOWED_MODELS, "unheard-of"))), (n % 6 + 1).cast("int"))
-    return held.select(n.alias("request_id"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"), model.alias("model"), (n % 5 / 2).alias("temperature"), F.when(n % 7 == 0, F.lit(9000)).otherwise(F.lit(100)).cast("long").alias("max_tokens"), F.repeat(F.lit("x"), (n % 150).cast("int")).alias("conversation_id"))
+    return held.select(n.alias("request_id"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"), model.alias("model"), (n % 5 / 2).alias("temperature"), F.when(n % 7 == 0, F.lit(9000)).otherwise(F.lit(100)).cast("long").alias("max_tokens"), F.repeat(F.lit("x"), (n % 150).cast("int")).alias("conversation_id"), F.when(n % 3 == 0, F.format_string('{"top": %d, "seed": 1}', n % 2)).alias("extra"))
 
 
 @add(
@@ -293,7 +315,11 @@ def request_validation(spark, d):
     return good.select("request_id", F.lit("").alias("violations")).unionByName(bad.select("request_id", F.array_join("violations", ",").alias("violations")))
 
 
-@add()
+@add(
+    f"""WITH m AS (SELECT conv_id, '[' || string_agg('[' || to_json(role) || ',' || to_json(text) || ']', ',' ORDER BY turn, role, text) || ']' AS messages FROM conversations GROUP BY conv_id),
+r AS (SELECT sha256('{{"extra":"' || CASE WHEN conv_id % 3 = 0 THEN '{{\\"seed\\":1,\\"top\\":' || (conv_id % 2) || '}}' ELSE '{{}}' END || '","max_tokens":' || CASE WHEN conv_id % 7 = 0 THEN 9000 ELSE 100 END || ',"messages":' || messages || ',"model":"' || ({[*ALLOWED_MODELS, 'unheard-of']!r})[conv_id % 6 + 1] || '","temperature":0.0}}') AS fingerprint FROM m WHERE conv_id % 5 = 0)
+SELECT fingerprint, count(*) AS requests FROM r GROUP BY fingerprint"""
+)
 def request_fingerprint(spark, d):
     return validation.request_fingerprint(chat_requests(spark, d))
 

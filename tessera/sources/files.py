@@ -7,11 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.rules import WRITE_WORDS
 from tessera.functions.text import text_hash
 
 GOLDEN = "question string, expected_answer string, relevant_chunk_texts array<string>, should_refuse boolean, metadata map<string,string>"
 LOG = "ts timestamp, level string, logger string, message string, tenant string, fields map<string,string>, exception string"
-_WRITES = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|replace|attach|pragma)\b", re.IGNORECASE)
+_WRITES = re.compile(rf"\b({'|'.join(WRITE_WORDS)})\b", re.IGNORECASE)
 
 
 def load_corpus(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
