@@ -32,8 +32,8 @@ SEED = 42
 TILE = 8192
 #: Hot buckets up to this many are broadcast; more are joined by key.
 BROADCAST_BUCKETS = 100_000
-#: Rows of numbers up to this many are broadcast to the texts; more are joined. So are sets of up to so many hashes in all to the pairs.
-BROADCAST_ROWS, BROADCAST_HASHES = 500_000, 4_000_000
+#: Rows of numbers up to this many are broadcast to the texts; more are joined.
+BROADCAST_ROWS = 500_000
 #: Labels at a hash up to which all sets of different labels meet there; beyond it sets meet at the first hash they share.
 FEW_LABELS = 64
 #: Hashes of sets that a task remembers while it compares texts.
@@ -466,23 +466,11 @@ def _small(df: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, slim: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of rows of slim whose shingle sets have a Jaccard similarity of num / den or more. docs: __th, __text; pairs: checkpointed.
 
-    The sets are made again from the texts, of which those that pairs ask for are taken. Sets of BROADCAST_HASHES hashes or fewer in all
-    are broadcast to the pairs; beyond that the texts are joined to them, first by a, then by b.
+    The sets are made again from the texts, of which those that pairs ask for are taken and joined to the pairs, first by a, then by b.
     """
     asked = pairs.select(F.col("a").alias("__row")).union(pairs.select("b")).distinct()
-    texts_of = checkpoint(slim.join(asked, "__row", "left_semi").select("__row", "__th", "__n"))
-    n_hashes = texts_of.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    texts = docs.select("__th", "__text").join(_small(texts_of).select("__row", "__th"), "__th").select("__row", "__text").dropDuplicates(["__row"])
-    if n_hashes <= BROADCAST_HASHES:
-        known = slim.sparkSession.sparkContext.broadcast(_sets(texts, words))
-
-        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = known.value
-            for batch in batches:
-                good = [_share(of[a], of[b], num, den) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                yield batch.filter(pa.array(good, pa.bool_()))
-
-        return checkpoint(pairs.repartition("a", "b").select("a", "b").mapInArrow(look, "a long, b long"))
+    texts_of = checkpoint(slim.join(asked, "__row", "left_semi").select("__row", "__th"))
+    texts = docs.select("__th", "__text").join(_small(texts_of), "__th").select("__row", "__text").dropDuplicates(["__row"])
     met = pairs.join(texts.select(F.col("__row").alias("a"), F.col("__text").alias("ta")), "a").join(texts.select(F.col("__row").alias("b"), F.col("__text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,18 +491,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, slim: DataFrame, words: int, nu
     return checkpoint(met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def _sets(texts: DataFrame, words: int) -> dict[int, np.ndarray]:
-    """The shingle sets of texts (__row, __text) by row: for a few texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [_set_of(t.as_py(), words).tobytes() for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["__row", "__h"])
-
-    held = texts.mapInArrow(run, "__row long, __h binary").toArrow()
-    return {k: np.frombuffer(h.as_buffer(), np.uint64) for k, h in zip(held.column("__row").to_pylist(), held.column("__h"), strict=True)}
-
-
 def band_keys() -> list[Column]:
     """Bucket keys of wide fingerprints: whole bands of BAND_BITS bits."""
     size = BAND_BITS // 8
@@ -534,7 +510,8 @@ def candidate_pairs(shared: DataFrame, labels: DataFrame, num: int, den: int) ->
     two sets meet only if it is the first that they share, so that a pair comes once however many frequent hashes it shares.
     """
     c = F.col
-    rows = shared.join(labels, c("__row") == c("node"), "left").select("__key", "__row", "__n", "__pos", F.coalesce("label", "__row").alias("__label"))
+    named = shared.join(_small(checkpoint(labels)), c("__row") == c("node"), "left").select("__key", "__row", "__n", "__pos", F.coalesce("label", "__row").alias("__label"))
+    rows = named.repartition("__key")  # once for both counts and the join
     per_label = rows.groupBy("__key", "__label").count().groupBy("__key").agg(F.max_by("__label", "count").alias("__main"), F.count("*").alias("__labels"))
     mixed = checkpoint(rows.join(per_label.filter("__labels > 1"), "__key"))
     apart = (c("x.__key") == c("y.__key")) & (c("x.__label") != c("y.__label"))

@@ -139,7 +139,7 @@ def test_more_parts_key_the_same_links(spark, monkeypatch, many):
     assert got == want
 
 
-def test_near_dedup_joins_texts_where_sets_are_too_many_to_broadcast(spark, monkeypatch):
+def test_near_dedup_joins_where_rows_are_too_many_to_broadcast(spark, monkeypatch):
     rng = np.random.default_rng(8)
     words = ["".join(rng.choice([*"abcdefgh"], 5)) for _ in range(900)]
     rows = []
@@ -148,7 +148,6 @@ def test_near_dedup_joins_texts_where_sets_are_too_many_to_broadcast(spark, monk
         rows += [(3 * i + k, " ".join([*w[: 80 - 3 * k], *(["x"] * k)])) for k in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__row", F.lit("mine")).withColumn("__Key", F.lit(1))
     wide = sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect())
-    monkeypatch.setattr(simhash, "BROADCAST_HASHES", 0)
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(simhash, "REMEMBERED", 50)
     again = simhash.near_dedup(docs)
