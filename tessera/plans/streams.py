@@ -72,11 +72,11 @@ def timed(spark: SparkSession, d: str) -> DataFrame:
 walk AS (SELECT key, nth, seq, ts AS at, true AS allowed, 1.0::DOUBLE AS tokens FROM c WHERE nth = 1
   UNION ALL SELECT key, nth, seq, ts, held >= 1, CASE WHEN held >= 1 THEN held - 1 ELSE held END
   FROM (SELECT c.*, least(2.0::DOUBLE, w.tokens + epoch(c.ts - w.at) * (1.0::DOUBLE / 7200)) AS held FROM walk w JOIN c ON c.key = w.key AND c.nth = w.nth + 1))
-SELECT key, seq, allowed, round(tokens, 6) AS remaining, CASE WHEN allowed THEN 0.0::DOUBLE ELSE round((1 - tokens) / (1.0::DOUBLE / 7200), 6) END AS retry_after FROM walk"""
+SELECT key, seq, allowed, round(tokens, 3) AS remaining, CASE WHEN allowed THEN 0.0::DOUBLE ELSE round((1 - tokens) / (1.0::DOUBLE / 7200), 6) END AS retry_after FROM walk"""
 )
 def stream_rate_limit(spark, d):
     asked = timed(spark, d).select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"))
-    return finished(jobs.stream_rate_limit(as_stream(asked, order=("ts", "seq")), 2, 1 / 7200)).select("key", "seq", "allowed", "remaining", "retry_after")
+    return finished(jobs.stream_rate_limit(as_stream(asked, order=("ts", "seq")), 2, 1 / 7200)).select("key", "seq", "allowed", F.round("remaining", 3).alias("remaining"), "retry_after")
 
 
 @add(f"SELECT CAST(tenant AS VARCHAR) AS tenant, seq, amount, admitted, spent FROM ({service.plans.sql['quota_admission']})")
