@@ -22,30 +22,35 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID doesn't reject; a missing lang becomes the predicted one."""
+    """Documents that language ID doesn't reject; a missing lang becomes the predicted one. Null texts and such without a letter are rejected;
+    repeated rows share one fate; an empty table stays empty."""
     named = identify_languages(docs, fit_languages(docs)).filter(~F.col("rejected"))
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of repeated three-line windows; a document of which no line stays goes."""
+    """Texts without later occurrences of repeated three-line windows; a document of which no line stays goes. Null and empty texts stay as
+    they are; rows equal in id and text are one document and stay as many as they are; an empty table stays empty."""
     cut = dedup_lines(docs)
     left = cut.filter((F.col("removed_lines") == 0) | (F.trim(F.col("text"), F.lit(" \n\t\r")) != ""))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts alike in 0.8 or more of their five-word shingles."""
+    """One document of each class of texts alike in 0.8 or more of their five-word shingles: that of the least id, nulls last, and one of
+    repeated rows. Null and empty texts are one class; an empty table stays empty."""
     return near_dedup(docs).select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows as come in, in expectation, of all sources alike."""
+    """As many rows as come in, in expectation, of all sources alike; null is a source of its own. Repeated rows are repeated alike; an empty
+    table stays empty."""
     return mix_sources(docs).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the token ids, their number and digest, and the digest of the decoded bytes."""
+    """doc_id, the token ids, their number and digest, and the digest of the decoded bytes, for every row that comes in. A null text counts as
+    empty, which has no ids; an empty table stays empty."""
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -54,7 +59,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("simhash_near_dedup", near_stage), ("source_mix", mix_stage), ("byte_bpe", token_stage)]
-#: Language ID and SimHash have no SQL form; tests hold each stage against a brute-force version.
+#: Language ID and near-dedup have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
