@@ -34,6 +34,8 @@ TILE = 8192
 BROADCAST_BUCKETS = 100_000
 #: Rows of numbers up to this many are broadcast to the texts; more are joined.
 BROADCAST_ROWS = 500_000
+#: Bits of a set's bitmap, which rules out most pairs before their texts meet.
+BITMAP = 2048
 #: Labels at a hash up to which all sets of different labels meet there; beyond it sets meet at the first hash they share.
 FEW_LABELS = 64
 #: Hashes of sets that a task remembers while it compares texts.
@@ -410,10 +412,10 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def set_prefixes(docs: DataFrame, words: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """__id, __th, __set (hash of the shingle set), __n (its size), __fp (its wide fingerprint) and __prefix: its first
+    """__id, __th, __set (hash of the shingle set), __n (its size), __fp (its wide fingerprint), __bits (its bitmap) and __prefix: its first
     n - ceil(n * num / den) + 1 hashes, the common ones last. Of two sets of Jaccard similarity num / den or more the prefixes share a
     hash, whatever the order."""
-    added = [*(T.StructField(c, T.LongType()) for c in ("__set", "__n")), T.StructField("__fp", T.BinaryType()), T.StructField("__prefix", T.ArrayType(T.LongType()))]
+    added = [*(T.StructField(c, T.LongType()) for c in ("__set", "__n")), T.StructField("__fp", T.BinaryType()), T.StructField("__bits", T.BinaryType()), T.StructField("__prefix", T.ArrayType(T.LongType()))]
     schema = T.StructType([*docs.select("__id", "__th").schema.fields, *added])
     heavy, times = common
 
@@ -441,12 +443,37 @@ def set_prefixes(docs: DataFrame, words: int, num: int, den: int, common: tuple[
                     ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                     listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
                     wide = pa.array([x.tobytes() for x in fingerprints(sets, LANES)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array([*map(len, sets)], pa.int64()), wide, listed], names=schema.names)
+                    bits = pa.array([_bitmap(h) for h in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names), pa.array([*map(len, sets)], pa.int64()), wide, bits, listed], names=schema.names)
                     start, sets, held = i + 1, [], 0
 
     return docs.select("__id", "__th", "__text").mapInArrow(run, schema)
 
 
+def _bitmap(h: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes by BITMAP."""
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(h % np.uint64(BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def not_ruled_out(pairs: DataFrame, slim: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of rows of slim whose bitmaps don't rule the similarity out: each bit that one has alone is a hash that the other lacks."""
+    side = lambda k: slim.select(F.col("__row").alias(k), F.col("__n").alias(f"n{k}"), F.col("__bits").alias(f"bits{k}"))
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (4, 5))
+            most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            yield batch.select([0, 1]).filter(pa.array(most * (num + den) >= (n + m) * num))
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def _share(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """Whether the Jaccard similarity of two ascending sets is num / den or more."""
     if min(len(x), len(y)) * den < num * max(len(x), len(y)):
@@ -569,7 +596,8 @@ def similar_sets(slim: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
     at_key = Window.partitionBy("__key").orderBy("__row")
     shared = checkpoint(keyed.withColumns({"before": F.lag("__row").over(at_key), "after": F.lead("__row").over(at_key)}).filter("before is not null or after is not null").drop("before", "after"))
     rest = candidate_pairs(shared, components(links), num, den).join(first, ["a", "b"], "left_anti")
-    return links.union(confirmed(checkpoint(rest), docs, slim, words, num, den))
+    likely = checkpoint(not_ruled_out(checkpoint(rest), slim, num, den))
+    return links.union(confirmed(likely, docs, slim, words, num, den))
 
 
 def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
