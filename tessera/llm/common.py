@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder, and read from there: made once, however often it is used, and read by column."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, to be broadcast where it has up to `most` rows. df: checkpointed or stored, a few numbers a row."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with its columns that begin with `__`, as the operators' own do, renamed for the time being; and the names that give them back."""
     renamed = {c: f"input {c}" for c in docs.columns if c.startswith("__")}
