@@ -2,8 +2,8 @@
 
 A long window can repeat only if each window inside it does. So windows of START words come first; those that occur once end there, those repeated
 are extended to twice the length, again and again, until the asked length is reached or no candidate is left. At the first level a long window is
-stood for by one short window inside it: the one of least hash, which is the same wherever the long window occurs, so that a seventh of the positions
-is enough and no repeat is missed.
+stood for by one short window inside it: the one of least hash, which is the same wherever the long window occurs, so that a fifth or less of the
+positions is enough and no repeat is missed.
 
 Before that whole stretches between places that the text itself chooses are compared: a stretch seen earlier is settled with one row, and the levels
 look only for windows that different stretches share.
@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from .common import others, read, set_aside, small, stored
 
-LENGTH, START = 20, 5
+#: Short enough to stand for few windows each, and long enough to repeat seldom by chance, which windows of five words do in a large corpus.
+LENGTH, START = 20, 10
 #: Windows of a stretch, in the mean.
 STRETCH = 64
 SEED = 42

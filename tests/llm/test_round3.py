@@ -180,7 +180,7 @@ def plain_substrings(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed, length, start, stretch", [(0, 20, 5, 64), (1, 20, 5, 4), (2, 7, 2, 3), (3, 6, 6, 8), (4, 12, 3, 2), (5, 3, 1, 5)])
+@pytest.mark.parametrize("seed, length, start, stretch", [(0, 20, 10, 64), (1, 20, 5, 4), (2, 7, 2, 3), (3, 6, 6, 8), (4, 12, 3, 2), (5, 3, 1, 5)])
 def test_substring_dedup_by_definition(spark, seed, length, start, stretch):
     rng = random.Random(seed)
     pieces = [[rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 3 * length))] for _ in range(12)]
