@@ -27,6 +27,8 @@ LENGTH, START = 20, 10
 #: Windows of a stretch, in the mean.
 STRETCH = 64
 SEED = 42
+#: Hashes of repeated windows, a number each, that are broadcast; more are joined.
+NUMBERS = 2_000_000
 #: Rows made at once.
 BLOCK = 100_000
 
@@ -181,9 +183,8 @@ def window_rows(docs: DataFrame, lengths: list[int], stretch: int) -> DataFrame:
 
 
 def least_places(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """keys and first, the least place (id, at), of those that have several places. Minima are made before the shuffle, so a hot key is a row a task."""
-    place = F.struct("id", at)
-    return rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select(*keys, "first")
+    """keys and first, the least place (id, at), of those of several rows. Minima are made before the shuffle, so a hot key is a row a task."""
+    return rows.groupBy(*keys).agg(F.min(F.struct("id", at)).alias("first"), F.count("*").alias("rows")).filter("rows > 1").select(*keys, "first")
 
 
 def later(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -206,14 +207,17 @@ def repeated_windows(docs: DataFrame, length: int, start: int, stretch: int) ->
     rows = stored(anchor_rows(docs, length, lengths[0], stretch), "anchors")
     settled = stored(later(rows.filter("n > 0").select("a", "b", "at", "n", "id", "ref"), ["a", "b"]), "stretches")
     shared = rows.groupBy("key").agg(F.min("stretch").alias("least"), F.max("stretch").alias("most")).filter("least < most").select("key")
-    kept = rows.select("key", "ref").join(small(stored(shared, "shared")), "key", "left_semi")
+    kept = rows.select("key", "ref").join(small(stored(shared, "repeated"), NUMBERS), "key", "left_semi")
     told = kept.select("ref", "key", F.lit(None).cast("struct<at:bigint,n:bigint>").alias("s")).union(settled.select("ref", F.lit(None).cast("long"), F.struct("at", "n")))
     held = told.groupBy("ref").agg(F.collect_set("key").alias("keys"), F.collect_list("s").alias("settled")).filter(F.size("keys") > 0)
     windows = window_rows(docs.join(held, F.col("__ref") == F.col("ref")), lengths, stretch)
-    for i in range(len(lengths) - 2):  # those repeated at one length alone go on to the next
-        windows = stored(windows, f"windows-{lengths[i + 1]}")
-        windows = windows.join(least_places(windows, [f"h{i}"], f"t{i}").select(f"h{i}"), f"h{i}", "left_semi").drop(f"h{i}", f"t{i}")
-    windows = stored(windows.select("a", "b", "at", "id", F.lit(1).cast("long").alias("n")), f"windows-{length}")
+    levels = [(f"h{i}", f"t{i}") for i in range(len(lengths) - 2)] + [("a", "at")]
+    for length, (h, at) in zip(lengths[1:] or lengths, levels, strict=True):  # those repeated at one length alone go on to the next
+        windows = stored(windows, f"windows-{length}")
+        place = F.xxhash64("id", at)
+        several = windows.groupBy(h).agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least < most").select(h)
+        windows = windows.join(small(stored(several, "repeated"), NUMBERS), h, "left_semi").drop(*{h, at} - {"a", "at"})
+    windows = stored(windows.withColumn("n", F.lit(1).cast("long")), "windows-left")
     return settled.select("id", "at", "n").union(later(windows, ["a", "b"]).select("id", "at", "n"))
 
 
