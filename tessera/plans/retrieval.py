@@ -44,8 +44,8 @@ fused_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sco
 HYBRID_SQL = f"{BM25_SQL}, {DENSE_SQL}, {FUSED_SQL}"
 HITS_SQL = f"{BM25_SQL}, hits AS (SELECT query_id, chunk_id, rank, score FROM bm25_ranked WHERE rank <= 5)"
 #: The golden set: items that no document has are to be refused, and have no markers.
-GOLDEN_SQL = """present AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substring(b.text, 1, 40)))),
-golden AS (SELECT b.item_id AS query_id, b.text AS question, b.text AS expected_answer, CASE WHEN p.item_id IS NULL THEN [] ELSE [substring(b.text, 1, 40)] END AS markers, p.item_id IS NULL AS should_refuse
+GOLDEN_SQL = """present AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
+golden AS (SELECT b.item_id AS query_id, b.text AS question, b.text AS expected_answer, CASE WHEN p.item_id IS NULL THEN [] ELSE [b.text] END AS markers, p.item_id IS NULL AS should_refuse
   FROM benchmark b LEFT JOIN present p USING (item_id))"""
 JUDGED_SQL = f"""{HITS_SQL}, {GOLDEN_SQL},
 rel AS (SELECT g.query_id, g.markers, h.rank, len(list_filter(g.markers, lambda m: contains(lower(c.text), lower(m)))) > 0 AS rel FROM golden g LEFT JOIN hits h USING (query_id) LEFT JOIN chunks c USING (chunk_id)),
@@ -102,7 +102,7 @@ class Corpus:
     @cached_property
     def golden(self) -> DataFrame:
         """Questions with markers, of those items that some document has."""
-        items = self.questions.withColumn("marker", F.substring("text", 1, 40))
+        items = self.questions.withColumn("marker", F.col("text"))
         present = evaluation.markers_found(documents(self.spark, self.d), items).withColumn("present", F.lit(True))
         known = stored(items.join(present, "query_id", "left"), "golden")
         markers = F.when(F.col("present"), F.array("marker")).otherwise(F.array().cast("array<string>"))
@@ -309,11 +309,11 @@ def parent_child(spark, d):
 
 
 @add(f"""WITH {BM25_SQL}, {DENSE_SQL}, every AS (SELECT 'bm25' AS retriever, query_id, chunk_id, rank FROM bm25_ranked WHERE rank <= 5 UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM dense_ranked WHERE rank <= 5),
-first AS (SELECT retriever, query_id, min(rank) AS rank FROM every JOIN chunks USING (chunk_id) JOIN benchmark ON item_id = query_id WHERE contains(lower(chunks.text), lower(substring(benchmark.text, 1, 40))) GROUP BY ALL),
+first AS (SELECT retriever, query_id, min(rank) AS rank FROM every JOIN chunks USING (chunk_id) JOIN benchmark ON item_id = query_id WHERE contains(lower(chunks.text), lower(benchmark.text)) GROUP BY ALL),
 grid AS (SELECT retriever, item_id AS query_id FROM benchmark CROSS JOIN (VALUES ('bm25'), ('vector')) r(retriever))
 SELECT retriever, count(*) AS queries, count(rank) AS found, count(*) FILTER (rank = 1) AS first, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM grid LEFT JOIN first USING (retriever, query_id) GROUP BY retriever""")
 def rank_compare(spark, d):
-    markers = questions(spark, d).select("query_id", F.substring("text", 1, 40).alias("marker"))
+    markers = questions(spark, d).select("query_id", F.col("text").alias("marker"))
     c = Corpus(spark, d)
     return search.rank_compare({"bm25": c.bm25(), "vector": c.dense(5)}, c.chunks, markers)
 

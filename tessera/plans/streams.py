@@ -76,13 +76,14 @@ SELECT key, seq, allowed, round(tokens, 3) AS remaining, CASE WHEN allowed THEN
 )
 def stream_rate_limit(spark, d):
     asked = timed(spark, d).select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"))
-    return finished(jobs.stream_rate_limit(as_stream(asked, order=("ts", "seq")), 2, 1 / 7200)).select("key", "seq", "allowed", F.round("remaining", 3).alias("remaining"), "retry_after")
+    return finished(jobs.stream_rate_limit(as_stream(asked, order=("ts", "seq")), 2, 1 / 7200, "1 hour"))\
+        .select("key", "seq", "allowed", F.round("remaining", 3).alias("remaining"), F.round("retry_after", 6).alias("retry_after"))
 
 
 @add(f"SELECT CAST(tenant AS VARCHAR) AS tenant, seq, amount, admitted, spent FROM ({service.plans.sql['quota_admission']})")
 def stream_quota(spark, d):
     calls = timed(spark, d).select(F.col("user_id").cast("string").alias("tenant"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("amount"))
-    return finished(jobs.stream_quota(as_stream(calls, order=("ts", "seq")), 100.0, 86400.0)).select("tenant", "seq", "amount", "admitted", "spent")
+    return finished(jobs.stream_quota(as_stream(calls, order=("ts", "seq")), 100.0, 86400.0, "1 hour")).select("tenant", "seq", "amount", "admitted", "spent")
 
 
 @add(

@@ -23,57 +23,74 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat([*rows]).sort_values(["ts", "seq"], kind="stable")
 
 
-class TokenBucket(StatefulProcessor):
-    """A bucket starts full, refills with time (never backwards) up to its capacity, and gives one token to a request if it holds one."""
+class Expiring(StatefulProcessor):
+    """State of a key that ends at a time from which on it says no more than no state would. Timers go by the rows' time, behind the watermark; without
+    one (expire False) state stays."""
 
-    def __init__(self, capacity: float, per_second: float):
-        self.capacity, self.per_second = capacity, per_second
+    expire = False
+
+    def keep_until(self, micros: float) -> None:
+        if self.expire:
+            for timer in [*self.handle.listTimers()]:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(micros // 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class TokenBucket(Expiring):
+    """A bucket starts full, refills with time (never backwards) up to its capacity, and gives one token to a request if it holds one. Its state ends when it is full."""
+
+    def __init__(self, capacity: float, per_second: float, expire: bool):
+        self.capacity, self.per_second, self.expire = capacity, per_second, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, at double")
+        self.handle, self.state = handle, handle.getValueState("bucket", "tokens double, at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        tokens, at = self.bucket.get() if self.bucket.exists() else (self.capacity, None)
+        tokens, at = self.state.get() if self.state.exists() else (self.capacity, None)
         out = []
         for r in _ordered(rows).itertuples():
-            now = r.ts.timestamp()
-            tokens = min(self.capacity, tokens + max(0.0, now - (now if at is None else at)) * self.per_second)
-            at = now if at is None else max(at, now)
+            now = r.ts.value // 1000  # whole microseconds: no digit is lost in differences
+            at = now if at is None else at
+            tokens = min(self.capacity, tokens + max(0, now - at) / 1e6 * self.per_second)
+            at = max(at, now)
             allowed = tokens >= 1
             tokens -= allowed
-            out.append((key[0], r.ts, r.seq, bool(allowed), round(float(tokens), 6), 0.0 if allowed else round((1 - tokens) / self.per_second, 6)))
-        self.bucket.update((float(tokens), float(at)))
+            out.append((key[0], r.ts, r.seq, bool(allowed), float(tokens), 0.0 if allowed else (1 - tokens) / self.per_second))
+        self.state.update((float(tokens), int(at)))
+        self.keep_until(at + (self.capacity - tokens) / self.per_second * 1e6)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in RATE.split(", ")])
 
-    def close(self) -> None:
-        pass
 
+class PeriodQuota(Expiring):
+    """A period restarts at the first use after it ran out; a call is admitted if it fits, and only admitted calls spend. Its state ends when it runs out."""
 
-class PeriodQuota(StatefulProcessor):
-    """A period restarts at the first use after it ran out; a call is admitted if it fits, and only admitted calls spend."""
-
-    def __init__(self, limit: float, seconds: float):
-        self.limit, self.seconds = limit, seconds
+    def __init__(self, limit: float, seconds: float, expire: bool):
+        self.limit, self.micros, self.expire = limit, round(seconds * 1e6), expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.period = handle.getValueState("period", "spent double, since double")
+        self.handle, self.state = handle, handle.getValueState("period", "spent double, since long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spent, since = self.period.get() if self.period.exists() else (0.0, None)
+        spent, since = self.state.get() if self.state.exists() else (0.0, None)
         out = []
         for r in _ordered(rows).itertuples():
-            now = r.ts.timestamp()
-            if since is None or now - since >= self.seconds:
+            now = r.ts.value // 1000
+            if since is None or now - since >= self.micros:
                 spent, since = 0.0, now
             fits = spent + r.amount <= self.limit
             spent += r.amount if fits else 0.0
             out.append((key[0], r.ts, r.seq, float(r.amount), bool(fits), round(spent, 6)))
-        self.period.update((float(spent), float(since)))
+        self.state.update((float(spent), int(since)))
+        self.keep_until(since + self.micros)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in QUOTA.split(", ")])
 
-    def close(self) -> None:
-        pass
-
 
 class NewestEntries(StatefulProcessor):
     """The newest entries of a conversation; all go when it was not written to for so long, by the entries' times, and where state expires by the clock too."""
@@ -100,14 +117,21 @@ class NewestEntries(StatefulProcessor):
         pass
 
 
-def stream_rate_limit(requests: DataFrame, capacity: float = 10, per_second: float = 1.0) -> DataFrame:
-    """requests (key string, ts, seq) with allowed, remaining and retry_after."""
-    return requests.groupBy("key").transformWithStateInPandas(TokenBucket(capacity, per_second), RATE, "append", "none")
+def _timed(rows: DataFrame, late: str | None) -> DataFrame:
+    return rows if late is None else rows.withWatermark("ts", late)
+
+
+def stream_rate_limit(requests: DataFrame, capacity: float = 10, per_second: float = 1.0, late: str | None = None) -> DataFrame:
+    """requests (key string, ts, seq) with allowed, remaining and retry_after, not rounded. late: how far behind the newest a request may come (later ones are dropped); full
+    buckets that far behind leave the state. Without it all buckets stay."""
+    bucket = TokenBucket(capacity, per_second, late is not None)
+    return _timed(requests, late).groupBy("key").transformWithStateInPandas(bucket, RATE, "append", "none" if late is None else "eventTime")
 
 
-def stream_quota(calls: DataFrame, limit: float, seconds: float) -> DataFrame:
-    """calls (tenant string, ts, seq, amount) with admitted and spent."""
-    return calls.groupBy("tenant").transformWithStateInPandas(PeriodQuota(limit, seconds), QUOTA, "append", "none")
+def stream_quota(calls: DataFrame, limit: float, seconds: float, late: str | None = None) -> DataFrame:
+    """calls (tenant string, ts, seq, amount) with admitted and spent. late: as in stream_rate_limit, for periods that ran out."""
+    quota = PeriodQuota(limit, seconds, late is not None)
+    return _timed(calls, late).groupBy("tenant").transformWithStateInPandas(quota, QUOTA, "append", "none" if late is None else "eventTime")
 
 
 def stream_history(entries: DataFrame, keep: int = 40, hours: float = 24, expire: bool = True) -> DataFrame:
