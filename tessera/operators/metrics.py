@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import stepped_percentile_rank
 from tessera.operators.folds import fold_in_order
+from tessera.operators.periods import HOT_ROWS, split_hot, with_periods
+from tessera.operators.scans import running_sum
 
 QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -39,36 +41,61 @@ def metrics_snapshot(requests: DataFrame) -> DataFrame:
     )
 
 
-def cache_labels(requests: DataFrame, ttl_seconds: float) -> DataFrame:
-    """requests (cache_key, ts, seq, tokens) with hit and billed_tokens: a request hits if it comes before the last miss's ttl ran out; hits don't extend it and cost nothing."""
+def cache_labels(requests: DataFrame, ttl_seconds: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """requests (cache_key, ts, seq, tokens) with hit and billed_tokens: a request hits if it comes before the last miss's ttl ran out; hits don't extend it and cost nothing.
+
+    A miss and its hits are a period. Of keys of more than hot_rows requests the periods are found by doubled successors, and a period's first request is its
+    miss; the others are folded in order while they stream by.
+    """
+    length = round(ttl_seconds * 1e6)
 
     def step(missed, request):
-        now = request["ts"].timestamp()
-        hit = missed is not None and now < missed + ttl_seconds
+        now = request["micros"]
+        hit = missed is not None and now - missed < length
         return missed if hit else now, (hit, 0 if hit else request["tokens"])
 
-    asked = requests.select("cache_key", "ts", "seq", F.col("tokens").cast("long").alias("tokens"))
-    labelled = fold_in_order(asked, "cache_key", ["ts", "seq"], step, {"hit": T.BooleanType(), "billed_tokens": T.LongType()})
-    return labelled.select("cache_key", "ts", "seq", "hit", "billed_tokens", "tokens")
+    asked = requests.select("cache_key", "ts", "seq", F.col("tokens").cast("long").alias("tokens"), F.unix_micros("ts").alias("micros"))
+    few, hot = split_hot(asked, "cache_key", hot_rows)
+    shown = ["cache_key", "ts", "seq", "hit", "billed_tokens", "tokens"]
+    labelled = fold_in_order(few, "cache_key", ["ts", "seq"], step, {"hit": T.BooleanType(), "billed_tokens": T.LongType()}).select(*shown)
+    if hot is None:
+        return labelled
+    periods = with_periods(hot, "cache_key", ttl_seconds)
+    at_begin = F.col("micros") == F.col("since")  # the miss is among these; all of them come at one time
+    first = F.row_number().over(Window.partitionBy("cache_key", "since").orderBy("seq")) == 1
+    begins = periods.filter(at_begin).withColumn("hit", ~first)
+    told = begins.unionByName(periods.filter(~at_begin).withColumn("hit", F.lit(True)))
+    return labelled.unionByName(told.withColumn("billed_tokens", F.when(F.col("hit"), F.lit(0)).otherwise(F.col("tokens")).cast("long")).select(*shown))
 
 
 def cache_report(labelled: DataFrame) -> DataFrame:
     return labelled.agg(F.count("*").alias("requests"), F.count_if("hit").alias("hits"), F.round(F.coalesce(F.avg(F.col("hit").cast("int")), F.lit(0.0)), 6).alias("hit_rate"), F.sum(F.col("tokens") - F.col("billed_tokens")).alias("tokens_saved"))
 
 
-def failure_streaks(calls: DataFrame, least: int = 5) -> DataFrame:
-    """Runs of `least` or more failures in a row of calls (provider, ts, seq, outcome): a success ends a run, a client error is passed over."""
-    order = Window.partitionBy("provider").orderBy("ts", "seq")
-    counted = calls.filter("outcome <> 'client_error'").withColumn("run", F.sum((F.col("outcome") == "success").cast("int")).over(order))
+def failure_streaks(calls: DataFrame, least: int = 5, block: str = "hour") -> DataFrame:
+    """Runs of `least` or more failures in a row of calls (provider, ts, seq, outcome): a success ends a run, a client error is passed over.
+
+    A run is named by the successes before it, which are counted by block of time and within the block: no window holds more than a block's calls,
+    or a row for each block. Runs are then sums over any number of blocks.
+    """
+    counted = running_sum(calls.filter("outcome <> 'client_error'"), "provider", (F.col("outcome") == "success").cast("int"), "run", block)
     runs = counted.filter("outcome = 'failure'").groupBy("provider", "run").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("failures"))
     return runs.filter(F.col("failures") >= least).drop("run")
 
 
-def sliding_failure_rate(calls: DataFrame, size: int = 20, least: int = 10, alert: float = 0.5) -> DataFrame:
-    """calls with the failure rate of a provider's last `size` calls, null before `least` of them, and whether it reaches `alert`."""
-    last = Window.partitionBy("provider").orderBy("ts", "seq").rowsBetween(-(size - 1), 0)
-    n, rate = F.count("*").over(last), F.avg((F.col("outcome") == "failure").cast("int")).over(last)
-    rated = calls.withColumn("rate", F.when(n >= least, F.round(rate, 6)))
+def sliding_failure_rate(calls: DataFrame, size: int = 20, least: int = 10, alert: float = 0.5, block: str = "hour", rows: int = 10_000) -> DataFrame:
+    """calls with the failure rate of a provider's last `size` calls, null before `least` of them, and whether it reaches `alert`.
+
+    Calls are numbered by block of time and dealt by number into blocks of `rows`; the last size - 1 of each are carried into the next.
+    """
+    rows = max(rows, size)
+    numbered = running_sum(calls, "provider", F.lit(1), "__nth", block).withColumn("__failed", (F.col("outcome") == "failure").cast("int"))
+    own = F.floor((F.col("__nth") - 1) / rows)
+    carried = F.pmod(F.col("__nth") - 1, F.lit(rows)) >= rows - (size - 1)
+    dealt = numbered.withColumn("__own", own).withColumn("__block", F.explode(F.when(carried, F.array(own, own + 1)).otherwise(F.array(own))))
+    last = Window.partitionBy("provider", "__block").orderBy("__nth").rowsBetween(-(size - 1), 0)
+    rate = F.when(F.least(F.col("__nth"), F.lit(size)) >= least, F.round(F.avg("__failed").over(last), 6))
+    rated = dealt.withColumn("rate", rate).filter("__block = __own").select(*calls.columns, "rate")
     return rated.withColumn("alert", F.coalesce(F.col("rate") >= alert, F.lit(False)))
 
 

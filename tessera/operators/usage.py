@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.rules import PRICES
 from tessera.operators.folds import fold_in_order
+from tessera.operators.periods import HOT_ROWS, split_hot, with_periods
 
 
 def price_table(spark: SparkSession, prices: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -55,20 +56,32 @@ def budget_headroom(calls: DataFrame, limit: float) -> DataFrame:
     return labelled.select("tenant", F.round("s", 6).alias("spent_usd"), F.round(F.greatest(F.lit(0.0), F.lit(limit) - F.col("s")), 6).alias("remaining_usd"), "over_calls")
 
 
-def quota_admission(calls: DataFrame, limit: float, period_seconds: float) -> DataFrame:
+def quota_admission(calls: DataFrame, limit: float, period_seconds: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """calls (tenant, ts, seq, amount) with admitted and spent: a tenant's period restarts at its first use after it ran out; a call is admitted if it fits, and only
-    admitted calls spend."""
+    admitted calls spend.
+
+    A tenant's calls are folded in order while they stream by. Of tenants of more than hot_rows calls the periods are found first, by
+    doubled successors, and each period is folded by itself, so that such a tenant fills many tasks.
+    """
+    length = round(period_seconds * 1e6)
 
     def step(state, call):
-        now, (since, spent) = call["ts"].timestamp(), state or (None, 0.0)
-        if since is None or now - since >= period_seconds:
+        since, spent = state or (None, 0.0)
+        now = call["micros"]
+        if since is None or now - since >= length:
             since, spent = now, 0.0
         fits = spent + call["amount"] <= limit
         spent += call["amount"] if fits else 0.0
         return (since, spent), (fits, round(spent, 6))
 
-    timed = calls.select("tenant", "ts", F.col("seq").cast("long").alias("seq"), F.col("amount").cast("double").alias("amount"))
-    return fold_in_order(timed, "tenant", ["ts", "seq"], step, {"admitted": T.BooleanType(), "spent": T.DoubleType()})
+    timed = calls.select("tenant", "ts", F.col("seq").cast("long").alias("seq"), F.col("amount").cast("double").alias("amount"), F.unix_micros("ts").alias("micros"))
+    made = {"admitted": T.BooleanType(), "spent": T.DoubleType()}
+    few, hot = split_hot(timed, "tenant", hot_rows)
+    folded = fold_in_order(few, "tenant", ["ts", "seq"], step, made)
+    if hot is not None:
+        own = with_periods(hot, "tenant", period_seconds).withColumn("period", F.struct("tenant", "since"))
+        folded = folded.unionByName(fold_in_order(own, "period", ["ts", "seq"], step, made).select(*folded.columns))
+    return folded.drop("micros")
 
 
 def global_cutoff(calls: DataFrame, limit: float, period: str = "day") -> DataFrame:
