@@ -144,15 +144,17 @@ def _limits(bands: np.ndarray, cosines: np.ndarray, instead: np.ndarray | None =
     return out
 
 
-def fit_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = 2000, centroids: int = 4, least_share: float = 0.0005) -> LanguageModel | None:
+def fit_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = 2000, centroids: int = 4, most_languages: int = 1000) -> LanguageModel | None:
     """Fits on rows with a language: document frequencies over all of them; centroids on a sample of about fit_rows rows in
     all, as many of each language as it has up to its equal share, by a hash of id and text; repeated rows count once in the sample.
-    Languages of a share of rows below least_share aren't learned: so a model has 1 / least_share languages at most, whatever labels
-    there are. Null and empty texts teach nothing; long ones are counted whole. None if there is no row with a language."""
+    Every label is learned, however few rows have it; a table of more than most_languages labels is refused, as a model holds all of them.
+    Null and empty texts teach nothing; long ones are counted whole. None if there is no row with a language."""
     rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(doc_id).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     counted = rows.groupBy("lang").count()
     total = rows.count()
-    sizes = {r["lang"]: r["count"] for r in counted.filter(F.col("count") >= least_share * total).collect()}
+    sizes = {r["lang"]: r["count"] for r in counted.limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: raise most_languages, or clean the labels")
     if not sizes:
         return None
 

@@ -65,11 +65,14 @@ def test_language_id_rejects_short_and_long_texts_of_unseen_languages(spark):
     assert model.predict([t[:60] for t in clean], 0.6)[2].mean() < 0.02
 
 
-def test_language_id_leaves_out_stray_labels_and_repeated_rows(spark):
-    rows = [(i, f"the quick brown fox number {i}", "en") for i in range(300)] + [(1000 + i, f"text {i}", f"dirty{i}") for i in range(20)]
+def test_language_id_learns_rare_labels_and_refuses_too_many(spark):
+    rows = [(i, f"the quick brown fox number {i}", "en") for i in range(300)] + [(1000 + i, f"ganz andere worte {i}", f"rare{i}") for i in range(3)]
     rows += [(7, "the same row again", "en")] * 200
-    model = language_id.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=50, least_share=0.01)
-    assert set(model.languages) == {"en"}
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_languages(table, fit_rows=50)
+    assert set(model.languages) == {"en", "rare0", "rare1", "rare2"}
+    with pytest.raises(ValueError):
+        language_id.fit_languages(table, most_languages=3)
 
 
 # 2
