@@ -34,10 +34,12 @@ TILE = 8192
 BROADCAST_BUCKETS = 100_000
 #: Rows of numbers up to this many are broadcast to the texts; more are joined.
 BROADCAST_ROWS = 500_000
-#: Bits of a set's bitmap, which rules out most pairs before their texts meet.
+#: Least bits of a set's bitmap, which rules out most pairs before their texts meet.
 BITMAP = 2048
 #: Labels at a hash up to which all sets of different labels meet there; beyond it sets meet at the first hash they share.
 FEW_LABELS = 64
+#: Hashes before a frequent one that go with it.
+RECENT = 8
 #: Hashes of sets that a task remembers while it compares texts.
 REMEMBERED = 2_000_000
 #: Shingles that this many texts of a sample of SAMPLE have come last in prefixes, up to MOST_COMMON of them.
@@ -451,10 +453,19 @@ def set_prefixes(docs: DataFrame, words: int, num: int, den: int, common: tuple[
 
 
 def _bitmap(h: np.ndarray) -> bytes:
-    """A bit for each remainder of the hashes by BITMAP."""
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(h % np.uint64(BITMAP)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    """A bit for each remainder of the hashes by a power of two, BITMAP or, for larger sets, at least twice their size."""
+    size = max(BITMAP, 1 << max(2 * len(h) - 1, 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(h % np.uint64(size)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _alone(x: bytes, y: bytes) -> tuple[int, int]:
+    """Bits that each of two bitmaps has alone; the larger is folded to the other's size."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, size)) if len(v) > size else v for v in (a, b))
+    return int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum())
 
 
 def not_ruled_out(pairs: DataFrame, slim: DataFrame, num: int, den: int) -> DataFrame:
@@ -467,8 +478,8 @@ def not_ruled_out(pairs: DataFrame, slim: DataFrame, num: int, den: int) -> Data
             if not batch.num_rows:
                 continue
             n, m = (batch.column(k).to_numpy() for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (4, 5))
-            most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            alone = np.array([_alone(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)])
+            most = np.minimum(n - alone[:, 0], m - alone[:, 1])
             yield batch.select([0, 1]).filter(pa.array(most * (num + den) >= (n + m) * num))
 
     return met.mapInArrow(run, "a long, b long")
@@ -562,19 +573,13 @@ def candidate_pairs(shared: DataFrame, labels: DataFrame, num: int, den: int) ->
     most = c("same") - 1 + F.least("frequent_x", "frequent_y") + F.least(c("n_x") - c("pos_x"), c("n_y") - c("pos_y"))
     counted = grouped.filter(_similar_enough(most, c("n_x"), c("n_y"), num, den)).select("a", "b")
 
-    # Each set that has frequent hashes with all that it may share with sets of other labels, in order.
-    held = F.array_sort(F.collect_list(F.struct("__pos", "__key", "__main", "__labels")))
-    whole = mixed.join(times, "__row", "left_semi").groupBy("__row", "__n", "__label").agg(held.alias("held"))
-    keys, places = F.transform("held", lambda h: h["__key"]), F.transform("held", lambda h: h["__pos"])
-    listed = whole.select("*", keys.alias("__keys"), places.alias("__places"), F.posexplode("held").alias("__i", "h")).filter(c("h.__labels") > FEW_LABELS)
-    x, y = ends(listed.select("__row", "__n", "__label", "__keys", "__places", "__i", "h.__key", "h.__pos", "h.__main"))
-    first = ~F.arrays_overlap(F.slice("x.__keys", 1, c("x.__i")), F.slice("y.__keys", 1, c("y.__i")))
-    both = F.array_intersect("x.__keys", "y.__keys")  # in the order of both
-    place = lambda side: F.try_element_at(c(f"{side}.__places"), F.array_position(f"{side}.__keys", F.try_element_at(both, F.lit(-1))).cast("int"))
-    counted_too = at_most(F.size(both) - 1, place("x"), place("y"))
+    # With each frequent hash of a set the few before it: sets that share one of those have met there.
+    before = F.collect_list("__key").over(Window.partitionBy("__row").orderBy("__pos").rowsBetween(-RECENT, -1))
+    listed = mixed.join(times, "__row", "left_semi").withColumn("__recent", before).filter(frequent)
+    x, y = ends(listed.select("__row", "__n", "__label", "__recent", "__key", "__pos", "__main"))
     possible = _similar_enough(at_most(F.lit(0), c("x.__pos"), c("y.__pos")), c("x.__n"), c("y.__n"), num, den)
-    enough = F.when(possible, F.when(first, _similar_enough(counted_too, c("x.__n"), c("y.__n"), num, den)))  # the cheap test first
-    frequent_pairs = x.join(y, apart & once & F.coalesce(enough, F.lit(False))).select(F.least("x.__row", "y.__row").alias("a"), F.greatest("x.__row", "y.__row").alias("b"))
+    first = F.when(possible, ~F.arrays_overlap("x.__recent", "y.__recent"))  # the cheap test first
+    frequent_pairs = x.join(y, apart & once & F.coalesce(first, F.lit(False))).select(F.least("x.__row", "y.__row").alias("a"), F.greatest("x.__row", "y.__row").alias("b"))
     return counted.union(frequent_pairs).distinct()
 
 
@@ -613,10 +618,10 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     named = docs.select(F.col(doc_id).alias("__id"), own.alias("__th"), F.col(text).alias("__text"))
     slim = checkpoint(set_prefixes(named, words, num, den, common_shingles(named, words)).withColumn("__row", F.monotonically_increasing_id()))
-    of_set = checkpoint(slim.groupBy("__set").agg(F.min("__row").alias("__node")))
+    of_set = checkpoint(slim.groupBy("__set", "__n").agg(F.min("__row").alias("__node")))
     labels = components(similar_sets(slim, of_set.select(F.col("__node").alias("__row")), named, words, num, den))
-    of_set = of_set.join(labels, F.col("__node") == F.col("node"), "left").select("__set", F.coalesce("label", "__node").alias("__label"))
-    rows = slim.select("__id", "__th", "__set").join(of_set, "__set")
+    of_set = of_set.join(labels, F.col("__node") == F.col("node"), "left").select("__set", "__n", F.coalesce("label", "__node").alias("__label"))
+    rows = slim.select("__id", "__th", "__set", "__n").join(of_set, ["__set", "__n"])
     best = F.min(F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__th")).alias("best")
     keepers = rows.groupBy("__label").agg(best).select(*(F.col(f"best.{c}").alias(c) for c in ("__id", "__th")))
     key = lambda i: F.xxhash64(i.isNull(), i.cast("string"))

@@ -6,10 +6,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import filter_audit, merkle, substring_dedup
+from tessera.llm import filter_audit, merkle, simhash, substring_dedup
 from tests.helpers import SF, spark_rows, sql_rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -214,3 +215,26 @@ def test_substring_dedup_of_a_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(["before", *words[50_000:50_040], "after"]))]
     found = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (found[1]["n_removed"], found[2]["kept_text"]) == (0, "before after")
+
+
+# Near-dedup
+
+
+def test_near_dedup_of_long_texts_that_share_paragraphs(spark):
+    rng = random.Random(9)
+    paragraphs = [" ".join(f"{p}x{rng.randrange(10**6)}" for _ in range(100)) for p in range(60)]
+    rows = [(i, "\n".join(rng.sample(paragraphs, 30))) for i in range(150)]
+    near = [(1000 + i, rows[i][1] + " and a few words more") for i in range(5)]
+    left = simhash.near_dedup(spark.createDataFrame(rows + near, "doc_id long, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in left.select("doc_id").collect()) == [i for i, _ in rows]
+
+
+def test_bitmaps_of_different_sizes_never_rule_out_wrongly():
+    rng = random.Random(1)
+    for n, m in ((10, 10), (500, 3000), (3000, 40_000), (1, 5000)):
+        x = {rng.getrandbits(64) for _ in range(n)}
+        y = {*rng.sample(sorted(x), n // 2), *(rng.getrandbits(64) for _ in range(m - n // 2))}
+        a, b = (simhash._bitmap(np.array(sorted(v), np.uint64)) for v in (x, y))
+        mine, theirs = simhash._alone(a, b)
+        assert mine <= len(x - y) and theirs <= len(y - x) and simhash._alone(b, a) == (theirs, mine)
+        assert simhash._alone(a, a) == (0, 0)
