@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,11 @@ from pyspark.sql import types as T
 
 from tessera.functions.rules import BULLETS, NUMBER
 from tessera.functions.text import let, runs, strip, tokens, unit
+from tessera.sources.scratch import stored
 
 K1, B = 1.5, 0.75
 RRF_CONSTANT = 60
-#: A query table of up to this many rows is broadcast to the vectors; a larger one is dealt to them block by block.
+#: Queries that are broadcast to the vectors at once.
 BROADCAST_QUERIES = 5_000
 #: Vectors of a block that meets a block of queries, and cells of a score matrix made at once.
 BLOCK_VECTORS, CELLS = 32_768, 1 << 21
@@ -148,8 +150,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, dims: int, on: st
     """Top k by inner product of queries (query_id, q) over vectors (chunk_id, v), both lists of numbers or of (bucket, weight), by matrix products on
     Arrow batches: cosine scales both to unit length first. A query is sent the vectors that share its `on`; positive: only products above 0 count.
 
-    Up to BROADCAST_QUERIES queries are broadcast and each task keeps its k best of each; more are dealt to blocks, and each block of vectors
-    meets each block of queries in a task of its own.
+    Up to BROADCAST_QUERIES queries are broadcast and each task keeps its k best of each. More go in rounds of so many, each of which reads the vectors once and
+    shuffles only the best; with `on` the rows of a value meet in blocks of vectors and queries, so a vector is copied once for each block of queries of its own value.
     """
     keys = [on] if on else []
     scale = _unit_rows if cosine else (lambda m: m)
@@ -165,10 +167,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, dims: int, on: st
         own = [asking.column(c).combine_chunks().take(pa.array(at, pa.int64())) for c in ("query_id", *keys)]
         return pa.RecordBatch.from_arrays([own[0], pa.array(ids, ids_of), *own[1:], pa.array(scores, pa.float64())], names=schema.names)
 
-    n = asked.limit(BROADCAST_QUERIES + 1).count()
-    if n <= BROADCAST_QUERIES:
-        held = asked.toArrow()
-        table = queries.sparkSession.sparkContext.broadcast(held)
+    def by_broadcast(some: DataFrame) -> DataFrame:
+        table = queries.sparkSession.sparkContext.broadcast(some.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asking, best, ids_of = table.value, None, None
@@ -179,13 +179,26 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, dims: int, on: st
             if best is not None:
                 yield found(best, asking, ids_of)
 
-        scored = there.mapInArrow(run, schema) if n else there.sparkSession.createDataFrame([], schema)
+        return there.mapInArrow(run, schema)
+
+    n = asked.limit(BROADCAST_QUERIES + 1).count()
+    if not n:
+        scored = there.sparkSession.createDataFrame([], schema)
+    elif n <= BROADCAST_QUERIES:
+        scored = by_broadcast(asked)
+    elif not on:
+        rounds = math.ceil(asked.count() / BROADCAST_QUERIES)
+        asked = stored(asked.withColumn("round", F.pmod(F.xxhash64("query_id"), F.lit(rounds))), "queries")
+        best = [stored(top_k(by_broadcast(asked.filter(F.col("round") == r).drop("round")), k), "best") for r in range(rounds)]
+        scored = reduce(DataFrame.union, best)
     else:
-        q_blocks, v_blocks = math.ceil(asked.count() / BROADCAST_QUERIES), max(1, math.ceil(there.count() / BLOCK_VECTORS))
-        deal = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks))
-        copies = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-        left = there.withColumn("vb", deal("chunk_id", v_blocks)).withColumn("qb", copies(q_blocks))
-        right = asked.withColumn("qb", deal("query_id", q_blocks)).withColumn("vb", copies(v_blocks))
+        sizes = lambda df, most, name: df.groupBy(F.col(on).alias("__on")).agg(F.ceil(F.count("*") / most).cast("long").alias(name))
+        blocks = stored(sizes(there, BLOCK_VECTORS, "vectors").join(sizes(asked, BROADCAST_QUERIES, "queries"), "__on"), "blocks")  # a row for each value
+        deal = lambda c, count: F.pmod(F.xxhash64(c), F.col(count))
+        copies = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+        dealt = lambda df: df.join(blocks, F.col(on) == F.col("__on"))
+        left = dealt(there).withColumns({"gb": F.xxhash64(on), "vb": deal("chunk_id", "vectors")}).withColumn("qb", copies("queries"))
+        right = dealt(asked).withColumns({"gb": F.xxhash64(on), "qb": deal("query_id", "queries")}).withColumn("vb", copies("vectors"))
 
         def meet(near: pa.Table, asking: pa.Table) -> pa.Table:
             best = Best(scale(_matrix(asking.column("q").combine_chunks(), dims)) if asking.num_rows else np.zeros((0, dims)), values(asking, on), k, positive, least)
@@ -193,7 +206,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, dims: int, on: st
                 best.add(near.column("chunk_id").to_pylist(), scale(_matrix(near.column("v").combine_chunks(), dims)), values(near, on))
             return pa.Table.from_batches([found(best, asking, near.column("chunk_id").type)])
 
-        scored = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(meet, schema)
+        own = lambda df, *made: df.select(*(F.col(c).alias(c) for c in (*made, *keys, "gb", "vb", "qb"))).groupBy("gb", "vb", "qb")
+        scored = own(left, "chunk_id", "v").cogroup(own(right, "query_id", "q")).applyInArrow(meet, schema)
     return top_k(scored, k).select("query_id", "chunk_id", *keys, "rank", "score")
 
 
@@ -434,6 +448,31 @@ def ivf_search(queries: DataFrame, index: IvfIndex, k: int = 10, n_probe: int =
     return top_k(found.select("query_id", "chunk_id", "score"), k).select("query_id", "chunk_id", "rank", "score")
 
 
+def ivf_recalls(queries: DataFrame, index: IvfIndex, k: int = 10) -> DataFrame:
+    """(n_probe, recall) for every number of probes, by one exact search: a hit is found by as many probes as its list's place among those nearest to the query."""
+    n_lists = len(index.centroids)
+    exact = vector_topk(queries, index.vectors.select("chunk_id", "vector"), k).select("query_id", "chunk_id")
+    weighed = exact.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("query_id")))
+    places = queries.select("query_id", F.posexplode(_nearest_lists(index.centroids, n_lists)(unit(F.col("vector")))).alias("place", "list_id"))
+    placed = weighed.join(index.vectors.select("chunk_id", "list_id"), "chunk_id").join(places, ["query_id", "list_id"])
+    sums = placed.groupBy("place").agg(F.sum("weight").alias("weight"))
+    all_places = queries.sparkSession.range(n_lists).select(F.col("id").cast("int").alias("place")).join(sums, "place", "left")  # a row for each list
+    upto, whole = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    part = F.coalesce(F.sum("weight").over(upto), F.lit(0.0)) / F.sum("weight").over(whole)
+    return all_places.select((F.col("place") + 1).alias("n_probe"), F.round(F.coalesce(part, F.lit(1.0)), 6).alias("recall"))
+
+
+def ivf_calibrate(index: IvfIndex, path: str, k: int = 10, recall: float = 0.93, rows: int = 1000) -> int:
+    """The least number of probes that finds `recall` of the exact hits of a sample of about `rows` vectors, kept in the index's folder `path`."""
+    total = index.vectors.count()
+    place = F.pmod(F.xxhash64("chunk_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    sample = stored(index.vectors.filter(place < rows / max(total, 1)).select(F.col("chunk_id").alias("query_id"), "vector"), "sample")
+    measured = stored(ivf_recalls(sample, index, k), "recalls")
+    measured.write.mode("overwrite").parquet(f"{path}/recalls")
+    enough = measured.filter(F.col("recall") >= recall).agg(F.min("n_probe")).first()[0]
+    return enough or max(1, len(index.centroids))
+
+
 def ivf_scanned(queries: DataFrame, index: IvfIndex, n_probe: int) -> DataFrame:
     """One row: the share of all vectors that a query meets, on average."""
     sizes = index.vectors.groupBy("list_id").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.plans import retrieval
 from tessera.operators import embedding, evaluation, rag, search
 from tests.helpers import SF, spark_rows
 
@@ -59,6 +60,39 @@ def test_clustered_search_is_exact_at_full_probe(spark, tmp_path):
     assert search.ivf_scanned(q, again, 8).first()["scanned"] == 1.0 > search.ivf_scanned(q, again, 1).first()["scanned"] > 0
 
 
+def test_recall_of_all_probes_by_one_search_is_that_of_searches(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(150)], "chunk_id long, vector array<double>")
+    q = v.filter("chunk_id % 9 = 0").withColumnRenamed("chunk_id", "query_id")
+    index, exact = search.ivf_build(v, str(tmp_path / "lists"), 6, 4), search.vector_topk(q, v, 10)
+    told = {r["n_probe"]: r["recall"] for r in search.ivf_recalls(q, index, 10).collect()}
+    assert sorted(told) == [1, 2, 3, 4, 5, 6]
+    for p in (1, 3, 6):
+        assert abs(told[p] - search.ann_recall(search.ivf_search(q, index, 10, p), exact).first()["recall"]) < 1e-6
+    n = search.ivf_calibrate(index, str(tmp_path / "lists"), recall=0.8)
+    kept = {r["n_probe"]: r["recall"] for r in spark.read.parquet(str(tmp_path / "lists" / "recalls")).collect()}
+    assert kept[n] >= 0.8 and all(kept[p] < 0.8 for p in range(1, n))
+    assert search.ivf_calibrate(index, str(tmp_path / "lists"), recall=1.1) == 6
+
+
+def test_clustered_query_reaches_its_recall(spark):
+    found, asked = catalog.QUERIES["ivf_search"](spark, SF), retrieval.query_vectors(spark, SF).drop("tenant")
+    exact = search.vector_topk(asked, retrieval.vectors(spark, SF).drop("tenant"), 10)
+    assert search.ann_recall(found, exact).first()["recall"] >= 0.9
+
+
+def test_vectors_meet_only_queries_of_their_own_value(spark, monkeypatch):
+    """Beyond what is broadcast a vector is copied once for each block of queries of its own value."""
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 10)
+    v = spark.range(300).select(F.col("id").alias("chunk_id"), (F.col("id") % 30).alias("tenant"), F.array(F.lit(1.0), F.rand(1)).alias("vector"))
+    q = v.filter("chunk_id < 60").select(F.col("chunk_id").alias("query_id"), "tenant", "vector")
+    seen = []
+    copied = search.top_k
+    monkeypatch.setattr(search, "top_k", lambda scored, k: seen.append(scored) or copied(scored, k))
+    search.vector_topk(q, v, 5, on="tenant").collect()
+    assert seen[-1].count() == 60 * 5  # each value is one block of each side
+
+
 def test_clustered_search_reads_only_the_lists_it_probes(spark, tmp_path, capsys):
     rng = np.random.default_rng(2)
     v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "chunk_id long, vector array<double>")
