@@ -317,7 +317,7 @@ def parent_child(child_hits: DataFrame, children: DataFrame, parents: DataFrame,
 def term_count_search(queries: DataFrame, pages: DataFrame, limit: int = 3) -> DataFrame:
     """Pages (page_id, title, body) by the occurrences of the query's terms (with their repetitions) as substrings; ties by title, then body, falling.
 
-    Up to BROADCAST_TERMS terms are broadcast; a task looks for all of them in each of its pages at once and keeps the `limit` best pages of each
+    Up to BROADCAST_TERMS terms are broadcast; a task looks for all of them in one pass of each of its pages and keeps the `limit` best pages of each
     query. More terms than that are dealt to blocks, each of which all pages meet. Texts leave the pages only once they are found.
     """
     asked = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -339,15 +339,21 @@ def term_count_search(queries: DataFrame, pages: DataFrame, limit: int = 3) -> D
 
 def _count_terms(asked, limit: int, names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = asked.value
-        best: dict = {}
+        import ahocorasick
+
+        search, best = ahocorasick.Automaton(), {}
+        for term, wanted in asked.value.items():
+            search.add_word(term, (len(term), wanted))
+        search.make_automaton()
         for part in batches:
             for page_id, title, body, hay in part[["page_id", "title", "body", "hay"]].itertuples(index=False):
                 scores: dict = {}
-                for term, wanted in terms.items():
-                    if n := hay.count(term):
+                free: dict[int, int] = {}  # where a term may occur next, as occurrences don't overlap
+                for end, (length, wanted) in search.iter(hay):
+                    if end - length + 1 >= free.get(id(wanted), 0):
+                        free[id(wanted)] = end + 1
                         for query_id, times in wanted:
-                            scores[query_id] = scores.get(query_id, 0) + n * times
+                            scores[query_id] = scores.get(query_id, 0) + times
                 for query_id, score in scores.items():
                     kept = best.setdefault(query_id, [])
                     kept.append((score, title or "", body or "", page_id, title, body))

@@ -149,6 +149,17 @@ def test_equal_pages_stay_apart(spark, monkeypatch):
     assert found() == want
 
 
+def test_terms_inside_each_other_are_counted_as_by_themselves(spark):
+    words = ["aa", "aaa", "a", "banana", "ana", "nan", "x9"]
+    bodies = ["aaaa a banana", "bananana aaaaa", "x9x9 anana", "", None]
+    pages = spark.createDataFrame([(i, "", b) for i, b in enumerate(bodies)], "page_id long, title string, body string")
+    q = spark.createDataFrame([(i, w) for i, w in enumerate(words)] + [(99, "aa ana aa")], "query_id long, text string")
+    found = {(r["query_id"], r["page_id"]): r["score"] for r in search.term_count_search(q, pages, 5).collect()}
+    plain = {(i, p): (b or "").count(w) for i, w in enumerate(words) for p, b in enumerate(bodies)}
+    plain |= {(99, p): 2 * (b or "").count("aa") + (b or "").count("ana") for p, b in enumerate(bodies)}
+    assert found == {k: n for k, n in plain.items() if n}
+
+
 def test_variants_lose_bullets_but_no_digits(spark):
     q = spark.createDataFrame([(1, "pension")], "query_id long, text string")
     asked = []
