@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def fold_in_order(rows: DataFrame, key: str, order: list[str], step: Callable[[object, dict], tuple[object, tuple]], made: dict[str, T.DataType]) -> DataFrame:
-    """rows with the columns `made`, from step(state, row) to (state, values), where the state of a key's first row is None.
+def fold_in_order(rows: DataFrame, key: str, order: list[str], reads: list[str], step: Callable[..., tuple[object, tuple]], made: dict[str, T.DataType]) -> DataFrame:
+    """rows with the columns `made`, from step(state, values of the columns `reads` ..) to (state, values), where the state of a key's first row is None.
 
     Keys are dealt to tasks and sorted there; a task reads its rows a batch at a time and holds one state, whatever the rows of a key.
     """
@@ -21,10 +21,10 @@ def fold_in_order(rows: DataFrame, key: str, order: list[str], step: Callable[[o
         state, current, begun = None, None, False
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                if not begun or row[key] != current:
-                    state, current, begun = None, row[key], True
-                state, values = step(state, row)
+            for own, *read in zip(*(batch.column(c).to_pylist() for c in (key, *reads)), strict=True):
+                if not begun or own != current:
+                    state, current, begun = None, own, True
+                state, values = step(state, *read)
                 out.append(values)
             columns = [pa.array([v[i] for v in out], T_ARROW[type(t)]) for i, t in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *made])

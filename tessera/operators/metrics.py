@@ -49,15 +49,14 @@ def cache_labels(requests: DataFrame, ttl_seconds: float, hot_rows: int = HOT_RO
     """
     length = round(ttl_seconds * 1e6)
 
-    def step(missed, request):
-        now = request["micros"]
+    def step(missed, now, tokens):
         hit = missed is not None and now - missed < length
-        return missed if hit else now, (hit, 0 if hit else request["tokens"])
+        return missed if hit else now, (hit, 0 if hit else tokens)
 
     asked = requests.select("cache_key", "ts", "seq", F.col("tokens").cast("long").alias("tokens"), F.unix_micros("ts").alias("micros"))
     few, hot = split_hot(asked, "cache_key", hot_rows)
     shown = ["cache_key", "ts", "seq", "hit", "billed_tokens", "tokens"]
-    labelled = fold_in_order(few, "cache_key", ["ts", "seq"], step, {"hit": T.BooleanType(), "billed_tokens": T.LongType()}).select(*shown)
+    labelled = fold_in_order(few, "cache_key", ["ts", "seq"], ["micros", "tokens"], step, {"hit": T.BooleanType(), "billed_tokens": T.LongType()}).select(*shown)
     if hot is None:
         return labelled
     periods = with_periods(hot, "cache_key", ttl_seconds)

@@ -65,22 +65,21 @@ def quota_admission(calls: DataFrame, limit: float, period_seconds: float, hot_r
     """
     length = round(period_seconds * 1e6)
 
-    def step(state, call):
+    def step(state, now, amount):
         since, spent = state or (None, 0.0)
-        now = call["micros"]
         if since is None or now - since >= length:
             since, spent = now, 0.0
-        fits = spent + call["amount"] <= limit
-        spent += call["amount"] if fits else 0.0
+        fits = spent + amount <= limit
+        spent += amount if fits else 0.0
         return (since, spent), (fits, round(spent, 6))
 
     timed = calls.select("tenant", "ts", F.col("seq").cast("long").alias("seq"), F.col("amount").cast("double").alias("amount"), F.unix_micros("ts").alias("micros"))
     made = {"admitted": T.BooleanType(), "spent": T.DoubleType()}
     few, hot = split_hot(timed, "tenant", hot_rows)
-    folded = fold_in_order(few, "tenant", ["ts", "seq"], step, made)
+    folded = fold_in_order(few, "tenant", ["ts", "seq"], ["micros", "amount"], step, made)
     if hot is not None:
         own = with_periods(hot, "tenant", period_seconds).withColumn("period", F.struct("tenant", "since"))
-        folded = folded.unionByName(fold_in_order(own, "period", ["ts", "seq"], step, made).select(*folded.columns))
+        folded = folded.unionByName(fold_in_order(own, "period", ["ts", "seq"], ["micros", "amount"], step, made).select(*folded.columns))
     return folded.drop("micros")
 
 
@@ -102,13 +101,13 @@ def global_cutoff(calls: DataFrame, limit: float, period: str = "day") -> DataFr
     before = placed.filter(open_still).select("ts", "seq", "amount", F.round(F.col("upto") - F.col("amount"), 6).alias("spent_before"), F.lit(True).alias("admitted"))
     after = placed.filter(~open_still).select("period", "ts", "seq", "amount", F.col("f.spent").alias("start"))
 
-    def step(spent, call):
-        spent = call["start"] if spent is None else spent
-        fits = round(spent + call["amount"], 6) <= limit
-        return round(spent + call["amount"], 6) if fits else spent, (spent, fits)
+    def step(spent, start, amount):
+        spent = start if spent is None else spent
+        fits = round(spent + amount, 6) <= limit
+        return round(spent + amount, 6) if fits else spent, (spent, fits)
 
     fit = F.round(F.col("start") + F.col("amount"), 6) <= limit
-    folded = fold_in_order(after.filter(fit), "period", ["ts", "seq"], step, {"spent_before": T.DoubleType(), "admitted": T.BooleanType()})
+    folded = fold_in_order(after.filter(fit), "period", ["ts", "seq"], ["start", "amount"], step, {"spent_before": T.DoubleType(), "admitted": T.BooleanType()})
     shown = ["ts", "seq", "amount", "spent_before", "admitted"]
     # a call that never fits sees what the last admitted one before it left
     marks = folded.filter("admitted").select("period", "ts", "seq", F.round(F.col("spent_before") + F.col("amount"), 6).alias("left"), F.lit(None).cast("double").alias("amount"), "start")
