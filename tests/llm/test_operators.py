@@ -1,7 +1,6 @@
 """The training-data operators: SQL twins, brute force, exact round trips, held-out accuracy and odd inputs."""
 
 import hashlib
-import json
 import math
 import re
 import struct
@@ -534,10 +533,21 @@ def test_pipeline_runs_whole(spark):
 
 
 def test_odd_rows_through_the_stages(spark, odd):
+    """Each stage does to odd rows what its docstring says."""
     import corpus_pipeline as pipeline
 
-    docs = odd.select(*pipeline.COLUMNS)
+    seen = [odd.select(*pipeline.COLUMNS)]
     for _, stage in pipeline.STAGES:
-        docs = stage(spark, docs, SF).cache()
-        docs.count()
-    assert json.dumps(docs.columns)
+        seen.append(stage(spark, seen[-1], SF).cache())
+    start, named, cut, near, mixed, tokens = ([*df.collect()] for df in seen)
+    assert named and all(any(c.isalpha() for c in r["text"] or "") and r["lang"] is not None for r in named)
+    assert Counter((r["doc_id"], r["text"]) for r in named) <= Counter((r["doc_id"], r["text"]) for r in start)
+    fate = {(r["doc_id"], r["text"]) for r in named}
+    assert all(n == Counter((r["doc_id"], r["text"]) for r in named)[k] for k, n in Counter((r["doc_id"], r["text"]) for r in start).items() if k in fate)  # repeated rows share one fate
+    assert all(r["n_chars"] == len(r["text"]) for r in cut) and {r["doc_id"] for r in cut} <= {r["doc_id"] for r in named}
+    assert len({(r["doc_id"], r["text"]) for r in near}) == len(near) and len({r["text"] for r in near}) == len(near)
+    assert {(r["doc_id"], r["text"]) for r in near} <= {(r["doc_id"], r["text"]) for r in cut}
+    assert {(r["doc_id"], r["text"]) for r in mixed} <= {(r["doc_id"], r["text"]) for r in near}
+    encoding = reference_encoding()[1]
+    assert Counter((r["doc_id"], *r["token_ids"]) for r in tokens) == Counter((r["doc_id"], *encoding.encode_ordinary(r["text"])) for r in mixed)
+    assert all(df.columns == [*pipeline.COLUMNS] for df in seen[1:-1])
