@@ -21,21 +21,6 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def runs(ordered: Column, of: Callable[[Column], Column], shown: Callable[[Column, Column, Column], Column]) -> Column:
-    """shown(value, start, end) of each run of equal values of(x) of a sorted array."""
-
-    def starts(s: Column) -> Column:
-        at = lambda i: of(F.get(s, i))
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
-        return F.when(F.size(s) > 0, first).otherwise(F.array().cast("array<int>"))
-
-    def listed(s: Column, at: Column) -> Column:
-        ends = F.slice(F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(s))), 1, F.size(at))
-        return F.zip_with(at, ends, lambda a, b: shown(F.get(s, a), a, b))
-
-    return let(ordered, lambda s: let(starts(s), lambda at: listed(s, at)))
-
-
 def long_words(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: F.length(t) > 3)
 

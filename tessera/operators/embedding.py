@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.counting import hashed, weighed
 from tessera.functions.rules import IDENTIFIER, IDENTIFIER_WEIGHT, IDENTIFIER_WORD, SYNONYMS
-from tessera.functions.text import bucket, let, runs, text_hash, tokens
-
-
-def _unit_entries(counted: Column, logarithmic: bool) -> Column:
-    """(bucket, weight) of (bucket, n), of unit length."""
-    weigh = (lambda n: 1 + F.log(n)) if logarithmic else (lambda n: n)
-    weighed = F.transform(counted, lambda x: F.struct(x["bucket"].alias("bucket"), weigh(x["n"]).alias("weight")))
-    length = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"]))
-    scaled = lambda w, n: F.transform(w, lambda x: F.struct(x["bucket"].alias("bucket"), (x["weight"] / n).alias("weight")))
-    return let(weighed, lambda w: let(length(w), lambda n: scaled(w, n)))
-
-
-def _tokens(text: Column) -> Column:
-    return F.coalesce(tokens(text), F.array().cast("array<string>"))
+from tessera.functions.text import let, text_hash
 
 
 def long_form(vectors: DataFrame, key: str) -> DataFrame:
@@ -33,17 +22,7 @@ def long_form(vectors: DataFrame, key: str) -> DataFrame:
 def hash_vectors(texts: DataFrame, key: str, dims: int = 256, bigrams: bool = True, logarithmic: bool = True) -> DataFrame:
     """(key, entries array<struct<bucket, weight>>) of texts (key, text), of unit length: a bucket counts 1 for each of its tokens and 0.5 for each bigram,
     and weighs 1 + ln(count), or the count. A text without tokens, or null, has no entries: the zero vector."""
-    # A row has all of its tokens, so they are sorted and counted in the row: nothing is shuffled. A bucket is listed once for each half that counts.
-
-    def halves(words: Column) -> Column:
-        ones = F.transform(words, lambda t: F.array_repeat(bucket(t, dims), 2))
-        if not bigrams:
-            return F.flatten(ones)
-        pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda t, i: bucket(F.concat(F.get(words, i), F.lit("_"), t), dims))
-        return F.concat(F.flatten(ones), pairs)
-
-    counted = runs(F.sort_array(let(_tokens(F.col("text")), halves)), lambda x: x, lambda b, start, end: F.struct(b.alias("bucket"), ((end - start) / F.lit(2.0)).alias("n")))
-    return texts.select(key, _unit_entries(counted, logarithmic).alias("entries"))
+    return texts.select(key, hashed(F.col("text"), dims, bigrams, logarithmic).alias("entries"))
 
 
 def hash_embed(texts: DataFrame, key: str, dims: int = 256, bigrams: bool = True, logarithmic: bool = True) -> DataFrame:
@@ -51,19 +30,19 @@ def hash_embed(texts: DataFrame, key: str, dims: int = 256, bigrams: bool = True
     return long_form(hash_vectors(texts, key, dims, bigrams, logarithmic), key)
 
 
-def canonical(token: Column) -> Column:
+def canonical(token: str) -> str:
     """The word whose bucket a token shares."""
-    known = F.create_map(*(F.lit(x) for pair in SYNONYMS.items() for x in pair))
-    return F.when(token.rlike(IDENTIFIER), F.lit(IDENTIFIER_WORD)).otherwise(F.coalesce(F.try_element_at(known, token), token))
+    return IDENTIFIER_WORD if is_identifier(token) else SYNONYMS.get(token, token)
+
+
+def is_identifier(token: str) -> bool:
+    return re.search(IDENTIFIER, token) is not None
 
 
 def stub_embed(texts: DataFrame, key: str, dims: int = 256) -> DataFrame:
     """hash_embed with synonyms in one bucket and identifiers in another one, of little weight; linear counts."""
-    weight = lambda t: F.when(t.rlike(IDENTIFIER), F.lit(IDENTIFIER_WEIGHT)).otherwise(F.lit(1.0))
-    parts = F.sort_array(F.transform(_tokens(F.col("text")), lambda t: F.struct(bucket(canonical(t), dims).alias("bucket"), weight(t).alias("n"))))
-    total = lambda s, start, end: F.aggregate(F.slice(s, start + 1, end - start), F.lit(0.0), lambda acc, x: acc + x["n"])
-    counted = let(parts, lambda s: runs(s, lambda x: x["bucket"], lambda x, start, end: F.struct(x["bucket"].alias("bucket"), total(s, start, end).alias("n"))))
-    return long_form(texts.select(key, _unit_entries(counted, False).alias("entries")), key)
+    entries = weighed(F.col("text"), dims, canonical, lambda t: IDENTIFIER_WEIGHT if is_identifier(t) else 1.0)
+    return long_form(texts.select(key, entries.alias("entries")), key)
 
 
 def memory_embed(texts: DataFrame, key: str) -> DataFrame:

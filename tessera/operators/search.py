@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.counting import counted_terms
 from tessera.functions.rules import BULLETS, NUMBER
-from tessera.functions.text import let, runs, strip, tokens, unit
+from tessera.functions.text import strip, tokens, unit
 from tessera.sources.scratch import stored
 
 K1, B = 1.5, 0.75
@@ -49,10 +50,7 @@ class Bm25Index:
 def bm25_index(chunks: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> Bm25Index:
     """A chunk's terms are counted in its row, so only the terms' document frequencies are shuffled. keep: writes the counted chunks
     somewhere and returns them, so that they aren't made again for each part of the index."""
-    terms_of = lambda s: runs(s, lambda t: t, lambda t, start, end: F.struct(t.alias("term"), (end - start).cast("long").alias("tf")))
-    shape = lambda s: F.struct(F.size(s).cast("long").alias("dl"), terms_of(s).alias("terms"))
-    words = F.sort_array(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")))
-    counted = chunks.select("chunk_id", let(words, shape).alias("counted")).select("chunk_id", "counted.dl", "counted.terms")
+    counted = chunks.select("chunk_id", counted_terms(F.col("text")).alias("counted")).select("chunk_id", "counted.dl", "counted.terms")
     counted = counted if keep is None else keep(counted)
     postings = counted.select("chunk_id", "dl", F.explode("terms").alias("p")).select("chunk_id", "p.term", "p.tf", "dl")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))  # a term has one posting per chunk

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import counting
 from tessera.functions import text as X
 from tessera.operators import chunking, embedding, safety, validation
 
@@ -149,6 +150,26 @@ def test_null_and_long_texts(spark):
     assert embedding.hash_vectors(d.select("doc_id", "text"), "doc_id").filter("size(entries) = 0").count() == 1
 
 
+def test_counts_in_arrow_equal_the_expressions(spark):
+    """Words, buckets and terms as builtin functions make them, on odd letters too."""
+    texts = ["It's 4471 a_b A-B", "İstanbul K ſtraße ΑΣ don't", "a a b a", "", None, "x" * 100_000, "ab-123 holiday vacation 42"]
+    d = spark.createDataFrame([*enumerate(texts)], "id long, text string")
+    rows = d.withColumns({"words": X.tokens(F.col("text")), "counted": counting.counted_terms(F.col("text"))}).collect()
+    for r in rows:
+        want = sorted((w, r["words"].count(w)) for w in set(r["words"] or []))
+        assert counting.words(r["text"]) == (r["words"] or []) and r["counted"]["dl"] == len(r["words"] or [])
+        assert [tuple(t) for t in r["counted"]["terms"]] == want
+    pairs = d.select("id", F.explode(X.tokens(F.col("text"))).alias("w")).select("w", X.bucket(F.col("w"), 97).alias("b")).distinct().collect()
+    known = counting.Buckets(97)
+    assert all(known[r["w"]] == r["b"] for r in pairs) and "x" * 100_000 not in known
+    two = embedding.hash_vectors(d.filter("id = 2"), "id", 97, True, False).first()["entries"]
+    want = {}
+    for w, n in (("a", 3), ("b", 1), ("a_a", 0.5), ("a_b", 0.5), ("b_a", 0.5)):
+        want[known[w]] = want.get(known[w], 0) + n
+    length = math.sqrt(sum(n * n for n in want.values()))
+    assert [e["bucket"] for e in two] == sorted(want) and all(math.isclose(e["weight"], want[e["bucket"]] / length) for e in two)
+
+
 def test_heading_paths_skip_levels():
     assert chunking.heading_paths([1, 3, 2, 4, 1, 2], [*"abcdef"]) == ["a", "a > b", "a > c", "a > c > d", "e", "e > f"]
 
