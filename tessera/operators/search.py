@@ -13,6 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +41,12 @@ def top_k(scored: DataFrame, k: int, *ties: Column) -> DataFrame:
 
 @dataclass
 class Bm25Index:
-    """postings (chunk_id, term, tf, dl), terms (term, df) and stats (n, avgdl: one row)."""
+    """postings (chunk_id, term, tf, dl), terms (term, df), stats (n, avgdl: one row) and, where chunks are at hand as they were counted, those: (chunk_id, dl, terms)."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    counted: DataFrame | None = None
 
 
 def bm25_index(chunks: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> Bm25Index:
@@ -54,7 +56,7 @@ def bm25_index(chunks: DataFrame, keep: Callable[[DataFrame], DataFrame] | None
     counted = counted if keep is None else keep(counted)
     postings = counted.select("chunk_id", "dl", F.explode("terms").alias("p")).select("chunk_id", "p.term", "p.tf", "dl")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))  # a term has one posting per chunk
-    return Bm25Index(postings, terms, counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return Bm25Index(postings, terms, counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), counted)
 
 
 def write_bm25_index(index: Bm25Index, path: str) -> None:
@@ -79,9 +81,13 @@ def bm25_idf(index: Bm25Index, asked: DataFrame | None = None) -> DataFrame:
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = 5, among: DataFrame | None = None) -> DataFrame:
     """The k best chunks of each query (query_id, text) of a score above 0; a repeated query term counts again; `among` (chunk_id) restricts first.
 
-    The terms asked for, with their weights, are broadcast to the postings up to BROADCAST_TERMS of them, so that frequent terms are no hot keys."""
+    Up to BROADCAST_TERMS terms asked for are broadcast with their weights. Chunks at hand as counted are scored where they stand, and a task keeps its k best of each
+    query, so that only these are shuffled; postings alone, or met by more terms, are joined and summed. So frequent terms are no hot keys."""
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if few and index.counted is not None:
+        counted = index.counted if among is None else index.counted.join(among, "chunk_id", "left_semi")
+        return top_k(_bm25_in_place(asked, index, counted, k), k).select("query_id", "chunk_id", "rank", "score")
     small = F.broadcast if few else (lambda df: df)
     postings = index.postings if among is None else index.postings.join(among, "chunk_id", "left_semi")
     weighed = small(asked.select("term").distinct()).join(bm25_idf(index, asked), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
@@ -92,6 +98,63 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = 5, among: DataFrame
     return top_k(scored.filter("score > 0"), k).select("query_id", "chunk_id", "rank", "score")
 
 
+class AskedTerms:
+    """Terms with the queries (numbers below `queries`) that ask for them, each with a weight; scores of rows of counted terms."""
+
+    def __init__(self, terms: pa.Array, query: np.ndarray, weight: np.ndarray, queries: int):
+        coded = terms.dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(number, kind="stable")
+        self.terms, self.query, self.weight, self.queries = coded.dictionary, query[order], weight[order], queries
+        self.times = np.bincount(number, minlength=len(self.terms))
+        self.first = np.cumsum(self.times) - self.times
+
+    def scores(self, dl: np.ndarray, terms: pa.ListArray, avgdl: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, scores [row, query]) of blocks of rows: a block has up to CELLS scores, and products, unless one row has more."""
+        flat, sizes = terms.flatten(), terms.value_lengths().to_numpy(zero_copy_only=False)
+        found = pc.index_in(flat.field(0), value_set=self.terms)
+        at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        row, term, tf = np.repeat(np.arange(len(sizes)), sizes)[at], found.to_numpy(zero_copy_only=False)[at].astype(int), flat.field(1).to_numpy(zero_copy_only=False)[at]
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)[row])
+        products = np.concatenate([[0], np.cumsum(np.bincount(row, self.times[term], len(sizes)).astype(int))])  # before each row
+        ends, a, step = np.searchsorted(row, np.arange(len(sizes) + 1)), 0, max(1, CELLS // self.queries)
+        while a < len(sizes):
+            b = max(a + 1, min(a + step, int(np.searchsorted(products, products[a] + CELLS, "right")) - 1))
+            p = slice(ends[a], ends[b])
+            n = self.times[term[p]]
+            each = np.repeat(self.first[term[p]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            cells = np.repeat(row[p] - a, n) * self.queries + self.query[each]
+            yield a, np.bincount(cells, np.repeat(impact[p], n) * self.weight[each], (b - a) * self.queries).reshape(b - a, self.queries)
+            a = b
+
+
+def _bm25_in_place(asked: DataFrame, index: Bm25Index, counted: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): of each task the k best chunks of each query of asked (query_id, term, times), of BROADCAST_TERMS rows at most."""
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("chunk_id", counted.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+    weighed = asked.join(bm25_idf(index, asked), "term").select("query_id", F.struct("term", (F.col("times") * F.col("idf")).alias("weight")).alias("w"))
+    table = weighed.groupBy("query_id").agg(F.collect_list("w").alias("w")).toArrow()
+    if not table.num_rows:
+        return counted.sparkSession.createDataFrame([], schema)
+    held, avgdl = counted.sparkSession.sparkContext.broadcast(table), index.stats.first()["avgdl"] or 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, best, ids_of = held.value.column("w").combine_chunks(), None, None
+        n, flat = len(lists), lists.flatten()
+        query = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+        terms = AskedTerms(flat.field(0), query, flat.field(1).to_numpy(zero_copy_only=False), n)
+        for batch in batches:
+            best = best or Best(np.zeros((n, 0)), None, k, False, 0.0)
+            ids, ids_of = batch.column(0).to_pylist(), batch.column(0).type
+            for a, raw in terms.scores(batch.column(1).to_numpy(zero_copy_only=False), batch.column(2), avgdl):
+                best.keep(ids, np.arange(a, a + len(raw)), np.arange(n), raw, np.round(raw, 6))
+        if best is not None:
+            at, ids, scores = best.columns()
+            asking = held.value.column("query_id").combine_chunks().take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([asking, pa.array(ids, ids_of), pa.array(scores, pa.float64())], names=schema.names)
+
+    return counted.select("chunk_id", "dl", "terms").mapInArrow(run, schema)
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     """Rows of lists of numbers, or of lists of (bucket, weight); nulls and what is missing are 0."""
     sizes = np.nan_to_num(np.array(column.value_lengths().to_numpy(zero_copy_only=False), float)).astype(int)
@@ -128,9 +191,9 @@ class Best:
             for a in range(0, len(rows) if asking is not None else 0, step):
                 some = rows[a : a + step]
                 raw = vectors[some] @ self.queries[asking].T
-                self._keep(ids, some, asking, raw, np.round(raw, 6) + 0.0)
+                self.keep(ids, some, asking, raw, np.round(raw, 6) + 0.0)
 
-    def _keep(self, ids: list, rows: np.ndarray, asking: np.ndarray, raw: np.ndarray, scores: np.ndarray) -> None:
+    def keep(self, ids: list, rows: np.ndarray, asking: np.ndarray, raw: np.ndarray, scores: np.ndarray) -> None:
         scores = np.where(raw > 0, scores, -np.inf) if self.positive else scores
         scores = scores if self.least is None else np.where(scores > self.least, scores, -np.inf)
         floor = np.partition(scores, -self.k, axis=0)[-self.k] if len(rows) > self.k else np.full(len(asking), -np.inf)

@@ -139,6 +139,20 @@ def test_bm25_with_more_terms_than_are_broadcast(spark, chunks, monkeypatch):
     assert spark_rows(search.bm25_topk(q, search.bm25_index(chunks), 3)) == one
 
 
+def test_bm25_in_small_blocks_equals_the_join(spark, monkeypatch):
+    """Scores in place, over blocks of few cells, against postings joined and summed; null and empty texts, repeated terms and ids that are structs."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([*"abcdefgh"], size=rng.integers(0, 30)).tolist()) for _ in range(60)]
+    c = spark.createDataFrame([*enumerate([*texts, None, ""])], "chunk_id long, text string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(rng.choice([*"abcdefxyz"], size=4).tolist())) for i in range(9)], "n long, text string").select(F.struct("n").alias("query_id"), "text")
+    index = search.bm25_index(c)
+    joined = search.bm25_topk(q, search.Bm25Index(index.postings, index.terms, index.stats), 4).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(search, "CELLS", 20)
+    assert search.bm25_topk(q, index, 4).orderBy("query_id", "rank").collect() == joined
+    assert len(joined) == 36
+    assert search.bm25_topk(q, search.bm25_index(c.filter("false")), 4).count() == search.bm25_topk(q.filter("false"), index, 4).count() == 0
+
+
 def test_equal_pages_stay_apart(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "t", "cat cat"), (2, "t", "cat cat"), (3, "u", "cat dog"), (4, None, "cat")], "page_id long, title string, body string")
     q = spark.createDataFrame([(1, "cat"), (2, "dog dog"), (3, "none")], "query_id long, text string")
