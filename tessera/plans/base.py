@@ -33,8 +33,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt to all cores if its files make fewer splits than there are cores: a small table only, as a large one has splits for all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
