@@ -22,6 +22,7 @@ from tessera.functions.counting import counted_terms
 from tessera.functions.rules import BULLETS, NUMBER
 from tessera.functions.text import strip, tokens, unit
 from tessera.sources.scratch import stored
+from tessera.sources.store import append_rows
 
 K1, B = 1.5, 0.75
 RRF_CONSTANT = 60
@@ -588,21 +589,9 @@ def checked_vectors(chunks: DataFrame, vectors: DataFrame, dims: int) -> DataFra
 
 
 def vector_append(chunks: DataFrame, vectors: DataFrame, dims: int, path: str, by: str = "tenant") -> None:
-    """Adds chunks with their vectors to the store under `path`, a folder of files for each `by`; nothing is written if the check fails."""
-    checked_vectors(chunks, vectors, dims).write.mode("append").partitionBy(by).parquet(path)
-
-
-def delete_where(store: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
-    """The rows to keep, and one row of how many go; where the predicate is null a row stays."""
-    gone = F.coalesce(predicate, F.lit(False))
-    return store.filter(~gone), store.agg(F.count_if(gone).alias("removed"))
-
-
-def rewrite_without(spark: SparkSession, path: str, predicate: Column, to: str, by: str = "tenant") -> int:
-    """Writes the store under `path` to `to`, without the rows of the predicate, and returns how many those are. Readers move to the new path."""
-    kept, removed = delete_where(spark.read.parquet(path), predicate)
-    kept.write.partitionBy(by).parquet(to)
-    return removed.first()["removed"]
+    """Adds chunks with their vectors to the store under `path` (see tessera.sources.store), a folder of files for each `by`. Readers see all of them or none;
+    nothing is committed if the check fails. Rows are deleted by `delete_rows` of the store."""
+    append_rows(checked_vectors(chunks, vectors, dims), path, by)
 
 
 def vector_lookup(store: DataFrame, ids: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from tessera.operators import embedding, evaluation, rag, search
 from tessera.operators.chunking import chunk_fixed
 from tessera.plans.base import Plans, chunks_sql, documents, query_vectors, questions, read, vectors
 from tessera.sources.scratch import fresh_path, stored
+from tessera.sources.store import delete_rows, read_store
 
 plans = Plans()
 add = plans.add
@@ -205,15 +206,15 @@ def vector_store(spark, d) -> str:
 
 @add("SELECT vec_id AS chunk_id, CAST(label AS INTEGER) AS tenant, 'chunk ' || vec_id AS text FROM embeddings WHERE label <> 4")
 def delete_where(spark, d):
-    """A tenant's vectors deleted from a store, that is, the store written anew without them."""
-    to = fresh_path(spark, "store")
-    search.rewrite_without(spark, vector_store(spark, d), F.col("tenant") == 4, to)
-    return spark.read.parquet(to).select("chunk_id", "tenant", "text")
+    """A tenant's vectors deleted from a store: its folders leave the manifest, and nothing is rewritten."""
+    path = vector_store(spark, d)
+    delete_rows(spark, path, F.col("tenant") == 4)
+    return read_store(spark, path).select("chunk_id", "tenant", "text")
 
 
 @add("SELECT CAST(label AS INTEGER) AS tenant, count(*) AS vectors, min(vec_id) AS first_id, CAST(sum(len(embedding)) AS BIGINT) AS numbers FROM embeddings GROUP BY label")
 def vector_append(spark, d):
-    kept = spark.read.parquet(vector_store(spark, d))
+    kept = read_store(spark, vector_store(spark, d))
     return kept.groupBy("tenant").agg(F.count("*").alias("vectors"), F.min("chunk_id").alias("first_id"), F.sum(F.size("vector")).alias("numbers"))
 
 

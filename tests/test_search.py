@@ -230,17 +230,6 @@ def test_answers_only_of_open_questions(spark):
     assert rows == {1: ("Sources:|[1] (s)|text||Question: one", False), 2: ("I don't know based on the provided sources.", True)}
 
 
-def test_store_is_appended_and_rewritten(spark, tmp_path):
-    c = spark.createDataFrame([(i, f"t{i}", i % 2) for i in range(6)], "chunk_id long, text string, tenant long")
-    v = c.select("chunk_id", F.array(F.lit(1.0), F.col("chunk_id").cast("double")).alias("vector"))
-    store, to = str(tmp_path / "a"), str(tmp_path / "b")
-    search.vector_append(c.filter("chunk_id < 3"), v.filter("chunk_id < 3"), 2, store)
-    search.vector_append(c.filter("chunk_id >= 3"), v.filter("chunk_id >= 3"), 2, store)
-    assert spark.read.parquet(store).count() == 6
-    assert search.rewrite_without(spark, store, F.when(F.col("chunk_id") == 5, F.lit(None)).otherwise(F.col("tenant") == 1), to) == 2
-    assert sorted(r["chunk_id"] for r in spark.read.parquet(to).collect()) == [0, 2, 4, 5]
-
-
 def test_fusion_by_rank(spark):
     one = spark.createDataFrame([(1, "a", 1, 9.0), (1, "b", 2, 8.0)], "query_id long, chunk_id string, rank long, score double")
     two = spark.createDataFrame([(1, "b", 1, 0.9)], "query_id long, chunk_id string, rank long, score double")
