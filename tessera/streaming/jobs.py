@@ -160,46 +160,94 @@ def stream_reassemble(deltas: DataFrame) -> DataFrame:
     return held.select("stream_id", text.alias("text"), "done", "failed", F.floor(F.length(text) / 4).alias("output_tokens"))
 
 
+#: So many versions of ingested documents are merged into one, so many of these into one again, and so on.
+MERGED = 8
+STATE = "source string, content_hash string, v long"
+
+
 def stream_ingest(docs: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Starts a job that chunks new and changed documents of a stream (source, text, ts, ...) into tables under `path`.
+    """Starts a job that chunks new and changed documents of a stream (source, text, ts, ...) into tables under `path`; see `ingest_batch` and `ingested`."""
+    return docs.writeStream.foreachBatch(lambda part, n: ingest_batch(part, n, chunk, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_batch(part: DataFrame, batch_id: int, chunk: Callable[[DataFrame], DataFrame], path: str) -> None:
+    """Adds a version of its own, chunks and (source, content_hash, v), of the sources that changed in a batch, and leaves older ones as they are; a batch that runs
+    again writes the same version. A source's chunks are those of its last version.
 
-    A batch adds a version of its own, chunks and (source, content_hash), of the sources that changed in it, and leaves older ones as they are; a
-    batch that runs again writes the same version. A source's chunks are those of its last version; see `ingested`.
+    What the sources were before is looked up in at most MERGED - 1 folders for each power of MERGED up to the number of batches: versions
+    before the batch are merged first, newest ones kept, whenever a power of MERGED is full.
     """
+    spark = part.sparkSession
+    merge_versions(spark, path, batch_id)
+    newest = part.groupBy("source").agg(F.max_by(F.struct(*part.columns), "ts").alias("r")).select("r.*").persist()
+    try:
+        held = _states(spark, path, _versions(spark, path, batch_id)).join(newest.select("source"), "source", "left_semi")
+        known = _newest(held).drop("v")
+        chunks, state, _ = ingest(newest, known, chunk)
+        name = _name(batch_id, batch_id)
+        chunks.withColumn("v", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/chunks/{name}")
+        changed = state.join(known, ["source", "content_hash"], "left_anti").select("source", "content_hash", F.lit(batch_id).cast("long").alias("v"))
+        changed.write.mode("overwrite").parquet(f"{path}/state/{name}")
+    finally:
+        newest.unpersist()
+
+
+def merge_versions(spark, path: str, before: int) -> None:
+    """Merges the versions of the largest power of MERGED that ends before a batch, if one does. Versions of the batch itself are never touched and folders never
+    changed, so the batch may run again and readers find either the merged folder, once it is whole, or those it was made of."""
+    width = MERGED
+    while before % (width * MERGED) == 0 and before > 0:
+        width *= MERGED
+    if before == 0 or before % width:
+        return
+    first, last = before - width, before - 1
+    some = [x for x in _versions(spark, path, before) if x[0] >= first]
+    if len(some) < 2:
+        return
+    state = _newest(_states(spark, path, some))
+    name = _name(first, last)
+    chunks = spark.read.parquet(*(f"{path}/chunks/{_name(*x)}" for x in some))
+    chunks.join(state.select("source", "v"), ["source", "v"], "left_semi").select(*chunks.columns).write.mode("overwrite").parquet(f"{path}/chunks/{name}")
+    state.write.mode("overwrite").parquet(f"{path}/state/{name}")  # last: a whole state says that the chunks are whole
+
+
+def ingested(spark, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(chunks, state) of the sources as `stream_ingest` knows them last."""
+    versions = _versions(spark, path, None)
+    if not versions:
+        return None
+    state = _newest(_states(spark, path, versions))
+    chunks = spark.read.parquet(*(f"{path}/chunks/{_name(*x)}" for x in versions))
+    return chunks.join(state.select("source", "v"), ["source", "v"], "left_semi").drop("v"), state.drop("v")
 
-    def batch(part: DataFrame, batch_id: int) -> None:
-        spark = part.sparkSession
-        known = _state(spark, path, batch_id)
-        known = spark.createDataFrame([], "source string, content_hash string") if known is None else known.drop("v")
-        newest = part.groupBy("source").agg(F.max_by(F.struct(*part.columns), "ts").alias("r")).select("r.*").persist()
-        try:
-            chunks, state, _ = ingest(newest, known, chunk)
-            chunks.write.mode("overwrite").parquet(f"{path}/chunks/v={batch_id:09d}")
-            state.join(known, ["source", "content_hash"], "left_anti").write.mode("overwrite").parquet(f"{path}/state/v={batch_id:09d}")
-        finally:
-            newest.unpersist()
 
-    return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _name(first: int, last: int) -> str:
+    return f"{first:012d}-{last:012d}"
 
 
-def _state(spark, path: str, before: int | None) -> DataFrame | None:
-    """(source, content_hash, v) of the last whole version of each source, of the versions before a batch if named."""
+def _versions(spark, path: str, before: int | None) -> list[tuple[int, int]]:
+    """(first, last) of the fewest whole folders that hold all versions, of those before a batch if named."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{path}/state")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at):
-        return None
-    whole = [s.getPath().getName() for s in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    whole = [v for v in whole if before is None or int(v[2:]) < before]
-    if not whole:
-        return None
-    every = spark.read.option("basePath", f"{path}/state").parquet(*(f"{path}/state/{v}" for v in whole))
-    return every.groupBy("source").agg(F.max(F.struct("v", "content_hash")).alias("x")).select("source", "x.content_hash", "x.v")
-
-
-def ingested(spark, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """(chunks, state) of the sources as `stream_ingest` knows them last."""
-    state = _state(spark, path, None)
-    if state is None:
-        return None
-    return spark.read.parquet(f"{path}/chunks").join(state.select("source", "v"), ["source", "v"], "left_semi").drop("v"), state.drop("v")
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+    found = sorted((tuple(map(int, n.split("-"))) for n in names), key=lambda x: (x[0], -x[1]))
+    out: list[tuple[int, int]] = []
+    for first, last in found:
+        new = (before is None or last < before) and (not out or first > out[-1][1])
+        if new and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/state/{_name(first, last)}/_SUCCESS")):
+            out.append((first, last))
+    return out
+
+
+def _states(spark, path: str, versions: list[tuple[int, int]]) -> DataFrame:
+    if not versions:
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(*(f"{path}/state/{_name(*x)}" for x in versions))
+
+
+def _newest(states: DataFrame) -> DataFrame:
+    """(source, content_hash, v) of the last version of each source."""
+    return states.groupBy("source").agg(F.max(F.struct("v", "content_hash")).alias("x")).select("source", "x.content_hash", "x.v")
