@@ -161,11 +161,11 @@ def embed_batched(spark, d):
 
 @add("SELECT substr(sha256(text), 1, 16) AS doc_id, sha256(text) AS content_hash, count(*) AS files, length(text) AS chars FROM documents WHERE text IS NOT NULL GROUP BY text")
 def load_corpus(spark, d):
-    """A text file per document, written from the table, read back as a corpus. Files are named by the writer, so documents are told by their hashes."""
+    """The documents packed, many to a file, and read back as a corpus. Texts are told by their hashes."""
     path = fresh_path(spark, "corpus")
-    documents(spark, d).filter("text is not null").select(F.col("text").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(path)
-    read_back = files.load_corpus(spark, path, "*.txt").withColumn("text", F.rtrim(F.col("text"), F.lit("\x00")))
-    return read_back.groupBy(X.text_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("files"), F.max(F.length("text")).cast("long").alias("chars")).select(F.substring("content_hash", 1, 16).alias("doc_id"), "content_hash", "files", "chars")
+    files.pack_corpus(documents(spark, d), path)
+    found = files.load_packed(spark, path).groupBy("doc_id", "content_hash")
+    return found.agg(F.count("*").alias("files"), F.max(F.length("text")).cast("long").alias("chars"))
 
 
 @add("SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE source = 'src3'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,44 @@ LOG = "ts timestamp, level string, logger string, message string, tenant string,
 _WRITES = re.compile(rf"\b({'|'.join(WRITE_WORDS)})\b", re.IGNORECASE)
 
 
+#: Bytes of a text that is still packed (a string of the JVM holds 2 GB at most), of a packed file, and of a row group, which is what one task reads at least.
+MOST_BYTES, PACKED_FILE, PACKED_GROUP = 1 << 30, 512 << 20, 32 << 20
+
+
 def load_corpus(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
-    """(doc_id, source, text, content_hash): a document per file, named by it."""
+    """(doc_id, source, text, content_hash): a document per file, named by it; an empty file is none."""
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    named = files.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"), text_hash(F.col("value")).alias("content_hash"))
-    return named.select(F.substring("content_hash", 1, 16).alias("doc_id"), "source", "text", "content_hash")
+    return _corpus(files.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text")))
+
+
+def load_packed(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a packed corpus; a file of it is read in as many splits as it has row groups."""
+    return _corpus(spark.read.schema("source string, text string").parquet(path))
+
+
+def _corpus(named: DataFrame) -> DataFrame:
+    hashed = named.select("source", "text", text_hash(F.col("text")).alias("content_hash"))
+    return hashed.select(F.substring("content_hash", 1, 16).alias("doc_id"), "source", "text", "content_hash")
+
+
+def pack_corpus(docs: DataFrame, path: str, most_bytes: int = MOST_BYTES) -> None:
+    """Writes documents (source, text) as a packed corpus: many to a file, in row groups whose offsets each file's footer holds. Null texts are left out. Fails at a
+    text of more than most_bytes, naming its source, before anything of its task is committed."""
+    size = F.octet_length("text")
+    message = F.concat(F.lit("too large to pack: "), F.coalesce(F.col("source").cast("string"), F.lit("no source")), F.lit(f", over {most_bytes} bytes: "), size.cast("string"))
+    checked = F.when(F.assert_true(size <= most_bytes, message).isNull(), F.col("text"))
+    docs.filter("text is not null").select(F.col("source").cast("string").alias("source"), checked.alias("text")).write.option("parquet.block.size", PACKED_GROUP).parquet(path)
+
+
+def pack_folder(spark: SparkSession, path: str, to: str, pattern: str = "*.md", most_bytes: int = MOST_BYTES) -> None:
+    """Packs a folder of files, one document each, without a shuffle: a task reads the files of one or more splits and writes them as one. Files of more than
+    most_bytes are refused by their listed size, before any is read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+    total = listed.agg(F.sum("length").alias("bytes"), F.max_by("path", "length").alias("path"), F.max("length").alias("most")).first()
+    if (total["most"] or 0) > most_bytes:
+        raise ValueError(f"too large to pack: {total['path']}, over {most_bytes} bytes: {total['most']}")
+    files = max(spark.sparkContext.defaultParallelism, math.ceil((total["bytes"] or 0) / PACKED_FILE))
+    pack_corpus(load_corpus(spark, path, pattern).coalesce(files), to, most_bytes)
 
 
 def load_golden(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """History, usage, metrics, traces, inference and streams against hand-computed values, and batch against stream."""
 
+import os
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,39 @@ def test_corpus_folder(spark, tmp_path):
     assert [(r["source"], r["text"], len(r["doc_id"])) for r in rows] == [("a.md", "# A\n\ntext", 16)]
 
 
+def test_corpus_is_packed_in_few_files(spark, tmp_path, monkeypatch):
+    """A folder of a thousand documents, odd ones among them, in at most a file for each core; a file is read in several splits."""
+    src, to = tmp_path / "src", str(tmp_path / "packed")
+    src.mkdir()
+    for i in range(1000):
+        (src / f"d{i}.md").write_bytes([b"", b"a\r\nb\n", "caf\u00e9 \u2028 \x00 end".encode(), b"\n\n", (f"long {i} " * 500).encode()][i % 5])
+    (src / "other.txt").write_text("no")
+    monkeypatch.setattr(files, "PACKED_GROUP", 64 << 10)
+    files.pack_folder(spark, str(src), to)
+    packed, loose = files.load_packed(spark, to), files.load_corpus(spark, str(src))
+    assert packed.exceptAll(loose).count() == 0 and packed.count() == loose.count() == 800  # the empty ones are none
+    parts = [x for x in os.listdir(to) if x.endswith(".parquet")]
+    assert len(parts) <= spark.sparkContext.defaultParallelism
+    assert all(pq.ParquetFile(f"{to}/{x}").num_row_groups > 1 for x in parts)
+
+
+def test_too_large_documents_are_refused_by_name(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "small.md").write_text("x" * 10)
+    (src / "large.md").write_text("x" * 101)
+    with pytest.raises(ValueError, match=r"large\.md, over 100 bytes: 101"):
+        files.pack_folder(spark, str(src), str(tmp_path / "a"), most_bytes=100)
+    docs = spark.createDataFrame([("ok", "x" * 100), (None, None), ("big", "\u00e9" * 51)], "source string, text string")
+    with pytest.raises(Exception, match="too large to pack: big, over 100 bytes: 102"):
+        files.pack_corpus(docs, str(tmp_path / "b"), 100)
+    files.pack_corpus(docs.filter("source is null or source = 'ok'"), str(tmp_path / "c"), 100)
+    assert [r["source"] for r in files.load_packed(spark, str(tmp_path / "c")).collect()] == ["ok"]  # no text, no document
+    (tmp_path / "none").mkdir()
+    files.pack_folder(spark, str(tmp_path / "none"), str(tmp_path / "d"))
+    assert files.load_packed(spark, str(tmp_path / "d")).count() == 0
+
+
 def test_signatures_tell_strings_from_numbers(spark):
     args = ['{"k":"1"}', '{"k":1}', '{"b":[1,{"y":2,"x":"3"}],"a":null}', '{"a":null,"b":[1,{"x":"3","y":2}]}', None]
     rows = spark.createDataFrame([(i, a) for i, a in enumerate(args)], "i long, a string").select("i", traces.call_signature(F.lit("t"), F.col("a")).alias("s")).orderBy("i").collect()
