@@ -42,7 +42,8 @@ def pack_corpus(docs: DataFrame, path: str, most_bytes: int = MOST_BYTES) -> Non
     size = F.octet_length("text")
     message = F.concat(F.lit("too large to pack: "), F.coalesce(F.col("source").cast("string"), F.lit("no source")), F.lit(f", over {most_bytes} bytes: "), size.cast("string"))
     checked = F.when(F.assert_true(size <= most_bytes, message).isNull(), F.col("text"))
-    docs.filter("text is not null").select(F.col("source").cast("string").alias("source"), checked.alias("text")).write.option("parquet.block.size", PACKED_GROUP).parquet(path)
+    docs.filter("text is not null").select(F.col("source").cast("string").alias("source"), checked.alias("text")).write\
+        .option("parquet.block.size", PACKED_GROUP).option("parquet.page.size.row.check.min", 1).parquet(path)  # sizes are looked at from the first text on
 
 
 def pack_folder(spark: SparkSession, path: str, to: str, pattern: str = "*.md", most_bytes: int = MOST_BYTES) -> None:
