@@ -60,20 +60,8 @@ def bm25_index(chunks: DataFrame, keep: Callable[[DataFrame], DataFrame] | None
     return Bm25Index(postings, terms, counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), counted)
 
 
-def write_bm25_index(index: Bm25Index, path: str) -> None:
-    """The index as files: postings sorted by term within ranges of terms, so that a search reads the row groups of its terms."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
-    written = index.postings.sparkSession.read.parquet(f"{path}/postings")
-    written.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-    index.stats.write.parquet(f"{path}/stats")
-
-
-def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
-    return Bm25Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")))
-
-
-def bm25_idf(index: Bm25Index, asked: DataFrame | None = None) -> DataFrame:
-    """(term, df, idf) of the index's terms, or of those asked for, unseen ones included."""
+def bm25_idf(index, asked: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf) of the index's terms, or of those asked for, unseen ones included. index: with terms and stats."""
     terms = index.terms if asked is None else asked.select("term").distinct().join(index.terms, "term", "left").fillna(0, ["df"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return terms.crossJoin(F.broadcast(index.stats)).select("term", "df", idf.alias("idf"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import embedding, evaluation, rag, search
+from tessera.operators import embedding, evaluation, postings, rag, search
 from tessera.operators.chunking import chunk_fixed
 from tessera.plans.base import Plans, chunks_sql, documents, query_vectors, questions, read, vectors
 from tessera.sources.scratch import fresh_path, stored
@@ -132,6 +132,14 @@ def bm25_topk(spark, d):
     return Corpus(spark, d).bm25()
 
 
+@add(f"WITH {HITS_SQL} SELECT query_id, chunk_id, rank, score FROM hits")
+def bm25_block_topk(spark, d):
+    """The same from an index that is kept as files, without the blocks of postings that can't matter."""
+    path = fresh_path(spark, "bm25")
+    postings.write_bm25_index(Corpus(spark, d).index, path)
+    return postings.bm25_block_topk(questions(spark, d), postings.read_bm25_index(spark, path))
+
+
 @add(f"WITH {BM25_SQL}, {DENSE_SQL} SELECT query_id, chunk_id, rank, score FROM dense_ranked WHERE rank <= 5")
 def sparse_topk(spark, d):
     return Corpus(spark, d).dense(5)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.plans import retrieval
-from tessera.operators import embedding, evaluation, rag, search
+from tessera.operators import embedding, evaluation, postings, rag, search
+from tessera.sources.scratch import stored
 from tests.helpers import SF, spark_rows
 
 LINES = ["Annual leave is 25 days", "Error SKU-4471 means out of stock", "Refunds take five days", "Passwords expire yearly", "Error PAY-1180 means declined", "Leave requests need approval"]
@@ -128,8 +129,40 @@ def test_more_queries_than_fit_meet_the_vectors_in_blocks(spark, monkeypatch):
 
 def test_bm25_index_on_disk(spark, chunks, tmp_path):
     q = spark.createDataFrame([(1, "error sku 4471"), (2, "leave days days")], "query_id long, text string")
-    search.write_bm25_index(search.bm25_index(chunks), str(tmp_path / "i"))
-    assert spark_rows(search.bm25_topk(q, search.read_bm25_index(spark, str(tmp_path / "i")), 3)) == spark_rows(search.bm25_topk(q, search.bm25_index(chunks), 3))
+    postings.write_bm25_index(search.bm25_index(chunks), str(tmp_path / "i"))
+    kept, fresh = postings.read_bm25_index(spark, str(tmp_path / "i")), search.bm25_index(chunks)
+    assert spark_rows(postings.bm25_block_topk(q, kept, 3)) == spark_rows(search.bm25_topk(q, fresh, 3))
+    some = chunks.filter("chunk_id <> 'c1'")
+    assert spark_rows(postings.bm25_block_topk(q, kept, 3, some)) == spark_rows(search.bm25_topk(q, fresh, 3, some))
+    assert sorted((r["term"], r["df"]) for r in kept.terms.collect()) == sorted((r["term"], r["df"]) for r in fresh.terms.collect())
+
+
+def test_bm25_blocks_are_skipped_and_nothing_is_missed(spark, tmp_path, monkeypatch):
+    """A word of every chunk, words of some and of few; ties, repeated terms, unseen terms, queries of frequent words alone, and more hits asked for than there are."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(["the"] * int(rng.integers(1, 3)) + rng.choice(["of", "and", "in"], size=3).tolist() + [f"w{int(rng.zipf(1.4)) % 900}" for _ in range(int(rng.integers(2, 30)))]) for _ in range(1500)]
+    c = spark.createDataFrame([*enumerate([*texts, texts[0], texts[0], None, ""])], "chunk_id long, text string").repartition(3)
+    asked = ["the w700 w701", "the of", "the", "w1 w2 the the w650", "unseen", "unseen the w333", "", "w899 w898 w897", "of and in the w5"]
+    q = spark.createDataFrame([*enumerate(asked)], "n long, text string").select(F.struct("n").alias("query_id"), "text")
+    index = search.bm25_index(c, lambda df: stored(df, "counted"))
+    postings.write_bm25_index(index, str(tmp_path / "i"), 8)
+    kept = postings.read_bm25_index(spark, str(tmp_path / "i"))
+    for k, first in ((5, 8), (3, 1), (2000, 2)):
+        want = spark_rows(search.bm25_topk(q, index, k))
+        assert spark_rows(postings.bm25_block_topk(q, kept, k, first=first)) == want and want[1]
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    assert spark_rows(postings.bm25_block_topk(q, kept, 5)) == spark_rows(search.bm25_topk(q, index, 5))
+    rare = postings.bm25_block_share(spark.createDataFrame([(0, asked[0]), (1, asked[7])], "query_id long, text string"), kept, 3)
+    shares = {r["term"]: r["share"] for r in rare.collect()}
+    assert shares["the"] < 0.2 and max(shares.values()) <= 1
+
+
+def test_bm25_blocks_of_nothing(spark, tmp_path):
+    empty = spark.createDataFrame([], "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "a b")], "query_id long, text string")
+    postings.write_bm25_index(search.bm25_index(empty), str(tmp_path / "i"))
+    kept = postings.read_bm25_index(spark, str(tmp_path / "i"))
+    assert postings.bm25_block_topk(q, kept).count() == postings.bm25_block_topk(q.filter("false"), kept).count() == 0
 
 
 def test_bm25_with_more_terms_than_are_broadcast(spark, chunks, monkeypatch):
