@@ -82,10 +82,9 @@ def repair_reply(text: Column) -> Column:
 
 def reply_json(replies: DataFrame) -> DataFrame:
     """replies (reply_id, text, ...) with json: the fenced block or first balanced value, as it is or repaired; null if it doesn't parse. Only replies without a fence are scanned in Python."""
-    fenced = F.trim(F.regexp_extract("text", FENCE, 1))
-    staged = replies.withColumn("fenced", F.nullif(fenced, F.lit("")))
-    plain = staged.filter("fenced is null").withColumn("candidate", F.coalesce(balanced_json("text"), F.trim("text")))
-    both = staged.filter("fenced is not null").withColumn("candidate", F.col("fenced")).unionByName(plain)
+    staged = replies.withColumn("fenced", F.nullif(F.trim(F.regexp_extract("text", FENCE, 1)), F.lit("")))
+    scanned = balanced_json(F.when(F.col("fenced").isNull(), F.col("text")))
+    both = staged.withColumn("candidate", F.coalesce("fenced", scanned, F.trim("text")))
     fixed = repair_reply(F.col("candidate"))
     valid = lambda c: F.try_parse_json(c).isNotNull()
     return both.withColumn("json", F.when(valid(F.col("candidate")), F.col("candidate")).when(valid(fixed), fixed)).drop("fenced", "candidate")

@@ -100,17 +100,17 @@ def _mask_cards(text: pd.Series) -> pd.DataFrame:
 def pii_redact(texts: DataFrame, key: str) -> DataFrame:
     """(key, text, counts map<string,int>): masked in order, kinds found counted. Only texts with a card-like number reach Python."""
     kinds = dict(PII)
-    staged = texts.select(key, "text", F.coalesce(F.col("text").rlike(_java(kinds["credit_card"])), F.lit(False)).alias("likely"))
-    plain, digits = staged.filter("not likely").drop("likely"), staged.filter("likely").drop("likely")  # masks before it only take digits away
+    likely = F.coalesce(F.col("text").rlike(_java(kinds["credit_card"])), F.lit(False))  # masks before it only take digits away
+    both = texts.select(key, "text", likely.alias("likely"))
 
-    def first_masks(part: DataFrame) -> DataFrame:
-        for kind in ("email", "ssn", "ip"):
-            part = part.withColumn(kind, F.regexp_count("text", F.lit(_java(kinds[kind])))).withColumn("text", F.regexp_replace("text", _java(kinds[kind]), f"[{kind.upper()}]"))
-        return part
+    def mask(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.withColumn(kind, F.regexp_count("text", F.lit(_java(kinds[kind])))).withColumn("text", F.regexp_replace("text", _java(kinds[kind]), f"[{kind.upper()}]"))
 
-    masked = first_masks(digits).withColumn("m", _mask_cards("text")).withColumn("text", F.col("m.text")).withColumn("credit_card", F.col("m.cards")).drop("m")
-    both = first_masks(plain).withColumn("credit_card", F.lit(0)).unionByName(masked)
-    both = both.withColumn("phone", F.regexp_count("text", F.lit(_java(kinds["phone"])))).withColumn("text", F.regexp_replace("text", _java(kinds["phone"]), "[PHONE]"))
+    for kind in ("email", "ssn", "ip"):
+        both = mask(both, kind)
+    both = both.withColumn("m", _mask_cards(F.when(F.col("likely"), F.col("text"))))
+    both = both.withColumn("text", F.when(F.col("likely"), F.col("m.text")).otherwise(F.col("text"))).withColumn("credit_card", F.col("m.cards"))
+    both = mask(both, "phone")
     every = F.create_map(*(x for k in kinds for x in (F.lit(k), F.col(k))))
     return both.select(key, "text", F.map_filter(every, lambda _, n: n > 0).alias("counts"))
 
