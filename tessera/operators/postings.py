@@ -32,17 +32,17 @@ class Bm25Blocks:
 
 def write_bm25_index(index: Bm25Index, path: str, block_chunks: int = BLOCK_CHUNKS) -> None:
     """The index as files. A chunk's block follows from a hash of its id, and a row holds the postings of a term in a block, about block_chunks at most, with
-    the greatest of their weights but for the term's own. Rows are sorted by term and block within ranges of these: a search reads the row groups of its terms."""
-    stats = index.stats.first()
+    the greatest of their weights but for the term's own. Each file is sorted by term and block, as the grouping dealt them, without another shuffle."""
+    index.stats.write.parquet(f"{path}/stats")
+    stats = index.postings.sparkSession.read.parquet(f"{path}/stats").first()
     n_blocks, avgdl = max(1, math.ceil(stats["n"] / block_chunks)), stats["avgdl"] or 1.0
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     block = F.pmod(F.xxhash64("chunk_id"), F.lit(n_blocks))
     grouped = index.postings.select("term", block.alias("block"), "chunk_id", impact.alias("impact")).groupBy("term", "block")
     rows = grouped.agg(F.max("impact").alias("top"), F.count("*").alias("n"), F.collect_list(F.struct("chunk_id", "impact")).alias("postings"))
-    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
+    rows.sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
     written = index.postings.sparkSession.read.parquet(f"{path}/blocks")
     written.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{path}/terms")
-    index.stats.write.parquet(f"{path}/stats")
 
 
 def read_bm25_index(spark: SparkSession, path: str) -> Bm25Blocks:

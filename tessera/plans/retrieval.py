@@ -136,7 +136,7 @@ def bm25_topk(spark, d):
 def bm25_block_topk(spark, d):
     """The same from an index that is kept as files, without the blocks of postings that can't matter."""
     path = fresh_path(spark, "bm25")
-    postings.write_bm25_index(Corpus(spark, d).index, path)
+    postings.write_bm25_index(search.bm25_index(chunk_fixed(documents(spark, d), 1200, 150)), path)
     return postings.bm25_block_topk(questions(spark, d), postings.read_bm25_index(spark, path))
 
 
