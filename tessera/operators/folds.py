@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def fold_in_order(rows: DataFrame, key: str, order: list[str], reads: list[str], step: Callable[..., tuple[object, tuple]], made: dict[str, T.DataType]) -> DataFrame:
     """rows with the columns `made`, from step(state, values of the columns `reads` ..) to (state, values), where the state of a key's first row is None.
 
-    Keys are dealt to tasks and sorted there; a task reads its rows a batch at a time and holds one state, whatever the rows of a key.
+    Keys are dealt to tasks and sorted there; a task reads its rows a batch at a time and holds one state, whatever the rows of a key. They are dealt by a
+    hash of the key: by the key itself Spark would leave the exchange out behind a join on it, and then split a large key's rows over tasks as the join's skew.
     """
     names = rows.columns
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, t) for c, t in made.items())])
@@ -29,7 +31,7 @@ def fold_in_order(rows: DataFrame, key: str, order: list[str], reads: list[str],
             columns = [pa.array([v[i] for v in out], T_ARROW[type(t)]) for i, t in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *made])
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 T_ARROW = {T.BooleanType: pa.bool_(), T.DoubleType: pa.float64(), T.LongType: pa.int64()}

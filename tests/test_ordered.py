@@ -4,8 +4,9 @@ import datetime
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.operators import metrics, periods, scans, usage
+from tessera.operators import folds, metrics, periods, scans, usage
 from tessera.streaming import jobs
 
 START = datetime.datetime(2024, 3, 1)
@@ -139,3 +140,23 @@ def test_quota_state_ends_when_periods_run_out(spark, tmp_path):
     want = {seq: x[1:] for seq, x in walk([r for part in rows for r in part], 10.0, 20).items()}
     assert {r["seq"]: (r["admitted"], r["spent"]) for r in found.collect()} == want
     assert left < stays and stays >= 21
+
+
+def test_a_join_s_skew_does_not_split_a_fold(spark):
+    """One key from eight files, behind a join that Spark takes for skewed: its rows stay in one fold."""
+    kept = {"skewJoin.skewedPartitionThresholdInBytes": "1k", "skewJoin.skewedPartitionFactor": "1", "advisoryPartitionSizeInBytes": "1k", "autoBroadcastJoinThreshold": "-1"}
+    small = {f"spark.sql.adaptive.{k}": v for k, v in kept.items()} | {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    rows = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") < 0, 1).otherwise(0).cast("long").alias("period"), F.col("id").alias("seq"), F.lit(1.0).alias("amount"))
+    joined = rows.join(spark.range(1).select(F.col("id").alias("period"), F.lit(0.0).alias("start")), "period", "left")
+
+    def step(n, amount):
+        return (n or 0.0) + amount, ((n or 0.0) + amount,)
+
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        found = folds.fold_in_order(joined, "period", ["seq"], ["amount"], step, {"n": T.DoubleType()}).collect()
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    assert [r["n"] for r in sorted(found, key=lambda r: r["seq"])] == [i + 1.0 for i in range(20_000)]
