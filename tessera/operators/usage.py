@@ -42,18 +42,27 @@ def spend_rollup(costs: DataFrame) -> DataFrame:
     return sets.agg(level.alias("level"), name.alias("name"), F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd")).drop("model", "tenant")
 
 
+def micro(usd: Column) -> Column:
+    """Rounded to six digits as the nearest count of millionths. Costs have eight digits, so sums often lie halfway, and round() of the sum as it
+    prints takes the other side there than a database that rounds the scaled number."""
+    return F.round(usd * 1e6) / 1e6
+
+
 def budget_preflight(calls: DataFrame, limit: float) -> DataFrame:
     """calls (tenant, ts, seq, projected_usd, cost_usd) with spent_before, what the tenant spent up to the call before, and over: whether the projected cost would
     pass the limit. A label only: all calls spend."""
     before = Window.partitionBy("tenant").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    spent = calls.withColumn("spent_before", F.round(F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0)), 6))
-    return spent.withColumn("over", F.round(F.col("spent_before") + F.col("projected_usd"), 6) > limit)
+    spent = calls.withColumn("spent_before", micro(F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0))))
+    return spent.withColumn("over", micro(F.col("spent_before") + F.col("projected_usd")) > limit)
 
 
 def budget_headroom(calls: DataFrame, limit: float) -> DataFrame:
-    """Per tenant, of calls as in budget_preflight: spent, what remains of the limit, and the calls that would have passed it."""
-    labelled = budget_preflight(calls, limit).groupBy("tenant").agg(F.sum("cost_usd").alias("s"), F.count_if("over").alias("over_calls"))
-    return labelled.select("tenant", F.round("s", 6).alias("spent_usd"), F.round(F.greatest(F.lit(0.0), F.lit(limit) - F.col("s")), 6).alias("remaining_usd"), "over_calls")
+    """Per tenant, of calls as in budget_preflight: spent, what remains of the limit, and the calls that would have passed it. What was spent is summed in the calls'
+    order, as the last digit of a sum follows from it."""
+    upto = Window.partitionBy("tenant").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = budget_preflight(calls, limit).withColumn("upto", F.sum("cost_usd").over(upto))
+    labelled = summed.groupBy("tenant").agg(F.max_by("upto", F.struct("ts", "seq")).alias("s"), F.count_if("over").alias("over_calls"))
+    return labelled.select("tenant", micro(F.col("s")).alias("spent_usd"), micro(F.greatest(F.lit(0.0), F.lit(limit) - F.col("s"))).alias("remaining_usd"), "over_calls")
 
 
 def quota_admission(calls: DataFrame, limit: float, period_seconds: float, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -214,6 +214,20 @@ def test_preflight_labels_by_what_was_spent_before(spark):
     assert usage.budget_headroom(calls, 1.0).first().asDict() == {"tenant": "t", "spent_usd": 1.2, "remaining_usd": 0.0, "over_calls": 1}
 
 
+def test_headroom_sums_in_the_calls_order_and_rounds_halves_as_sql_does(spark):
+    """Costs whose sum lies halfway between millionths, stored in another order than the calls'."""
+    import duckdb
+
+    costs = [(t, i, c / 1e8) for t in range(300) for i, c in enumerate((t * 7919 % 100_003 * 100 + 33, 1_000_017, 12_345_678, 3_210_022))]
+    calls = spark.createDataFrame([(t, i, i, 0.0, c) for t, i, c in reversed(costs)], "tenant long, ts long, seq long, projected_usd double, cost_usd double").repartition(4)
+    want: dict = {}
+    for t, _, c in costs:
+        want[t] = want.get(t, 0.0) + c
+    rounded = duckdb.execute("SELECT round(unnest($1::DOUBLE[]), 6)", [[*want.values()]]).fetchall()
+    found = {r["tenant"]: r["spent_usd"] for r in usage.budget_headroom(calls, 1.0).collect()}
+    assert found == dict(zip(want, (x for (x,) in rounded), strict=True))
+
+
 def test_hot_key_streams_through_its_fold(spark):
     calls = spark.range(30_000).select(F.lit("hot").alias("tenant"), F.timestamp_seconds(F.col("id")).alias("ts"), F.col("id").alias("seq"), F.lit(1.0).alias("amount"))
     rows = usage.quota_admission(calls, 10.0, 100.0).groupBy("admitted").count().collect()
