@@ -20,16 +20,17 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def as_stream(df: DataFrame, parts: int = 4, order: tuple[str, ...] = ()) -> DataFrame:
-    """The table as a stream of files, one to a micro-batch; order: the columns by which the files follow each other in time."""
+    """The table as a stream of files, which so many micro-batches read; order: the columns by which the files follow each other in time. A micro-batch
+    has as many files as the table has splits (fewer, if rows are few), so what one task writes or reads doesn't grow with the table."""
     spark = df.sparkSession
-    path = fresh_path(spark, "stream")
-    (df.repartitionByRange(parts, *order).sortWithinPartitions(*order) if order else df.repartition(parts)).write.parquet(path)
-    in_turn(spark, path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, n = fresh_path(spark, "stream"), parts * df.rdd.getNumPartitions()
+    (df.repartitionByRange(n, *order).sortWithinPartitions(*order) if order else df.repartition(n)).write.parquet(path)
+    each = -(-in_turn(spark, path) // parts)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max(1, each)).parquet(path)
 
 
-def in_turn(spark: SparkSession, path: str) -> None:
-    """Gives the files of a folder times in the order of their names: a stream reads the older ones first."""
+def in_turn(spark: SparkSession, path: str) -> int:
+    """Gives the files of a folder times in the order of their names: a stream reads the older ones first. How many there are."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -37,6 +38,7 @@ def in_turn(spark: SparkSession, path: str) -> None:
     start = int(time.time() * 1000) - 1000 * (len(names) + 1)
     for i, name in enumerate(names):
         fs.setTimes(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), start + 1000 * i, -1)
+    return len(names)
 
 
 def finished(result: DataFrame, mode: str = "append") -> DataFrame:

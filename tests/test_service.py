@@ -282,6 +282,17 @@ def test_stream_history_expires_by_the_entries_times(spark):
     assert last_of(updates, "conv_id").first()["entries"] == ["e2", "e3"]
 
 
+def test_files_of_a_stream_grow_in_number_with_the_table_s_splits(spark):
+    """Sixteen splits in four micro-batches: no file has a fourth of the rows, and batches still follow in time."""
+    table = spark.range(0, 6400, 1, 16).select(F.col("id").alias("seq"), F.lit("k").alias("value"))
+    for order in ((), ("seq",)):
+        stream = as_stream(table, 4, order).withColumn("file", F.input_file_name())
+        out = finished(stream.groupBy("file").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")), "update")
+        rows = out.orderBy("batch", "a").collect()
+        assert len({r["batch"] for r in rows}) == 4 and sum(r["n"] for r in rows) == 6400 and max(r["n"] for r in rows) < 400
+        assert not order or all(x["b"] < y["a"] for x, y in zip(rows, rows[1:], strict=False))
+
+
 def test_stream_redacts_lines(spark):
     rows = [(0, "key sk-abcdefgh12345 of bob@example.com"), (1, "call +49 170 1234567 now"), (2, "nothing")]
     out = finished(jobs.stream_redact(as_stream(spark.createDataFrame(rows, "id long, value string"))))
