@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,28 @@ def test_batched_embedding_calls_the_model_in_batches(spark):
     sizes = spark.createDataFrame([(i, "t" * i) for i in range(10)], "id long, text string").coalesce(1)
     rows = embedding.embed_batched(sizes, "id", lambda texts: [[len(t), len(texts)] for t in texts], 4).orderBy("id").collect()
     assert [r["vector"][0] for r in rows] == [*map(float, range(10))] and [r["vector"][1] for r in rows] == [4.0] * 8 + [2.0] * 2
+
+
+def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
+    """A batch of texts is not held as chunks at once, and no chunk is lost between batches."""
+    sizes, made = [], pa.RecordBatch.from_arrays
+    table = spark.createDataFrame([(i, "s", "word " * 400) for i in range(50)], "doc_id long, source string, text string").coalesce(1)
+    monkeypatch.setattr(chunking, "CUT_CHARS", 10_000)
+    plan = {}
+
+    class Docs:
+        schema = table.schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            plan["run"] = run
+            return table.limit(0).selectExpr("doc_id", "source", "0L AS ordinal", "0L AS start", "0L AS end", "text", "'' AS heading_path")
+
+    chunking.chunk_markdown(Docs(), 100, 0)
+    whole = made([pa.array(range(50)), pa.array(["s"] * 50), pa.array(["word " * 400] * 50)], names=["doc_id", "source", "text"])
+    for batch in plan["run"](iter([whole])):
+        sizes.append(batch.num_rows)
+    assert len(sizes) == 10 and sum(sizes) == 50 * 20
+    assert chunking.chunk_markdown(table, 100, 0).count() == 50 * 20
