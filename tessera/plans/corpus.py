@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.counting import hashed_matrix
 from tessera.operators import chunking, embedding, validation
 from tessera.plans.base import Plans, chunks, chunks_sql, documents, read
 from tessera.sources import files
@@ -48,10 +49,7 @@ def chunk_markdown(spark, d):
 
 @add()
 def chunk_semantic(spark, d):
-    def embed(sentences):
-        return embedding.dense(embedding.hash_vectors(sentences, "sentence_id", dims=64), "sentence_id", 64)
-
-    return chunking.chunk_semantic(documents(spark, d), embed, 1200)
+    return chunking.chunk_semantic_in_place(documents(spark, d), lambda sentences: hashed_matrix(sentences, 64), 1200)
 
 
 @add(

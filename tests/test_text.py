@@ -1,6 +1,8 @@
 """Chunkers, embeddings and scans against hand-computed values."""
 
 import math
+import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions import counting
 from tessera.functions import text as X
 from tessera.operators import chunking, embedding, safety, validation
+from tessera.plans import corpus
+from tests.helpers import SF
 
 
 def docs(spark, *texts):
@@ -204,3 +208,33 @@ def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
         sizes.append(batch.num_rows)
     assert len(sizes) == 10 and sum(sizes) == 50 * 20
     assert chunking.chunk_markdown(table, 100, 0).count() == 50 * 20
+
+
+def test_words_and_pairs_are_digested_once_for_all_texts(spark, monkeypatch):
+    """A batch's words and pairs met again cost no further digest, and counts are those of the words one by one: odd letters, long words, no words."""
+    texts = ["a_b a'b", "İstanbul K ſtraße ΑΣ don't", None, "", "\n\n", "\0a a a a", "x" * 70 + " " + "y" * 54 + " z", "one two one two"] + ["the same few words"] * 500
+    digested, before = [], counting.digest_buckets
+    monkeypatch.setattr(counting, "digest_buckets", lambda text, starts, *rest: digested.append(len(starts)) or before(text, starts, *rest))
+    monkeypatch.setattr(counting, "DIGESTS", 5)
+    counts, known = counting.hashed_counts(texts, 97, True), counting.Buckets(97)
+    assert sum(digested) < 40
+    for row, t in zip(counts, texts, strict=True):
+        want, w = [0.0] * 97, counting.words(t)
+        for word, n in [*((x, 1.0) for x in w), *((f"{a}_{b}", 0.5) for a, b in zip(w, w[1:], strict=False))]:
+            want[known[word]] += n
+        assert row.tolist() == want
+
+
+def test_semantic_chunks_in_place_are_those_of_the_fold(spark, monkeypatch):
+    """By the query's function of texts, in small batches, with nothing shuffled; blank sentences, no sentences, equal ids."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["cats nap.", "rates rose!", "who?", "a b c d e f.", "...", " .\n", "x"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    d = docs(spark, *texts, None, "", "One.", "   ", "Two. Three", "No end")
+    by_rows = lambda s: embedding.dense(embedding.hash_vectors(s, "sentence_id", dims=64), "sentence_id", 64)
+    want = chunking.chunk_semantic(d, by_rows, 80).orderBy("doc_id", "ordinal").collect()
+    monkeypatch.setattr(chunking, "CUT_CHARS", 300)
+    monkeypatch.setattr(chunking, "EMBEDDED", 7)
+    found = chunking.chunk_semantic_in_place(d.coalesce(2), lambda s: counting.hashed_matrix(s, 64), 80)
+    assert found.orderBy("doc_id", "ordinal").collect() == want and len(want) > 100
+    for plan in (found, corpus.plans.queries["chunk_semantic"](spark, SF)):
+        assert not re.search("Window|FlatMapGroups|Join", plan._jdf.queryExecution().executedPlan().toString())
