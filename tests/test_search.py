@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.functions import counting
 from tessera.plans import retrieval
 from tessera.operators import embedding, evaluation, postings, rag, search
 from tessera.sources.scratch import stored
@@ -354,3 +355,36 @@ def test_blocks_are_made_where_their_chunks_were_counted(spark, tmp_path):
     ids = [f"c{i:03d}" for i in range(100)]
     assert sorted(held.values()) == [half[a : a + 8] for half in (ids[:50], ids[50:]) for a in range(0, 50, 8)]
     assert {r["term"]: r["df"] for r in index.terms.collect()} == {"same": 100} | {f"w{i}": len(range(i, 100, 7)) for i in range(7)}
+
+
+def test_frequencies_of_terms_that_nobody_asks_for_are_not_counted(spark, chunks):
+    q = spark.createDataFrame([(1, "error sku 4471"), (2, "leave days days unseen")], "query_id long, text string")
+    index = search.bm25_index(chunks)
+    want = spark_rows(search.bm25_topk(q, index, 3))
+    index.terms = index.terms.select(F.raise_error(F.lit("all terms are counted")).cast("string").alias("term"), "df")
+    assert spark_rows(search.bm25_topk(q, index, 3)) == want and want[1]
+
+
+def test_ways_of_retrieval_share_their_searches(spark, monkeypatch):
+    made = []
+    for name in ("sparse_topk", "bm25_topk"):
+        monkeypatch.setattr(search, name, lambda *a, f=getattr(search, name), n=name, **b: made.append(n) or f(*a, **b))
+    retrieval.plans.queries["retrieve"](spark, SF)
+    assert sorted(made) == ["bm25_topk", "sparse_topk"]
+
+
+def test_compared_hits_are_found_before_they_meet_chunks(spark):
+    """So that their number is known when they are joined, and the chunks stay where they are."""
+    plan = retrieval.plans.queries["rank_compare"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
+def test_terms_are_counted_in_slices_of_a_batch(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["it's", "B", "é", "4", "a_b", "zz", "ǅx"], size=int(rng.integers(0, 9))).tolist()) for _ in range(60)] + [None, "", "..."]
+    d = spark.createDataFrame([*enumerate(texts)], "id long, text string").coalesce(1)
+    monkeypatch.setattr(counting, "CUT_CHARS", 25)
+    for r in d.select("text", counting.counted_terms(F.col("text")).alias("c"), counting.hashed(F.col("text"), 64, True, False).alias("e")).collect():
+        w = counting.words(r["text"])
+        assert r["c"]["dl"] == len(w) and [tuple(t) for t in r["c"]["terms"]] == sorted((x, w.count(x)) for x in set(w))
+        assert math.isclose(sum(e["weight"] ** 2 for e in r["e"]), 1 if w else 0)
