@@ -388,3 +388,21 @@ def test_terms_are_counted_in_slices_of_a_batch(spark, monkeypatch):
         w = counting.words(r["text"])
         assert r["c"]["dl"] == len(w) and [tuple(t) for t in r["c"]["terms"]] == sorted((x, w.count(x)) for x in set(w))
         assert math.isclose(sum(e["weight"] ** 2 for e in r["e"]), 1 if w else 0)
+
+
+def test_pages_scored_in_blocks_keep_the_smallest_ids_of_equal_ones(spark, monkeypatch):
+    """Short and long terms, blocks of few pages, more equal pages than are kept, in falling order of their ids, and missing titles behind empty ones."""
+    rng = np.random.default_rng(4)
+    words = ["a", "an", "ana", "banana", "x", "xx", "the", "then"]
+    bodies = [" ".join(rng.choice(words, size=int(rng.integers(0, 12))).tolist()) for _ in range(90)]
+    pages = [(i, None if i % 5 == 0 else "", b) for i, b in enumerate([*bodies, *bodies[:9] * 9])]
+    asked = [(i, " ".join(rng.choice(words, size=int(rng.integers(0, 5))).tolist())) for i in range(20)]
+    monkeypatch.setattr(search, "SCORED_PAGES", 7)
+    d = spark.createDataFrame(pages[::-1], "page_id long, title string, body string").coalesce(2)
+    found = sorted((r["query_id"], r["rank"], r["page_id"], r["score"]) for r in search.term_count_search(spark.createDataFrame(asked, "query_id long, text string"), d, 4).collect())
+    want = []
+    for q, text in asked:
+        scored = sorted((i, t, b, n) for i, t, b in pages if (n := sum(b.count(w) for w in text.split())))
+        scored.sort(key=lambda x: (x[3], x[1] is not None, x[2]), reverse=True)
+        want += [(q, rank, i, n) for rank, (i, _, _, n) in enumerate(scored[:4], 1)]
+    assert found == want and len(want) > 60
