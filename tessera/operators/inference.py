@@ -90,22 +90,28 @@ def reply_json(replies: DataFrame) -> DataFrame:
     return both.withColumn("json", F.when(valid(F.col("candidate")), F.col("candidate")).when(valid(fixed), fixed)).drop("fenced", "candidate")
 
 
-def typed_replies(replies: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Typed rows (reply_id, columns of the schema) and bad ones (reply_id, reason): truncated, no JSON, a field missing or of another type."""
+def checked_replies(replies: DataFrame, schema: str) -> DataFrame:
+    """(reply_id, row, reason): the typed row, or why there is none: truncated, no JSON, a field missing or of another type."""
     fields = T.StructType.fromDDL(schema).fields
     parsed = reply_json(replies).withColumn("row", F.from_json("json", schema))
     lacking = F.array_compact(F.array(*(F.when(F.col(f"row.`{f.name}`").isNull(), F.lit(f.name)) for f in fields)))
     reason = F.when(F.col("finish_reason") == "length", "truncated").when(F.col("json").isNull(), "no JSON").when(F.size(lacking) > 0, F.concat(F.lit("missing or of another type: "), F.array_join(lacking, ", ")))
-    checked = parsed.withColumn("reason", reason)
+    return parsed.select("reply_id", "row", reason.alias("reason"))
+
+
+def typed_replies(replies: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Typed rows (reply_id, columns of the schema) and bad ones (reply_id, reason)."""
+    checked = checked_replies(replies, schema)
     return checked.filter("reason is null").select("reply_id", "row.*"), checked.filter("reason is not null").select("reply_id", "reason")
 
 
 def structured_table(prompts: DataFrame, ask: Callable[[DataFrame], DataFrame], schema: str, keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> tuple[DataFrame, DataFrame]:
     """Typed rows and quarantine of prompts (reply_id, prompt): failed ones are asked again, up to three times in all, with the reason in the prompt; truncated ones fail at once.
-    ask: from (reply_id, prompt) to (reply_id, text, finish_reason). keep: stores the replies of a round."""
+    ask: from (reply_id, prompt) to (reply_id, text, finish_reason). keep: stores what a round's replies give, (reply_id, row, reason), so that they are asked for and parsed once."""
     good, bad, left = None, None, prompts
     for attempt in range(ROUNDS):
-        fine, failed = typed_replies(keep(ask(left)), schema)
+        checked = keep(checked_replies(ask(left), schema))
+        fine, failed = checked.filter("reason is null").select("reply_id", "row.*"), checked.filter("reason is not null").select("reply_id", "reason")
         good = fine if good is None else good.unionByName(fine)
         ended = failed if attempt == ROUNDS - 1 else failed.filter("reason = 'truncated'")
         bad = ended if bad is None else bad.unionByName(ended)

@@ -9,7 +9,7 @@ from tessera.operators import inference, metrics, traces, usage, validation
 from tessera.plans.base import MODELS, USAGE_SQL, Plans, events, messages, read
 from tessera.plans.base import usage as usage_log
 from tessera.sources import files
-from tessera.sources.scratch import checkpoint, fresh_path
+from tessera.sources.scratch import checkpoint, fresh_path, stored
 
 plans = Plans()
 add = plans.add
@@ -391,13 +391,13 @@ def reply_json(spark, d):
 @add()
 def structured_table(spark, d):
     """Every seventh prompt is answered without JSON at first."""
-    replies = checkpoint(wrapped_replies(spark, d))
+    replies = stored(wrapped_replies(spark, d), "replies")
 
     def ask(prompts):
         first = ~F.contains("prompt", F.lit("refused")) & (F.col("reply_id") % 7 == 0)
         return prompts.join(replies, "reply_id").select("reply_id", F.when(first, F.lit("not now")).otherwise(F.col("text")).alias("text"), "finish_reason")
 
-    good, bad = inference.structured_table(replies.select("reply_id", F.lit("Give k.").alias("prompt")), ask, "k bigint", checkpoint)
+    good, bad = inference.structured_table(replies.select("reply_id", F.lit("Give k.").alias("prompt")), ask, "k bigint", lambda df: stored(df, "checked"))
     return good.select("reply_id", "k", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("reply_id", F.lit(None).cast("bigint").alias("k"), "reason"))
 
 

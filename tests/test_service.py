@@ -12,6 +12,7 @@ from tessera import catalog
 from tessera.operators import history, inference, metrics, safety, traces, usage, validation
 from tessera.plans.streams import ROCKS, as_stream, finished, last_of
 from tessera.sources import files
+from tessera.sources.scratch import stored
 from tessera.streaming import jobs
 from tests.helpers import SF
 
@@ -310,3 +311,17 @@ def test_logs_round_trip(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).limit(1).count() == 1
+
+
+def test_replies_of_a_round_are_asked_for_and_parsed_once(spark):
+    """What is kept of a round is parsed, so that neither the next round nor the results parse it again."""
+    kept = []
+    prompts = spark.createDataFrame([(1, "ok"), (2, "late"), (3, "never"), (4, "cut")], "reply_id long, prompt string")
+    again = F.contains("prompt", F.lit("refused"))
+    text = F.when(F.startswith("prompt", F.lit("never")), "none").when(F.startswith("prompt", F.lit("late")) & ~again, "later").otherwise("{'a': 7,}")
+    finish = F.when(F.col("prompt") == "cut", "length").otherwise("stop")
+    ask = lambda p: p.select("reply_id", text.alias("text"), finish.alias("finish_reason"))
+    good, bad = inference.structured_table(prompts, ask, "a bigint", lambda df: kept.append(df.columns) or stored(df))
+    assert kept == [["reply_id", "row", "reason"]] * 3
+    assert sorted(map(tuple, good.collect())) == [(1, 7), (2, 7)] and sorted(map(tuple, bad.collect())) == [(3, "no JSON"), (4, "truncated")]
+    assert not any("ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString() for df in (good, bad))
