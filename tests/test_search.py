@@ -1,8 +1,10 @@
 """Search, retrieval pipeline and evaluation on a six-line corpus."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +244,27 @@ def test_markers_in_turns(spark, monkeypatch):
     assert found() == [1, 3, 4]
 
 
+def test_markers_in_turns_by_their_characters(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"a {i} b {'x' * i}",) for i in range(40)], "text string")
+    markers = spark.createDataFrame([(i, f"A {i} B") for i in range(80)] + [(80, "")], "query_id long, marker string")
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(sum(map(len, value))) or send(self, value))
+    found = lambda: sorted(r["query_id"] for r in evaluation.markers_found(texts, markers).collect())
+    assert found() == [*range(40), 80] and len(sent) == 1
+    monkeypatch.setattr(evaluation, "MARKER_CHARS", sent[0] // 4)
+    assert found() == [*range(40), 80] and max(sent[1:]) < sent[0] / 2
+
+
+def test_texts_with_markers_are_python_strings_one_at_a_time():
+    columns = [pa.array([f"{i} " * 2000 for i in range(1000, 2000)]), pa.array([], pa.string())]  # 10 MB
+    tracemalloc.start()
+    try:
+        assert evaluation._held_in(iter(columns), ["1999 1999", "999 999", ""]) == {"1999 1999", ""}
+        assert tracemalloc.get_traced_memory()[1] < 1e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_rerank_hyde_and_judges_by_hand(spark, chunks):
     hits = spark.createDataFrame([(1, f"c{i}", i + 1, 1.0) for i in range(4)], "query_id long, chunk_id string, rank long, score double")
     q = spark.createDataFrame([(1, "which error")], "query_id long, text string")
